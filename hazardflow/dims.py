@@ -103,17 +103,25 @@ BATCH_SLOT_MS = 50
 BATCH_LIMIT = 64
 
 
+def _values(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
+    """A literal table, known to the optimizer with its size."""
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t({columns})")
+
+
 def state_density(spark: SparkSession) -> DataFrame:
     """The state density table as a DataFrame; its size is fixed."""
-    return spark.createDataFrame(sorted(STATE_DENSITY.items()), "state_code string, base_density double")
+    return _values(spark, [f"('{s}', {d}D)" for s, d in STATE_DENSITY.items()], "state_code, base_density")
 
 
 def severity_dim(spark: SparkSession) -> DataFrame:
     """One row per severity with rank and channels; its size is fixed."""
-    rows = [(name, SEVERITY_RANK[name], CHANNELS[name]) for name in SEVERITIES]
-    return spark.createDataFrame(rows, "severity string, severity_rank int, channels array<string>")
+    rows = []
+    for name in SEVERITIES:
+        listed = ", ".join(f"'{channel}'" for channel in CHANNELS[name])
+        rows.append(f"('{name}', {SEVERITY_RANK[name]}, array({listed}))")
+    return _values(spark, rows, "severity, severity_rank, channels")
 
 
 def feed_dim(spark: SparkSession) -> DataFrame:
     """The feeds that always appear in the status report."""
-    return spark.createDataFrame([(feed,) for feed in FEEDS], "source string")
+    return _values(spark, [f"('{feed}')" for feed in FEEDS], "source")
