@@ -339,10 +339,14 @@ _SQL_PROCESSED = {n: _clip(f"n_{n}", low, high, d) for n, low, high, _, d in dim
 
 
 def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
-    rows = view(spark, sf, "raw_inputs")
+    return view(spark, sf, "raw_inputs"), {n: F.col(n) for n in dims.INPUT_NAMES}
+
+
+def _mapped_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
+    """The same inputs as a map without its missing entries, as requests bring them."""
     entries = [part for n in dims.INPUT_NAMES for part in (F.lit(n), F.col(n))]
     raw = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
-    return rows.select("event_id", raw.alias("raw")), quality.from_map(F.col("raw"))
+    return view(spark, sf, "raw_inputs").select("event_id", raw.alias("raw")), quality.from_map(F.col("raw"))
 
 
 @query(
@@ -354,7 +358,7 @@ def _inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, dict]:
     ),
 )
 def input_validation(spark: SparkSession, sf: str) -> DataFrame:
-    rows, values = _inputs(spark, sf)
+    rows, values = _mapped_inputs(spark, sf)
     return rows.select(
         "event_id",
         F.array_join(quality.errors(values), "|").alias("errors"),
@@ -376,7 +380,7 @@ _IMPUTED = ", ".join(
 )
 def input_imputation(spark: SparkSession, sf: str) -> DataFrame:
     rows, values = _inputs(spark, sf)
-    valid = rows.where(F.size(quality.errors(values)) == 0)
+    valid = rows.where(quality.is_valid(values))
     return valid.select("event_id", *[r6(c).alias(n) for n, c in quality.impute(values).items()])
 
 
@@ -394,7 +398,7 @@ _CLIPPED = ", ".join(
 )
 def input_clipping(spark: SparkSession, sf: str) -> DataFrame:
     rows, values = _inputs(spark, sf)
-    valid = rows.where(F.size(quality.errors(values)) == 0)
+    valid = rows.where(quality.is_valid(values))
     clipped = quality.preprocess(values, quality.Scaling.NONE)
     return valid.select("event_id", *[r6(c).alias(n) for n, c in clipped.items()])
 
@@ -410,8 +414,8 @@ _PROCESSED = ", ".join(f"{sql_round(e)} AS {n}" for n, e in _SQL_PROCESSED.items
 )
 def input_preprocessing(spark: SparkSession, sf: str) -> DataFrame:
     rows, values = _inputs(spark, sf)
-    valid, _ = enrich.split_valid(enrich.quality_checked(rows, values, prefix=""))
-    return valid.select("event_id", *[r6(n).alias(n) for n in dims.INPUT_NAMES])
+    valid, _ = enrich.quality_checked(rows, values)
+    return valid.select("event_id", *[r6(f"in_{n}").alias(n) for n in dims.INPUT_NAMES])
 
 
 @query(
@@ -425,7 +429,7 @@ def input_preprocessing(spark: SparkSession, sf: str) -> DataFrame:
 )
 def input_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     rows, values = _inputs(spark, sf)
-    _, bad = enrich.split_valid(enrich.quality_checked(rows, values, strict=True))
+    _, bad = enrich.quality_checked(rows, values, strict=True)
     reasons = bad.select(F.explode("quality_errors").alias("reason"))
     return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
@@ -442,8 +446,8 @@ def input_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 )
 def fitted_scaling(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).select("event_id", "value", "latency_ms")
-    z = quality.fit_scaling(rows, ["value"], quality.Scaling.Z_SCORE)
-    both = quality.fit_scaling(z, ["latency_ms"], quality.Scaling.ROBUST)
+    z = enrich.fit_scaling(rows, ["value"], quality.Scaling.Z_SCORE)
+    both = enrich.fit_scaling(z, ["latency_ms"], quality.Scaling.ROBUST)
     return both.select("event_id", r6("value").alias("z_value"), r6("latency_ms").alias("robust_latency"))
 
 
@@ -639,7 +643,7 @@ def routing_load(spark: SparkSession, sf: str) -> DataFrame:
     """
     located = enrich.feature_vector(enrich.geo_risk(hazard_events(spark, sf)), prefix="f_")
     values = {**enrich.raw_inputs(), "magnitude_or_wind_speed": F.col("magnitude")}
-    valid, _ = enrich.split_valid(enrich.quality_checked(located, values))
+    valid, _ = enrich.quality_checked(located, values)
     load = triage.routing_load(valid, "observed_severity")
     return load.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"),

@@ -13,11 +13,14 @@ def _num(value: float) -> Column:
 
 
 def event_type_code(event_type: Column) -> Column:
-    """Position of the first hazard word found in the text, else a digest bucket, over 15."""
-    key = F.lower(strip(event_type))
-    known = [F.when(key.contains(word), F.lit(code)) for code, word in enumerate(dims.EVENT_TYPES)]
+    """Position of the first hazard word found in the text, else a digest bucket, over 15.
+
+    The words neither start nor end with white space, so only the digest needs the stripped text.
+    """
+    text = F.lower(event_type)
+    known = [F.when(text.contains(word), F.lit(code)) for code, word in enumerate(dims.EVENT_TYPES)]
     size = len(dims.EVENT_TYPES)
-    code = F.coalesce(*known, digest_mod(F.md5(key), 32, size))
+    code = F.coalesce(*known, digest_mod(F.md5(strip(text)), 32, size))
     return code.cast("double") / _num(size)
 
 

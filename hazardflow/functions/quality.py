@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from enum import Enum
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from hazardflow import dims
 
 
 class Scaling(Enum):
-    """Z_SCORE and ROBUST leave values unchanged unless statistics are fitted (see ``fit_scaling``)."""
+    """Z_SCORE and ROBUST leave values unchanged unless statistics are fitted (see ``enrich.fit_scaling``)."""
 
     MIN_MAX = "min_max"
     Z_SCORE = "z_score"
@@ -50,6 +51,19 @@ def errors(values: dict[str, Column], strict: bool = False) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def is_valid(values: dict[str, Column], strict: bool = False) -> Column:
+    """Whether a row has no errors, as a plain condition that can filter at the scan."""
+    conditions = []
+    for name, _, _, required, _ in dims.INPUT_LIMITS:
+        if name in values:
+            number = _number(values, name)
+            good = number.isNotNull() & ~F.isnan(number)
+            conditions.append(good if strict and required else values[name].isNull() | good)
+        elif strict and required:
+            conditions.append(F.lit(False))
+    return reduce(Column.__and__, conditions, F.lit(True))
+
+
 def warnings(values: dict[str, Column]) -> Column:
     """Required inputs that are missing and will take their default."""
     found = [
@@ -85,31 +99,3 @@ def scale(values: dict[str, Column], scaling: Scaling = Scaling.MIN_MAX) -> dict
 def preprocess(values: dict[str, Column], scaling: Scaling = Scaling.MIN_MAX) -> dict[str, Column]:
     """Impute, clip and scale; exactly the ten limited inputs come out."""
     return scale(clip(impute(values)), scaling)
-
-
-def fit_scaling(df: DataFrame, names: list[str], scaling: Scaling) -> DataFrame:
-    """Scale columns by statistics of the whole table (an option beyond the fixed limits).
-
-    The statistics are one row from one aggregation; it is joined by a one-row broadcast.
-    """
-    if scaling is Scaling.Z_SCORE:
-        stats = [
-            s for n in names for s in (F.avg(n).alias(f"_c_{n}"), F.stddev_samp(n).alias(f"_s_{n}"))
-        ]
-    elif scaling is Scaling.ROBUST:
-        stats = [
-            s
-            for n in names
-            for s in (
-                F.percentile(n, F.lit(0.5)).alias(f"_c_{n}"),
-                (F.percentile(n, F.lit(0.75)) - F.percentile(n, F.lit(0.25))).alias(f"_s_{n}"),
-            )
-        ]
-    else:
-        return df
-    row = df.agg(*stats).first()
-    scaled = {}
-    for n in names:
-        centre, spread = row[f"_c_{n}"], row[f"_s_{n}"]
-        scaled[n] = (F.col(n) - F.lit(centre)) / F.lit(spread) if spread else F.col(n) - F.lit(centre)
-    return df.withColumns(scaled)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardflow import dims
 from hazardflow.functions import features, geo, quality
+from hazardflow.operators.ranks import exact_quantiles
 
 
 def geo_risk(events: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -113,22 +114,37 @@ def quality_checked(
     strict: bool = False,
     scaling: quality.Scaling = quality.Scaling.MIN_MAX,
     prefix: str = "in_",
-) -> DataFrame:
-    """Add ``quality_errors``, ``quality_warnings`` and the ten processed inputs.
+) -> tuple[DataFrame, DataFrame]:
+    """Valid rows with ``quality_warnings`` and the ten processed inputs, and rejected rows with ``quality_errors``.
 
-    Rows with errors keep their reasons; split them with :func:`split_valid`.
+    Reasons are only spelled out for rejected rows; valid rows pass a plain condition.
     """
+    valid = quality.is_valid(values, strict)
     processed = quality.preprocess(values, scaling)
-    return events.withColumns(
+    good = events.where(valid).withColumns(
         {
-            "quality_errors": quality.errors(values, strict),
             "quality_warnings": quality.warnings(values),
             **{f"{prefix}{name}": column for name, column in processed.items()},
         }
     )
+    return good, events.where(~valid).withColumn("quality_errors", quality.errors(values, strict))
+
 
+def fit_scaling(df: DataFrame, names: list[str], scaling: quality.Scaling) -> DataFrame:
+    """Scale columns by statistics of the whole table instead of the fixed limits.
 
-def split_valid(checked: DataFrame, reasons: str = "quality_errors") -> tuple[DataFrame, DataFrame]:
-    """Valid rows and the quarantined rest."""
-    bad = F.size(reasons) > 0
-    return checked.where(~bad).drop(reasons), checked.where(bad)
+    Only the fitted numbers come to the driver; medians are found by ranks, not in one task.
+    """
+    centres: dict[str, tuple[float, float]] = {}
+    if scaling is quality.Scaling.Z_SCORE:
+        row = df.agg(
+            *[s for n in names for s in (F.avg(n).alias(f"c_{n}"), F.stddev_samp(n).alias(f"s_{n}"))]
+        ).first()
+        centres = {n: (row[f"c_{n}"], row[f"s_{n}"]) for n in names}
+    elif scaling is quality.Scaling.ROBUST:
+        for n in names:
+            row = exact_quantiles(df, [], n, (0.25, 0.5, 0.75)).first()
+            centres[n] = (row["p50"], row["p75"] - row["p25"])
+    return df.withColumns(
+        {n: (F.col(n) - F.lit(c)) / F.lit(s) if s else F.col(n) - F.lit(c) for n, (c, s) in centres.items()}
+    )

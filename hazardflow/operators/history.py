@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hazardflow.functions.times import MICROS, chunk
+from hazardflow.functions.times import MICROS, chunk, micros
 from hazardflow.operators.chunks import (
     CHUNK,
     HOUR,
@@ -33,11 +33,18 @@ def prior_event_count(
     ``(key, slice)``, and the frame is always "everything before" rather than a sliding one that would be
     rescanned per row. ``event_id`` must be unique.
     """
-    timed = with_chunks(events, ts, chunk_seconds).select(*keys, F.col(event_id).alias("_id"), TIME, CHUNK)
-    now = timed.select("*", F.lit(1).alias("_data"))
-    then = timed.withColumn(TIME, F.col(TIME) - F.lit(hours * 3600 * MICROS))
-    then = then.withColumn(CHUNK, chunk(F.col(TIME), chunk_seconds)).select("*", F.lit(0).alias("_data"))
-    points = now.unionByName(then)
+    now = micros(F.col(ts))
+    then = now - F.lit(hours * 3600 * MICROS)
+    both = F.array(
+        F.struct(now.alias("us"), F.lit(1).alias("data")), F.struct(then.alias("us"), F.lit(0).alias("data"))
+    )
+    points = events.select(*keys, F.col(event_id).alias("_id"), F.explode(both).alias("_p")).select(
+        *keys,
+        "_id",
+        F.col("_p.us").alias(TIME),
+        F.col("_p.data").alias("_data"),
+        chunk(F.col("_p.us"), chunk_seconds).alias(CHUNK),
+    )
 
     slices = points.groupBy(*keys, CHUNK).agg(F.sum("_data").alias("_n"))
     offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_chunks(keys)), F.lit(0))).drop("_n")

@@ -10,14 +10,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def running_totals(counted: DataFrame, keys: list[str], value: str, weights: list[str], width: float) -> DataFrame:
-    """Add ``cum_<weight>``: the total weight at values up to and including the row's value, per key."""
+    """Add ``cum_<weight>`` and ``all_<weight>``: weight at values up to the row's own, and in all, per key."""
     ranged = counted.withColumn("_range", F.floor(F.col(value) / F.lit(width)).cast("bigint"))
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
-    below = (
-        Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
+    below = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_range", *[F.coalesce(F.sum(f"_t_{w}").over(below), F.lit(0)).alias(f"_o_{w}") for w in weights]
+        *keys,
+        "_range",
+        *[F.coalesce(F.sum(f"_t_{w}").over(below), F.lit(0)).alias(f"_o_{w}") for w in weights],
+        *[F.sum(f"_t_{w}").over(whole).alias(f"all_{w}") for w in weights],
     )
     so_far = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     rows = ranged.withColumns({f"_r_{w}": F.sum(w).over(so_far) for w in weights})
@@ -40,16 +42,13 @@ def exact_quantiles(
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, keys, value, ["_n"], width)
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    # Without keys the sizes are a single row.
-    ranked = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes), F.lit(True), "left")
 
     def at(q: float, rounding) -> Column:
-        position = rounding(F.lit(q) * (F.col("_size") - 1))
+        position = rounding(F.lit(q) * (F.col("all__n") - 1))
         return F.min(F.when(F.col("cum__n") > position, F.col(value)))
 
     found = ranked.groupBy(*keys).agg(
-        F.first("_size").alias("_size"),
+        F.max("all__n").alias("_size"),
         *[at(q, F.floor).alias(f"_lo{i}") for i, q in enumerate(quantiles)],
         *[at(q, F.ceil).alias(f"_hi{i}") for i, q in enumerate(quantiles)],
     )

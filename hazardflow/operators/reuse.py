@@ -24,15 +24,15 @@ from pyspark.sql.functions import pandas_udf
 from hazardflow import dims
 from hazardflow.functions.times import MICROS, micros
 
-STEP_TYPE = "array<struct<upto:bigint,leaves:bigint>>"
+STEP_TYPE = "array<struct<upto:bigint,at:int>>"
 
 
-def slice_steps(times: np.ndarray, ttl: int, slice_end_of_entry: int) -> list[dict[str, int]]:
-    """The step function of one slice over its sorted distinct times.
+def slice_steps(times: np.ndarray, ttl: int, entry_end: int) -> list[dict[str, int]]:
+    """The step function of one slice over its sorted times.
 
     For a limit that expires at ``x``, the chain enters at the first time after ``x`` and leaves at the last
-    scored time reached from there. Entries with one outcome are merged; ``upto`` is the last entry time of a
-    step. An ``x`` at or after every time skips the slice.
+    scored row reached from there. Entries with one outcome are merged: ``upto`` is the last entry time of a
+    step, ``at`` the position it leaves from. An ``x`` at or after every time skips the slice.
     """
     size = len(times)
     reach = np.append(np.searchsorted(times, times + ttl, side="right"), size)
@@ -41,10 +41,10 @@ def slice_steps(times: np.ndarray, ttl: int, slice_end_of_entry: int) -> list[di
         alive = reach < size
         last[alive] = last[reach[alive]]
         reach[alive] = reach[reach[alive]]
-    entries = min(int(np.searchsorted(times, slice_end_of_entry, side="right")) + 1, size)
-    leaves = times[last[:entries]]
-    ends = np.append(np.nonzero(np.diff(leaves))[0], entries - 1)
-    return [{"upto": int(times[i]), "leaves": int(leaves[i])} for i in ends]
+    entries = min(int(np.searchsorted(times, entry_end, side="right")) + 1, size)
+    leaves = last[:entries]
+    ends = np.append(np.nonzero(np.diff(times[leaves]))[0], entries - 1)
+    return [{"upto": int(times[i]), "at": int(leaves[i])} for i in ends]
 
 
 def _steps_udf(ttl: int):
@@ -52,64 +52,69 @@ def _steps_udf(ttl: int):
     def steps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for times, starts in batches:
             yield pd.Series(
-                [
-                    slice_steps(np.sort(np.asarray(t, dtype=np.int64)), ttl, int(s) + ttl)
-                    for t, s in zip(times, starts, strict=True)
-                ]
+                [slice_steps(np.asarray(t), ttl, int(s) + ttl) for t, s in zip(times, starts, strict=True)]
             )
 
     return steps
 
 
 def _compose(slices: Column, ttl: int) -> Column:
-    """Fold a key's slices in order into ``(slice, time scored last before it)``."""
+    """Fold a key's slices in order into ``(slice, row scored last before it)``."""
 
     def advance(state: Column, piece: Column) -> Column:
-        entry = F.filter(
-            piece["steps"], lambda s: state["put"].isNull() | (s["upto"] > state["put"] + F.lit(ttl))
+        step = F.filter(
+            piece["steps"],
+            lambda s: state["put"].isNull() | (s["upto"] > state["put"]["us"] + F.lit(ttl)),
         )
-        put = F.when(F.size(entry) > 0, F.element_at(entry, 1)["leaves"]).otherwise(state["put"])
-        seen = F.concat(
-            state["seen"],
-            F.array(F.struct(piece["slice"].alias("slice"), state["put"].alias("start"))),
-        )
-        return F.struct(put.alias("put"), seen.alias("seen"))
-
-    initial = F.struct(
-        F.lit(None).cast("bigint").alias("put"),
-        F.array().cast("array<struct<slice:bigint,start:bigint>>").alias("seen"),
+        leaves = F.when(F.size(step) > 0, F.element_at(step, 1)["leaves"]).otherwise(state["put"])
+        entry = F.struct(piece["slice"].alias("slice"), state["put"].alias("start"))
+        return F.struct(leaves.alias("put"), F.concat(state["seen"], F.array(entry)).alias("seen"))
+
+    # The empty state takes its types from the first piece.
+    nobody = F.when(F.lit(False), F.element_at(slices, 1)["steps"][0]["leaves"])
+    nothing = F.slice(
+        F.array(F.struct(F.element_at(slices, 1)["slice"].alias("slice"), nobody.alias("start"))), 1, 0
     )
+    initial = F.struct(nobody.alias("put"), nothing.alias("seen"))
     return F.aggregate(slices, initial, advance, lambda state: state["seen"])
 
 
-def _replay(times: Column, start: Column, ttl: int) -> Column:
-    """Times scored in a slice, led by the one carried in; at most one per limit."""
-    initial = F.when(start.isNull(), F.array().cast("array<bigint>")).otherwise(F.array(start))
+def _replay(rows: Column, start: Column, ttl: int) -> Column:
+    """Scored rows of a slice, led by the one carried in; at most one per limit."""
 
-    def advance(puts: Column, t: Column) -> Column:
-        fresh = (F.size(puts) == 0) | (t > F.element_at(puts, -1) + F.lit(ttl))
-        return F.when(fresh, F.concat(puts, F.array(t))).otherwise(puts)
+    def advance(puts: Column, row: Column) -> Column:
+        fresh = (F.size(puts) == 0) | (row["us"] > F.element_at(puts, -1)["us"] + F.lit(ttl))
+        return F.when(fresh, F.concat(puts, F.array(row))).otherwise(puts)
 
-    return F.aggregate(F.array_sort(times), initial, advance)
+    return F.aggregate(rows, F.array_compact(F.array(start)), advance)
 
 
-def scored_times(
-    rows: DataFrame, keys: list[str], time: str, slice_name: str, ttl_us: int, slice_us: int
-) -> DataFrame:
-    """Per ``(key, slice)``: the scored times that rows of the slice may refer to."""
-    # collect_set drops equal times on the map side; a slice spans a fixed number of limits.
-    slices = rows.groupBy(*keys, slice_name).agg(F.collect_set(time).alias("_times"))
-    steps = _steps_udf(ttl_us)(F.col("_times"), F.col(slice_name) * F.lit(slice_us))
+def scored_rows(rows: DataFrame, keys: list[str], ttl_us: int, slice_us: int) -> DataFrame:
+    """Per key and slice, the scored rows ``(us, id)`` that rows of the slice may refer to.
+
+    ``rows`` holds the keys, ``_slice``, ``_us`` and ``_id``. Equal times of a key are merged to the smallest
+    id before anything is collected, and a slice spans a fixed number of limits.
+    """
+    times = rows.groupBy(*keys, "_slice", "_us").agg(F.min("_id").alias("_id"))
+    point = F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"))
+    slices = times.groupBy(*keys, "_slice").agg(F.sort_array(F.collect_list(point)).alias("_rows"))
+    steps = _steps_udf(ttl_us)(F.col("_rows.us"), F.col("_slice") * F.lit(slice_us))
+    piece = F.struct(
+        F.col("_slice").alias("slice"),
+        F.transform(
+            "_steps", lambda s: F.struct(s["upto"].alias("upto"), F.get("_rows", s["at"]).alias("leaves"))
+        ).alias("steps"),
+    )
     starts = (
-        slices.select(*keys, F.struct(F.col(slice_name).alias("slice"), steps.alias("steps")).alias("_piece"))
+        slices.withColumn("_steps", steps)
+        .select(*keys, piece.alias("_piece"))
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_piece"), lambda a, b: F.signum(a["slice"] - b["slice"]).cast("int")).alias("_p"))
-        .select(*keys, F.explode(_compose(F.col("_p"), ttl_us)).alias("_s"))
-        .select(*keys, F.col("_s.slice").alias(slice_name), F.col("_s.start").alias("_start"))
-    )
-    return slices.join(starts, [*keys, slice_name]).select(
-        *keys, slice_name, _replay(F.col("_times"), F.col("_start"), ttl_us).alias("_puts")
+        .agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
+        .select(*keys, F.explode(_compose(F.col("_pieces"), ttl_us)).alias("_s"))
+        .select(*keys, F.col("_s.slice").alias("_slice"), F.col("_s.start").alias("_start"))
     )
+    scored = _replay(F.col("_rows"), F.col("_start"), ttl_us)
+    return slices.join(starts, [*keys, "_slice"]).select(*keys, "_slice", scored.alias("_puts"))
 
 
 def mark_reuse(
@@ -129,18 +134,11 @@ def mark_reuse(
     slice_us = ttl_us * slice_limits
     rows = requests.withColumn("_us", micros(F.col(ts)))
     rows = rows.withColumn("_slice", F.floor(F.col("_us") / F.lit(slice_us)).cast("bigint"))
-    puts = scored_times(rows.select(*keys, "_us", "_slice"), keys, "_us", "_slice", ttl_us, slice_us)
-    # The scored time of a row: the last one at or before it.
-    owner = F.array_max(F.filter("_puts", lambda p: p <= F.col("_us")))
-    owned = rows.join(puts, [*keys, "_slice"]).withColumn("_owner", owner).drop("_puts", "_slice")
-    scored = (
-        owned.where(F.col("_us") == F.col("_owner")).groupBy(*keys, "_owner").agg(F.min(event_id).alias("source_id"))
-    )
-    return (
-        owned.join(scored, [*keys, "_owner"])
-        .withColumn("reused", F.col(event_id) != F.col("source_id"))
-        .drop("_us", "_owner")
-    )
+    puts = scored_rows(rows.select(*keys, "_slice", "_us", F.col(event_id).alias("_id")), keys, ttl_us, slice_us)
+    # A row refers to the last scored row at or before it.
+    owner = F.element_at(F.filter("_puts", lambda p: p["us"] <= F.col("_us")), -1)["id"]
+    marked = rows.join(puts, [*keys, "_slice"], "left").withColumn("source_id", owner)
+    return marked.withColumn("reused", F.col(event_id) != F.col("source_id")).drop("_us", "_slice", "_puts")
 
 
 def reuse_stats(marked: DataFrame, keys: list[str], ttl_seconds: int = dims.REUSE_TTL_SECONDS) -> DataFrame:

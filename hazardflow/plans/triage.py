@@ -10,10 +10,9 @@ from hazardflow.operators.enrich import feature_vector, geo_risk, quality_checke
 from hazardflow.operators.models import score_severity
 
 
-def enriched(events: DataFrame, local_ts: str = "ts", extra: str | None = None) -> DataFrame:
-    """Geographic risk, model features and processed quality inputs."""
-    located = geo_risk(events)
-    featured = feature_vector(located, local_ts=local_ts)
+def enriched(events: DataFrame, local_ts: str = "ts", extra: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Valid events with geographic risk, model features and processed inputs; and rejected ones with reasons."""
+    featured = feature_vector(geo_risk(events), local_ts=local_ts)
     return quality_checked(featured, raw_inputs(extra=extra))
 
 
@@ -37,10 +36,8 @@ def responses(scored: DataFrame, p3h: Column | None = None) -> DataFrame:
 
 def triage(events: DataFrame, model: PipelineModel | None, extra: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Responses of valid events, and the quarantined events with reasons."""
-    prepared = enriched(events, extra=extra)
-    bad = F.size("quality_errors") > 0
-    scored = score_severity(prepared.where(~bad), model)
-    return responses(scored), prepared.where(bad)
+    good, bad = enriched(events, extra=extra)
+    return responses(score_severity(good, model)), bad
 
 
 def routing_load(rows: DataFrame, severity: str = "severity", ts: str = "ts") -> DataFrame:

@@ -62,8 +62,7 @@ def triage_rows(requests: DataFrame, model: PipelineModel | None, p3h: Column |
     located = geo_risk(requests.withColumn("_prior", prior))
     featured = feature_vector(located, local_ts="_local_ts", prior="_prior")
     # Inputs are checked before routing; the engineered features are what the model sees.
-    checked = quality_checked(featured, raw_inputs(extra="additional_features"))
-    valid = checked.where(F.size("quality_errors") == 0)
+    valid, _ = quality_checked(featured, raw_inputs(extra="additional_features"))
     return responses(score_severity(valid, model), p3h)
 
 
