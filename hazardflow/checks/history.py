@@ -20,7 +20,7 @@ from hazardflow.operators import drift, history, reuse, sequences
 )
 def prior_event_count(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).select("seq", "event_type", "ts")
-    return history.prior_event_count(rows, ["event_type"], event_id="seq").select("seq", "prior_count")
+    return history.prior_event_count(rows, ["event_type"]).select("seq", "prior_count")
 
 
 _CELL = "CAST(floor(latitude) AS BIGINT) AS cy, CAST(floor(longitude) AS BIGINT) AS cx"
@@ -43,7 +43,7 @@ def prior_event_count_by_cell(spark: SparkSession, sf: str) -> DataFrame:
         F.floor("latitude").cast("bigint").alias("cy"),
         F.floor("longitude").cast("bigint").alias("cx"),
     )
-    return history.prior_event_count(rows, ["event_type", "cy", "cx"], event_id="seq").select("seq", "prior_count")
+    return history.prior_event_count(rows, ["event_type", "cy", "cx"]).select("seq", "prior_count")
 
 
 @query(

@@ -643,7 +643,7 @@ def routing_load(spark: SparkSession, sf: str) -> DataFrame:
     """
     located = enrich.feature_vector(enrich.geo_risk(hazard_events(spark, sf)), prefix="f_")
     values = {**enrich.raw_inputs(), "magnitude_or_wind_speed": F.col("magnitude")}
-    valid, _ = enrich.quality_checked(located, values)
+    valid, _ = enrich.quality_checked(located, values, enrich.given_inputs())
     load = triage.routing_load(valid, "observed_severity")
     return load.select(
         F.date_format("day", "yyyy-MM-dd").alias("day"),

@@ -8,10 +8,9 @@ from hazardflow import dims
 
 
 def _lookup(value: Column, table: dict[str, Column]) -> Column:
-    column = None
-    for key, result in table.items():
-        column = F.when(value == key, result) if column is None else column.when(value == key, result)
-    return column
+    """A literal map, so that ``value`` is evaluated once however long its expression is."""
+    entries = [part for key, result in table.items() for part in (F.lit(key), result)]
+    return F.try_element_at(F.create_map(*entries), value)
 
 
 def cap_severity(word: Column) -> Column:

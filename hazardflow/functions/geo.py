@@ -31,10 +31,8 @@ def pseudo_density(lat: Column, lon: Column) -> Column:
 
 def vulnerability(region: Column) -> Column:
     """Vulnerability of a region class, with a neutral default."""
-    column = None
-    for name, score in dims.VULNERABILITY.items():
-        column = F.when(region == name, _num(score)) if column is None else column.when(region == name, _num(score))
-    return column.otherwise(_num(dims.DEFAULT_VULNERABILITY))
+    entries = [part for name, score in dims.VULNERABILITY.items() for part in (F.lit(name), _num(score))]
+    return F.coalesce(F.try_element_at(F.create_map(*entries), region), _num(dims.DEFAULT_VULNERABILITY))
 
 
 def coastal_proximity(lon: Column) -> Column:

@@ -52,14 +52,17 @@ def errors(values: dict[str, Column], strict: bool = False) -> Column:
 
 
 def is_valid(values: dict[str, Column], strict: bool = False) -> Column:
-    """Whether a row has no errors, as a plain condition that can filter at the scan."""
+    """Whether a row has no errors, as a plain condition that can filter at the scan.
+
+    NaN sorts above infinity, so one comparison covers "is a number and not NaN".
+    """
     conditions = []
     for name, _, _, required, _ in dims.INPUT_LIMITS:
+        must_exist = strict and required
         if name in values:
-            number = _number(values, name)
-            good = number.isNotNull() & ~F.isnan(number)
-            conditions.append(good if strict and required else values[name].isNull() | good)
-        elif strict and required:
+            absent_ok = F.lit(False) if must_exist else values[name].isNull()
+            conditions.append(F.coalesce(_number(values, name) <= F.lit(float("inf")), absent_ok))
+        elif must_exist:
             conditions.append(F.lit(False))
     return reduce(Column.__and__, conditions, F.lit(True))
 

@@ -108,18 +108,39 @@ def raw_inputs(
     return base if extra is None else quality.overridden(base, F.col(extra))
 
 
+def given_inputs(
+    magnitude: str = "magnitude", lat: str = "latitude", lon: str = "longitude", extra: str | None = None
+) -> dict[str, Column]:
+    """What the checks of an event need to look at: its own values.
+
+    Density and vulnerability follow from the coordinates, so a bad coordinate stands for both, and a filter on
+    them need not repeat the geographic formulas.
+    """
+    point = F.col(lat) + F.col(lon)
+    given = {"magnitude_or_wind_speed": F.col(magnitude), "population_density_at_center": point}
+    if extra is None:
+        return given
+    own = quality.from_map(F.col(extra))
+    return own | {
+        "magnitude_or_wind_speed": F.coalesce(own["magnitude_or_wind_speed"], F.col(magnitude)),
+        "population_density_at_center": F.coalesce(own["population_density_at_center"], point),
+    }
+
+
 def quality_checked(
     events: DataFrame,
     values: dict[str, Column],
+    given: dict[str, Column] | None = None,
     strict: bool = False,
     scaling: quality.Scaling = quality.Scaling.MIN_MAX,
     prefix: str = "in_",
 ) -> tuple[DataFrame, DataFrame]:
     """Valid rows with ``quality_warnings`` and the ten processed inputs, and rejected rows with ``quality_errors``.
 
-    Reasons are only spelled out for rejected rows; valid rows pass a plain condition.
+    Validity is decided on ``given`` (default: the values themselves). Reasons are only spelled out for
+    rejected rows; valid rows pass a plain condition.
     """
-    valid = quality.is_valid(values, strict)
+    valid = quality.is_valid(values if given is None else given, strict)
     processed = quality.preprocess(values, scaling)
     good = events.where(valid).withColumns(
         {

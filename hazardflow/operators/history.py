@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hazardflow.functions.times import MICROS, chunk, micros
+from hazardflow.functions.times import MICROS
 from hazardflow.operators.chunks import (
     CHUNK,
     HOUR,
@@ -21,45 +21,50 @@ def prior_event_count(
     events: DataFrame,
     keys: list[str],
     ts: str = "ts",
-    event_id: str = "event_id",
     hours: int = 24,
     chunk_seconds: int = HOUR,
     output: str = "prior_count",
 ) -> DataFrame:
-    """Events of the same key in ``[t - hours, t)`` for each event.
+    """Events of the same key in ``[t - hours, t)`` for each event. The slice width must divide the span.
 
-    The count is a difference of two running counts: events before ``t`` minus events before ``t - hours``.
-    Each event adds one probe row at ``t - hours``, so both running counts come out of one window over
-    ``(key, slice)``, and the frame is always "everything before" rather than a sliding one that would be
-    rescanned per row. ``event_id`` must be unique.
+    The span covers the head of the event's own slice, whole slices, and the tail of the slice ``hours`` ago.
+    Each row is sent to its own slice and, shifted by the span and without its other columns, to the slice
+    where it leaves the span. There both running counts come out of one window whose frame is always
+    "everything before": a sliding frame would be rescanned for every row. Whole slices are counted on the
+    grouped table. Rows move once.
     """
-    now = micros(F.col(ts))
-    then = now - F.lit(hours * 3600 * MICROS)
-    both = F.array(
-        F.struct(now.alias("us"), F.lit(1).alias("data")), F.struct(then.alias("us"), F.lit(0).alias("data"))
+    span_us = hours * 3600 * MICROS
+    if span_us % (chunk_seconds * MICROS):
+        raise ValueError("the slice width must divide the span")
+    slices_back = span_us // (chunk_seconds * MICROS)
+
+    timed = with_chunks(events, ts, chunk_seconds)
+    whole = timed.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    span = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(CHUNK).rangeBetween(-slices_back, -1)
+    between = whole.select(*keys, CHUNK, F.coalesce(F.sum("_n").over(span), F.lit(0)).alias("_between"))
+
+    entering = F.struct(F.col(TIME).alias("us"), F.col(CHUNK).alias("slice"), F.lit(0).alias("left"))
+    leaving = F.struct(
+        (F.col(TIME) + F.lit(span_us)).alias("us"), (F.col(CHUNK) + F.lit(slices_back)).alias("slice"), F.lit(1).alias("left")
     )
-    points = events.select(*keys, F.col(event_id).alias("_id"), F.explode(both).alias("_p")).select(
+    own = [c for c in events.columns if c not in keys]
+    moved = timed.select(*keys, *own, F.explode(F.array(entering, leaving)).alias("_p")).select(
         *keys,
-        "_id",
+        *[F.when(F.col("_p.left") == 0, F.col(c)).alias(c) for c in own],
         F.col("_p.us").alias(TIME),
-        F.col("_p.data").alias("_data"),
-        chunk(F.col("_p.us"), chunk_seconds).alias(CHUNK),
+        F.col("_p.slice").alias(CHUNK),
+        F.col("_p.left").alias("_left"),
     )
-
-    slices = points.groupBy(*keys, CHUNK).agg(F.sum("_data").alias("_n"))
-    offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier_chunks(keys)), F.lit(0))).drop("_n")
-
-    strictly_before = in_chunk(keys, F.col(TIME)).rangeBetween(Window.unboundedPreceding, -1)
-    running = points.withColumn("_within", F.coalesce(F.sum("_data").over(strictly_before), F.lit(0)))
-    total = F.col("_before") + F.col("_within")
-    signed = F.when(F.col("_data") == 1, total).otherwise(-total)
-    counts = (
-        attach(running, offsets, keys)
-        .select(F.col("_id"), signed.alias("_signed"))
-        .groupBy("_id")
-        .agg(F.sum("_signed").cast("bigint").alias(output))
-    )
-    return events.join(counts, events[event_id] == counts["_id"], "left").drop("_id")
+    before = in_chunk(keys, F.col(TIME)).rangeBetween(Window.unboundedPreceding, -1)
+    counted = moved.withColumns(
+        {
+            "_entered": F.coalesce(F.sum(F.lit(1) - F.col("_left")).over(before), F.lit(0)),
+            "_gone": F.coalesce(F.sum("_left").over(before), F.lit(0)),
+        }
+    ).where(F.col("_left") == 0)
+    count = F.col("_between") + F.col("_entered") - F.col("_gone")
+    joined = attach(counted, between, keys).withColumn(output, count.cast("bigint"))
+    return joined.select(*events.columns, output)
 
 
 def hours_since_last(

@@ -17,9 +17,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from hazardflow import dims
 from hazardflow.functions.times import MICROS, micros
@@ -27,33 +27,59 @@ from hazardflow.functions.times import MICROS, micros
 STEP_TYPE = "array<struct<upto:bigint,at:int>>"
 
 
-def slice_steps(times: np.ndarray, ttl: int, entry_end: int) -> list[dict[str, int]]:
-    """The step function of one slice over its sorted times.
+def slice_steps(
+    times: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ttl: int, slice_us: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Step functions of many slices at once, over their sorted distinct times laid end to end.
 
-    For a limit that expires at ``x``, the chain enters at the first time after ``x`` and leaves at the last
-    scored row reached from there. Entries with one outcome are merged: ``upto`` is the last entry time of a
-    step, ``at`` the position it leaves from. An ``x`` at or after every time skips the slice.
+    For a limit that expires at ``x``, the chain enters a slice at the first time after ``x`` and leaves at the
+    last scored row reached from there. Entries with one outcome are merged: ``upto`` is the last entry time of
+    a step, ``at`` the position in the slice it leaves from. An ``x`` at or after every time skips the slice.
+    Returns ``upto``, ``at`` and the offsets of each slice's steps.
     """
-    size = len(times)
-    reach = np.append(np.searchsorted(times, times + ttl, side="right"), size)
-    last = np.arange(size + 1)
-    while (reach[:size] < size).any():
-        alive = reach < size
+    sizes = np.diff(offsets)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    into = times - starts[owner]
+    # Slices apart by more than any reach, so that one search serves them all.
+    line = into + owner * np.int64(slice_us + 2 * ttl)
+    reach = np.searchsorted(line, line + ttl, side="right")
+    end = offsets[1:][owner]
+    last = np.arange(len(times))
+    alive = np.nonzero(reach < end)[0]
+    while len(alive):
         last[alive] = last[reach[alive]]
         reach[alive] = reach[reach[alive]]
-    entries = min(int(np.searchsorted(times, entry_end, side="right")) + 1, size)
-    leaves = last[:entries]
-    ends = np.append(np.nonzero(np.diff(times[leaves]))[0], entries - 1)
-    return [{"upto": int(times[i]), "at": int(leaves[i])} for i in ends]
-
-
-def _steps_udf(ttl: int):
-    @pandas_udf(STEP_TYPE)
-    def steps(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for times, starts in batches:
-            yield pd.Series(
-                [slice_steps(np.asarray(t), ttl, int(s) + ttl) for t, s in zip(times, starts, strict=True)]
-            )
+        alive = alive[reach[alive] < end[alive]]
+    # An earlier row can only hand over a time up to one limit into the slice, so those times and the next enter.
+    previous = np.concatenate(([-1], into[:-1]))
+    first = np.zeros(len(times), dtype=bool)
+    first[offsets[:-1][sizes > 0]] = True
+    entry = first | (previous <= ttl)
+    next_entry = np.append(entry[1:] & ~first[1:], False)
+    same = np.append(last[1:] == last[:-1], False)
+    ends = np.nonzero(entry & ~(next_entry & same))[0]
+    counts = np.bincount(owner[ends], minlength=len(sizes))
+    return times[ends], last[ends] - offsets[:-1][owner[ends]], np.concatenate(([0], np.cumsum(counts)))
+
+
+def _steps_udf(ttl: int, slice_us: int):
+    limit = max(1, (2**62) // (slice_us + 2 * ttl))  # slices whose line fits 64 bits
+
+    @arrow_udf(STEP_TYPE)
+    def steps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, starts in batches:
+            parts = []
+            for low in range(0, len(lists), limit):
+                part = lists.slice(low, limit)
+                sizes = np.asarray(part.value_lengths().fill_null(0), dtype=np.int64)
+                times = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                offsets = np.concatenate(([0], np.cumsum(sizes)))
+                begin = starts.slice(low, limit).to_numpy(zero_copy_only=False).astype(np.int64)
+                upto, at, bounds = slice_steps(times, offsets, begin, ttl, slice_us)
+                fields = [pa.array(upto, pa.int64()), pa.array(at.astype(np.int32), pa.int32())]
+                rows = pa.StructArray.from_arrays(fields, names=["upto", "at"])
+                parts.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows))
+            yield pa.concat_arrays(parts)
 
     return steps
 
@@ -98,7 +124,7 @@ def scored_rows(rows: DataFrame, keys: list[str], ttl_us: int, slice_us: int) ->
     times = rows.groupBy(*keys, "_slice", "_us").agg(F.min("_id").alias("_id"))
     point = F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"))
     slices = times.groupBy(*keys, "_slice").agg(F.sort_array(F.collect_list(point)).alias("_rows"))
-    steps = _steps_udf(ttl_us)(F.col("_rows.us"), F.col("_slice") * F.lit(slice_us))
+    steps = _steps_udf(ttl_us, slice_us)(F.col("_rows.us"), F.col("_slice") * F.lit(slice_us))
     piece = F.struct(
         F.col("_slice").alias("slice"),
         F.transform(

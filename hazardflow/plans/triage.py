@@ -6,14 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardflow.functions.decisions import channels, escalation_likely
-from hazardflow.operators.enrich import feature_vector, geo_risk, quality_checked, raw_inputs
+from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
 from hazardflow.operators.models import score_severity
 
 
 def enriched(events: DataFrame, local_ts: str = "ts", extra: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Valid events with geographic risk, model features and processed inputs; and rejected ones with reasons."""
     featured = feature_vector(geo_risk(events), local_ts=local_ts)
-    return quality_checked(featured, raw_inputs(extra=extra))
+    return quality_checked(featured, raw_inputs(extra=extra), given_inputs(extra=extra))
 
 
 def responses(scored: DataFrame, p3h: Column | None = None) -> DataFrame:

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# HotSpot never compiles methods above 8000 bytes of bytecode, so a larger fused stage would run interpreted.
+# Past this limit Spark evaluates the stage operator by operator, with its code split into small methods.
+METHOD_LIMIT = "8000"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -18,6 +21,7 @@ def build(app: str = "hazardflow", master: str | None = None, **conf: str) -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     if master:
@@ -28,8 +32,9 @@ def build(app: str = "hazardflow", master: str | None = None, **conf: str) -> Sp
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings that change results; all other settings stay the cluster's."""
+    """Set what results and compiled expressions depend on; all other settings stay the cluster's."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_LIMIT)
     return spark
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
 
 from hazardflow import dims
-from hazardflow.operators.enrich import feature_vector, geo_risk, quality_checked, raw_inputs
+from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
 from hazardflow.operators.models import score_severity
 from hazardflow.plans.triage import responses
 from hazardflow.sources.feeds import normalize, read_cap_feed, read_seismic, read_warnings
@@ -62,7 +62,8 @@ def triage_rows(requests: DataFrame, model: PipelineModel | None, p3h: Column |
     located = geo_risk(requests.withColumn("_prior", prior))
     featured = feature_vector(located, local_ts="_local_ts", prior="_prior")
     # Inputs are checked before routing; the engineered features are what the model sees.
-    valid, _ = quality_checked(featured, raw_inputs(extra="additional_features"))
+    extra = "additional_features"
+    valid, _ = quality_checked(featured, raw_inputs(extra=extra), given_inputs(extra=extra))
     return responses(score_severity(valid, model), p3h)
 
 
