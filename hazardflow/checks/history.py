@@ -8,6 +8,7 @@ from hazardflow import dims
 from hazardflow.checks.fixtures import hazard_events, with_views
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
 from hazardflow.operators import drift, history, reuse, sequences
+from hazardflow.operators.chunks import suggest_seconds
 
 
 @query(
@@ -20,7 +21,8 @@ from hazardflow.operators import drift, history, reuse, sequences
 )
 def prior_event_count(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).select("seq", "event_type", "ts")
-    return history.prior_event_count(rows, ["event_type"]).select("seq", "prior_count")
+    width = suggest_seconds(rows, "ts")
+    return history.prior_event_count(rows, ["event_type"], chunk_seconds=width).select("seq", "prior_count")
 
 
 _CELL = "CAST(floor(latitude) AS BIGINT) AS cy, CAST(floor(longitude) AS BIGINT) AS cx"
@@ -43,7 +45,8 @@ def prior_event_count_by_cell(spark: SparkSession, sf: str) -> DataFrame:
         F.floor("latitude").cast("bigint").alias("cy"),
         F.floor("longitude").cast("bigint").alias("cx"),
     )
-    return history.prior_event_count(rows, ["event_type", "cy", "cx"]).select("seq", "prior_count")
+    found = history.prior_event_count(rows, ["event_type", "cy", "cx"], chunk_seconds=suggest_seconds(rows, "ts"))
+    return found.select("seq", "prior_count")
 
 
 @query(
@@ -56,7 +59,9 @@ def prior_event_count_by_cell(spark: SparkSession, sf: str) -> DataFrame:
 )
 def hours_since_last(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).select("seq", "event_type", "ts")
-    found = history.hours_since_last(rows, ["event_type"], event_id="seq")
+    found = history.hours_since_last(
+        rows, ["event_type"], event_id="seq", chunk_seconds=suggest_seconds(rows, "ts")
+    )
     return found.select("seq", r6("hours_since_last").alias("hours_since_last"))
 
 
@@ -71,7 +76,9 @@ def hours_since_last(spark: SparkSession, sf: str) -> DataFrame:
 )
 def historical_severity_avg(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).select("seq", "event_type", "ts", "severity_rank")
-    found = history.historical_average(rows, ["event_type"], "severity_rank", event_id="seq")
+    found = history.historical_average(
+        rows, ["event_type"], "severity_rank", event_id="seq", chunk_seconds=suggest_seconds(rows, "ts")
+    )
     return found.select("seq", r6("historical_severity_avg").alias("historical_severity_avg"))
 
 
@@ -92,8 +99,9 @@ _LABELS = ", ".join(
 )
 def escalation_labels(spark: SparkSession, sf: str) -> DataFrame:
     rows = hazard_events(spark, sf).withColumn("region", F.col("sensor_id") % 8)
+    rows = rows.select("seq", "event_type", "region", "ts", "severity_rank")
     found = history.escalation_labels(
-        rows.select("seq", "event_type", "region", "ts", "severity_rank"), ["event_type", "region"], "severity_rank"
+        rows, ["event_type", "region"], "severity_rank", chunk_seconds=suggest_seconds(rows, "ts")
     )
     return found.select("seq", *[f"escalated_{h}h" for h in (1, 3, 6)])
 
@@ -150,7 +158,8 @@ def _alerts(found: DataFrame, keys: list[str]) -> DataFrame:
 def _uniform_drift(spark: SparkSession, sf: str, window: int, keys: list[str]) -> DataFrame:
     rows = hazard_events(spark, sf).select("seq", "ts", "source", "predicted_severity")
     uniform = dict.fromkeys(dims.SEVERITIES, 0.25)
-    return drift.prediction_drift(rows, uniform, keys, event_id="seq", window=window)
+    width = suggest_seconds(rows, "ts")
+    return drift.prediction_drift(rows, uniform, keys, event_id="seq", window=window, chunk_seconds=width)
 
 
 @query("prediction_drift", _drift_sql([], 1000, _UNIFORM))
@@ -168,7 +177,10 @@ def prediction_drift_by_source(spark: SparkSession, sf: str) -> DataFrame:
 def prediction_drift_observed(spark: SparkSession, sf: str) -> DataFrame:
     """Short windows against the whole table's own shares."""
     rows = hazard_events(spark, sf).select("seq", "ts", "source", "predicted_severity")
-    found = drift.prediction_drift(rows, _baseline(rows), ["source"], event_id="seq", window=20)
+    width = suggest_seconds(rows, "ts")
+    found = drift.prediction_drift(
+        rows, _baseline(rows), ["source"], event_id="seq", window=20, chunk_seconds=width
+    )
     return _alerts(found, ["source"])
 
 

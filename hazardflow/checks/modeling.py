@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardflow import dims
+from hazardflow import dims, session
 from hazardflow.checks.fixtures import hazard_events, with_views
 from hazardflow.checks.history import hazard_bins
 from hazardflow.checks.registry import query, r6, sql_round
 from hazardflow.operators import enrich, evaluation, models, sequences
+from hazardflow.sources.tables import read_sequences
 
 # A short fit; the library's defaults are the full training settings.
 TREES, DEPTH = 5, 3
@@ -66,6 +67,17 @@ def _escalation(spark: SparkSession, sf: str):
     return models.train_escalation(train, held, strengths=(0.01,), iterations=5), held
 
 
+@query("sequence_table")
+def sequence_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Labeled sequences written as a training table and read back."""
+    bins = sequences.step_labels(hazard_bins(spark, sf), "event_type")
+    rows = sequences.assemble(bins, "event_type")
+    path = session.shared_dir(spark, "sequences")
+    rows.select(F.col("sequence").cast("array<array<float>>").alias("seq"), F.col("y3h").cast("float").alias("y")).write.parquet(path)
+    table = read_sequences(spark, path)
+    return table.groupBy("valid", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("escalation_training")
 def escalation_training(spark: SparkSession, sf: str) -> DataFrame:
     """Validation AUC and precision per horizon after training on the earlier hours."""

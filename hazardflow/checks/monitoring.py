@@ -8,7 +8,7 @@ from hazardflow import dims
 from hazardflow.checks.fixtures import alert_polygons, hazard_events, view, with_views
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
 from hazardflow.operators import evaluation, feeds, metrics, ranks, registry, spatial
-from hazardflow.sources.feeds import seismic_events
+from hazardflow.sources.feeds import cap_alerts, normalize, seismic_events
 
 AS_OF = "2024-01-30 12:00:00"
 
@@ -399,10 +399,25 @@ def feed_item_counts(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def seismic_filter(spark: SparkSession, sf: str) -> DataFrame:
+    found = seismic_events(seismic_features(spark, sf))
+    return found.select(
+        "event_id",
+        "magnitude",
+        "magnitude_type",
+        "latitude",
+        "longitude",
+        "depth_km",
+        "tsunami_flag",
+        "felt_count",
+        stamp("occurred_at").alias("occurred_at"),
+    )
+
+
+def seismic_features(spark: SparkSession, sf: str) -> DataFrame:
     """Seismic features built from the earthquake events, null magnitudes included."""
     rows = hazard_events(spark, sf).where("event_type = 'earthquake'")
     null = F.lit(None)
-    features = rows.select(
+    return rows.select(
         F.col("event_id").alias("id"),
         F.struct(
             F.col("magnitude").alias("mag"),
@@ -418,17 +433,45 @@ def seismic_filter(spark: SparkSession, sf: str) -> DataFrame:
         ).alias("properties"),
         F.struct(F.array("longitude", "latitude", F.lit(10.0)).alias("coordinates")).alias("geometry"),
     )
-    found = seismic_events(features)
-    return found.select(
+
+
+@query(
+    "feed_normalization",
+    with_views(
+        f"""SELECT event_id, 'usgs' AS source, 'earthquake' AS event_type, {sql_round('magnitude')} AS magnitude,
+          {sql_round('latitude')} AS lat, {sql_round('longitude')} AS lon,
+          strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts, NULL AS cap_severity
+        FROM hazard_events WHERE event_type = 'earthquake' AND magnitude >= 2.5
+        UNION ALL SELECT concat('alert-', CAST(alert_id AS VARCHAR)), 'noaa', 'Flood Warning', NULL,
+          {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lat0 + dlat) / 3 ELSE (4 * lat0 + 2 * dlat) / 4 END')},
+          {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lon0 + 2 * dlon) / 3 ELSE (4 * lon0 + 2 * dlon) / 4 END')},
+          '2024-01-02 03:04:05', 'Severe' FROM alert_polygons""",
+        "hazard_events",
+        "alert_polygons",
+    ),
+)
+def feed_normalization(spark: SparkSession, sf: str) -> DataFrame:
+    """Seismic events and alerts, whose polygon text repeats the first corner, as one event table."""
+    ring = F.concat("polygon", F.slice("polygon", 1, 1))
+    pairs = F.transform(ring, lambda p: F.concat_ws(",", p["lat"].cast("string"), p["lon"].cast("string")))
+    entries = alert_polygons(spark, sf).select(
+        F.concat(F.lit("alert-"), F.col("alert_id").cast("string")).alias("id"),
+        F.lit("Flood Warning").alias("event"),
+        F.lit("Severe").alias("severity"),
+        *[F.lit(None).cast("string").alias(n) for n in ("urgency", "certainty", "areaDesc", "headline", "description")],
+        F.array_join(pairs, " ").alias("polygon"),
+        F.lit("2024-01-02T03:04:05Z").alias("sent"),
+        F.lit("2024-01-03T03:04:05Z").alias("expires"),
+    )
+    alerts = cap_alerts(entries).where("entry_ok")
+    events = normalize(alerts, seismic_events(seismic_features(spark, sf)))
+    return events.select(
         "event_id",
-        "magnitude",
-        "magnitude_type",
-        "latitude",
-        "longitude",
-        "depth_km",
-        "tsunami_flag",
-        "felt_count",
-        stamp("occurred_at").alias("occurred_at"),
+        "source",
+        "event_type",
+        *[r6(c).alias(c) for c in ("magnitude", "lat", "lon")],
+        stamp("ts").alias("ts"),
+        "cap_severity",
     )
 
 

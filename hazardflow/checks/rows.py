@@ -467,6 +467,41 @@ def feature_key_groups(spark: SparkSession, sf: str) -> DataFrame:
     return keyed.groupBy("group_size").agg(F.count(F.lit(1)).alias("groups"))
 
 
+@query(
+    "input_key_groups",
+    with_views(
+        f"""{_NUMERIC}, g AS (SELECT COUNT(*) AS n FROM numeric_inputs WHERE {_sql_errors(False)} = ''
+        GROUP BY {', '.join(_SQL_PROCESSED.values())}) SELECT n AS group_size, COUNT(*) AS groups FROM g GROUP BY n""",
+        "raw_inputs",
+    ),
+)
+def input_key_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The key over the ten processed inputs."""
+    rows, values = _inputs(spark, sf)
+    valid, _ = enrich.quality_checked(rows, values)
+    key = decisions.feature_key([f"in_{n}" for n in dims.INPUT_NAMES])
+    keyed = valid.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("group_size"))
+    return keyed.groupBy("group_size").agg(F.count(F.lit(1)).alias("groups"))
+
+
+@query(
+    "severity_lookup",
+    with_views(
+        f"""SELECT event_id, predicted_severity AS severity, severity_rank AS observed_rank,
+        CASE predicted_severity WHEN 'EXTREME' THEN 4 WHEN 'SEVERE' THEN 3 WHEN 'MODERATE' THEN 2 ELSE 1 END
+          AS severity_rank, {CHANNEL_SQL.format(s='predicted_severity')} AS channels FROM hazard_events""",
+        "hazard_events",
+    ),
+)
+def severity_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The lookup as a join with the four-row severity table."""
+    rows = hazard_events(spark, sf).select(
+        "event_id", F.col("predicted_severity").alias("severity"), F.col("severity_rank").alias("observed_rank")
+    )
+    joined = rows.join(F.broadcast(dims.severity_dim(spark)), "severity", "left")
+    return joined.withColumn("channels", F.array_join("channels", ","))
+
+
 # --- decisions -----------------------------------------------------------------------------------------
 
 

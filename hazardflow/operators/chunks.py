@@ -8,8 +8,6 @@ table with one row per slice. The grouped table grows with time, not with rows.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from hazardflow.functions.times import MICROS, chunk, micros
@@ -17,6 +15,7 @@ from hazardflow.functions.times import MICROS, chunk, micros
 CHUNK = "_chunk"
 TIME = "_us"
 HOUR = 3600
+WIDTHS = [1, 5, 10, 60, 300, 900, HOUR]  # all divide an hour
 
 
 def with_chunks(df: DataFrame, ts: str, seconds: int = HOUR) -> DataFrame:
@@ -24,18 +23,17 @@ def with_chunks(df: DataFrame, ts: str, seconds: int = HOUR) -> DataFrame:
     return df.withColumn(TIME, micros(F.col(ts))).withColumn(CHUNK, chunk(F.col(TIME), seconds))
 
 
-def suggest_seconds(df: DataFrame, ts: str, rows_per_chunk: int = 5_000_000) -> int:
-    """A slice width that puts about ``rows_per_chunk`` rows in a slice if one key held every row.
+def suggest_seconds(df: DataFrame, ts: str, rows_per_chunk: int = 4_000_000) -> int:
+    """The widest slice that holds about ``rows_per_chunk`` rows at most if one key held every row.
 
-    One aggregate pass; call it once per table and pass the result to the operators.
+    One aggregate over the time column; call it once per table and pass the result to the operators.
     """
     row = df.agg(
         F.count(F.lit(1)).alias("n"), F.min(micros(F.col(ts))).alias("lo"), F.max(micros(F.col(ts))).alias("hi")
     ).first()
-    if not row["n"]:
-        return HOUR
-    span = max((row["hi"] - row["lo"]) / MICROS, 1.0)
-    return max(1, min(HOUR * 24, math.floor(span * rows_per_chunk / row["n"])))
+    span = max(((row["hi"] or 0) - (row["lo"] or 0)) / MICROS, 1.0)
+    fitting = [w for w in WIDTHS if row["n"] * w / span <= rows_per_chunk]
+    return max(fitting, default=WIDTHS[0])
 
 
 def in_chunk(keys: list[str], *order: Column) -> WindowSpec:

@@ -98,7 +98,7 @@ def threshold_metrics(
 
 
 def auc(
-    rows: DataFrame, score: str, label: str, keys: list[str] | None = None, width: float = 1.0 / 4096
+    rows: DataFrame, score: str, label: str, keys: list[str] | None = None, width: float = 1.0 / 65536
 ) -> DataFrame:
     """Area under the ROC curve: the share of (positive, negative) pairs in order, ties counting half.
 

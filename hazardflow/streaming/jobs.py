@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamReader, DataStreamWriter
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from hazardflow import dims
 from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
@@ -130,6 +130,11 @@ def upsert_status(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame])
     return write
 
 
+def poll(writer: DataStreamWriter) -> StreamingQuery:
+    """Start a stream that looks for new files at the polling interval until it is stopped."""
+    return writer.trigger(processingTime=POLL).start()
+
+
 def run_available(writer: DataStreamWriter, seconds: int = 600) -> list[dict]:
     """Run a stream over everything that is there, stop, and return its progress reports."""
     query = writer.trigger(availableNow=True).start()

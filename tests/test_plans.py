@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 QUERIES = entry.queries()
 PYTHON_OK = {"prediction_reuse", "reuse_stats", "shared_predictions", "user_model"}
-EAGER = {n for n in QUERIES if n.startswith(("stream_", "severity_", "escalation_tr", "escalation_sc"))} | {"feature_importances"}
+EAGER = {n for n in QUERIES if n.startswith(("stream_", "severity_", "escalation_tr", "escalation_sc"))} | {"feature_importances", "sequence_table"}
 
 
 def plan_of(frame) -> str:
