@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from hazardflow import dims
-from hazardflow.functions.text import digest_mod, strip
+from hazardflow.functions.text import bind, digest_mod, strip
 
 
 def _num(value: float) -> Column:
@@ -15,13 +15,16 @@ def _num(value: float) -> Column:
 def event_type_code(event_type: Column) -> Column:
     """Position of the first hazard word found in the text, else a digest bucket, over 15.
 
-    The words neither start nor end with white space, so only the digest needs the stripped text.
+    The lower-case text is bound once for all 15 searches. The words neither start nor end with white space,
+    so only the digest needs the stripped text.
     """
-    text = F.lower(event_type)
-    known = [F.when(text.contains(word), F.lit(code)) for code, word in enumerate(dims.EVENT_TYPES)]
-    size = len(dims.EVENT_TYPES)
-    code = F.coalesce(*known, digest_mod(F.md5(strip(text)), 32, size))
-    return code.cast("double") / _num(size)
+
+    def code(text: Column) -> Column:
+        known = [F.when(text.contains(word), F.lit(i)) for i, word in enumerate(dims.EVENT_TYPES)]
+        digest = bind(F.md5(strip(text)), lambda h: digest_mod(h, 32, len(dims.EVENT_TYPES)))
+        return F.coalesce(*known, digest)
+
+    return bind(F.lower(event_type), code).cast("double") / _num(len(dims.EVENT_TYPES))
 
 
 def event_type_bucket(event_type: Column) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, functions as F
 
 from hazardflow import dims
+from hazardflow.functions.text import strip
 from hazardflow.functions.times import round_half_up
 
 RADIUS_KM = 25.0
@@ -93,7 +94,7 @@ def parse_polygon(text: Column) -> Column:
     Blank text gives null. A pair that is not two numbers gives an array with a null field; test the
     result with :func:`polygon_ok`.
     """
-    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    clean = strip(text)
     points = F.transform(
         F.split(clean, r"\s+"),
         lambda pair: F.struct(

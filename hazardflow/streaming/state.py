@@ -6,6 +6,7 @@ from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,14 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", session.STATE_STORE)
 
 
+def _ordered(rows: Iterator[pd.DataFrame], extra: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key's rows of one micro-batch in ``(time, id)`` order: ids, times and one more column."""
+    parts = [(part["id"].to_numpy(), part["us"].to_numpy(), part[extra].to_numpy()) for part in rows]
+    ids, times, values = parts[0] if len(parts) == 1 else map(np.concatenate, zip(*parts, strict=True))
+    order = np.lexsort((ids, times))
+    return ids[order], times[order], values[order]
+
+
 class ReuseWithinLimit(StatefulProcessor):
     """Per key, the last scored row's time and id; rows within the limit take that id.
 
@@ -34,40 +43,30 @@ class ReuseWithinLimit(StatefulProcessor):
         self._scored = handle.getValueState("scored", "put_us long, source_id long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
-        put, source = (None, None)
-        if self._scored.exists():
-            put, source = self._scored.get()
+        ids, times, clears = _ordered(rows, "invalidate")
+        put, source = self._scored.get() or (None, None)
         before = put
-        sources = []
-        for us, row_id, clear in zip(batch["us"], batch["id"], batch["invalidate"], strict=True):
+        sources = np.empty(len(ids), dtype=np.int64)
+        for i, (us, row_id, clear) in enumerate(zip(times.tolist(), ids.tolist(), clears.tolist(), strict=True)):
             if clear:
-                put, source = None, None
-                sources.append(-1)
-                continue
-            if put is None or us - put > self._ttl_us:
-                put, source = int(us), int(row_id)
-            sources.append(source)
-        if put is None:
+                put = source = None
+            elif put is None or us - put > self._ttl_us:
+                put, source = us, row_id
+            sources[i] = -1 if clear else source
+        if put is None and before is not None:
             self._scored.clear()
-        else:
+        elif put != before:
             self._scored.update((put, source))
-        if put is not None and put != before:
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
             self._handle.registerTimer((put + self._ttl_us) // 1000 + 1)
-        found = batch.assign(source_id=sources)
-        found = found[found["source_id"] >= 0]
-        yield pd.DataFrame(
-            {
-                "id": found["id"].astype("int64"),
-                "source_id": found["source_id"].astype("int64"),
-                "reused": found["id"] != found["source_id"],
-            }
-        )
+        kept = ~clears.astype(bool)
+        ids, sources = ids[kept], sources[kept]
+        yield pd.DataFrame({"id": ids, "source_id": sources, "reused": ids != sources})
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        self._scored.clear()
+        # A timer of an earlier scored row leaves the newer one alone.
+        held = self._scored.get()
+        if held is not None and (held[0] + self._ttl_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
+            self._scored.clear()
         return iter([])
 
     def close(self) -> None:
@@ -115,14 +114,14 @@ class LastLabelsDrift(StatefulProcessor):
         self._labels = handle.getListState("labels", "label string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["us", "id"], kind="stable")
+        ids, _, labels = _ordered(rows, "label")
         last = deque((r[0] for r in self._labels.get()) if self._labels.exists() else ())
         counts = dict.fromkeys(self._shares, 0)
         for label in last:
             if label in counts:
                 counts[label] += 1
         alerts = []
-        for row_id, label in zip(batch["id"], batch["label"], strict=True):
+        for row_id, label in zip(ids.tolist(), labels.tolist(), strict=True):
             last.append(label)
             if label in counts:
                 counts[label] += 1
