@@ -15,12 +15,12 @@ from hazardflow.sources.sinks import keyed_messages
 from hazardflow.streaming import jobs, state
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The event table as a file stream, as hazard events."""
+def event_stream(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
+    """The event table as a file stream, as hazard events; ``files`` bounds what one key can bring at once."""
     schema = table(spark, sf, "events").schema
-    # A few files per micro-batch bound what one key can bring at once.
-    reader = jobs.bounded_batches(spark.readStream, files=8)
-    raw = reader.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    reader = jobs.bounded_batches(spark.readStream, files=files)
+    # A pattern matches the table both as one file and as a folder of files.
+    raw = reader.schema(schema).parquet(f"{sf}/events.parque[t]")
     return spark.sql(HAZARD_EVENTS.replace("FROM events", "FROM {src}"), src=raw)
 
 
@@ -64,7 +64,7 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_reuse(spark: SparkSession, sf: str) -> DataFrame:
     state.use_rocksdb(spark)
-    events = event_stream(spark, sf)
+    events = event_stream(spark, sf, files=8)
     marked = state.reuse_stream(events, ["sensor_id", "event_type"], ttl_seconds=TWO_DAYS)
     return _finished(spark, marked, "reuse")
 
@@ -77,7 +77,7 @@ def stream_reuse(spark: SparkSession, sf: str) -> DataFrame:
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     state.use_rocksdb(spark)
     uniform = dict.fromkeys(dims.SEVERITIES, 0.25)
-    alerts = _finished(spark, state.drift_stream(event_stream(spark, sf), uniform, "source"), "drift")
+    alerts = _finished(spark, state.drift_stream(event_stream(spark, sf, files=8), uniform, "source"), "drift")
     return alerts.withColumn("drift_magnitude", r6("drift_magnitude"))
 
 

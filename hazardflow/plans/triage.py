@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardflow.functions.decisions import channels, escalation_likely
+from hazardflow.functions.decisions import channels, escalation_likely, sequence_or_zeros
 from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
-from hazardflow.operators.models import score_severity
+from hazardflow.operators.models import score_escalation, score_severity
 
 
-def enriched(events: DataFrame, local_ts: str = "ts", extra: str | None = None) -> tuple[DataFrame, DataFrame]:
+def enriched(
+    events: DataFrame, local_ts: str = "ts", prior: str = "prior_24h_event_count", extra: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Valid events with geographic risk, model features and processed inputs; and rejected ones with reasons."""
-    featured = feature_vector(geo_risk(events), local_ts=local_ts)
+    featured = feature_vector(geo_risk(events), local_ts=local_ts, prior=prior)
     return quality_checked(featured, raw_inputs(extra=extra), given_inputs(extra=extra))
 
 
@@ -34,10 +36,26 @@ def responses(scored: DataFrame, p3h: Column | None = None) -> DataFrame:
     )
 
 
-def triage(events: DataFrame, model: PipelineModel | None, extra: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Responses of valid events, and the quarantined events with reasons."""
-    good, bad = enriched(events, extra=extra)
-    return responses(score_severity(good, model)), bad
+def triage(
+    events: DataFrame,
+    model: PipelineModel | None,
+    escalation: dict[int, PipelineModel] | None = None,
+    local_ts: str = "ts",
+    prior: str = "prior_24h_event_count",
+    extra: str | None = None,
+    sequence: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Responses of valid events, and the quarantined events with reasons.
+
+    With escalation models, a missing or wrongly shaped sensor sequence is scored as one of zeros.
+    """
+    good, bad = enriched(events, local_ts, prior, extra)
+    scored = score_severity(good, model)
+    if escalation:
+        given = F.lit(None).cast("array<array<double>>") if sequence is None else F.col(sequence)
+        scored = score_escalation(scored.withColumn("sequence", sequence_or_zeros(given)), escalation)
+        return responses(scored, F.col("p3h")), bad
+    return responses(scored), bad
 
 
 def routing_load(rows: DataFrame, severity: str = "severity", ts: str = "ts") -> DataFrame:

@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from hazardflow import dims
-from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
-from hazardflow.operators.models import score_severity
-from hazardflow.plans.triage import responses
+from hazardflow.plans.triage import triage
 from hazardflow.sources.feeds import normalize, read_cap_feed, read_seismic, read_warnings
 from hazardflow.sources.sinks import keyed_messages
 
@@ -56,20 +54,22 @@ def as_requests(events: DataFrame) -> DataFrame:
     )
 
 
-def triage_rows(requests: DataFrame, model: PipelineModel | None, p3h: Column | None = None) -> DataFrame:
-    """Responses of valid requests, in one stateless projection that runs alike on tables and streams."""
-    prior = F.try_element_at("additional_features", F.lit("prior_24h_event_count"))
-    located = geo_risk(requests.withColumn("_prior", prior))
-    featured = feature_vector(located, local_ts="_local_ts", prior="_prior")
-    # Inputs are checked before routing; the engineered features are what the model sees.
+def triage_rows(
+    requests: DataFrame, model: PipelineModel | None, escalation: dict[int, PipelineModel] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Responses of valid requests and the rejected rest; stateless, so it runs alike on tables and streams."""
     extra = "additional_features"
-    valid, _ = quality_checked(featured, raw_inputs(extra=extra), given_inputs(extra=extra))
-    return responses(score_severity(valid, model), p3h)
+    prior = F.try_element_at(extra, F.lit("prior_24h_event_count"))
+    sequence = "sensor_sequence" if "sensor_sequence" in requests.columns else None
+    return triage(requests.withColumn("_prior", prior), model, escalation, "_local_ts", "_prior", extra, sequence)
 
 
-def triage_messages(requests: DataFrame, model: PipelineModel | None) -> DataFrame:
+def triage_messages(
+    requests: DataFrame, model: PipelineModel | None, escalation: dict[int, PipelineModel] | None = None
+) -> DataFrame:
     """Keyed JSON results, ready for a topic."""
-    return keyed_messages(triage_rows(requests, model))
+    answers, _ = triage_rows(requests, model, escalation)
+    return keyed_messages(answers)
 
 
 def rate_stream(

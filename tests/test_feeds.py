@@ -145,7 +145,7 @@ def test_requests(spark, tmp_path):
     reasons = sorted("|".join(r.problems) for r in bad.collect())
     assert reasons[:3] == ["event_id missing", "latitude out of range", "malformed record|event_id missing|event_type missing|latitude missing|longitude missing"]
     assert reasons[3] == "timestamp unreadable"
-    answers = jobs.triage_rows(good, None).collect()
+    answers = jobs.triage_rows(good, None)[0].collect()
     assert {r.event_id for r in answers} == {"ok", "seq"} and {r.severity for r in answers} == {"MODERATE"}
 
 

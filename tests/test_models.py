@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hazardflow import dims
 from hazardflow.checks.modeling import _sequence_sets, featured
 from hazardflow.operators import models
+from hazardflow.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +70,17 @@ def test_escalation(spark, small):
     for r in scored.select("p1h", "p3h", "p6h", "escalation_likely", "escalation_confidence").collect():
         assert r.escalation_likely == (r.p3h >= 0.65)
         assert r.escalation_confidence == pytest.approx((r.p1h + r.p3h + r.p6h) / 3)
+    requests = spark.createDataFrame(
+        [("full", [[1.0] * 15] * 24), ("short", [[1.0] * 15]), ("none", None), ("zeros", [[0.0] * 15] * 24)],
+        "event_id string, sensor_sequence array<array<double>>",
+    ).selectExpr(
+        "*", "'fog' AS event_type", "0.0D AS magnitude", "1.0D AS latitude", "2.0D AS longitude",
+        "TIMESTAMP_NTZ '2024-01-01 12:00:00' AS _local_ts", "map('elevation_meters', 5.0D) AS additional_features",
+    )
+    answers, rejected = jobs.triage_rows(requests, None, {h: m for h, (m, _) in best.items()})
+    p3h = {r.event_id: r.escalation_probability_3h for r in answers.collect()}
+    assert rejected.count() == 0
+    assert p3h["short"] == p3h["none"] == p3h["zeros"] != p3h["full"]
     none = models.score_escalation(held, None).first()
     assert none.p3h is None and none.escalation_likely is False and none.escalation_confidence is None
 
