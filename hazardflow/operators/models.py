@@ -52,11 +52,13 @@ def train_severity(
 ) -> PipelineModel:
     """Standard scaling and gradient-boosted trees, one binary model per class.
 
+
     Spark's boosting is binary, so the classes compete one against the rest: the task and the settings are
     those of a multiclass booster, the fitted numbers are not. Rows with an unknown label are left out.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     labeled = rows.withColumn("label", label_index(F.col(label))).where(F.col("label") >= 0)
+    training = labeled.select(*features, "label")
     booster = GBTClassifier(
         maxIter=trees,
         stepSize=step_size,
@@ -72,7 +74,7 @@ def train_severity(
             StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
             OneVsRest(classifier=booster, parallelism=len(CLASSES)),
         ]
-    ).fit(labeled.select(*features, "label"))
+    ).fit(training)
 
 
 def score_severity(
@@ -155,23 +157,23 @@ def train_escalation(
 ) -> dict[int, tuple[PipelineModel, float]]:
     """One logistic model per horizon on the flattened sequence; keeps the candidate with the least loss.
 
-    ``sequences`` and ``validation`` carry ``sequence`` and ``y{h}h``. Returns model and validation loss.
+    ``sequences`` and ``validation`` carry ``sequence`` and ``y{h}h``. Returns model and validation loss. The
+    vectors are checkpointed once, so that no candidate goes back to the events they were binned from, and the
+    scaler is fitted once for all of them.
     """
+    ensure_checkpoint_dir(sequences.sparkSession)
+    columns = [flatten_sequence(F.col("sequence")).alias("raw_features"), *[f"y{h}h" for h in horizons]]
+    train, held = sequences.select(*columns).checkpoint(), validation.select(*columns).checkpoint()
+    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(train)
+    scaled_train, scaled_held = scaler.transform(train), scaler.transform(held)
     best: dict[int, tuple[PipelineModel, float]] = {}
-    train = sequences.withColumn("raw_features", flatten_sequence(F.col("sequence")))
-    held = validation.withColumn("raw_features", flatten_sequence(F.col("sequence")))
     for h in horizons:
         for strength in strengths:
-            scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-            fit = LogisticRegression(
-                labelCol=f"y{h}h", maxIter=iterations, regParam=strength, probabilityCol="probability"
-            )
-            model = Pipeline(stages=[scaler, fit]).fit(train.select("raw_features", f"y{h}h"))
-            scored = model.transform(held.select("raw_features", f"y{h}h"))
-            scored = scored.withColumn("p", vector_to_array("probability")[1])
+            fit = LogisticRegression(labelCol=f"y{h}h", maxIter=iterations, regParam=strength).fit(scaled_train)
+            scored = fit.transform(scaled_held).withColumn("p", vector_to_array("probability")[1])
             loss = log_loss(scored, "p", f"y{h}h").first()["log_loss"]
             if h not in best or (loss is not None and loss < best[h][1]):
-                best[h] = (model, float("inf") if loss is None else loss)
+                best[h] = (PipelineModel(stages=[scaler, fit]), float("inf") if loss is None else loss)
     return best
 
 
