@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardflow.llm import binary_records, packing
+from hazardflow.llm import binary_records, host_rules, near_dup, packing, pivot_search, quality_classifier
 from hazardflow.llm.storage import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = binary_records.new_folder(spark)
     index = binary_records.write_records(table(spark, sf_dir, "documents"), folder)
@@ -17,13 +25,29 @@ def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return host_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_pivot_search": op2_pivot_search,
     "op5_binary_records": op5_binary_records,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_host_rules": op10_host_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_pivot_search": pivot_search.ORACLE,
+    "op10_host_rules": host_rules.ORACLE,
+}
