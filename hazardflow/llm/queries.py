@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardflow.llm import binary_records, host_rules, near_dup, packing, pivot_search, quality_classifier
+from hazardflow.llm import (
+    binary_records,
+    bpe,
+    host_rules,
+    html_wrappers,
+    near_dup,
+    packing,
+    pivot_search,
+    quality_classifier,
+)
 from hazardflow.llm.storage import table
 
 
@@ -18,6 +27,10 @@ def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = binary_records.new_folder(spark)
     index = binary_records.write_records(table(spark, sf_dir, "documents"), folder)
@@ -33,6 +46,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return host_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
@@ -41,9 +58,11 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pivot_search": op2_pivot_search,
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_binary_records": op5_binary_records,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_html_wrappers": op9_html_wrappers,
     "op10_host_rules": op10_host_rules,
 }
 
