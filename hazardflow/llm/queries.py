@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hazardflow.llm import (
     binary_records,
     bpe,
+    chat_rotation,
     host_rules,
     html_wrappers,
+    license_scan,
     near_dup,
     packing,
     pivot_search,
@@ -27,6 +29,11 @@ def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op3_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return chat_rotation.rotated(table(spark, sf_dir, "conversations")).withColumn("mask", F.array_join(spans, ","))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
@@ -46,6 +53,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = {c: F.array_join(c, " ") for c in ("sentence_ids", "licenses", "unmatched")}
+    return license_scan.scanned(table(spark, sf_dir, "documents")).withColumns(lists)
+
+
 def op9_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -58,15 +70,18 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pivot_search": op2_pivot_search,
+    "op3_chat_rotation": op3_chat_rotation,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_binary_records": op5_binary_records,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_license_scan": op8_license_scan,
     "op9_html_wrappers": op9_html_wrappers,
     "op10_host_rules": op10_host_rules,
 }
 
 ORACLES: dict[str, str] = {
     "op2_pivot_search": pivot_search.ORACLE,
+    "op3_chat_rotation": chat_rotation.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
 }
