@@ -64,28 +64,29 @@ def repeated_words(words: Column) -> Column:
     return _bound(hashes, of_hashes)
 
 
-def document_measures(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Counts of each whole text and the document's own verdict. A null text has no words."""
+def document_measures(docs: DataFrame, text_col: str, host_col: str, columns: list[str]) -> DataFrame:
+    """Counts of each whole text and the document's own verdict; ``row`` holds the wanted columns.
+
+    A null text has no words.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dropped = lambda chars: F.char_length("_text") - F.char_length(F.translate("_text", chars, ""))
-    counted = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), text.alias("_text")
-    ).select(
-        "doc_id", "host",
+    words = _bound(words_of(F.col("_text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r")))
+    counted = docs.select(F.struct(*columns).alias("row"), F.col(host_col).cast("string").alias("host"), text.alias("_text")).select(
+        "row", "host",
         F.char_length(F.translate("_text", _SPACES, "")).cast("long").alias("word_chars"),
         dropped(SYMBOLS).cast("long").alias("n_symbols"),
         _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.size(F.split("_text", "\n")).cast("long").alias("n_lines"),
-        _bound(words_of(F.col("_text")), lambda w: F.struct(F.size(w).alias("n"), repeated_words(w).alias("r"))).alias("_w"),
+        words.alias("_w"),
     )
     measured = counted.select(
         "*", F.col("_w.n").cast("long").alias("n_words"), F.col("_w.r").cast("long").alias("n_repeat_words")
     ).drop("_w")
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return measured.select(
-        "*",
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))).alias("base_failed"),
-        (10 * F.col("n_symbols") > F.col("n_words")).alias("symbol_heavy"),
+        "*", failed.alias("base_failed"), (10 * F.col("n_symbols") > F.col("n_words")).alias("symbol_heavy"),
         (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")).alias("line_heavy"),
     )
 
@@ -125,17 +126,27 @@ def host_verdicts(measures: DataFrame, limits: dict[str, float] = HOST_LIMITS) -
     return rated.withColumn("host_rejected", rejected)
 
 
+def _judged(docs: DataFrame, text_col: str, host_col: str, columns: list[str]) -> DataFrame:
+    """The measures are written once, with the wanted columns, since the hosts' counts and the result both need them."""
+    measures = stored(document_measures(docs, text_col, host_col, columns), "measures")
+    verdicts = host_verdicts(measures).select("host", "host_rejected")
+    joined = measures.join(verdicts, "host", "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+
+
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document with its counts, ``base_failed`` and ``kept``.
+    """One row per document with its counts, ``base_failed``, ``host_rejected`` and ``kept``.
 
     ``kept`` is false if the document's own rules fail or its host is rejected. Documents without a host are judged by
-    their own rules. Repeated rows are judged and counted one by one; an empty table gives an empty one. The
-    measures are written once, since the hosts' counts and the result both need them.
+    their own rules. Repeated rows are judged and counted one by one; an empty table gives an empty one.
     """
-    measures = stored(document_measures(docs, id_col, text_col, host_col), "measures")
-    verdicts = host_verdicts(measures).select("host", "host_rejected")
-    joined = measures.join(verdicts, "host", "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+    found = _judged(docs, text_col, host_col, [id_col])
+    return found.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), *[c for c in found.columns if c != "row"])
+
+
+def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows that pass, with all their columns; ids play no part."""
+    return _judged(docs, text_col, host_col, docs.columns).where("kept").select("row.*")
 
 
 ORACLE = r"""

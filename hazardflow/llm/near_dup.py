@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from hazardflow.llm.components import components
 from hazardflow.llm.encoding import text_runs
@@ -268,3 +268,15 @@ def near_duplicates(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group of near duplicates, with all its columns.
+
+    Of rows that share an id one stays; rows without an id all stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    chosen = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"))
+    first = W.partitionBy("_kept").orderBy(F.xxhash64(text_col))
+    once = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    return once.unionByName(docs.where(F.col(id_col).isNull()))

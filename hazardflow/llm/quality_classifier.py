@@ -229,6 +229,14 @@ def train(pooled_docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     return Network(matrix(rows.column("x").to_pylist()), rows.column("y").to_numpy().astype(np.float64))
 
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _probabilities(network: Network | None, x: list[bytes]) -> np.ndarray:
+    return network.probabilities(matrix(x)) if network else np.full(len(x), 0.5)
+
+
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document.
 
@@ -236,18 +244,40 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     text is an empty one and gets the score of a text without tokens. Repeated documents get equal scores. Without
     labelled rows every score is 0.5.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pooled_docs = stored(features(docs, word_vectors(docs)), "features")
+    plain = _plain(docs, id_col, text_col)
+    pooled_docs = stored(features(plain, word_vectors(plain)), "features")
     network = train(pooled_docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column("x").to_pylist())
-                p = network.probabilities(x) if network else np.full(len(x), 0.5)
+                p = _probabilities(network, batch.column("x").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     scores = pooled_docs.mapInArrow(run, "doc_id long, score double")
     return scores.select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, with all their columns.
+
+    Trained as ``scored`` is; then every row is judged where it stands, so texts are not shuffled and repeated or missing
+    ids do not matter.
+    """
+    plain = _plain(docs, id_col, text_col)
+    vectors = word_vectors(plain)
+    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+    network = train(features(plain, vectors), labels)  # features are joined with the labels, not texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for _, texts in text_runs([batch.select([id_col, text_col])]):
+                found, at = tokens(texts)
+                good.append(_probabilities(network, [pooled(found[a:b], sent.value).tobytes() for a, b in zip(at, at[1:])]) >= THRESHOLD)
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
