@@ -96,25 +96,28 @@ class Plan:
         a = a[(self.left[a] > 0) & (self.left[rest - a] > 0)] if rest >= 2 else a[:0]
         return next((c for x in a.tolist() if self._enough(c := [*first, x, rest - x])), None)
 
-    def _combination(self, length: int, pair_sums: np.ndarray) -> list[int] | None:
+    def _combination(self, length: int, most: int) -> list[int] | None:
+        """Available lengths that fill a sequence together with ``length``: one, two or three, at most ``most``."""
         gap = self.capacity - length
         if gap == 0:
             return [length]
         if self._enough([length, gap]):
             return [length, gap]
-        if found := self._pair([length], gap):
+        if most >= 2 and (found := self._pair([length], gap)):
             return found
+        if most < 3 or gap < 3:
+            return None
+        there = (self.left[:gap] > 0).astype(np.int64)
+        pair_sums = np.convolve(there, there)[:gap] > 0
         third = np.arange(gap - 2, 0, -1)
         third = third[(self.left[third] > 0) & pair_sums[gap - third]]
         return next((c for x in third.tolist() if (c := self._pair([length, x], gap - x))), None)
 
-    def exact(self) -> None:
+    def exact(self, most: int) -> None:
         """Fill sequences exactly, longest lengths first."""
         for length in range(self.capacity, 0, -1):
             while self.left[length]:
-                there = (self.left > 0).astype(np.int64)
-                pair_sums = np.convolve(there, there)[: self.capacity + 1] > 0
-                found = self._combination(length, pair_sums)
+                found = self._combination(length, most)
                 if found is None:
                     break
                 while self._enough(found):
@@ -152,11 +155,18 @@ class Plan:
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """Pack ``counts`` pieces of each length; time and size depend on the number of lengths, not of pieces."""
-    plan = Plan(counts, capacity)
-    plan.exact()
-    plan.best_fit()
-    return plan
+    """Pack ``counts`` pieces of each length; time and size depend on the number of lengths, not of pieces.
+
+    Exact fills with single, pair and triple complements can use up lengths that best fit needs, so the number of
+    complements is tried from one to three and the plan with the fewest sequences is taken.
+    """
+    plans = []
+    for most in (1, 2, 3):
+        plan = Plan(counts, capacity)
+        plan.exact(most)
+        plan.best_fit()
+        plans.append(plan)
+    return min(plans, key=lambda p: p.sequences)
 
 
 def _groups(counts: dict[int, int], group_rows: int) -> Column:
