@@ -40,7 +40,7 @@ SENTENCES = [
     ("bsd-endorse", r"neither the name of .{1,200} may be used to endorse or promote products"),
     ("gpl-under-{1}-later", r"gnu general public license.{0,80}version (\d)(?:\.0)?,? or (?:\(at your option\) )?any later version"),
     ("gpl-under-{1}", r"licensed under the (?:terms of the )?gnu general public license,? (?:version |v)?(\d)"),
-    ("gpl-redistribute-{1}-later", r"redistribute it and/or modify it under the terms of the gnu general public license.{0,120}version (\d).{0,40}later version"),
+    ("gpl-redistribute-{1}-later", r"redistribute it and/or modify it under the terms of the gnu general public license.{0,120}version (\d).{0,80}later version"),
     ("gpl-redistribute-{1}", r"redistribute it and/or modify it under the terms of the gnu general public license.{0,80}version (\d)"),
     ("lgpl-redistribute-{1}", r"gnu (?:lesser|library) general public license.{0,120}version (\d(?:\.\d)?)"),
     ("lgpl-under-{1}", r"licensed under the (?:terms of the )?gnu (?:lesser|library) general public license,? (?:version |v)?(\d(?:\.\d)?)"),
