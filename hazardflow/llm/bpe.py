@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,10 +25,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, functions as F
 
-from hazardflow.llm.encoding import _IRREGULAR, text_runs, vocabulary
+from hazardflow.llm.encoding import text_runs, vocabulary
 from hazardflow.llm.storage import stored
 from hazardflow.session import shared_dir
 
+# White space that does not stand alone between two other characters, or that is neither a space nor a line break.
+_IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 BUCKETS = 512
 CHUNK_CHARS = 8_000_000
 

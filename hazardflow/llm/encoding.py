@@ -15,8 +15,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-# White space that does not stand alone between two other characters, or that is neither a space nor a line break.
-_IRREGULAR = re.compile(r"\s\s|[^\S \n]")
 CACHE_ENTRIES = 300_000
 BATCH_CHARS = 4_000_000
 ID_BYTES = 4
@@ -29,6 +27,59 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _alphabet() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: printable bytes for themselves, others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes, made when first asked for; None for a piece that must not be cut out of its text.
+
+    A piece is named by its text: with a leading line break as it is, else without its leading space.
+    """
+
+    # A line break, Latin letters, and marks without the apostrophe: at most three words, one for each part.
+    _PARTS = re.compile("(\n?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([!-&(-/:-@\\[-`{-~]*)")
+
+    def __init__(self, tokenizer):
+        self._split = tokenizer.pre_tokenizer.pre_tokenize_str
+        self._merge = tokenizer.model.tokenize
+        self._bytes = [i.to_bytes(ID_BYTES, "little") for i in range(tokenizer.get_vocab_size())]
+        self._letters = _alphabet()
+        self._marks: dict[str, bytes] = {}
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of one word in the vocabulary's alphabet."""
+        return b"".join([self._bytes[t.id] for t in self._merge(word)])
+
+    def _spelled(self, word: str) -> bytes:
+        return self._ids(word.encode("utf-8").decode("latin-1").translate(self._letters))
+
+    def _marked(self, marks: str) -> bytes:
+        if marks not in self._marks:
+            self._marks[marks] = self._spelled(marks)
+        return self._marks[marks]
+
+    def __missing__(self, piece: str) -> bytes | None:
+        parts = self._PARTS.fullmatch(piece)
+        if len(piece.split()) != 1 or piece.strip("\n") != piece.strip():
+            found = None
+        elif parts is None:
+            found = b"".join([self._ids(w) for w, _ in self._split(piece if piece[0] == "\n" else " " + piece)])
+        else:
+            line, word, marks = parts.groups()
+            if line:
+                found = self._marked(line) + (self._spelled(word) if word else b"") + (self._marked(marks) if marks else b"")
+            elif not word:
+                found = self._marked(" " + marks)
+            else:
+                found = self[word] + self._marked(marks) if marks else self._spelled(" " + word)
+        self[piece] = found
+        return found
+
+
 class PieceEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids; equal to encoding each text as a whole."""
 
@@ -39,27 +90,23 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._entries = entries
-        self._ids: dict[str, bytes] = {}
+        self._pieces = _Pieces(self._tokenizer)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _whole(self, text: str) -> bytes:
+        found = self._tokenizer.encode(text, add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, ``ID_BYTES`` each."""
-        # A piece is named by its text: with a leading line break as it is, else without its leading space.
-        regular = [None if _IRREGULAR.search(t) else ("\n" + t.replace("\n", " \n")).split(" ") for t in texts]
-        if len(self._ids) > self._entries:
-            self._ids.clear()
-        known = self._ids
-        new = list({p for pieces in regular if pieces for p in pieces if p not in known})
-        known.update(zip(new, self._encode([p if p[:1] == "\n" else " " + p for p in new])))
-        whole = iter(self._encode([t for t, pieces in zip(texts, regular) if pieces is None]))
-        # The line break put before the text is one id.
-        return [
-            next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces))[ID_BYTES:]
-            for pieces in regular
-        ]
+        if len(self._pieces) > self._entries:
+            self._pieces.clear()
+            self._pieces._marks.clear()
+        out = []
+        for text in texts:
+            ids = list(map(self._pieces.__getitem__, ("\n" + text.replace("\n", " \n")).split(" ")))
+            # The line break put before the text is one id.
+            out.append(self._whole(text) if None in ids else b"".join(ids)[ID_BYTES:])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
