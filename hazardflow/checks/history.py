@@ -173,6 +173,17 @@ def prediction_drift_by_source(spark: SparkSession, sf: str) -> DataFrame:
     return _alerts(_uniform_drift(spark, sf, 1000, ["source"]), ["source"])
 
 
+@query(
+    "drift_messages",
+    f"""SELECT source, seq, concat(CASE severity WHEN 'CRITICAL' THEN 'Critical drift in ' ELSE 'Drift detected in ' END,
+      replace(metric_name, 'severity_distribution_', ''), printf(': %.1f%% from baseline', drift_magnitude * 100)) AS message
+    FROM ({_drift_sql(['source'], 1000, _UNIFORM)})""",
+)
+def drift_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts of the drift alerts."""
+    return _uniform_drift(spark, sf, 1000, ["source"]).select("source", "seq", "message")
+
+
 @query("prediction_drift_observed", _drift_sql(["source"], 20, _OBSERVED))
 def prediction_drift_observed(spark: SparkSession, sf: str) -> DataFrame:
     """Short windows against the whole table's own shares."""
@@ -383,5 +394,6 @@ def reuse_stats(spark: SparkSession, sf: str) -> DataFrame:
 def shared_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Every row with the severity its source row was given."""
     marked = marked_events(spark, sf)
-    scored = hazard_events(spark, sf).select("seq", F.col("observed_severity").alias("severity"))
+    fresh = marked.where(~F.col("reused")).select("seq")
+    scored = hazard_events(spark, sf).select("seq", F.col("observed_severity").alias("severity")).join(fresh, "seq", "left_semi")
     return reuse.share_predictions(marked, scored, "seq").select("seq", "source_id", "severity")

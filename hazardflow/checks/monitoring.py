@@ -4,11 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hazardflow import dims
+from hazardflow import dims, session
 from hazardflow.checks.fixtures import alert_polygons, hazard_events, view, with_views
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
 from hazardflow.operators import evaluation, feeds, metrics, ranks, registry, spatial
-from hazardflow.sources.feeds import cap_alerts, normalize, seismic_events
+from hazardflow.sources.feeds import (
+    cap_alerts,
+    normalize,
+    read_cap_feed,
+    read_seismic,
+    read_warnings,
+    seismic_events,
+    warning_rows,
+)
+from hazardflow.sources.tables import read_training_events
 
 AS_OF = "2024-01-30 12:00:00"
 
@@ -99,7 +108,7 @@ def feed_counters(spark: SparkSession, sf: str) -> DataFrame:
     "error_counters",
     with_views(
         f"""{_ERRORS} SELECT coalesce(source, '*') AS source, coalesce(error_type, '*') AS error_type,
-        COUNT(*) AS errors FROM errors GROUP BY ROLLUP (source, error_type)""",
+        COUNT(*) AS errors, GROUPING(source, error_type)::INTEGER AS level FROM errors GROUP BY ROLLUP (source, error_type)""",
         "hazard_events",
     ),
 )
@@ -435,26 +444,28 @@ def seismic_features(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "feed_normalization",
-    with_views(
-        f"""SELECT event_id, 'usgs' AS source, 'earthquake' AS event_type, {sql_round('magnitude')} AS magnitude,
-          {sql_round('latitude')} AS lat, {sql_round('longitude')} AS lon,
-          strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts, NULL AS cap_severity
-        FROM hazard_events WHERE event_type = 'earthquake' AND magnitude >= 2.5
-        UNION ALL SELECT concat('alert-', CAST(alert_id AS VARCHAR)), 'noaa', 'Flood Warning', NULL,
-          {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lat0 + dlat) / 3 ELSE (4 * lat0 + 2 * dlat) / 4 END')},
-          {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lon0 + 2 * dlon) / 3 ELSE (4 * lon0 + 2 * dlon) / 4 END')},
-          '2024-01-02 03:04:05', 'Severe' FROM alert_polygons""",
-        "hazard_events",
-        "alert_polygons",
-    ),
+_NORMALIZED = with_views(
+    f"""SELECT event_id, 'usgs' AS source, 'earthquake' AS event_type, {sql_round('magnitude')} AS magnitude,
+      {sql_round('latitude')} AS lat, {sql_round('longitude')} AS lon,
+      strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS ts, NULL AS cap_severity
+    FROM hazard_events WHERE event_type = 'earthquake' AND magnitude >= 2.5
+    UNION ALL SELECT concat('warning-', event_id), 'nws', 'Flash Flood Warning', NULL, {sql_round('latitude + 0.25')},
+      {sql_round('longitude + 0.5')}, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S'), 'Moderate'
+    FROM hazard_events WHERE event_type = 'Flash Flood'
+    UNION ALL SELECT concat('alert-', CAST(alert_id AS VARCHAR)), 'noaa', 'Flood Warning', NULL,
+      {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lat0 + dlat) / 3 ELSE (4 * lat0 + 2 * dlat) / 4 END')},
+      {sql_round('CASE WHEN is_triangle = 1 THEN (3 * lon0 + 2 * dlon) / 3 ELSE (4 * lon0 + 2 * dlon) / 4 END')},
+      '2024-01-02 03:04:05', 'Severe' FROM alert_polygons""",
+    "hazard_events",
+    "alert_polygons",
 )
-def feed_normalization(spark: SparkSession, sf: str) -> DataFrame:
-    """Seismic events and alerts, whose polygon text repeats the first corner, as one event table."""
+
+
+def _cap_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Alert entries whose polygon text repeats the first corner."""
     ring = F.concat("polygon", F.slice("polygon", 1, 1))
     pairs = F.transform(ring, lambda p: F.concat_ws(",", p["lat"].cast("string"), p["lon"].cast("string")))
-    entries = alert_polygons(spark, sf).select(
+    return alert_polygons(spark, sf).select(
         F.concat(F.lit("alert-"), F.col("alert_id").cast("string")).alias("id"),
         F.lit("Flood Warning").alias("event"),
         F.lit("Severe").alias("severity"),
@@ -463,16 +474,81 @@ def feed_normalization(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("2024-01-02T03:04:05Z").alias("sent"),
         F.lit("2024-01-03T03:04:05Z").alias("expires"),
     )
-    alerts = cap_alerts(entries).where("entry_ok")
-    events = normalize(alerts, seismic_events(seismic_features(spark, sf)))
-    return events.select(
-        "event_id",
-        "source",
-        "event_type",
-        *[r6(c).alias(c) for c in ("magnitude", "lat", "lon")],
-        stamp("ts").alias("ts"),
-        "cap_severity",
+
+
+def _warning_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Warning features as JSON text: a box half a degree high and one degree wide from each flash flood on."""
+    rows = hazard_events(spark, sf).where("event_type = 'Flash Flood'")
+    corners = [(0.0, 0.0), (1.0, 0.0), (1.0, 0.5), (0.0, 0.5), (0.0, 0.0)]
+    ring = F.array(*[F.array(F.col("longitude") + x, F.col("latitude") + y) for x, y in corners])
+    feature = F.struct(
+        F.concat(F.lit("warning-"), F.col("event_id")).alias("id"),
+        F.struct(
+            F.lit("Flash Flood Warning").alias("event"),
+            F.lit("Moderate").alias("severity"),
+            F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("sent"),
+        ).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"),
+    )
+    return rows.select(F.to_json(feature).alias("feature"))
+
+
+def _normal_rows(events: DataFrame) -> DataFrame:
+    numbers = [r6(c).alias(c) for c in ("magnitude", "lat", "lon")]
+    return events.select("event_id", "source", "event_type", *numbers, stamp("ts").alias("ts"), "cap_severity")
+
+
+@query("feed_normalization", _NORMALIZED)
+def feed_normalization(spark: SparkSession, sf: str) -> DataFrame:
+    """Seismic events, alerts and warnings as one event table."""
+    alerts = cap_alerts(_cap_entries(spark, sf)).where("entry_ok")
+    warnings = warning_rows(_warning_features(spark, sf))
+    return _normal_rows(normalize(alerts, seismic_events(seismic_features(spark, sf)), warnings))
+
+
+def landed_feeds(spark: SparkSession, sf: str) -> tuple[str, str, str]:
+    """The three feeds as files: Atom entries, and JSON feature collections of some hundred features each."""
+    folder = session.shared_dir(spark, "feeds")
+    _cap_entries(spark, sf).write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(f"{folder}/cap")
+    quakes = seismic_features(spark, sf).select(F.to_json(F.struct("id", "properties", "geometry")).alias("feature"))
+    for name, features in (("seismic", quakes), ("warnings", _warning_features(spark, sf))):
+        files = F.pmod(F.xxhash64("feature"), F.lit(max(1, features.count() // 400)))
+        one = F.concat(F.lit('{"features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}"))
+        collections = features.groupBy(files.alias("file")).agg(one.alias("value"))
+        collections.write.partitionBy("file").text(f"{folder}/{name}")
+    return f"{folder}/cap", f"{folder}/seismic", f"{folder}/warnings"
+
+
+@query("landed_feeds", _NORMALIZED)
+def landed_feed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The same events read from the landed files of all three feeds."""
+    cap, seismic, warnings = landed_feeds(spark, sf)
+    return _normal_rows(
+        normalize(read_cap_feed(spark, cap), read_seismic(spark, seismic), read_warnings(spark, warnings))
+    )
+
+
+@query(
+    "historical_events",
+    with_views(
+        f"""SELECT observed_severity AS severity, COUNT(*) AS n, {sql_round('SUM(value)', 3)} AS total,
+        COUNT(*) FILTER (WHERE magnitude IS NULL) AS missing FROM hazard_events GROUP BY 1""",
+        "hazard_events",
+    ),
+)
+def historical_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Training rows written as CSV with a header and read back by column name."""
+    path = session.shared_dir(spark, "training")
+    given = {"feature_0": F.col("value"), "feature_1": F.col("magnitude")}
+    names = [f"feature_{i}" for i in range(10)]
+    rows = hazard_events(spark, sf).select(
+        "event_id", F.col("observed_severity").alias("severity"), *[given.get(n, F.lit(0.5)).alias(n) for n in names]
     )
+    rows.write.option("header", "true").csv(path)
+    back = read_training_events(spark, path)
+    total = F.floor(F.sum("feature_0") * 1000 + 0.5).cast("double") / 1000
+    missing = F.count_if(F.col("feature_1").isNull())
+    return back.groupBy("severity").agg(F.count("*").alias("n"), total.alias("total"), missing.alias("missing"))
 
 
 # --- space ---------------------------------------------------------------------------------------------

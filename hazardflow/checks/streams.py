@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from hazardflow import dims, session
+from hazardflow.checks import monitoring
 from hazardflow.checks.fixtures import HAZARD_EVENTS, table, with_views
 from hazardflow.checks.history import _REUSE, TWO_DAYS, _drift_sql, _UNIFORM
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
@@ -15,16 +17,17 @@ from hazardflow.sources.sinks import keyed_messages
 from hazardflow.streaming import jobs, state
 
 
-def event_stream(spark: SparkSession, sf: str, files: int | None = None) -> DataFrame:
-    """The event table as a file stream, as hazard events; ``files`` bounds what one key can bring at once."""
+def event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The event table as a file stream, as hazard events; all files that are there come in one micro-batch."""
     schema = table(spark, sf, "events").schema
-    reader = jobs.bounded_batches(spark.readStream, files=files)
     # A pattern matches the table both as one file and as a folder of files.
-    raw = reader.schema(schema).parquet(f"{sf}/events.parque[t]")
+    raw = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
     return spark.sql(HAZARD_EVENTS.replace("FROM events", "FROM {src}"), src=raw)
 
 
-def _finished(spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append") -> DataFrame:
+def _finished(
+    spark: SparkSession, stream: DataFrame, purpose: str, mode: str = "append", empty_batches: bool = True
+) -> DataFrame:
     """Run the stream to its end into the shared folder and read what it wrote."""
     folder = session.shared_dir(spark, purpose)
     writer = (
@@ -33,25 +36,39 @@ def _finished(spark: SparkSession, stream: DataFrame, purpose: str, mode: str =
         .option("checkpointLocation", f"{folder}/checkpoint")
         .outputMode(mode)
     )
-    jobs.run_available(writer)
+    jobs.run_available(spark, writer, empty_batches=empty_batches)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def _newest(spark: SparkSession, stream: DataFrame, purpose: str, mode: str, keys: list[str]) -> DataFrame:
+    """Run a stream that emits changed rows to its end; the last version of every row."""
+    folder = session.shared_dir(spark, purpose)
+    writer = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/version={number}"))
+    )
+    jobs.run_available(spark, writer)
+    schema = StructType([*stream.schema.fields, StructField("version", LongType())])
+    versions = spark.read.schema(schema).parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("l"))
+    return newest.select(*keys, "l.*")
+
+
 @query(
     "stream_rates",
     with_views(
         f"""w AS (SELECT source, time_bucket(INTERVAL 1 MINUTE, ts) AS b, COUNT(*) AS n, SUM(latency_ms) AS t,
-          COUNT(*) FILTER (WHERE latency_ms <= 250) AS le_250 FROM hazard_events GROUP BY 1, 2),
-        m AS (SELECT MAX(ts) - INTERVAL 10 MINUTE AS closed FROM hazard_events)
-        SELECT source, {sql_stamp('b')} AS window_start, n, {sql_round('t', 4)} AS total_ms, le_250
-        FROM w, m WHERE date_trunc('millisecond', b + INTERVAL 1 MINUTE) <= closed""",
+          COUNT(*) FILTER (WHERE latency_ms <= 250) AS le_250 FROM hazard_events GROUP BY 1, 2)
+        SELECT source, {sql_stamp('b')} AS window_start, n, {sql_round('t', 4)} AS total_ms, le_250 FROM w""",
         "hazard_events",
     ),
 )
 def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
-    """One-minute windows per source; the windows still open at the end are not emitted."""
-    rates = jobs.rate_stream(event_stream(spark, sf), keys=["source"])
-    done = _finished(spark, rates, "rates")
+    """One-minute windows per source, the open ones too: every micro-batch writes the windows it changed, the last one counts."""
+    rates = jobs.rate_stream(event_stream(spark, sf), keys=["source"], lateness=None)
+    done = _newest(spark, rates, "rates", "update", ["source", "window_start"])
     total = F.floor(F.col("total_ms") * 10000 + 0.5).cast("double") / 10000
     return done.select("source", stamp("window_start").alias("window_start"), "n", total.alias("total_ms"), "le_250")
 
@@ -64,9 +81,9 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_reuse(spark: SparkSession, sf: str) -> DataFrame:
     state.use_rocksdb(spark)
-    events = event_stream(spark, sf, files=8)
+    events = event_stream(spark, sf)
     marked = state.reuse_stream(events, ["sensor_id", "event_type"], ttl_seconds=TWO_DAYS)
-    return _finished(spark, marked, "reuse")
+    return _finished(spark, marked, "reuse", empty_batches=False)
 
 
 @query(
@@ -77,7 +94,7 @@ def stream_reuse(spark: SparkSession, sf: str) -> DataFrame:
 def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     state.use_rocksdb(spark)
     uniform = dict.fromkeys(dims.SEVERITIES, 0.25)
-    alerts = _finished(spark, state.drift_stream(event_stream(spark, sf, files=8), uniform, "source"), "drift")
+    alerts = _finished(spark, state.drift_stream(event_stream(spark, sf), uniform, "source"), "drift")
     return alerts.withColumn("drift_magnitude", r6("drift_magnitude"))
 
 
@@ -99,6 +116,13 @@ def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
     return written.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
+@query("stream_feeds", monitoring._NORMALIZED)
+def stream_feeds(spark: SparkSession, sf: str) -> DataFrame:
+    """The landed files of all three feeds as one stream of events."""
+    events = jobs.feed_stream(spark, *monitoring.landed_feeds(spark, sf))
+    return monitoring._normal_rows(_finished(spark, events, "feed-events"))
+
+
 @query(
     "stream_feed_health",
     with_views(
@@ -109,18 +133,6 @@ def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_feed_health(spark: SparkSession, sf: str) -> DataFrame:
     """Each event counted as a poll of its source; the table of last polls is rewritten per micro-batch."""
-    folder = session.shared_dir(spark, "health")
     polls = event_stream(spark, sf).select("source", F.col("ts").alias("polled_at"))
-    writer = (
-        state.feed_health_stream(polls)
-        .writeStream.outputMode("complete")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{folder}/out/version={number}"))
-    )
-    jobs.run_available(writer)
-    versions = spark.read.schema("source string, polled_at timestamp, feed_polls bigint, version bigint")
-    last = versions.parquet(f"{folder}/out")
-    newest = last.groupBy("source").agg(
-        F.max_by(F.struct("polled_at", "feed_polls"), "version").alias("l")
-    )
-    return newest.select("source", stamp("l.polled_at").alias("polled_at"), "l.feed_polls")
+    newest = _newest(spark, state.feed_health_stream(polls), "health", "complete", ["source"])
+    return newest.select("source", stamp("polled_at").alias("polled_at"), "feed_polls")

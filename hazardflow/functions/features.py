@@ -50,7 +50,9 @@ def density_score(density: Column) -> Column:
 
 
 def prior_count_score(prior: Column) -> Column:
-    return F.least(F.coalesce(prior.cast("int"), F.lit(0)).cast("double") / _num(10), _num(1))
+    """Whole events out of ten, at most 1. The count is limited before it is truncated, so no value is too large."""
+    limited = F.least(F.coalesce(prior.cast("double"), _num(0)), _num(10))
+    return F.signum(limited) * F.floor(F.abs(limited)).cast("double") / _num(10)
 
 
 def network_degradation(magnitude: Column, event_type: Column) -> Column:

@@ -46,12 +46,13 @@ def shelter_km(lat: Column) -> Column:
 
 
 def hospital_count(lat: Column) -> Column:
-    return F.greatest(F.lit(1), (F.abs(lat) % _num(8)).cast("int") + F.lit(2))
+    """At least one; a latitude that is no number counts as none, so that a rejected row can still be looked at."""
+    return F.greatest(F.lit(1), (F.abs(lat) % _num(8)).try_cast("int") + F.lit(2))
 
 
 def affected_population(density: Column) -> Column:
-    """People within the radius who are affected, truncated."""
-    return (density * _num(math.pi) * _num(RADIUS_KM**2) * _num(AFFECTED_SHARE)).cast("bigint")
+    """People within the radius who are affected, truncated; null if the density is no number."""
+    return (density * _num(math.pi) * _num(RADIUS_KM**2) * _num(AFFECTED_SHARE)).try_cast("bigint")
 
 
 def composite_risk(vulnerability_score: Column, density: Column, lon: Column) -> Column:

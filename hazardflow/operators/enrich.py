@@ -116,7 +116,8 @@ def given_inputs(
     Density and vulnerability follow from the coordinates, so a bad coordinate stands for both, and a filter on
     them need not repeat the geographic formulas.
     """
-    point = F.col(lat) + F.col(lon)
+    # An infinite coordinate gives NaN, which is rejected; finite ones pass unchanged.
+    point = (F.col(lat) - F.col(lat)) + (F.col(lon) - F.col(lon))
     given = {"magnitude_or_wind_speed": F.col(magnitude), "population_density_at_center": point}
     if extra is None:
         return given

@@ -63,9 +63,14 @@ def feed_counters(polls: DataFrame) -> DataFrame:
 
 
 def error_counters(errors: DataFrame, totals: bool = False) -> DataFrame:
-    """Errors per source and type; with ``totals`` also per source and over all."""
-    grouped = errors.rollup("source", "error_type") if totals else errors.groupBy("source", "error_type")
-    return grouped.agg(F.count(F.lit(1)).alias("errors"))
+    """Errors per source and type; with ``totals`` also per source and over all.
+
+    ``level`` says what a row counts (0 one type, 1 a source, 3 all), so a null source is never mistaken for the total.
+    """
+    counts = F.count(F.lit(1)).alias("errors")
+    if not totals:
+        return errors.groupBy("source", "error_type").agg(counts)
+    return errors.rollup("source", "error_type").agg(counts, F.grouping_id().cast("int").alias("level"))
 
 
 def bucket_bound(latency_ms: Column) -> Column:

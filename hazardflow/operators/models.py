@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -135,13 +134,15 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """The saved model, or None when nothing is stored there (callers then use the untrained answers)."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:  # a missing path surfaces as a Py4J or analysis error
-        if isinstance(error, AnalysisException) or "does not exist" in str(error) or "FileNotFound" in str(error):
-            return None
-        raise
+    """The saved model, or None when the folder is not there (callers then use the untrained answers).
+
+    A folder that is there but cannot be read as a model is an error.
+    """
+    spark = SparkSession.active()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    return PipelineModel.load(path)
 
 
 def flatten_sequence(sequence: Column) -> Column:

@@ -71,7 +71,8 @@ def traffic_slots(versions: DataFrame) -> DataFrame:
     """Version per traffic slot; at most ``SLOTS`` rows however many versions exist.
 
     Slot ``k`` (the point ``k / 100``) goes to the first active version whose running weight reaches it;
-    slots past the end go to the last version, and a single active version takes them all.
+    slots past the end go to the last version, and a single active version takes them all. A version whose weight is too
+    small for a slot of its own fails the job; it would silently get no traffic.
     """
     order = Window.partitionBy(F.lit(0)).orderBy("position")
     guess = F.floor(F.col("cumulative_weight") * F.lit(100.0)).cast("bigint")
@@ -87,7 +88,10 @@ def traffic_slots(versions: DataFrame) -> DataFrame:
     )
     # Weights are not negative, so the highest slot taken so far is the running maximum.
     taken = F.coalesce(F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    spans = ends.withColumn("_lo", taken + 1).where(F.col("_hi") >= F.col("_lo"))
+    lost = (F.col("traffic_weight") > 0) & (F.col("_hi") <= taken) & (taken < SLOTS - 1)
+    message = F.concat(F.lit("traffic weight below one slot: "), F.col("version"))
+    checked = F.when(lost, F.raise_error(message).cast("bigint")).otherwise(taken + 1)
+    spans = ends.withColumn("_lo", checked).where(F.col("_hi") >= F.col("_lo"))
     return spans.select("version", F.explode(F.sequence("_lo", "_hi")).alias("slot"))
 
 

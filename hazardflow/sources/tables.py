@@ -9,12 +9,14 @@ from hazardflow.functions.decisions import sequence_valid
 
 
 def read_training_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Ten feature columns, severity and id; Parquet is preferred, CSV files need a header."""
-    reader = spark.read.schema(schemas.TRAINING_EVENT)
-    if fmt == "csv":
-        # Match columns by name, not by position.
-        return reader.option("header", "true").option("enforceSchema", "false").csv(path)
-    return reader.format(fmt).load(path)
+    """Ten feature columns, severity and id; Parquet is preferred, CSV files need a header.
+
+    CSV columns are found by name in any order. A field that is no number is null; a missing column is an error.
+    """
+    if fmt != "csv":
+        return spark.read.schema(schemas.TRAINING_EVENT).format(fmt).load(path)
+    texts = spark.read.option("header", "true").csv(path)
+    return texts.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schemas.TRAINING_EVENT])
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from hazardflow import dims
@@ -36,11 +36,11 @@ def bounded_batches(reader: DataStreamReader, files: int | None = None, offsets:
 
 
 def as_requests(events: DataFrame) -> DataFrame:
-    """Normalized feed events with the column names of triage requests; events without a point are left out.
+    """Normalized feed events with the column names of triage requests; events without a point on the globe are left out.
 
-    The clock of the event's own place decides the time-of-day feature.
+    The clock of the event's own place decides the time-of-day feature. See ``unplaced`` for the rest.
     """
-    placed = events.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    placed = events.where(on_globe())
     return placed.select(
         "event_id",
         "source",
@@ -54,6 +54,18 @@ def as_requests(events: DataFrame) -> DataFrame:
     )
 
 
+def on_globe() -> Column:
+    """Both coordinates there and in range; NaN and infinities are not."""
+    return F.coalesce(F.col("lat").between(-90.0, 90.0) & F.col("lon").between(-180.0, 180.0), F.lit(False))
+
+
+def unplaced(events: DataFrame) -> DataFrame:
+    """The events that ``as_requests`` leaves out, with the reason, for the quarantine."""
+    missing = F.col("lat").isNull() | F.col("lon").isNull()
+    reason = F.when(missing, F.lit("point missing")).otherwise(F.lit("point out of range"))
+    return events.where(~on_globe()).withColumn("problems", F.array(reason))
+
+
 def triage_rows(
     requests: DataFrame, model: PipelineModel | None, escalation: dict[int, PipelineModel] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -78,13 +90,15 @@ def rate_stream(
     window: str = "1 minute",
     slide: str | None = None,
     keys: list[str] | None = None,
-    lateness: str = LATENESS,
+    lateness: str | None = LATENESS,
 ) -> DataFrame:
     """Events and latency totals per window; rows later than the allowed lateness are dropped.
 
-    ``ts`` may be wall-clock time, which is read as UTC because watermarks need an instant.
+    Without a lateness no row is ever late: run it in ``update`` mode and keep the last row of each window; state then grows
+    by one row per window and key. ``ts`` may be wall-clock time, which is read as UTC because watermarks need an instant.
     """
-    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = timed if lateness is None else timed.withWatermark(ts, lateness)
     span = F.window(ts, window) if slide is None else F.window(ts, window, slide)
     grouped = timed.groupBy(*(keys or []), span.alias("w")).agg(
         F.count(F.lit(1)).alias("n"),
@@ -135,9 +149,19 @@ def poll(writer: DataStreamWriter) -> StreamingQuery:
     return writer.trigger(processingTime=POLL).start()
 
 
-def run_available(writer: DataStreamWriter, seconds: int = 600) -> list[dict]:
-    """Run a stream over everything that is there, stop, and return its progress reports."""
-    query = writer.trigger(availableNow=True).start()
+def run_available(spark: SparkSession, writer: DataStreamWriter, seconds: int = 600, empty_batches: bool = True) -> list[dict]:
+    """Run a stream over everything that is there, stop, and return its progress reports.
+
+    ``empty_batches=False`` is for operators on the cluster's clock, which would ask for another batch without end; those on
+    event time need the empty batch that follows a watermark.
+    """
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(empty_batches).lower())
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
     if not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError(f"stream not finished after {seconds} seconds")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
@@ -28,47 +27,59 @@ def _ordered(rows: Iterator[pd.DataFrame], extra: str) -> tuple[np.ndarray, np.n
     return ids[order], times[order], values[order]
 
 
+def reuse_sources(
+    ids: np.ndarray, times: np.ndarray, clears: np.ndarray, limit: int, put: int | None, source: int | None
+) -> tuple[np.ndarray, int | None, int | None]:
+    """For rows in time order, whose prediction each takes; and the scored row that stands at the end.
+
+    A row older than the scored row before the first one is late: it is scored itself and changes nothing. Each step jumps
+    to the first row that is past the limit, so the steps number the scored rows.
+    """
+    sources = ids.copy()
+    late = 0 if put is None else int(np.searchsorted(times, put, side="left"))
+    edges = np.append(np.flatnonzero(clears), len(ids))
+    begin = late
+    for edge in edges.tolist():
+        while begin < edge:
+            if put is None or times[begin] - put > limit:
+                put, source = int(times[begin]), int(ids[begin])
+            end = min(edge, int(np.searchsorted(times, put + limit, side="right")))
+            sources[begin:end] = source
+            begin = end
+        if edge < len(ids) and edge >= late:  # a late invalidation is about an older prediction
+            put = source = None
+            begin = edge + 1
+    return sources, put, source
+
+
 class ReuseWithinLimit(StatefulProcessor):
     """Per key, the last scored row's time and id; rows within the limit take that id.
 
-    Rows of a micro-batch are handled in time order. A tombstone row (``invalidate`` true) clears the key. An
-    event-time timer clears keys that cannot be reused any more.
+    Rows of a micro-batch are handled in time order, whatever files they came in. A row that is older than what
+    earlier batches have decided is answered as a scored row of its own: it takes no later row's answer and leaves
+    the state alone. No row is ever left out. A tombstone row (``invalidate`` true) clears the key. State that is not renewed
+    is dropped after a time to live on the cluster's clock.
     """
 
-    def __init__(self, ttl_us: int) -> None:
-        self._ttl_us = ttl_us
+    def __init__(self, ttl_us: int, keep_ms: int) -> None:
+        self._ttl_us, self._keep_ms = ttl_us, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._scored = handle.getValueState("scored", "put_us long, source_id long")
+        self._scored = handle.getValueState("scored", "put_us long, source_id long", ttlDurationMs=self._keep_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ids, times, clears = _ordered(rows, "invalidate")
-        put, source = self._scored.get() or (None, None)
-        before = put
-        sources = np.empty(len(ids), dtype=np.int64)
-        for i, (us, row_id, clear) in enumerate(zip(times.tolist(), ids.tolist(), clears.tolist(), strict=True)):
-            if clear:
-                put = source = None
-            elif put is None or us - put > self._ttl_us:
-                put, source = us, row_id
-            sources[i] = -1 if clear else source
-        if put is None and before is not None:
-            self._scored.clear()
-        elif put != before:
-            self._scored.update((put, source))
-            self._handle.registerTimer((put + self._ttl_us) // 1000 + 1)
-        kept = ~clears.astype(bool)
-        ids, sources = ids[kept], sources[kept]
+        clears = clears.astype(bool)
+        before = self._scored.get() or (None, None)
+        sources, *after = reuse_sources(ids, times, clears, self._ttl_us, *before)
+        if tuple(after) != tuple(before):
+            if after[0] is None:
+                self._scored.clear()
+            else:
+                self._scored.update(tuple(after))
+        ids, sources = ids[~clears], sources[~clears]
         yield pd.DataFrame({"id": ids, "source_id": sources, "reused": ids != sources})
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        # A timer of an earlier scored row leaves the newer one alone.
-        held = self._scored.get()
-        if held is not None and (held[0] + self._ttl_us) // 1000 < expiredTimerInfo.getExpiryTimeInMs():
-            self._scored.clear()
-        return iter([])
-
     def close(self) -> None:
         pass
 
@@ -79,29 +90,40 @@ def reuse_stream(
     ts: str = "ts",
     row_id: str = "seq",
     ttl_seconds: int = dims.REUSE_TTL_SECONDS,
-    lateness: str = "0 seconds",
+    keep_hours: int = 24,
     invalidate: str | None = None,
 ) -> DataFrame:
     """Each request with the id of the row whose prediction it takes. Invalidation is a row, clearing a new checkpoint.
 
-    State is one time and id per key. Rows of a key that arrive in one micro-batch are ordered by time.
+    State is one time and id per key, kept for ``keep_hours`` on the cluster's clock after it was last written (the
+    limit itself if that is longer). There is no watermark, so as many rows come out as go in, invalidations apart.
     """
     clear = F.lit(False) if invalidate is None else F.coalesce(F.col(invalidate), F.lit(False))
     rows = requests.select(
-        *keys,
-        F.col(row_id).cast("bigint").alias("id"),
-        micros(F.col(ts)).alias("us"),
-        F.col(ts).cast("timestamp").alias("event_time"),
-        clear.alias("invalidate"),
-    ).withWatermark("event_time", lateness)
+        *keys, F.col(row_id).cast("bigint").alias("id"), micros(F.col(ts)).alias("us"), clear.alias("invalidate")
+    )
+    limit = ttl_seconds or dims.REUSE_TTL_SECONDS
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=ReuseWithinLimit((ttl_seconds or dims.REUSE_TTL_SECONDS) * MICROS),
+        statefulProcessor=ReuseWithinLimit(limit * MICROS, max(limit, keep_hours * 3600) * 1000),
         outputStructType="id long, source_id long, reused boolean",
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime",
     )
 
 
+def window_drifts(codes: np.ndarray, shares: np.ndarray, window: int) -> np.ndarray:
+    """For every full window of ``window`` labels, how far each class's share is from its baseline.
+
+    Row ``i`` belongs to the window that ends at label ``window - 1 + i``; codes of unknown labels are negative.
+    """
+    full = max(0, len(codes) - window + 1)
+    out = np.empty((full, len(shares)))
+    for c, share in enumerate(shares):
+        seen = np.concatenate([[0], np.cumsum(codes == c)])
+        out[:, c] = np.abs((seen[window:] - seen[:-window])[:full] / window - share) if full else 0
+    return out
+
+
 class LastLabelsDrift(StatefulProcessor):
     """Per key, the last N labels; an alert row for each label once the window is full and drifted."""
 
@@ -115,29 +137,28 @@ class LastLabelsDrift(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         ids, _, labels = _ordered(rows, "label")
-        last = deque((r[0] for r in self._labels.get()) if self._labels.exists() else ())
-        counts = dict.fromkeys(self._shares, 0)
-        for label in last:
-            if label in counts:
-                counts[label] += 1
-        alerts = []
-        for row_id, label in zip(ids.tolist(), labels.tolist(), strict=True):
-            last.append(label)
-            if label in counts:
-                counts[label] += 1
-            if len(last) > self._window:
-                gone = last.popleft()
-                if gone in counts:
-                    counts[gone] -= 1
-            if len(last) == self._window and counts:
-                drifts = {c: abs(counts[c] / self._window - s) for c, s in self._shares.items()}
-                worst = max(drifts, key=drifts.__getitem__)
-                if drifts[worst] >= self._warning:
-                    level = "CRITICAL" if drifts[worst] >= self._critical else "WARNING"
-                    alerts.append((key[0], int(row_id), worst, drifts[worst], level))
-        self._labels.put([(label,) for label in last])
-        columns = ["key", "id", "severity_class", "drift_magnitude", "severity"]
-        yield pd.DataFrame(alerts, columns=columns).astype({"id": "int64", "drift_magnitude": "float64"})
+        last = [r[0] for r in self._labels.get()] if self._labels.exists() else []
+        both = np.concatenate([np.array(last, dtype=object), labels])
+        classes = list(self._shares)
+        codes = pd.Categorical(both, categories=classes).codes
+        drifts = window_drifts(codes, np.array([self._shares[c] for c in classes]), self._window)
+        # The first window can end inside the state; its alert has been given.
+        drifts = drifts[max(0, len(drifts) - len(ids)) :]
+        self._labels.put([(label,) for label in both[-self._window :]])
+        if not classes or not len(drifts):
+            return
+        worst = drifts.argmax(axis=1)
+        size = drifts[np.arange(len(drifts)), worst]
+        hit = np.flatnonzero(size >= self._warning)
+        yield pd.DataFrame(
+            {
+                "key": key[0],
+                "id": ids[len(ids) - len(drifts) :][hit],
+                "severity_class": np.array(classes, dtype=object)[worst[hit]],
+                "drift_magnitude": size[hit],
+                "severity": np.where(size[hit] >= self._critical, "CRITICAL", "WARNING"),
+            }
+        ).astype({"id": "int64", "drift_magnitude": "float64"})
 
     def close(self) -> None:
         pass
@@ -154,7 +175,11 @@ def drift_stream(
     warning: float = dims.DRIFT_WARNING,
     critical: float = dims.DRIFT_CRITICAL,
 ) -> DataFrame:
-    """Drift alerts per key. State is the last ``window`` labels of each key."""
+    """Drift alerts per key. State is the last ``window`` labels of each key.
+
+    A key is one ordered sequence of labels and so one task: choose keys that split the stream. Labels are ordered by time inside a
+    micro-batch and by arrival across micro-batches; none is left out.
+    """
     rows = predictions.select(
         F.col(key).cast("string").alias("key"),
         F.col(row_id).cast("bigint").alias("id"),

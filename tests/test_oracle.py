@@ -4,8 +4,9 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from hazardflow.checks import load
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load().QUERIES, load().ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -1,9 +1,11 @@
 """Streams over split files give what the batch operators give on the whole."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hazardflow import dims
+from hazardflow.checks import load
 from hazardflow.checks.fixtures import HAZARD_EVENTS, hazard_events
 from hazardflow.operators import drift, feeds, reuse
 from hazardflow.operators.enrich import geo_risk
@@ -37,14 +39,14 @@ def split_stream(spark, parts):
     return spark.sql(HAZARD_EVENTS.replace("FROM events", "FROM {src}"), src=reader.parquet(f"{parts}/part=*"))
 
 
-def finish(spark, frame, folder, mode="append"):
+def finish(spark, frame, folder, mode="append", empty_batches=False):
     writer = (
         frame.writeStream.format("parquet")
         .option("path", str(folder / "out"))
         .option("checkpointLocation", str(folder / "checkpoint"))
         .outputMode(mode)
     )
-    progress = jobs.run_available(writer)
+    progress = jobs.run_available(spark, writer, 120, empty_batches)
     return spark.read.schema(frame.schema).parquet(str(folder / "out")), progress
 
 
@@ -68,6 +70,72 @@ def test_reuse_stream_equals_batch(spark, small, parts, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
 
 
+def mixed(spark, table, folder, files=24):
+    """A table's rows dealt out to files at random."""
+    dealt = spark.read.parquet(table).orderBy(F.xxhash64("event_id", F.lit(files))).repartition(files)
+    dealt.write.parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_reuse", "stream_drift", "stream_rates"])
+def test_same_answer_for_any_file_layout(spark, tmp_path, name):
+    """One file and 24 files of randomly mixed rows."""
+    sf = "/root/testdata/sf0.01"
+    query = load().QUERIES[name]
+    one = sorted(map(tuple, query(spark, sf).collect()))
+    many = sorted(map(tuple, query(spark, mixed(spark, f"{sf}/events.parquet", tmp_path)).collect()))
+    assert one == many and len(one) > 100
+
+
+def test_disorder_across_batches_loses_no_row(spark, small, tmp_path):
+    """Late rows are answered, by themselves or by a row at most the limit older, and never by a later one."""
+    state.use_rocksdb(spark)
+    folder = mixed(spark, f"{small}/events.parquet", tmp_path, files=6)
+    schema = spark.read.parquet(f"{small}/events.parquet").schema
+    reader = jobs.bounded_batches(spark.readStream, files=1).schema(schema).parquet(f"{folder}/events.parque[t]")
+    events = spark.sql(HAZARD_EVENTS.replace("FROM events", "FROM {src}"), src=reader)
+    marked = state.reuse_stream(events, ["sensor_id", "event_type"], ttl_seconds=86400)
+    found, progress = finish(spark, marked, tmp_path / "out")
+    assert sum(p["numInputRows"] > 0 for p in progress) == 6
+    times = {r.seq: r.us for r in hazard_events(spark, small).select("seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).collect()}
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == sorted(times)
+    assert all(0 <= times[r.id] - times[r.source_id] <= 86_400_000_000 for r in rows)
+    assert any(r.reused for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_reuse_steps_equal_row_by_row(seed):
+    rng = np.random.default_rng(seed)
+    n, limit = 60, 50
+    times = np.sort(rng.integers(0, 800, n))
+    ids, clears = np.arange(n), rng.random(n) < 0.1
+    put, source = (None, None) if seed % 3 == 0 else (int(rng.integers(0, 400)), 999)
+    want, p, s = [], put, source
+    for i in range(n):
+        if p is not None and put is not None and times[i] < put:
+            want.append(i)
+        elif clears[i]:
+            p = s = None
+            want.append(i)
+        else:
+            if p is None or times[i] - p > limit:
+                p, s = int(times[i]), i
+            want.append(s)
+    got, *after = state.reuse_sources(ids, times, clears, limit, put, source)
+    assert got[~clears].tolist() == np.array(want)[~clears].tolist() and after == [p, s]
+
+
+def test_drift_windows_equal_counts():
+    rng = np.random.default_rng(1)
+    codes, shares = rng.integers(-1, 4, 200), np.array([0.1, 0.2, 0.3, 0.4])
+    got = state.window_drifts(codes, shares, 30)
+    for i in range(171):
+        own = codes[i : i + 30]
+        assert np.allclose(got[i], [abs((own == c).mean() - shares[c]) for c in range(4)])
+    assert state.window_drifts(codes[:10], shares, 30).shape == (0, 4)
+
+
 def test_reuse_stream_invalidation(spark, tmp_path):
     state.use_rocksdb(spark)
     rows = [(1, 100, False), (2, 110, False), (3, 120, True), (4, 130, False), (5, 140, False)]
@@ -101,7 +169,7 @@ def test_rates_and_late_rows(spark, tmp_path):
         frame.coalesce(1).write.parquet(str(source / f"part={name}"))
     reader = spark.readStream.schema(f"{columns}, ts timestamp").option("maxFilesPerTrigger", 1)
     rates = jobs.rate_stream(reader.parquet(str(source / "part=*")))
-    found, progress = finish(spark, rates, tmp_path)
+    found, progress = finish(spark, rates, tmp_path, empty_batches=True)
     assert {(r.window_start.minute, r.n, r.total_ms, r.le_1) for r in found.collect()} == {
         (0, 1, 1.0, 1), (1, 1, 5.0, 0), (23, 2, 11.0, 0)
     }
@@ -132,7 +200,7 @@ def test_status_upsert(spark, parts, tmp_path):
         polls.writeStream.option("checkpointLocation", str(tmp_path / "checkpoint"))
         .foreachBatch(jobs.upsert_status(str(tmp_path / "status"), feeds.merge_status))
     )
-    jobs.run_available(writer)
+    jobs.run_available(spark, writer)
     versions = sorted((tmp_path / "status").glob("version=*"))
     last = spark.read.parquet(str(versions[-1]))
     events = spark.read.parquet(f"{parts}/part=*")
@@ -148,5 +216,5 @@ def test_feed_health(spark, parts, tmp_path):
         .option("checkpointLocation", str(tmp_path / "checkpoint"))
         .foreachBatch(lambda batch, _: kept.append({r.source: r.feed_polls for r in batch.collect()}))
     )
-    jobs.run_available(writer)
+    jobs.run_available(spark, writer)
     assert sum(kept[-1].values()) == spark.read.parquet(f"{parts}/part=*").count()
