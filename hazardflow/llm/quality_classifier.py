@@ -127,7 +127,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     parts = _summed(docs.mapInArrow(run, "chunk int, part int, sums binary"), ["chunk", "part"])
     whole = _summed(parts, ["chunk"])
     table = np.zeros((VOCABULARY, DIMS))
-    for row in whole.toLocalIterator():  # VOCABULARY / CHUNK_ROWS rows
+    for row in whole.collect():  # VOCABULARY / CHUNK_ROWS rows, 4 MB in all
         table[row["chunk"] * CHUNK_ROWS : (row["chunk"] + 1) * CHUNK_ROWS] = np.frombuffer(row["sums"]).reshape(-1, DIMS)
     length = np.sqrt((table * table).sum(axis=1, keepdims=True))
     return (table / np.where(length > 0, length, 1)).astype(np.float32)
