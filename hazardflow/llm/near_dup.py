@@ -5,9 +5,9 @@
 2. Nodes that agree in a band share a bucket. A bucket is never expanded into pairs: its members are compared with
    a few centers, the least members under fixed random orders.
 3. Pairs whose signatures agree enough are confirmed on full sets, around one center at a time, in groups of bounded size.
-4. Components of the confirmed links. Where a bucket still spans several components, rounds with other centers
-   follow; then its members outside the first component are compared with all others, in blocks. So no link that the bands
-   offer is lost, and a large group of copies costs work in proportion to its size.
+4. Components of the confirmed links. Where a bucket still spans several components, its members outside the most
+   frequent one are compared with all others, in blocks; as long as that would be much work, rounds with other centers come first.
+   So no link that the bands offer is lost, and a large group of copies costs work in proportion to its size.
 """
 
 from __future__ import annotations
@@ -30,7 +30,10 @@ MINIMA = BANDS * ROWS
 AGREE = int(0.69 * MINIMA)
 PERCENT = 85
 CENTERS = 3
-STAR_ROUNDS = 3
+# Rounds with other centers go on while the blocks would compare more rows than this times the bands' rows, up to
+# so many; the blocks come last in any case.
+BLOCK_SHARE = 0.5
+MAX_TURNS = 6
 # Shingles that are compared with one center in a group; members of a bucket in one block.
 GROUP_SHINGLES = 20_000
 BLOCK = 256
@@ -71,19 +74,26 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, MINIMA)
 
 
+_FOLD = _mix(np.arange(5001, ROWS + 5001, dtype=np.uint64)) | np.uint64(1)
+_SALT = _mix(np.arange(9001, BANDS + 9001, dtype=np.uint64))
+
+
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A key for each band of each signature; it holds the band's number and minima."""
+    minima = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
+    return _mix((_mix(minima + np.uint64(1)) * _FOLD).sum(axis=2, dtype=np.uint64) + _SALT).view(np.int64)
+
+
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """``key, node``: one row per node and band; the key holds the band and its minima."""
-    fold = _mix(np.arange(5001, ROWS + 5001, dtype=np.uint64)) | np.uint64(1)
-    salt = _mix(np.arange(9001, BANDS + 9001, dtype=np.uint64))
+    """``key, node``: one row per node and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                minima = signatures(batch.column("sig")).astype(np.uint64).reshape(-1, BANDS, ROWS)
-                keys = _mix((_mix(minima + np.uint64(1)) * fold).sum(axis=2, dtype=np.uint64) + salt)
+                keys = band_keys(signatures(batch.column("sig")))
                 nodes_ = np.repeat(batch.column("node").to_numpy(), BANDS)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1).view(np.int64)), pa.array(nodes_)], ["key", "node"]
+                    [pa.array(keys.reshape(-1)), pa.array(nodes_)], ["key", "node"]
                 )
 
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
@@ -131,6 +141,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u, v`` among ``center, node, n`` pairs: full sets meet around their center.
 
+    The pairs should be a written table, since their totals are needed first.
+
     A center with many members gets several groups, each with a copy of the center's text and members of
     ``GROUP_SHINGLES`` shingles or one larger member.
     """
@@ -165,7 +177,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])
 
-    return placed.mapInArrow(run, "u long, v long").distinct()
+    return placed.mapInArrow(run, "u long, v long")
 
 
 def spanning(bands: DataFrame, labels: DataFrame) -> DataFrame:
@@ -177,10 +189,17 @@ def spanning(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
+def block_rows(members: DataFrame) -> int:
+    """How many rows the blocks would compare with their members."""
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    probes = counts.groupBy("key").agg(((F.sum("c") - F.max("c")) * F.ceil(F.sum("c") / BLOCK)).alias("rows"))
+    return probes.agg(F.sum("rows")).first()[0] or 0
+
+
 def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Agreeing pairs across components of each bucket, found in blocks of signatures; only those are emitted.
 
-    The members outside the bucket's most frequent component meet all members. ``part`` spreads a large bucket.
+    A pair that shares several buckets is emitted in that of its first common band. The members outside the bucket's most frequent component meet all members. ``part`` spreads a large bucket.
     """
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(
@@ -209,8 +228,12 @@ def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
                     stacked = tuple(np.array(c) for c in zip(*block)) if block else ()
                 if block:
                     sizes = 100 * np.minimum(stacked[2], n) >= PERCENT * np.maximum(stacked[2], n)
-                    alike = (stacked[1] != comp) & sizes & ((stacked[3] == sigs[i]).sum(axis=1) >= AGREE)
-                    found += [(x, node, n) for x in stacked[0][alike].tolist()]
+                    same = stacked[3] == sigs[i]
+                    alike = np.flatnonzero((stacked[1] != comp) & sizes & (same.sum(axis=1) >= AGREE))
+                    if len(alike):
+                        own_band = int(np.flatnonzero(band_keys(sigs[i])[0] == key)[0])
+                        first = same[alike].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == own_band
+                        found += [(x, node, n) for x in stacked[0][alike[first]].tolist()]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["center", "node", "n"])
 
@@ -232,10 +255,10 @@ def near_duplicates(
     own = sketches.select("doc_id", "n", "h1", "h2")
     sets = own.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"))
     members = stored(
-        own.join(sets, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("node", "doc_id").alias("node")),
+        own.join(sets, ["n", "h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")),
         "members",
     )
-    heads = members.where("node = doc_id and n_shingles > 0").select("node").distinct()
+    heads = members.where("node = doc_id and n_shingles > 0").select("node")
     nodes = stored(
         sketches.withColumnRenamed("doc_id", "node").join(heads, "node", "left_semi").select("node", "n", "sig")
         .dropDuplicates(["node"]),
@@ -246,23 +269,24 @@ def near_duplicates(
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bands = stored(bands.join(shared, "key"), "bands")
 
-    pairs = star_pairs(bands, list(range(CENTERS)))
-    links = stored(confirmed(agreeing(pairs, nodes), texts, words, percent), "links")
-    labels = stored(components(links), "labels")
-    for turn in range(1, STAR_ROUNDS + 1):
+    def links_of(pairs: DataFrame) -> DataFrame:
+        return confirmed(stored(pairs, "pairs"), texts, words, percent)
+
+    labels = stored(components(stored(links_of(agreeing(star_pairs(bands, list(range(CENTERS))), nodes)), "links")), "labels")
+    most, turn, done = BLOCK_SHARE * bands.count(), 1, False
+    while not done:
         left = stored(spanning(bands, labels), "spanning")
-        if left.isEmpty():
+        rows = block_rows(left)
+        if not rows:
             break
-        if turn < STAR_ROUNDS:
-            seeds = list(range(turn * CENTERS, (turn + 1) * CENTERS))
-            found = agreeing(star_pairs(left, seeds), nodes)
-        else:
-            found = block_pairs(left, nodes)
-        more = stored(confirmed(found, texts, words, percent), "links")
-        links = links.unionByName(more)
-        labels = stored(components(links), "labels")
-
-    named = members.join(labels, "node", "left") if labels is not None else members
+        done = rows <= most or turn == MAX_TURNS
+        found = block_pairs(left, nodes) if done else agreeing(star_pairs(left, list(range(turn * CENTERS, (turn + 1) * CENTERS))), nodes)
+        more = stored(links_of(found), "links")
+        known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        labels = stored(components(known.unionByName(more)), "labels")
+        turn += 1
+
+    named = members.join(labels, "node", "left")
     component = F.coalesce("component", "node")
     return named.select(
         "doc_id", "n_shingles", component.alias("component_id"),
