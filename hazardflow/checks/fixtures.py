@@ -73,6 +73,7 @@ REGISTRATIONS = """
 SELECT CONCAT('v', CAST(o_custkey % 40 AS VARCHAR(10))) AS version,
   CASE WHEN o_orderstatus = 'F' THEN 'classifier' ELSE 'escalation' END AS model_type,
   CAST(o_orderkey % 50 AS DOUBLE) AS traffic_weight, o_custkey % 7 <> 0 AS is_active,
+  CONCAT('release ', CAST(o_orderkey % 9 AS VARCHAR(10))) AS description,
   o_orderdate AS registered_at, CAST(o_orderkey AS BIGINT) AS seq
 FROM orders
 """

@@ -606,7 +606,7 @@ _REGISTRY = """ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY version ORDE
     ROW_NUMBER() OVER (PARTITION BY version ORDER BY registered_at, seq) AS fn FROM registrations),
   firsts AS (SELECT version, seq AS first_seq, ROW_NUMBER() OVER (ORDER BY registered_at, seq) AS position
     FROM ranked WHERE fn = 1),
-  versions AS (SELECT r.version, r.model_type, CASE WHEN f.position = 1 AND r.seq = f.first_seq THEN 100::DOUBLE
+  versions AS (SELECT r.version, r.model_type, r.description, CASE WHEN f.position = 1 AND r.seq = f.first_seq THEN 100::DOUBLE
     ELSE r.traffic_weight END AS traffic_weight, r.is_active, r.registered_at, f.position, f.position = 1 AS is_default
     FROM ranked r JOIN firsts f ON r.version = f.version WHERE r.rn = 1)"""
 
@@ -618,7 +618,7 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "version_registration",
     with_views(
-        f"""{_REGISTRY} SELECT version, model_type, traffic_weight, is_active, position, is_default,
+        f"""{_REGISTRY} SELECT version, model_type, description, traffic_weight, is_active, position, is_default,
         {sql_stamp('registered_at')} AS registered_at FROM versions""",
         "registrations",
     ),
@@ -715,7 +715,7 @@ def forced_version(spark: SparkSession, sf: str) -> DataFrame:
     "version_listing",
     with_views(
         f"""{_REGISTRY}, {_PROMOTE}, {_CUMULATIVE}, {_ASSIGN}, {_SERVED}
-        SELECT p.version, v.model_type, {sql_round('p.traffic_weight')} AS traffic_weight, p.is_active, p.is_default,
+        SELECT p.version, v.model_type, v.description, {sql_round('p.traffic_weight')} AS traffic_weight, p.is_active, p.is_default,
         CAST((SELECT COUNT(*) FROM served s WHERE s.served_version = p.version) AS BIGINT) AS prediction_count
         FROM promoted p JOIN versions v ON p.version = v.version""",
         *_SPLIT_VIEWS,

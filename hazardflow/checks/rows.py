@@ -107,7 +107,8 @@ def event_type_code(spark: SparkSession, sf: str) -> DataFrame:
 def event_type_code_texts(spark: SparkSession, sf: str) -> DataFrame:
     """The code of whole free texts, where hazard words occur anywhere or not at all."""
     documents = table(spark, sf, "documents")
-    return documents.select("doc_id", r6(features.event_type_code(F.col("text"))).alias("code"))
+    lowered = documents.select("doc_id", "text", F.lower("text").alias("lower"))
+    return lowered.select("doc_id", r6(features.event_type_code(F.col("text"), F.col("lower"))).alias("code"))
 
 
 _SHA = _NIBBLES.format(h="sha256(t)")
@@ -618,11 +619,13 @@ def sequence_validity(spark: SparkSession, sf: str) -> DataFrame:
         F.expr("seq % 8 <> 7"), F.array_repeat(F.array_repeat("value", F.expr(_WIDTH)), F.expr(_LENGTH))
     )
     rows = hazard_events(spark, sf).select("event_id", sequence.alias("s"))
-    used = decisions.sequence_or_zeros(F.col("s"))
+    # One check of the shape per row, used three times.
+    checked = rows.select("event_id", "s", decisions.sequence_valid(F.col("s")).alias("valid"))
+    used = decisions.sequence_or_zeros(F.col("s"), F.col("valid"))
     total = F.aggregate(F.flatten(used), F.lit(0.0), lambda acc, x: acc + x)
-    return rows.select(
+    return checked.select(
         "event_id",
-        decisions.sequence_valid(F.col("s")).alias("valid"),
+        "valid",
         r6(total).alias("total"),
         F.size(used).cast("bigint").alias("steps"),
     )

@@ -57,9 +57,10 @@ def sequence_valid(sequence: Column) -> Column:
     return F.coalesce((F.size(sequence) == dims.SEQUENCE_STEPS) & right_width, F.lit(False))
 
 
-def sequence_or_zeros(sequence: Column) -> Column:
+def sequence_or_zeros(sequence: Column, valid: Column | None = None) -> Column:
+    """The sequence, or zeros of the full shape; ``valid`` is the shape's verdict if it is there already."""
     zero_row = F.array_repeat(F.lit(0.0), dims.SEQUENCE_WIDTH)
-    return F.when(sequence_valid(sequence), sequence).otherwise(F.array_repeat(zero_row, dims.SEQUENCE_STEPS))
+    return F.when(sequence_valid(sequence) if valid is None else valid, sequence).otherwise(F.array_repeat(zero_row, dims.SEQUENCE_STEPS))
 
 
 def feature_key(names: list[str]) -> Column:

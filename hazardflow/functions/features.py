@@ -5,26 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from hazardflow import dims
-from hazardflow.functions.text import bind, digest_mod, strip
+from hazardflow.functions.text import digest_mod, strip
 
 
 def _num(value: float) -> Column:
     return F.lit(float(value))
 
 
-def event_type_code(event_type: Column) -> Column:
+def event_type_code(event_type: Column, lower: Column | None = None) -> Column:
     """Position of the first hazard word found in the text, else a digest bucket, over 15.
 
-    The lower-case text is bound once for all 15 searches. The words neither start nor end with white space,
-    so only the digest needs the stripped text.
+    Give ``lower``, a column of the lower-case text made by an earlier projection, for many or long texts: it is then made
+    once, and all 15 searches run as generated code. The words neither start nor end with white space, so only the
+    digest needs the stripped text; few rows come that far.
     """
-
-    def code(text: Column) -> Column:
-        known = [F.when(text.contains(word), F.lit(i)) for i, word in enumerate(dims.EVENT_TYPES)]
-        digest = bind(F.md5(strip(text)), lambda h: digest_mod(h, 32, len(dims.EVENT_TYPES)))
-        return F.coalesce(*known, digest)
-
-    return bind(F.lower(event_type), code).cast("double") / _num(len(dims.EVENT_TYPES))
+    text = F.lower(event_type) if lower is None else lower
+    known = [F.when(text.contains(word), F.lit(i)) for i, word in enumerate(dims.EVENT_TYPES)]
+    digest = digest_mod(F.md5(strip(text)), 32, len(dims.EVENT_TYPES))
+    return F.coalesce(*known, digest).cast("double") / _num(len(dims.EVENT_TYPES))
 
 
 def event_type_bucket(event_type: Column) -> Column:
@@ -33,16 +31,17 @@ def event_type_bucket(event_type: Column) -> Column:
 
 
 def _has(event_type: Column, *words: str) -> Column:
+    """Whether a lower-case text holds one of the words."""
     found = F.lit(False)
     for word in words:
-        found = found | F.lower(event_type).contains(word)
+        found = found | event_type.contains(word)
     return found
 
 
 def magnitude_score(magnitude: Column, event_type: Column) -> Column:
     """Share of the scale: 10 for earthquakes, 200 knots otherwise. Negative values stay negative."""
     value = F.coalesce(magnitude, _num(0))
-    return F.least(F.when(_has(event_type, "earthquake"), value / _num(10)).otherwise(value / _num(200)), _num(1))
+    return F.least(F.when(_has(F.lower(event_type), "earthquake"), value / _num(10)).otherwise(value / _num(200)), _num(1))
 
 
 def density_score(density: Column) -> Column:
@@ -57,7 +56,7 @@ def prior_count_score(prior: Column) -> Column:
 
 def network_degradation(magnitude: Column, event_type: Column) -> Column:
     base = F.least(F.coalesce(magnitude, _num(0)) / _num(8), _num(1))
-    severe = _has(event_type, "earthquake", "tsunami", "hurricane")
+    severe = _has(F.lower(event_type), "earthquake", "tsunami", "hurricane")
     return F.when(severe, F.least(base * _num(1.4), _num(1))).otherwise(base * _num(0.7))
 
 
@@ -82,7 +81,7 @@ def hospital_score(lat: Column) -> Column:
 def weather_compounding(magnitude: Column, event_type: Column) -> Column:
     value = F.coalesce(magnitude, _num(0))
     return F.when(
-        _has(event_type, "wildfire", "hurricane"), F.least(_num(0.3) + value / _num(15), _num(1))
+        _has(F.lower(event_type), "wildfire", "hurricane"), F.least(_num(0.3) + value / _num(15), _num(1))
     ).otherwise(_num(0.2))
 
 
@@ -95,13 +94,14 @@ def model_features(
     prior: Column | None = None,
     density: Column | None = None,
     vulnerability: Column | None = None,
+    lower: Column | None = None,
 ) -> dict[str, Column]:
-    """All ten features in vector order, ready for one ``withColumns``."""
+    """All ten features in vector order, ready for one ``withColumns``. ``lower``: see ``event_type_code``."""
     prior = F.lit(0) if prior is None else prior
     density = _num(1000) if density is None else density
     vulnerability = _num(dims.DEFAULT_VULNERABILITY) if vulnerability is None else vulnerability
     columns = [
-        event_type_code(event_type),
+        event_type_code(event_type, lower),
         magnitude_score(magnitude, event_type),
         density_score(density),
         vulnerability,

@@ -88,8 +88,10 @@ def feature_vector(
         optional(prior),
         optional(density),
         optional(vulnerability),
+        F.col("_lower_type"),
     )
-    return events.withColumns({f"{prefix}{name}": column for name, column in columns.items()})
+    lowered = events.withColumn("_lower_type", F.lower(F.col(event_type)))
+    return lowered.withColumns({f"{prefix}{name}": column for name, column in columns.items()}).drop("_lower_type")
 
 
 def raw_inputs(

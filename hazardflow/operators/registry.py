@@ -14,13 +14,14 @@ SLOTS = 10_000
 
 
 def register(log: DataFrame) -> DataFrame:
-    """Current registry from a log ``(version, model_type, traffic_weight, is_active, registered_at, seq)``.
+    """Current registry from a log ``(version, model_type, description, traffic_weight, is_active, registered_at, seq)``.
 
     A later registration of a version replaces the earlier one but keeps its place. The very first
     registration gets weight 100 and makes its version the default; other weights are not rebalanced.
     """
     order = F.struct("registered_at", "seq")
-    fields = F.struct("model_type", "traffic_weight", "is_active", "registered_at", "seq")
+    description = F.col("description") if "description" in log.columns else F.lit("")
+    fields = F.struct("model_type", description.alias("description"), "traffic_weight", "is_active", "registered_at", "seq")
     latest = log.groupBy("version").agg(F.max_by(fields, order).alias("l"), F.min(order).alias("_first"))
     very_first = F.min("_first").over(Window.partitionBy())
     ranked = latest.withColumn("_start", very_first)
@@ -29,6 +30,7 @@ def register(log: DataFrame) -> DataFrame:
     return numbered.select(
         "version",
         F.col("l.model_type").alias("model_type"),
+        F.coalesce("l.description", F.lit("")).alias("description"),
         F.when(own == F.col("_start"), F.lit(100.0)).otherwise(F.col("l.traffic_weight")).alias("traffic_weight"),
         F.col("l.is_active").alias("is_active"),
         F.col("l.registered_at").alias("registered_at"),
