@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 800_000
 BATCH_CHARS = 4_000_000
 ID_BYTES = 4
 
@@ -63,12 +63,9 @@ class _Pieces(dict):
         return self._marks[marks]
 
     def __missing__(self, piece: str) -> bytes | None:
-        parts = self._PARTS.fullmatch(piece)
-        if len(piece.split()) != 1 or piece.strip("\n") != piece.strip():
-            found = None
-        elif parts is None:
-            found = b"".join([self._ids(w) for w, _ in self._split(piece if piece[0] == "\n" else " " + piece)])
-        else:
+        if piece.isascii() and piece.isalpha():  # most pieces: one word
+            found = self._ids("\u0120" + piece)
+        elif (parts := self._PARTS.fullmatch(piece)) and piece not in ("", "\n"):
             line, word, marks = parts.groups()
             if line:
                 found = self._marked(line) + (self._spelled(word) if word else b"") + (self._marked(marks) if marks else b"")
@@ -76,6 +73,10 @@ class _Pieces(dict):
                 found = self._marked(" " + marks)
             else:
                 found = self[word] + self._marked(marks) if marks else self._spelled(" " + word)
+        elif len(piece.split()) != 1 or piece.strip("\n") != piece.strip():
+            found = None
+        else:
+            found = b"".join([self._ids(w) for w, _ in self._split(piece if piece[0] == "\n" else " " + piece)])
         self[piece] = found
         return found
 
