@@ -15,8 +15,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 800_000
-BATCH_CHARS = 4_000_000
+CACHE_ENTRIES = 400_000
+BATCH_CHARS = 1_000_000
 ID_BYTES = 4
 
 

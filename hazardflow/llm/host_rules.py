@@ -115,9 +115,15 @@ def shrunken_rates(counts: DataFrame, rule: str, prior_weight: float = 100.0) ->
 
 
 def host_verdicts(measures: DataFrame, limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """``host, host_rejected`` and the shrunken rate of each rule, one row per host."""
-    counts = measures.where("host is not null").groupBy("host").agg(
-        F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in limits]
+    """``host, host_rejected`` and the shrunken rate of each rule, one row per host.
+
+    The counts are written, one row per host, since the prior and the rates both need them.
+    """
+    counts = stored(
+        measures.where("host is not null").groupBy("host").agg(
+            F.count("*").alias("n"), *[F.sum(F.col(r).cast("long")).alias(r) for r in limits]
+        ),
+        "hosts",
     )
     rated = counts.select("host", *[shrunken_rates(counts, r).alias(f"{r}_rate") for r in limits])
     rejected = F.lit(False)
@@ -126,9 +132,8 @@ def host_verdicts(measures: DataFrame, limits: dict[str, float] = HOST_LIMITS) -
     return rated.withColumn("host_rejected", rejected)
 
 
-def _judged(docs: DataFrame, text_col: str, host_col: str, columns: list[str]) -> DataFrame:
-    """The measures are written once, with the wanted columns, since the hosts' counts and the result both need them."""
-    measures = stored(document_measures(docs, text_col, host_col, columns), "measures")
+def _judged(measures: DataFrame) -> DataFrame:
+    """Measures with the verdict of the host and ``kept``."""
     verdicts = host_verdicts(measures).select("host", "host_rejected")
     joined = measures.join(verdicts, "host", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
@@ -140,13 +145,16 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     ``kept`` is false if the document's own rules fail or its host is rejected. Documents without a host are judged by
     their own rules. Repeated rows are judged and counted one by one; an empty table gives an empty one.
     """
-    found = _judged(docs, text_col, host_col, [id_col])
+    found = _judged(stored(document_measures(docs, text_col, host_col, [id_col]), "measures"))
     return found.select(F.col(f"row.{id_col}").cast("long").alias("doc_id"), *[c for c in found.columns if c != "row"])
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows that pass, with all their columns; ids play no part."""
-    return _judged(docs, text_col, host_col, docs.columns).where("kept").select("row.*")
+    """The rows that pass, with all their columns; ids play no part.
+
+    The texts are measured twice, for the hosts' counts and for the result, rather than written a second time.
+    """
+    return _judged(document_measures(docs, text_col, host_col, docs.columns)).where("kept").select("row.*")
 
 
 ORACLE = r"""
