@@ -3,11 +3,12 @@
 1. Every text becomes its set of word shingles, a digest of that set and a signature of ``BANDS * ROWS`` minima.
    Texts with equal sets are one node, named by the least document id.
 2. Nodes that agree in a band share a bucket. A bucket is never expanded into pairs: its members are compared with
-   a few centers, the least members under fixed random orders.
+   a center: the member with the most neighbours in all its buckets, which in a group of edited copies is the one
+   closest to the original.
 3. Pairs whose signatures agree enough are confirmed on full sets, around one center at a time, in groups of bounded size.
 4. Components of the confirmed links. Where a bucket still spans several components, its members outside the most
-   frequent one are compared with all others, in blocks; as long as that would be much work, rounds with other centers come first.
-   So no link that the bands offer is lost, and a large group of copies costs work in proportion to its size.
+   frequent one meet all others in blocks, in which signatures and then full sets are compared; only links leave a block.
+   So no link that the bands offer is lost, and a bucket whose members are one component costs no more.
 """
 
 from __future__ import annotations
@@ -26,14 +27,11 @@ from hazardflow.llm.storage import stored
 # At a similarity of 0.85 a pair shares no band with a probability of 3e-7.
 BANDS, ROWS = 32, 6
 MINIMA = BANDS * ROWS
-# Signatures of a linked pair agree in fewer places with a probability of about 1e-9.
-AGREE = int(0.69 * MINIMA)
+# Signatures of a linked pair agree in fewer places with a probability of about 3e-7, too.
+AGREE = int(0.72 * MINIMA)
 PERCENT = 85
-CENTERS = 3
-# Rounds with other centers go on while the blocks would compare more rows than this times the bands' rows, up to
-# so many; the blocks come last in any case.
-BLOCK_SHARE = 0.5
-MAX_TURNS = 6
+# Bits of the set of wanted ids by which texts are picked before they are shuffled. However full it is, no wanted text is lost.
+ID_BITS = 1 << 27
 # Shingles that are compared with one center in a group; members of a bucket in one block.
 GROUP_SHINGLES = 20_000
 BLOCK = 256
@@ -99,26 +97,11 @@ def band_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
-def _order(seed: int) -> F.Column:
-    return F.struct(F.xxhash64(F.lit(seed), "node").alias("o"), F.col("node"))
-
-
-def star_pairs(members: DataFrame, seeds: list[int]) -> DataFrame:
-    """Distinct ``center, node`` pairs: members of each bucket with its centers, one per seed.
-
-    With a column ``comp`` only pairs across components are returned.
-    """
-    has_comp = "comp" in members.columns
-    picks = [F.min(_order(s)).getField("node").alias(f"c{i}") for i, s in enumerate(seeds)]
-    buckets = members.groupBy("key").agg(*picks, F.count("*").alias("size")).where("size > 1")
-    centers = F.array_distinct(F.array(*[f"c{i}" for i in range(len(seeds))]))
-    paired = members.join(buckets.select("key", centers.alias("centers")), "key")
-    pairs = paired.select("node", F.explode("centers").alias("center")).where("node <> center").distinct()
-    if has_comp:
-        comps = members.select(F.col("node").alias("center"), F.col("comp").alias("center_comp")).distinct()
-        own = members.select("node", "comp").distinct()
-        pairs = pairs.join(own, "node").join(comps, "center").where("comp <> center_comp").select("node", "center")
-    return pairs
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Distinct ``center, node`` pairs: members of each bucket with the one that has the most neighbours."""
+    popular = F.max(F.struct("neighbours", "node")).getField("node")
+    buckets = members.groupBy("key").agg(popular.alias("center"))
+    return members.join(buckets, "key").where("node <> center").select("center", "node").distinct()
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -138,6 +121,29 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.select("center", "node", "n", "sig", "center_sig").mapInArrow(run, "center long, node long, n long")
 
 
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids``, and some others: those that share a bit with a wanted id.
+
+    The set is a table of at most ``ID_BITS / 64`` numbers, so it can be sent to all tasks at any scale.
+    """
+    spark = docs.sparkSession
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    words = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("w")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits")
+    )
+    found = words.toArrow()
+    table = np.zeros(ID_BITS // 64, dtype=np.int64)
+    table[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    sent = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column("b").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array((sent.value[b >> 6] >> (b & 63) & 1).astype(bool)))
+
+    return docs.select("doc_id", "text", bit.alias("b")).mapInArrow(run, "doc_id long, text string")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Links ``u, v`` among ``center, node, n`` pairs: full sets meet around their center.
 
@@ -152,8 +158,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     )
     heads = members.select(F.col("center").alias("doc_id"), "center", "part", F.lit(0).alias("role")).distinct()
     wanted = members.unionByName(heads)
+    ids = pairs.select(F.explode(F.array("center", "node")).alias("doc_id"))
     placed = (
-        wanted.join(docs, "doc_id")
+        wanted.join(picked(docs, ids), "doc_id")
         .select("doc_id", "text", "center", "part", "role")
         .repartition("center", "part")
         .sortWithinPartitions("center", "part", "role")
@@ -189,55 +196,74 @@ def spanning(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key")
 
 
-def block_rows(members: DataFrame) -> int:
-    """How many rows the blocks would compare with their members."""
-    counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    probes = counts.groupBy("key").agg(((F.sum("c") - F.max("c")) * F.ceil(F.sum("c") / BLOCK)).alias("rows"))
-    return probes.agg(F.sum("rows")).first()[0] or 0
-
-
-def block_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Agreeing pairs across components of each bucket, found in blocks of signatures; only those are emitted.
+def block_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links ``u, v`` across components of each bucket.
 
-    A pair that shares several buckets is emitted in that of its first common band. The members outside the bucket's most frequent component meet all members. ``part`` spreads a large bucket.
+    The members outside the bucket's most frequent component meet all members, ``BLOCK`` of them at a time; ``part`` spreads a
+    large bucket. Signatures pick the pairs whose full sets are compared. A pair that shares several buckets is compared
+    in that of its first common band. Only links leave a block.
     """
     counts = members.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = counts.groupBy("key").agg(
         F.max(F.struct("c", "comp")).getField("comp").alias("main"), F.ceil(F.sum("c") / BLOCK).alias("parts")
     )
-    full = members.join(main, "key").join(nodes.select("node", "n", "sig"), "node")
-    here = full.select("key", F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(0).alias("role"), "node", "comp", "n", "sig")
-    probes = full.where("comp <> main").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "node", "comp", "n", "sig"
+    texts = picked(docs, members.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+    full = members.join(main, "key").join(nodes.select("node", "n", "sig"), "node").join(texts, "node")
+    own = F.array(F.struct(F.pmod(F.xxhash64("node"), "parts").alias("part"), F.lit(0).alias("role")))
+    probes = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.lit(1).alias("role")))
+    places = F.when(F.col("comp") != F.col("main"), F.concat(own, probes)).otherwise(own)
+    placed = full.select("key", F.explode(places).alias("p"), "node", "comp", "n", "sig", "text")
+    dealt = (
+        placed.select("node", "text", "key", "p.part", "p.role", "comp", "n", "sig")
+        .repartition("key", "part")
+        .sortWithinPartitions("key", "part", "role")
     )
-    dealt = here.unionByName(probes).repartition("key", "part").sortWithinPartitions("key", "part", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, block = None, []
+        place, block, stacked = None, [], None
         for batch in batches:
-            found = []
+            links, at = [], 0
             sigs = signatures(batch.column("sig")) if batch.num_rows else []
-            columns = (batch.column(c).to_pylist() for c in ("key", "part", "role", "node", "comp", "n"))
-            for i, (key, part, role, node, comp, n) in enumerate(zip(*columns)):
-                if place != (key, part):
-                    place, block, stacked = (key, part), [], None
-                if role == 0:
-                    block.append((node, comp, n, sigs[i]))
-                    continue
-                if stacked is None:
-                    stacked = tuple(np.array(c) for c in zip(*block)) if block else ()
-                if block:
-                    sizes = 100 * np.minimum(stacked[2], n) >= PERCENT * np.maximum(stacked[2], n)
-                    same = stacked[3] == sigs[i]
-                    alike = np.flatnonzero((stacked[1] != comp) & sizes & (same.sum(axis=1) >= AGREE))
-                    if len(alike):
-                        own_band = int(np.flatnonzero(band_keys(sigs[i])[0] == key)[0])
-                        first = same[alike].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == own_band
-                        found += [(x, node, n) for x in stacked[0][alike[first]].tolist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["center", "node", "n"])
-
-    return dealt.mapInArrow(run, "center long, node long, n long").distinct()
+            extra = list(zip(*(batch.column(c).to_pylist() for c in ("key", "part", "role", "comp", "n"))))
+            for ids, runs in text_runs([batch]):
+                for node, shingles in zip(ids, shingle_sets(runs, words)):
+                    (key, part, role, comp, n), sig = extra[at], sigs[at]
+                    at += 1
+                    if place != (key, part):
+                        place, block, stacked = (key, part), [], None
+                    if role == 0:
+                        block.append((node, comp, n, sig, shingles))
+                        continue
+                    if stacked is None and block:
+                        stacked = [np.array(c) for c in zip(*(b[:4] for b in block))]
+                    if block:
+                        links += probe_links(node, comp, n, sig, shingles, key, stacked, block, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def probe_links(
+    node: int, comp: int, n: int, sig: np.ndarray, shingles: np.ndarray, key: int, stacked: list, block: list, percent: int
+) -> list[tuple[int, int]]:
+    """Links of one node to members of a block in other components, one for each component."""
+    sizes = 100 * np.minimum(stacked[2], n) >= PERCENT * np.maximum(stacked[2], n)
+    same = stacked[3] == sig
+    alike = np.flatnonzero((stacked[1] != comp) & sizes & (same.sum(axis=1) >= AGREE))
+    if not len(alike):
+        return []
+    band = int(np.flatnonzero(band_keys(sig)[0] == key)[0])
+    first = same[alike].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    links, reached = [], set()
+    for i in alike[first].tolist():
+        other, other_comp, _, _, own = block[i]
+        if other_comp not in reached:
+            both = common(own, shingles)
+            if 100 * both >= percent * (len(own) + len(shingles) - both):
+                links.append((other, node))
+                reached.add(other_comp)
+    return links
 
 
 def near_duplicates(
@@ -266,25 +292,19 @@ def near_duplicates(
     )
     bands = band_rows(nodes)
     texts = docs.where("doc_id is not null")
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    bands = stored(bands.join(shared, "key"), "bands")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        return confirmed(stored(pairs, "pairs"), texts, words, percent)
-
-    labels = stored(components(stored(links_of(agreeing(star_pairs(bands, list(range(CENTERS))), nodes)), "links")), "labels")
-    most, turn, done = BLOCK_SHARE * bands.count(), 1, False
-    while not done:
-        left = stored(spanning(bands, labels), "spanning")
-        rows = block_rows(left)
-        if not rows:
-            break
-        done = rows <= most or turn == MAX_TURNS
-        found = block_pairs(left, nodes) if done else agreeing(star_pairs(left, list(range(turn * CENTERS, (turn + 1) * CENTERS))), nodes)
-        more = stored(links_of(found), "links")
+    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    common_bands = bands.join(shared, "key")
+    neighbours = common_bands.groupBy("node").agg(F.sum("c").alias("neighbours"))
+    bands = stored(common_bands.select("key", "node").join(neighbours, "node"), "bands")
+
+    pairs = stored(agreeing(star_pairs(bands), nodes), "pairs")
+    links = stored(confirmed(pairs, texts, words, percent), "links")
+    labels = stored(components(links), "labels")
+    left = stored(spanning(bands, labels), "spanning")
+    if not left.isEmpty():
+        more = stored(block_links(left, nodes, texts, words, percent), "links")
         known = labels.select(F.col("node").alias("u"), F.col("component").alias("v"))
         labels = stored(components(known.unionByName(more)), "labels")
-        turn += 1
 
     named = members.join(labels, "node", "left")
     component = F.coalesce("component", "node")

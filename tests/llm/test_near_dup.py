@@ -74,6 +74,7 @@ def edited(words, n, rng):
 def test_large_groups_of_copies_chains_and_odd_rows(spark, monkeypatch):
     """Groups larger than a bucket block and a comparison group; chains; links just above and below the limit."""
     monkeypatch.setattr(near_dup, "GROUP_SHINGLES", 500)
+    monkeypatch.setattr(near_dup, "ID_BITS", 256)
     monkeypatch.setattr(near_dup, "BLOCK", 8)
     rng = random.Random(5)
     word = lambda: "w" + str(rng.randint(0, 10**6))
@@ -97,10 +98,8 @@ def test_large_groups_of_copies_chains_and_odd_rows(spark, monkeypatch):
     compare(near_dup.near_duplicates(frame).collect(), docs)
 
 
-def test_rounds_after_the_first_find_what_centers_miss(spark, monkeypatch):
-    """With a single center and a single star round the blocks must find the rest."""
-    monkeypatch.setattr(near_dup, "CENTERS", 1)
-    monkeypatch.setattr(near_dup, "STAR_ROUNDS", 1)
+def test_blocks_find_what_centers_miss(spark, monkeypatch):
+    """A group in which many links do not lead to the center."""
     monkeypatch.setattr(near_dup, "BLOCK", 4)
     rng = random.Random(8)
     base = [f"b{i}" for i in range(140)]
