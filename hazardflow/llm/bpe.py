@@ -113,6 +113,15 @@ def _unpacked(blob: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers with bytes of one weight side by side, which compresses better."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 def word_lists(docs: DataFrame, folder: str) -> DataFrame:
     """``chunk, bucket, words``: each chunk's distinct words by bucket; the rest of the chunk goes to a file in ``folder``."""
 
@@ -131,7 +140,7 @@ def word_lists(docs: DataFrame, folder: str) -> DataFrame:
             known = np.array([i is not None for i in ids], dtype=np.uint8)
             kept = [
                 np.array([i or 0 for i in ids], dtype="<i8").tobytes(), known.tobytes(),
-                np.array([len(p) // 4 for p in placed], dtype="<i8").tobytes(), bucket.tobytes(), number[flat].tobytes(),
+                np.array([len(p) // 4 for p in placed], dtype="<i8").tobytes(), bucket.tobytes(), _planes(number[flat]),
             ]
             with fs.open_output_stream(f"{root}/{chunk}") as out:
                 out.write(_packed(kept))
@@ -176,7 +185,7 @@ def word_ids(lists: DataFrame, path: str) -> DataFrame:
 def _ids_by_position(kept: list[bytes], lists: dict[int, list[bytes]]) -> Iterator[tuple[int | None, np.ndarray]]:
     """Each document's ids: every position replaced by the ids of the word there."""
     doc, known, sizes = np.frombuffer(kept[0], "<i8"), np.frombuffer(kept[1], np.uint8), np.frombuffer(kept[2], "<i8")
-    bucket, place = np.frombuffer(kept[3], "<u2"), np.frombuffer(kept[4], "<u4")
+    bucket, place = np.frombuffer(kept[3], "<u2"), _from_planes(kept[4])
     rest = {b: iter(words) for b, words in lists.items()}
     words = [next(rest[b]) for b in bucket.tolist()]
     flat = np.frombuffer(b"".join(words), dtype="<u4")
