@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 BATCH_CHARS = 1_000_000
 ID_BYTES = 4
 
