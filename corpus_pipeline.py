@@ -18,9 +18,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return host_rules.kept_documents(docs)
 
 
+# Similarity of near duplicates, in hundredths.
+SIMILAR = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dup.one_of_each(docs)
+    return near_dup.one_of_each(docs, percent=SIMILAR)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Near-duplicate documents: minima of universal hashes, bands, signature verification, exact confirmation.
 
-1. Every text becomes its set of word shingles, a digest of that set and a signature of ``BANDS * ROWS`` minima.
+1. Every text becomes its set of word shingles, a digest of that set and a signature of ``MINIMA`` minima.
    Texts with equal sets are one node, named by the least document id.
 2. Nodes that agree in a band share a bucket. A bucket is never expanded into pairs: its members are compared with
    a center: the member with the most neighbours in all its buckets, which in a group of edited copies is the one
@@ -13,6 +13,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,10 @@ from hazardflow.llm.encoding import text_runs
 from hazardflow.llm.shingles import _mix, common, shingle_sets
 from hazardflow.llm.storage import stored
 
-# At a similarity of 0.85 a pair shares no band with a probability of 3e-7.
-BANDS, ROWS = 32, 6
-MINIMA = BANDS * ROWS
-# Signatures of a linked pair agree in fewer places with a probability of about 3e-7, too.
-AGREE = int(0.72 * MINIMA)
+MINIMA = 192
 PERCENT = 85
+# Signatures of a pair at the limit agree in fewer places than are asked for with at most this probability.
+LOSS = 1.1e-6
 # Bits of the set of wanted ids by which texts are picked before they are shuffled. However full it is, no wanted text is lost.
 ID_BITS = 1 << 27
 # Shingles that are compared with one center in a group; members of a bucket in one block.
@@ -40,6 +40,20 @@ _A = _mix(np.arange(1, MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _B = _mix(np.arange(1001, MINIMA + 1001, dtype=np.uint64))
 
 
+def rows_of_band(percent: int) -> int:
+    """Minima in a band. A pair at the limit shares none of the ``MINIMA // rows`` bands with a probability of 3e-7, at 0.85 as at 0.80."""
+    return 6 if percent >= 85 else 5
+
+
+@functools.lru_cache
+def least_agreement(percent: int) -> int:
+    """The most places that can be asked for if a pair at the limit may miss them with a probability of ``LOSS``."""
+    p, below, places = percent / 100, 0.0, 0
+    while places < MINIMA and below + (at := math.comb(MINIMA, places) * p**places * (1 - p) ** (MINIMA - places)) <= LOSS:
+        below, places = below + at, places + 1
+    return places
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """``MINIMA`` minima of a set under multiply-add hashes, reduced to 16 evenly spread bits each."""
     least = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -72,24 +86,31 @@ def signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, MINIMA)
 
 
-_FOLD = _mix(np.arange(5001, ROWS + 5001, dtype=np.uint64)) | np.uint64(1)
-_SALT = _mix(np.arange(9001, BANDS + 9001, dtype=np.uint64))
+_FOLD = _mix(np.arange(5001, MINIMA + 5001, dtype=np.uint64)) | np.uint64(1)
+_SALT = _mix(np.arange(9001, MINIMA + 9001, dtype=np.uint64))
+
+
+def banded(places: np.ndarray, rows: int) -> np.ndarray:
+    """Values per place of signatures, dealt to the bands; places that fill no band are left out."""
+    bands = MINIMA // rows
+    return places[:, : bands * rows].reshape(-1, bands, rows)
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
+def band_keys(sigs: np.ndarray, rows: int) -> np.ndarray:
     """A key for each band of each signature; it holds the band's number and minima."""
-    minima = sigs.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    return _mix((_mix(minima + np.uint64(1)) * _FOLD).sum(axis=2, dtype=np.uint64) + _SALT).view(np.int64)
+    minima = banded(sigs.astype(np.uint64).reshape(-1, MINIMA), rows)
+    keys = (_mix(minima + np.uint64(1)) * _FOLD[:rows]).sum(axis=2, dtype=np.uint64)
+    return _mix(keys + _SALT[: keys.shape[1]]).view(np.int64)
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
+def band_rows(nodes: DataFrame, rows: int) -> DataFrame:
     """``key, node``: one row per node and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(signatures(batch.column("sig")))
-                nodes_ = np.repeat(batch.column("node").to_numpy(), BANDS)
+                keys = band_keys(signatures(batch.column("sig")), rows)
+                nodes_ = np.repeat(batch.column("node").to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys.reshape(-1)), pa.array(nodes_)], ["key", "node"]
                 )
@@ -104,18 +125,19 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(buckets, "key").where("node <> center").select("center", "node").distinct()
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose signatures agree in at least ``AGREE`` places and whose set sizes allow a link."""
+def agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose signatures agree in ``least_agreement`` places or more and whose set sizes allow a link."""
+    least = least_agreement(percent)
     sides = pairs.join(nodes.select("node", "n", "sig"), "node").join(
         nodes.select(F.col("node").alias("center"), F.col("n").alias("center_n"), F.col("sig").alias("center_sig")), "center"
     )
-    sized = sides.where(f"100 * least(n, center_n) >= {PERCENT} * greatest(n, center_n)")
+    sized = sides.where(f"100 * least(n, center_n) >= {percent} * greatest(n, center_n)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 same = signatures(batch.column("sig")) == signatures(batch.column("center_sig"))
-                kept = pa.array(np.count_nonzero(same, axis=1) >= AGREE)
+                kept = pa.array(np.count_nonzero(same, axis=1) >= least)
                 yield batch.select(["center", "node", "n"]).filter(kept)
 
     return sized.select("center", "node", "n", "sig", "center_sig").mapInArrow(run, "center long, node long, n long")
@@ -248,13 +270,14 @@ def probe_links(
     node: int, comp: int, n: int, sig: np.ndarray, shingles: np.ndarray, key: int, stacked: list, block: list, percent: int
 ) -> list[tuple[int, int]]:
     """Links of one node to members of a block in other components, one for each component."""
-    sizes = 100 * np.minimum(stacked[2], n) >= PERCENT * np.maximum(stacked[2], n)
+    sizes = 100 * np.minimum(stacked[2], n) >= percent * np.maximum(stacked[2], n)
     same = stacked[3] == sig
-    alike = np.flatnonzero((stacked[1] != comp) & sizes & (same.sum(axis=1) >= AGREE))
+    alike = np.flatnonzero((stacked[1] != comp) & sizes & (same.sum(axis=1) >= least_agreement(percent)))
     if not len(alike):
         return []
-    band = int(np.flatnonzero(band_keys(sig)[0] == key)[0])
-    first = same[alike].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+    rows = rows_of_band(percent)
+    band = int(np.flatnonzero(band_keys(sig, rows)[0] == key)[0])
+    first = banded(same[alike], rows).all(axis=2).argmax(axis=1) == band
     links, reached = [], set()
     for i in alike[first].tolist():
         other, other_comp, _, _, own = block[i]
@@ -272,7 +295,7 @@ def near_duplicates(
     """``doc_id, n_shingles, component_id, kept`` for every document.
 
     Two documents are linked if their sets of ``words``-word shingles have an intersection of at least ``percent`` hundredths
-    of their union (80 or more; the bands are laid out for 85). A component is named by its least id and keeps that
+    of their union (80 or more). A component is named by its least id and keeps that
     document. Texts that are null or have no words are linked with nothing. Rows without an id are linked with nothing
     and kept. Repeated rows of one id share a component.
     """
@@ -290,14 +313,14 @@ def near_duplicates(
         .dropDuplicates(["node"]),
         "nodes",
     )
-    bands = band_rows(nodes)
+    bands = band_rows(nodes, rows_of_band(percent))
     texts = docs.where("doc_id is not null")
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     common_bands = bands.join(shared, "key")
     neighbours = common_bands.groupBy("node").agg(F.sum("c").alias("neighbours"))
     bands = stored(common_bands.select("key", "node").join(neighbours, "node"), "bands")
 
-    pairs = stored(agreeing(star_pairs(bands), nodes), "pairs")
+    pairs = stored(agreeing(star_pairs(bands), nodes, percent), "pairs")
     links = stored(confirmed(pairs, texts, words, percent), "links")
     labels = stored(components(links), "labels")
     left = stored(spanning(bands, labels), "spanning")
@@ -314,12 +337,12 @@ def near_duplicates(
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near duplicates, with all its columns.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One document of each group of near duplicates at ``percent``, with all its columns.
 
     Of rows that share an id one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
     chosen = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"))
     first = W.partitionBy("_kept").orderBy(F.xxhash64(text_col))
     once = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)

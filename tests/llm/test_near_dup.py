@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pytest
 from llm_helpers import documents
 
+import corpus_pipeline
 from hazardflow.llm import near_dup, queries
 from hazardflow.llm.components import components
 from hazardflow.llm.shingles import common, shingle_sets
@@ -159,3 +161,42 @@ def test_components(spark, seed):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_threshold_of_signatures_loses_few_links():
+    def lost(percent):
+        p = percent / 100
+        return sum(math.comb(192, k) * p**k * (1 - p) ** (192 - k) for k in range(near_dup.least_agreement(percent)))
+
+    assert all(0 < lost(percent) <= 1.1e-6 for percent in (80, 82, 85, 90))
+    for percent in (80, 85):
+        rows = near_dup.rows_of_band(percent)
+        assert (1 - (percent / 100) ** rows) ** (192 // rows) < 3e-7
+
+
+def test_pairs_between_80_and_85_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    rng = random.Random(11)
+    texts = []
+    for n in range(240):  # sizes differ, too: the shorter text is a part of the longer one
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(104)]
+        texts += [" ".join(base), " ".join(base[: 82 + n % 8] if n % 2 else base[:94] + [f"x{rng.randint(0, 10**6)}" for _ in range(8 + n % 5)])]
+    base = [f"b{i}" for i in range(140)]  # links that do not lead to a center
+    texts += [edited(base, rng.choice([2, 3, 4, 5]), rng) for _ in range(60)]
+    sets = [brute_sets(t) for t in texts]
+
+    def alike(i, j, percent):
+        both = len(sets[i] & sets[j])
+        return 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both)
+
+    links = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if alike(i, j, 80)]
+    assert sum(not alike(i, j, 85) for i, j in links) > 100
+    label = list(range(len(texts)))
+    for i, j in links:
+        low, high = sorted((label[i], label[j]))
+        label = [low if x == high else x for x in label]
+    frame = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame, percent=80).collect()}
+    assert got == dict(enumerate(label))
+    kept = corpus_pipeline.near_duplicates(spark, frame, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
