@@ -29,7 +29,7 @@ from hazardflow.llm.storage import stored
 MINIMA = 192
 PERCENT = 85
 # Signatures of a pair at the limit agree in fewer places than are asked for with at most this probability.
-LOSS = 1.1e-6
+LOSS = 5e-9
 # Bits of the set of wanted ids by which texts are picked before they are shuffled. However full it is, no wanted text is lost.
 ID_BITS = 1 << 27
 # Shingles that are compared with one center in a group; members of a bucket in one block.
