@@ -84,7 +84,7 @@ LICENSES = [
     ("CC0-1.0", [r"cc0"]),
     ("{1}", [r"spdx-(.+)"]),
 ]
-# Every sentence rule needs one of these; a text without any has no such sentence.
+# Every sentence rule needs one of these; a normalised sentence without any has no identifier.
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "warranty", "liable", "as is", "public domain", "cc0", "creative commons",
            "compliance with the", "copyright notice", "advertising materials", "endorse or promote", "applicable law", "(c)", "©", "all rights reserved",
            "released under", "cc by", "cc-by", "available under", "distributed under")
@@ -157,10 +157,7 @@ def licenses(ids: list[str]) -> tuple[list[str], list[str]]:
 
 def scan(text: str) -> tuple[list[str], list[str], list[str]]:
     """Identifiers of a whole text, its licences, and the identifiers left over."""
-    low = text.lower()
-    if not any(a in low for a in ANCHORS):
-        return [], [], []
-    ids = [i for i in map(identifier, sentences(text)) if i]
+    ids = [i for s in sentences(text) if any(a in s for a in ANCHORS) and (i := identifier(s))]
     return ids, *licenses(ids)
 
 

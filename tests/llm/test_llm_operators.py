@@ -289,6 +289,41 @@ def test_every_sentence_rule_has_an_anchor():
         assert license_scan.identifier(s) is None or any(a in s for a in license_scan.ANCHORS), s
 
 
+# A sentence for each sentence rule, in their order.
+RULE_SAMPLES = [
+    "licensed under the apache license, version 2.0", "distributed under the apache license 2.0",
+    "you may not use this file except in compliance with the license", "you may obtain a copy of the license at",
+    "unless required by applicable law or agreed to in writing, software distributed under the license",
+    "see the license for the specific language governing permissions", "available under the terms of the mit license", "the mit license",
+    "permission is hereby granted, free of charge, to any person obtaining a copy",
+    "the above copyright notice and this permission notice shall be included in all copies", "the software is provided as is",
+    "in no event shall the authors be liable", "permission to use, copy, modify, and/or distribute this software for any purpose",
+    "released under the new bsd 3-clause license", "redistribution and use in source and binary forms, with or without modification, are permitted",
+    "redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice",
+    "all advertising materials mentioning features or use of this software must display",
+    "neither the name of x may be used to endorse or promote products", "the gnu general public license version 2 or any later version",
+    "licensed under the gnu general public license v2",
+    "redistribute it and/or modify it under the terms of the gnu general public license as published, either version 3 of it, or any later version",
+    "redistribute it and/or modify it under the terms of the gnu general public license version 2",
+    "the gnu lesser general public license version 2.1", "licensed under the gnu lesser general public license v2.1",
+    "the gnu affero general public license version 3", "distributed in the hope that it will be useful, but without any warranty",
+    "you should have received a copy of the gnu general public license", "subject to the terms of the mozilla public license, version 2.0",
+    "available under the mozilla public license 2.0", "released under cc by-sa 4.0", "creative commons attribution 4.0",
+    "this work is dedicated to the public domain by its author", "this is free and unencumbered software released into the public domain",
+    "spdx-license-identifier: mit", "copyright 2020 some one", "all rights reserved", "the license agreement holds",
+]
+
+
+def test_wrapped_and_full_width_sentences_of_every_rule():
+    wide = {c: c + 0xFEE0 for c in range(0x21, 0x7F)} | {0x20: 0x3000}
+    for (_, pattern), text in zip(license_scan.SENTENCES, RULE_SAMPLES, strict=True):
+        assert re.search(pattern, text)
+        plain = license_scan.scan(text)
+        assert plain[0]
+        for other in (text.replace(" ", "\n"), text.replace(" ", "\n# "), text.replace(" ", "\r\n * "), text.replace(" ", "\t  "), text.translate(wide)):
+            assert license_scan.scan(other) == plain, other
+
+
 # Pages
 
 
