@@ -1,6 +1,6 @@
 """Licence recognition by sentences: normalised sentences become identifiers, identifier sequences become licences.
 
-A text is cut into sentences, each is normalised, and a table of sentence rules gives it an identifier. Ordered licence rules are then
+A text is cut into sentences, each is normalised, and a table of sentence rules gives it identifiers. Ordered licence rules are then
 matched against the sequence of identifiers: an earlier rule takes its sentences before a later one looks, so a full notice
 is one licence and not also the short statement that it contains.
 """
@@ -38,7 +38,7 @@ SENTENCES = [
     ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
     ("bsd-advert", r"all advertising materials mentioning features or use of this software must display"),
     ("bsd-endorse", r"neither the name of .{1,200} may be used to endorse or promote products"),
-    ("gpl-under-{1}-later", r"gnu general public license.{0,80}version (\d)(?:\.0)?,? or (?:\(at your option\) )?any later version"),
+    ("gpl-under-{1}-later", r"(?:licensed under the (?:terms of the )?)?gnu general public license.{0,80}version (\d)(?:\.0)?,? or (?:\(at your option\) )?any later version"),
     ("gpl-under-{1}", r"licensed under the (?:terms of the )?gnu general public license,? (?:version |v)?(\d)"),
     ("gpl-redistribute-{1}-later", r"redistribute it and/or modify it under the terms of the gnu general public license.{0,120}version (\d).{0,80}later version"),
     ("gpl-redistribute-{1}", r"redistribute it and/or modify it under the terms of the gnu general public license.{0,80}version (\d)"),
@@ -53,7 +53,7 @@ SENTENCES = [
     ("cc-{1}", r"creative commons (attribution[a-z -]* \d\.\d)"),
     ("cc0", r"\bcc0\b|creative commons zero|dedicated to the public domain|released into the public domain"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("spdx-{1}", r"spdx-license-identifier: ?([a-z0-9.+-]+)"),
+    ("spdx-{1}", r"spdx-license-identifier: ?((?:\( ?)*{id}(?: ?\))*(?: (?:and|or|with) (?:\( ?)*{id}(?: ?\))*)*)".replace("{id}", r"[a-z0-9][a-z0-9.+:-]*")),
     ("copyright", r"(?:copyright|\(c\)|©) ?(?:\(c\)|©)? ?\d{4}"),
     ("all-rights", r"all rights reserved"),
     ("license-mention", r"\blicensed under\b|\breleased under\b|\blicense agreement\b"),
@@ -94,7 +94,9 @@ _RULES = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
 _LICENSES = [
     (name, [(re.compile(p.removesuffix("?")), p.endswith("?")) for p in sequence]) for name, sequence in LICENSES
 ]
-_END = re.compile(r"(?<=[.!?;])\s+|\n\s*\n|\n(?=\s*(?:[A-Z(©]|spdx))|(?=SPDX-License)")
+_END = re.compile(
+    r"(?<=[.!?;])\s+|\n\s*\n|(?<! OR)(?<! AND)(?<! WITH)\n(?=\s*(?:[A-Z(©]|spdx))(?!\s*(?:OR|AND|WITH) )|(?=SPDX-License)"
+)
 _MARKS = re.compile(r"^[\s*#/;%\-|>!]+|[\s*#/;%\-|<>!]+$")
 _GAPS = re.compile(r"\s+(?:[*#/;%|>]+\s+)*")
 
@@ -102,7 +104,8 @@ _GAPS = re.compile(r"\s+(?:[*#/;%|>]+\s+)*")
 def sentences(text: str) -> list[str]:
     """Normalised sentences: compatible characters, lower case, one spelling, no comment marks, single spaces, no final stop.
 
-    A sentence ends at a stop before white space, at an empty line, and at a line break before a capital.
+    A sentence ends at a stop before white space, at an empty line, and at a line break before a capital, unless the line break is
+    next to an operator of a licence expression.
     """
     found = []
     for part in _END.split(text):
@@ -113,13 +116,38 @@ def sentences(text: str) -> list[str]:
     return found
 
 
+# What may stand between a mention and the licence that it introduces.
+_LEAD = re.compile(r"[ ,:(]*(?:(?:the|a|an|terms|conditions|of|both|either|version)[ ,:(]+)*")
+
+
 @functools.lru_cache(maxsize=50_000)
+def identifiers(sentence: str) -> tuple[str, ...]:
+    """The identifiers of all rules that match, in order of position; of matches that overlap the longest counts, then the first rule's.
+
+    A mention right before the licence that it introduces is part of it. An SPDX expression gives one identifier for each licence.
+    """
+    found = [(m.start() - m.end(), k, m.start(), m) for k, (_, pattern) in enumerate(_RULES) for m in pattern.finditer(sentence)]
+    chosen: list[tuple[int, int, str, re.Match]] = []
+    for _, k, _, m in sorted(found, key=lambda f: f[:3]):
+        if all(m.end() <= start or end <= m.start() for start, end, *_ in chosen):
+            chosen.append((m.start(), m.end(), _RULES[k][0], m))
+    chosen.sort(key=lambda c: c[0])
+    names = []
+    for i, (_, end, name, m) in enumerate(chosen):
+        if name == "license-mention" and i + 1 < len(chosen) and chosen[i + 1][2] not in (name, *NEUTRAL):
+            if _LEAD.fullmatch(sentence, end, chosen[i + 1][0]):
+                continue
+        if name.startswith("spdx"):
+            parts = re.split(r" (?:and|or) ", " ".join(re.sub(r"[()]", " ", m[1]).split()))
+            names += ["spdx-" + part.replace(" ", "-") for part in parts]
+        else:
+            names.append(name.replace("{1}", (m[1] or "").strip().replace(" ", "-")) if "{1}" in name else name)
+    return tuple(names)
+
+
 def identifier(sentence: str) -> str | None:
-    """The identifier of the first sentence rule that matches."""
-    for name, pattern in _RULES:
-        if m := pattern.search(sentence):
-            return name.replace("{1}", (m[1] or "").strip().replace(" ", "-")) if "{1}" in name else name
-    return None
+    """The first of a sentence's identifiers."""
+    return next(iter(identifiers(sentence)), None)
 
 
 def _match(sequence: list[tuple[re.Pattern, bool]], ids: list[str | None], at: int) -> tuple[int, str] | None:
@@ -157,7 +185,7 @@ def licenses(ids: list[str]) -> tuple[list[str], list[str]]:
 
 def scan(text: str) -> tuple[list[str], list[str], list[str]]:
     """Identifiers of a whole text, its licences, and the identifiers left over."""
-    ids = [i for s in sentences(text) if any(a in s for a in ANCHORS) and (i := identifier(s))]
+    ids = [i for s in sentences(text) if any(a in s for a in ANCHORS) for i in identifiers(s)]
     return ids, *licenses(ids)
 
 

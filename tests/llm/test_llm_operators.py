@@ -324,6 +324,34 @@ def test_wrapped_and_full_width_sentences_of_every_rule():
             assert license_scan.scan(other) == plain, other
 
 
+@pytest.mark.parametrize(
+    ("text", "names", "verdict"),
+    [
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["mit", "apache-2.0"], "known"),
+        ("// SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", ["gpl-2.0-only-with-classpath-exception-2.0"], "known"),
+        ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", ["mit", "apache-2.0"], "known"),
+        ("# SPDX-License-Identifier: (GPL-2.0+ WITH Linux-syscall-note AND (MIT OR ISC))\nText.", ["gpl-2.0+-with-linux-syscall-note", "mit", "isc"], "known"),
+        ("SPDX-License-Identifier: (MIT OR\n  Apache-2.0\n  OR ISC)", ["mit", "apache-2.0", "isc"], "known"),
+        ("It is licensed under the MIT License and also released under the Apache License 2.0.", ["MIT", "Apache-2.0"], "known"),
+        ("Released under the Apache License 2.0 or licensed under the MIT License", ["Apache-2.0", "MIT"], "known"),
+        ("It is licensed under the GNU General Public License, version 2, or any later version.", ["GPL-2.0-or-later"], "known"),
+        ("Licensed under the Creative Commons Attribution 4.0 licence.", ["CC-ATTRIBUTION-4.0"], "known"),
+        ("Released under the MIT License, the data is licensed under strange terms.", ["MIT"], "partial"),
+        ("This is free and unencumbered software released into the public domain.", ["Unlicense"], "known"),
+        ("Copyright 2020 X, licensed under the MIT License, all rights reserved.", ["MIT"], "known"),
+    ],
+)
+def test_all_licences_of_a_sentence(text, names, verdict):
+    _, found, left = license_scan.scan(text)
+    assert (found, "partial" if left else "known") == (names, verdict)
+
+
+def test_identifiers_come_in_order_of_position():
+    assert license_scan.identifiers("released under the mit license, provided that the software is provided as is, all rights reserved") == (
+        "mit-under", "as-is", "all-rights",
+    )
+
+
 # Pages
 
 
