@@ -6,9 +6,10 @@ with the next stream of the same host turns tokens that only one side has into o
 side into repeated groups, and differing texts into variable slots. Aligning is a pairwise merge, so it runs inside tasks first,
 then in salted parts of a host, then per host; a task holds a wrapper, never the pages of a host.
 
-A page is read along its host's wrapper. The slots that count are those of the article: inside landmarks, if the wrapper has any,
-and outside of menus, footers and the like. Without a landmark, slots whose text is the same on all pages are
-furniture and are left out too.
+A page is read along its host's wrapper. Tags and class words hint at the slots of the article: inside landmarks, if the wrapper has
+any, and outside of menus, footers and the like. Of these slots those count whose text varies: a text that stands in a slot on all
+its pages is furniture and is left out, inside a landmark if the slot is not optional there. In a repeated slot each text is
+judged by itself.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from __future__ import annotations
 import functools
 import html
 import json
+import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,10 +49,11 @@ HINTS = frozenset(
 )
 COMMENT_HINTS = frozenset("comment comments replies respond".split())
 MAIN_HINTS = frozenset("article content entry main post story".split())
+# Levels of a wrapper. Deeper elements have no slots; tags and class words alone decide on them.
 MAX_DEPTH = 64
 PARTS = 16
 HELD_HOSTS = 2_000
-# A text that at least so many pages share, and none differs in, is furniture where no landmark says otherwise.
+# A text that stands in a slot on so many different pages or more, and is missing on none that has the slot, is furniture.
 SAME_TEXT_PAGES = 3
 
 _TOKEN = re.compile(
@@ -79,14 +83,17 @@ def _names(attributes: str) -> tuple[str, ...]:
 
 
 def parse(page: str) -> Element:
-    """The page as nested elements and texts. Tags that are missing or out of place are closed as browsers do;
-    elements nested deeper than ``MAX_DEPTH`` hang at that depth."""
+    """The page as nested elements and texts. Tags that are missing or out of place are closed as browsers do."""
     root = Element("#page")
     stack = [root]
+    opened: Counter[str] = Counter()
 
     def close(names: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
+        if not any(opened[name] for name in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in names:
+                opened.subtract(e.tag for e in stack[i:])
                 del stack[i:]
                 return
             if stack[i].tag in until:
@@ -118,15 +125,44 @@ def parse(page: str) -> Element:
             at = end.end() if end else len(page)
         elif tag not in VOID and len(stack) < MAX_DEPTH and not (found[3] or "").rstrip().endswith("/"):
             stack.append(element)
+            opened[tag] += 1
     return root
 
 
-# A wrapper node: [label, least number, repeated, text digest or None, pages, children].
+# A wrapper node: [label, least number, repeated, texts on all its pages, the least marks of its pages, children].
 TEXT = "#text"
 
 
-def _digest(text: str) -> int:
-    return hash_of(" ".join(html.unescape(text).split()))
+def tokens(element: Element) -> Iterator[Element | tuple[str, bool]]:
+    """Content as structure: elements, and runs of text with whether they stand between borders of blocks.
+
+    Inline tags and scripts are no structure.
+    """
+    block = element.tag in BLOCKS or element.tag == "#page"
+    pieces, edge = [], block
+    todo = [iter(element.children)]
+    while todo:
+        item = next(todo[-1], None)
+        if item is None:
+            todo.pop()
+        elif isinstance(item, str):
+            pieces.append(item)
+        elif item.tag in BLOCKS or item.names or item.tag in FURNITURE:
+            if pieces:
+                yield "".join(pieces), edge and item.tag in BLOCKS
+                pieces = []
+            edge = item.tag in BLOCKS
+            yield item
+        elif item.tag not in RAW:
+            todo.append(iter(item.children))
+    if pieces:
+        yield "".join(pieces), edge and block
+
+
+def _digest(text: str, whole: bool) -> int:
+    """A number of the text; that of a run which is only a part of its block is negative."""
+    number = hash_of(" ".join(html.unescape(text).split()))
+    return number if whole else -1 - number
 
 
 def hash_of(text: str) -> int:
@@ -134,37 +170,56 @@ def hash_of(text: str) -> int:
     return zlib.crc32(data) << 32 | zlib.adler32(data)
 
 
-def skeleton(element: Element) -> list:
-    """The wrapper of one page: its tokens with repeated groups folded. Inline tags and scripts are no structure."""
+def skeleton(element: Element, depth: int = 0, pages: list | None = None, seen: list | None = None) -> list:
+    """The wrapper of one page: its tokens with repeated groups folded. All its nodes share one list of pages."""
+    top = pages is None
+    pages, seen = ([], []) if top else (pages, seen)
+    seen.append(element.label)
     children: list[list] = []
-
-    def add(items: list) -> None:
-        for item in items:
-            if isinstance(item, str):
-                if item and not item.isspace():
-                    children.append([TEXT, 1, False, _digest(item), 1, []])
-            elif item.tag in BLOCKS or item.names:
-                if item.tag != "br":
-                    children.append(skeleton(item))
-            elif item.tag not in RAW:
-                add(item.children)
-
-    add(element.children)
-    return [element.label, 1, False, None, 1, fold(children)]
+    for item in tokens(element) if depth < MAX_DEPTH else ():
+        if isinstance(item, Element):
+            if item.tag != "br":
+                children.append(skeleton(item, depth + 1, pages, seen))
+        elif not item[0].isspace():
+            number = _digest(*item)
+            seen.append(str(number))
+            children.append([TEXT, 1, False, {number}, pages, []])
+    seen.append("/")
+    if top:
+        pages.append(random.getrandbits(63))
+    return [element.label, 1, False, (), pages, fold(children)]
+
+
+def joined(a: list, b: list) -> list:
+    """The least marks of the pages of two nodes: enough to know whether there are ``SAME_TEXT_PAGES`` different ones."""
+    return a if a is b else sorted({*a, *b})[:SAME_TEXT_PAGES]
+
+
+def _common(a: list, b: list) -> set | tuple:
+    """Texts that stand on all pages of two nodes with one label. On one page all texts of a repeated slot do; a part of a block
+    only if the others are equal to it."""
+    if a[0] != TEXT:
+        return ()
+    if a[4] is not b[4]:
+        return {*a[3]} & {*b[3]}
+    if a[3] != b[3]:
+        if len(a[3]) == 1 and min(a[3]) < 0:
+            a[3].clear()
+        a[3].update(t for t in b[3] if t >= 0)
+    return a[3]
 
 
-def merge(a: list, b: list, pages: int) -> list:
-    """Two nodes with one label as one."""
-    text = a[3] if a[3] == b[3] else None
-    return [a[0], min(a[1], b[1]), a[2] or b[2], text, pages, align(a[5], b[5])]
+def merge(a: list, b: list, pages: list) -> list:
+    """Two nodes with one label as one. Nodes of one page may be changed."""
+    return [a[0], min(a[1], b[1]), a[2] or b[2], _common(a, b), pages, align(a[5], b[5])]
 
 
 def fold(nodes: list[list]) -> list[list]:
-    """Adjacent repeats, of one node or of two or three, become one repeated node."""
+    """Adjacent repeats on one page, of one node or of two or three, become one repeated node."""
     out: list[list] = []
     for node in nodes:
         if out and out[-1][0] == node[0]:
-            out[-1] = merge(out[-1], node, 1)
+            out[-1] = merge(out[-1], node, node[4])
             out[-1][2] = True
         else:
             out.append(node)
@@ -178,9 +233,9 @@ def fold(nodes: list[list]) -> list[list]:
             body = out[i : i + size]
             j = i + size
             while [n[0] for n in out[j : j + size]] == labels:
-                body = [merge(a, b, 1) for a, b in zip(body, out[j : j + size])]
+                body = [merge(a, b, b[4]) for a, b in zip(body, out[j : j + size])]
                 j += size
-            out[i:j] = [[_group(labels), 1, True, None, 1, body]]
+            out[i:j] = [[_group(labels), 1, True, (), body[0][4], body]]
             i += 1
     return out
 
@@ -197,7 +252,7 @@ def _regrouped(nodes: list[list], others: list[list]) -> list[list]:
             for i in range(len(nodes) - len(labels) + 1):
                 if [n[0] for n in nodes[i : i + len(labels)]] == labels:
                     body = nodes[i : i + len(labels)]
-                    nodes = [*nodes[:i], [other[0], 1, False, None, body[0][4], body], *nodes[i + len(labels) :]]
+                    nodes = [*nodes[:i], [other[0], 1, False, (), body[0][4], body], *nodes[i + len(labels) :]]
                     break
     return nodes
 
@@ -211,7 +266,7 @@ def align(left: list[list], right: list[list]) -> list[list]:
     if [n[0] for n in left] != [n[0] for n in right]:
         left, right = _regrouped(left, right), _regrouped(right, left)
     if [n[0] for n in left] == [n[0] for n in right]:
-        return [merge(a, b, a[4] + b[4]) for a, b in zip(left, right)]
+        return [merge(a, b, joined(a[4], b[4])) for a, b in zip(left, right)]
     rows = [[0] * (len(right) + 1)]
     for a in reversed(left):
         below, row = rows[-1], [0] * (len(right) + 1)
@@ -222,7 +277,7 @@ def align(left: list[list], right: list[list]) -> list[list]:
     out, i, j = [], 0, 0
     while i < len(left) or j < len(right):
         if i < len(left) and j < len(right) and left[i][0] == right[j][0]:
-            out.append(merge(left[i], right[j], left[i][4] + right[j][4]))
+            out.append(merge(left[i], right[j], joined(left[i][4], right[j][4])))
             i, j = i + 1, j + 1
         elif j == len(right) or (i < len(left) and rows[i + 1][j] >= rows[i][j + 1]):
             out.append(_optional(left[i]))
@@ -238,21 +293,22 @@ def refold(nodes: list[list]) -> list[list]:
     out: list[list] = []
     for node in nodes:
         if out and out[-1][0] == node[0]:
-            least, pages = out[-1][1] + node[1], max(out[-1][4], node[4])
-            out[-1] = merge(out[-1], node, pages)
+            least = out[-1][1] + node[1]
+            out[-1] = merge(out[-1], node, joined(out[-1][4], node[4]))
             out[-1][1:3] = [min(1, least), True]
         else:
             out.append(node)
     return out
 
 
-def expression(node: list) -> str:
+def expression(node: list, many: bool = False) -> str:
     """A wrapper as text, for people: ``?`` optional, ``+`` and ``*`` repeated, ``#text`` a slot, ``#same`` a constant text."""
-    label, least, repeated, text, _, children = node
+    label, least, repeated, texts, _, children = node
     sign = ("+" if least else "*") if repeated else ("" if least else "?")
+    many = many or repeated
     if label == TEXT:
-        return ("#text" if text is None else "#same") + sign
-    inner = " ".join(expression(c) for c in children)
+        return ("#same" if texts and not many else "#text") + sign
+    inner = " ".join(expression(c, many) for c in children)
     return (f"({inner}){sign}" if label.startswith("(") else f"<{label}>{inner}</>" if not sign else f"(<{label}>{inner}</>){sign}")
 
 
@@ -271,9 +327,29 @@ def _landmark(tag: str, names: tuple[str, ...], level: int) -> bool:
     return tag in ("div", "section", "td") and not MAIN_HINTS.isdisjoint(names)
 
 
+class Slot:
+    """A node of a wrapper as pages are read along it: ``fixed`` are the texts that are furniture, ``needed`` says that it is not optional."""
+
+    __slots__ = ("label", "needed", "fixed", "slots")
+
+    def __init__(self, node: list, needed: bool):
+        self.label, self.needed = node[0], needed
+        self.fixed = frozenset(node[3]) if len(node[4]) >= SAME_TEXT_PAGES else frozenset()
+        self.slots = _slots(node)
+
+
+def _slots(node: list, needed: bool = True) -> list[Slot]:
+    """A node's children with groups opened."""
+    found = []
+    for c in node[5]:
+        own = needed and c[1] > 0
+        found += _slots(c, own) if c[0].startswith("(") else [Slot(c, own)]
+    return found
+
+
 @functools.lru_cache(maxsize=512)
-def plan(wrapper: str) -> tuple[int, list]:
-    """The parsed wrapper, and which kind of landmark marks its articles (3: none)."""
+def plan(wrapper: str) -> tuple[int, list[Slot]]:
+    """The slots of the wrapper, and which kind of landmark marks its articles (3: none)."""
     root = json.loads(wrapper)
 
     def has(node: list, level: int) -> bool:
@@ -283,12 +359,35 @@ def plan(wrapper: str) -> tuple[int, list]:
         slots = any(c[0] == TEXT or c[5] for c in node[5])
         return bool(tag and slots and _landmark(tag, tuple(names), level)) or any(has(c, level) for c in node[5])
 
-    return next((level for level in range(3) if has(root, level)), 3), root
+    return next((level for level in range(3) if has(root, level)), 3), _slots(root)
 
 
-def _slots(node: list | None) -> list[list]:
-    """A node's children with groups opened."""
-    return [] if node is None else [x for c in node[5] for x in (_slots(c) if c[0].startswith("(") else [c])]
+class Place:
+    """An element that is being read, and where its wrapper stands."""
+
+    __slots__ = ("items", "slots", "at", "inside", "needed", "block")
+
+    def __init__(self, element: Element, slots: list[Slot], inside: bool, needed: bool, block: bool):
+        self.items, self.slots, self.at = tokens(element), slots, 0
+        self.inside, self.needed, self.block = inside, needed, block
+
+    def slot(self, label: str) -> Slot | None:
+        for k in (*range(self.at, len(self.slots)), *range(self.at)):
+            if self.slots[k].label == label:
+                self.at = k
+                return self.slots[k]
+        return None
+
+
+def landmarks(tree: Element) -> set[int]:
+    """The kinds of landmark that a page has outside of furniture."""
+    found, todo = set(), [tree]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str) and not _furniture(c.tag, c.names, False):
+                found.update(kind for kind in range(3) if _landmark(c.tag, c.names, kind))
+                todo.append(c)
+    return found
 
 
 def main_text(page: str, wrapper: str) -> str:
@@ -297,53 +396,36 @@ def main_text(page: str, wrapper: str) -> str:
     A page without its wrapper's landmark is read by the next weaker kind that it has.
     """
     tree = parse(page)
-    level, root = plan(wrapper)
-
-    def holds(element: Element, kind: int) -> bool:
-        return any(
-            not isinstance(c, str) and not _furniture(c.tag, c.names, False) and (_landmark(c.tag, c.names, kind) or holds(c, kind))
-            for c in element.children
-        )
-
-    while level < 3 and not holds(tree, level):
+    level, slots = plan(wrapper)
+    kinds = landmarks(tree)
+    while level < 3 and level not in kinds:
         level += 1
     blocks: list[list[str]] = [[]]
-
-    def walk(element: Element, node: list | None, inside: bool) -> None:
-        slots, at = _slots(node), 0
-
-        def slot(label: str) -> list | None:
-            nonlocal at
-            for k in (*range(at, len(slots)), *range(at)):
-                if slots[k][0] == label:
-                    at = k
-                    return slots[k]
-            return None
-
-        def read(items: list) -> None:
-            for item in items:
-                if isinstance(item, str):
-                    own = None if item.isspace() else slot(TEXT)
-                    same = own is not None and own[3] is not None and own[4] >= SAME_TEXT_PAGES
-                    if inside and not (level == 3 and same):
-                        blocks[-1].append(item)
-                    continue
-                if _furniture(item.tag, item.names, inside and level < 3):
-                    if item.tag in BLOCKS or item.names:
-                        blocks.append([])
-                    continue
-                if item.tag in BLOCKS:
-                    blocks.append([])
-                if item.tag in BLOCKS or item.names:
-                    walk(item, slot(item.label), inside or _landmark(item.tag, item.names, level))
-                else:
-                    read(item.children)
-                if item.tag in BLOCKS:
-                    blocks.append([])
-
-        read(element.children)
-
-    walk(tree, root, level == 3)
+    places = [Place(tree, slots, level == 3, True, False)]
+    while places:
+        here = places[-1]
+        item = next(here.items, None)
+        if item is None:
+            if places.pop().block:
+                blocks.append([])
+            continue
+        if not isinstance(item, Element):
+            own = None if item[0].isspace() else here.slot(TEXT)
+            judged = own is not None and own.fixed and (level == 3 or (here.needed and own.needed))
+            if here.inside and not (judged and _digest(*item) in own.fixed):
+                blocks[-1].append(item[0])
+            continue
+        if _furniture(item.tag, item.names, here.inside and level < 3):
+            if item.tag in BLOCKS or item.names:
+                blocks.append([])
+            continue
+        block = item.tag in BLOCKS
+        if block:
+            blocks.append([])
+        own = here.slot(item.label)
+        needed = not here.inside or (here.needed and own is not None and own.needed)
+        inside = here.inside or _landmark(item.tag, item.names, level)
+        places.append(Place(item, own.slots if own else [], inside, needed, block))
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 
@@ -353,6 +435,10 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
 
 
+def _written(wrapper: list) -> str:
+    return json.dumps(wrapper, default=sorted)
+
+
 def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Fold the wrappers of equal keys one by one."""
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "wrapper")
@@ -365,14 +451,14 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
                 node = json.loads(row[-1])
                 if here != row[:-1]:
                     if here is not None:
-                        out.append((*here[:1], here[-1] if len(here) > 1 else 0, json.dumps(total)))
+                        out.append((*here[:1], here[-1] if len(here) > 1 else 0, _written(total)))
                     here, total = row[:-1], node
                 else:
-                    total = merge(total, node, total[4] + node[4])
+                    total = merge(total, node, joined(total[4], node[4]))
             if out:
                 yield _rows(out)
         if here is not None:
-            yield _rows([(*here[:1], here[-1] if len(here) > 1 else 0, json.dumps(total))])
+            yield _rows([(*here[:1], here[-1] if len(here) > 1 else 0, _written(total))])
 
     return dealt.mapInArrow(run, "host string, part int, wrapper string")
 
@@ -395,12 +481,12 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 own = skeleton(parse(page))
                 before = held.get(host)
-                held[host] = own if before is None else merge(before, own, before[4] + own[4])
+                held[host] = own if before is None else merge(before, own, joined(before[4], own[4]))
                 if len(held) >= HELD_HOSTS:
-                    yield _rows([(h, part, json.dumps(w)) for h, w in held.items()])
+                    yield _rows([(h, part, _written(w)) for h, w in held.items()])
                     held.clear()
         if held:
-            yield _rows([(h, part, json.dumps(w)) for h, w in held.items()])
+            yield _rows([(h, part, _written(w)) for h, w in held.items()])
 
     local = pages.select("host", "html").mapInArrow(run, "host string, part int, wrapper string")
     return _merged(_merged(local, ["host", "part"]), ["host"]).select("host", "wrapper")

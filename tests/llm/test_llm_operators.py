@@ -416,6 +416,23 @@ def test_wrappers_are_union_free_expressions():
     assert "(<h2>#text</> (<p>#text</>)+)+" in text and "(<table>" in text and "<footer>#same</>" in text and "|" not in text
 
 
+def test_wrapper_slots_decide_inside_landmarks(spark):
+    notice = "<div class='box'>Read our app</div>"
+    pages = [
+        ("http://l.org", page(f"<article><h1>head {i}</h1>{notice}<p>{'more text ' * i}own {i}, <i>a</i> and <i>b</i></p><p>middle {i}</p><p>All prices in euro</p></article>"))
+        for i in range(6)
+    ]
+    found = extracted(spark, pages)
+    assert [found[i].text for i in range(6)] == [f"head {i} {'more text ' * i}own {i}, a and b middle {i}" for i in range(6)]
+    # A part of a block is no furniture, nor is a text that some pages lack.
+    links = [
+        ("http://m.org", page(f"<main><p>{i} <a class='x'>l{i}</a> and <a class='x'>m{i}</a></p><p>{i}{i} <a class='x'>n</a> and <a class='x'>o{i}</a></p>{'<h2>Sources</h2>' * (i % 2)}</main>"))
+        for i in range(8)
+    ]
+    found = extracted(spark, links)
+    assert [found[i].text for i in range(8)] == [f"{i} l{i} and m{i} {i}{i} n and o{i}{' Sources' * (i % 2)}" for i in range(8)]
+
+
 # Pipeline
 
 
