@@ -123,7 +123,7 @@ def parse(page: str) -> Element:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*>?", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and len(stack) < MAX_DEPTH and not (found[3] or "").rstrip().endswith("/"):
+        elif tag not in VOID and not (found[3] or "").rstrip().endswith("/"):
             stack.append(element)
             opened[tag] += 1
     return root

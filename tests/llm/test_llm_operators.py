@@ -433,6 +433,18 @@ def test_wrapper_slots_decide_inside_landmarks(spark):
     assert [found[i].text for i in range(8)] == [f"{i} l{i} and m{i} {i}{i} n and o{i}{' Sources' * (i % 2)}" for i in range(8)]
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "b", "font", "div class='x'"])
+def test_text_after_deep_elements(spark, tag):
+    close = f"</{tag.split()[0]}>"
+    deep = f"<{tag}>" * 70 + "deep<nav>menu</nav>" + close * 70
+    endless = f"<{tag}>" * 3_000
+    found = extracted(spark, [
+        ("http://o.org", f"<div><article><p>first</p>{deep}<p>last</p></article></div><p>outside</p>"),
+        ("http://p.org", f"<div><article>{endless}in<nav>menu</nav><p>body</p></article></div><p>outside</p>"),
+    ])
+    assert found[0].text == "first deep last" and found[1].text == "in body"
+
+
 # Pipeline
 
 
