@@ -17,7 +17,6 @@ from __future__ import annotations
 import functools
 import html
 import json
-import random
 import re
 import zlib
 from collections import Counter
@@ -186,7 +185,7 @@ def skeleton(element: Element, depth: int = 0, pages: list | None = None, seen:
             children.append([TEXT, 1, False, {number}, pages, []])
     seen.append("/")
     if top:
-        pages.append(random.getrandbits(63))
+        pages.append(hash_of("\n".join(seen)))
     return [element.label, 1, False, (), pages, fold(children)]
 
 

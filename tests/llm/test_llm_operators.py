@@ -433,6 +433,15 @@ def test_wrapper_slots_decide_inside_landmarks(spark):
     assert [found[i].text for i in range(8)] == [f"{i} l{i} and m{i} {i}{i} n and o{i}{' Sources' * (i % 2)}" for i in range(8)]
 
 
+def test_copies_of_an_article_are_no_furniture(spark):
+    for shell in ("<div class='z'>{}</div>", "<article>{}</article>"):
+        one = page(shell.format("<h2>Only head</h2><p>only body</p>"))
+        assert {r.text for r in extracted(spark, [("http://n.org", one)] * 7).values()} == {"Only head only body"}
+        two = page(shell.format("<h2>Other head</h2><p>other body</p>"))
+        found = extracted(spark, [("http://n.org", one)] * 7 + [("http://n.org", two)])
+        assert {r.text for r in found.values()} == {"Only head only body", "Other head other body"}
+
+
 @pytest.mark.parametrize("tag", ["div", "span", "b", "font", "div class='x'"])
 def test_text_after_deep_elements(spark, tag):
     close = f"</{tag.split()[0]}>"
