@@ -10,6 +10,7 @@ from hazardflow.llm import (
     binary_records,
     bpe,
     chat_rotation,
+    cross_tokens,
     host_rules,
     html_wrappers,
     license_scan,
@@ -17,8 +18,10 @@ from hazardflow.llm import (
     packing,
     pivot_search,
     quality_classifier,
+    token_counts,
 )
 from hazardflow.llm.storage import table
+from hazardflow.session import shared_dir
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +70,15 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from a cache that begins empty, so that every distinct text is encoded in this run."""
+    return token_counts.counted(table(spark, sf_dir, "documents"), shared_dir(spark, "token-counts"))
+
+
+def op13_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokens.cross_aligned(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pivot_search": op2_pivot_search,
@@ -78,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_wrappers": op9_html_wrappers,
     "op10_host_rules": op10_host_rules,
+    "op12_token_counts": op12_token_counts,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 
 ORACLES: dict[str, str] = {
