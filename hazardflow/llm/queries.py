@@ -17,6 +17,7 @@ from hazardflow.llm import (
     near_dup,
     packing,
     pivot_search,
+    prefix_trie,
     quality_classifier,
     token_counts,
 )
@@ -70,6 +71,10 @@ def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judged(table(spark, sf_dir, "documents")).select("doc_id", *measures, "base_failed", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts from a cache that begins empty, so that every distinct text is encoded in this run."""
     return token_counts.counted(table(spark, sf_dir, "documents"), shared_dir(spark, "token-counts"))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_html_wrappers": op9_html_wrappers,
     "op10_host_rules": op10_host_rules,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_token_counts": op12_token_counts,
     "op13_cross_tokens": op13_cross_tokens,
 }
@@ -98,4 +104,5 @@ ORACLES: dict[str, str] = {
     "op2_pivot_search": pivot_search.ORACLE,
     "op3_chat_rotation": chat_rotation.ORACLE,
     "op10_host_rules": host_rules.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
