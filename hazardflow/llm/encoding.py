@@ -15,7 +15,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 BATCH_CHARS = 1_000_000
 ID_BYTES = 4
 
@@ -49,6 +49,13 @@ class _Pieces(dict):
         self._bytes = [i.to_bytes(ID_BYTES, "little") for i in range(tokenizer.get_vocab_size())]
         self._letters = _alphabet()
         self._marks: dict[str, bytes] = {}
+        self._old: dict[str, bytes | None] = {}
+
+    def turn(self) -> None:
+        """Begin a new generation; pieces of the one before move on when they are asked for again."""
+        self._old = dict(self)
+        self.clear()
+        self._marks.clear()
 
     def _ids(self, word: str) -> bytes:
         """Ids of one word in the vocabulary's alphabet."""
@@ -63,22 +70,22 @@ class _Pieces(dict):
         return self._marks[marks]
 
     def __missing__(self, piece: str) -> bytes | None:
+        found = self[piece] = self._old[piece] if piece in self._old else self._made(piece)
+        return found
+
+    def _made(self, piece: str) -> bytes | None:
         if piece.isascii() and piece.isalpha():  # most pieces: one word
-            found = self._ids("\u0120" + piece)
-        elif (parts := self._PARTS.fullmatch(piece)) and piece not in ("", "\n"):
+            return self._ids("\u0120" + piece)
+        if (parts := self._PARTS.fullmatch(piece)) and piece not in ("", "\n"):
             line, word, marks = parts.groups()
             if line:
-                found = self._marked(line) + (self._spelled(word) if word else b"") + (self._marked(marks) if marks else b"")
-            elif not word:
-                found = self._marked(" " + marks)
-            else:
-                found = self[word] + self._marked(marks) if marks else self._spelled(" " + word)
-        elif len(piece.split()) != 1 or piece.strip("\n") != piece.strip():
-            found = None
-        else:
-            found = b"".join([self._ids(w) for w, _ in self._split(piece if piece[0] == "\n" else " " + piece)])
-        self[piece] = found
-        return found
+                return self._marked(line) + (self._spelled(word) if word else b"") + (self._marked(marks) if marks else b"")
+            if not word:
+                return self._marked(" " + marks)
+            return self[word] + self._marked(marks) if marks else self._spelled(" " + word)
+        if len(piece.split()) != 1 or piece.strip("\n") != piece.strip():
+            return None
+        return b"".join([self._ids(w) for w, _ in self._split(piece if piece[0] == "\n" else " " + piece)])
 
 
 class PieceEncoder:
@@ -90,6 +97,7 @@ class PieceEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._tokenizer.model._resize_cache(1)  # the pieces are the cache; the model's own would only cost time
         self._entries = entries
         self._pieces = _Pieces(self._tokenizer)
 
@@ -100,8 +108,7 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes, ``ID_BYTES`` each."""
         if len(self._pieces) > self._entries:
-            self._pieces.clear()
-            self._pieces._marks.clear()
+            self._pieces.turn()
         out = []
         for text in texts:
             ids = list(map(self._pieces.__getitem__, ("\n" + text.replace("\n", " \n")).split(" ")))
