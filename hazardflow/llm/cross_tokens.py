@@ -17,7 +17,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +33,64 @@ B_VOCABULARY = "piece_bpe_32k.model"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 RUN_CHARS = 1_000_000
+# A document-end key has the document of the run above these bits, the end in bytes below.
+END_BITS = 40
 # Links that are joined or counted at a time, whatever the size of the Arrow batches.
 RUN_LINKS = 1_000_000
 
 
+def _byte_bytes(path: str) -> list[bytes]:
+    """Bytes of each entry of a byte-level vocabulary; special entries stand for their own text."""
+    from tokenizers import Tokenizer
+
+    vocab = Tokenizer.from_file(path).get_vocab()
+    other = encoding._alphabet()
+    byte = {other.get(b, chr(b)): b for b in range(256)}
+    out = [b""] * (max(vocab.values()) + 1)
+    for entry, i in vocab.items():
+        out[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
+    return out
+
+
+def _byte_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes a space and each text to little-endian unsigned 32-bit ids.
+
+    Where the file's merges make entries in the order of their ids, the ids are ranks, and the rank encoder gives the same
+    ids several times faster than the library of the file; otherwise that library does it.
+    """
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    model, split = given["model"], given["pre_tokenizer"] or {}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    made = [model["vocab"][m] for m in merged]
+    plain = not given["normalizer"] and model["type"] == "BPE" and not model.get("ignore_merges") and not model.get("dropout")
+    level = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    special = {t["id"] for t in given["added_tokens"]}
+    if not (plain and level and all(i < j for i, j in zip(made, made[1:])) and len(made) + 256 + len(special) == len(_byte_bytes(path))):
+        whole = encoding.encoder(path)._whole
+        return lambda texts: [whole(" " + t) for t in texts]
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {entry: i for i, entry in enumerate(_byte_bytes(path)) if i not in special}
+    ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [ranked.encode_to_numpy(" " + t, disallowed_special=()).astype("<u4", copy=False).tobytes() for t in texts]
+
+
 class Vocabularies:
     """Bytes of every entry of A and B, as Arrow arrays by id, and the encoders of both."""
 
     def __init__(self, a_path: str, b_path: str):
-        self.encode_a = encoding.encoder(a_path).encode
+        self.encode_a = _byte_encoder(a_path)
         piece_encoder = pieces.encoder(b_path)
         self.encode_b = piece_encoder.encode
-        self.a = pa.array(self._byte_level(a_path), pa.large_binary())
+        self.a = pa.array(_byte_bytes(a_path), pa.large_binary())
         self.b = pa.array(self._spelled(piece_encoder.model), pa.large_binary())
         self.a_length, self.b_length = pc.binary_length(self.a), pc.binary_length(self.b)
         largest = max(len(self.a), len(self.b))
         # Decimal ids with each separator: id * 3 is followed by a comma, + 1 by a bar, + 2 by a semicolon.
         self.numbers = pa.array([f"{i}{sep}" for i in range(largest) for sep in ",|;"], pa.large_string())
 
-    @staticmethod
-    def _byte_level(path: str) -> list[bytes]:
-        from tokenizers import Tokenizer
-
-        vocab = Tokenizer.from_file(path).get_vocab()
-        other = encoding._alphabet()
-        byte = {other.get(b, chr(b)): b for b in range(256)}
-        out = [b""] * (max(vocab.values()) + 1)
-        for entry, i in vocab.items():
-            out[i] = bytes(byte[c] for c in entry) if all(c in byte for c in entry) else entry.encode()
-        return out
-
     @staticmethod
     def _spelled(model) -> list[bytes]:
         return [
@@ -102,35 +131,35 @@ def _spells(ids: pa.LargeListArray, entries: pa.Array, wanted: list[bytes]) -> n
     return np.array([data[at[i] : at[i + 1]] == w for i, w in enumerate(wanted)], dtype=bool)
 
 
-def _ends(ids: pa.LargeListArray, lengths: pa.Array) -> tuple[pa.Table, np.ndarray]:
-    """(document, end, position, id) of every token, and the first position of every document."""
-    flat, doc = ids.flatten(), pc.list_parent_indices(ids)
+def _ends(ids: pa.LargeListArray, lengths: pa.Array, place: str) -> tuple[pa.Table, np.ndarray]:
+    """The document-end key and position of every token, and the first position of every document."""
+    flat, doc = ids.flatten(), np.asarray(pc.list_parent_indices(ids))
     total = np.asarray(pc.cumulative_sum(pc.cast(lengths.take(flat), pa.int64())))
     first = np.asarray(ids.offsets)
     before = np.concatenate([[0], total])[first[:-1]]  # bytes of all documents before each
-    end = total - before[np.asarray(doc)]
-    columns = {"doc": doc, "end": pa.array(end), "at": pa.array(np.arange(len(flat))), "id": flat}
-    return pa.table(columns), first
+    key = (doc << END_BITS) + total - before[doc]
+    return pa.table({"key": key, place: np.arange(len(flat), dtype=np.int32)}), first
 
 
 class Aligned:
     """Groups and links of a run of documents that all spell their texts."""
 
     def __init__(self, ids_a: pa.LargeListArray, ids_b: pa.LargeListArray, own: Vocabularies):
-        a, first_a = _ends(ids_a, own.a_length)
-        b, first_b = _ends(ids_b, own.b_length)
-        links = a.join(b, keys=["doc", "end"], join_type="inner", right_suffix="_b", use_threads=False)
+        a, first_a = _ends(ids_a, own.a_length, "at_a")
+        b, first_b = _ends(ids_b, own.b_length, "at_b")
+        links = a.join(b, keys="key", join_type="inner", use_threads=False)
         # Ends grow strictly inside a document, so positions in A order the links, and each link ends one group.
-        links = links.take(pc.sort_indices(links["at"]))
-        at_a, at_b = np.asarray(links["at"]), np.asarray(links["at_b"])
+        order = np.argsort(np.asarray(links["at_a"]))
+        at_a, at_b = np.asarray(links["at_a"])[order].astype(np.int64), np.asarray(links["at_b"])[order].astype(np.int64)
+        id_a, id_b = np.asarray(ids_a.flatten()), np.asarray(ids_b.flatten())
         self.n_a, self.n_b = np.diff(first_a), np.diff(first_b)
-        self.doc = np.asarray(links["doc"])
+        self.doc = np.asarray(links["key"])[order] >> END_BITS
         self.n_links = np.bincount(self.doc, minlength=len(ids_a))
-        self.pairs = np.asarray(links["id"]) * len(own.b) + np.asarray(links["id_b"])
-        self.digests = self._digests(a, b, at_a, at_b, first_a + first_b, own)
+        self.pairs = id_a[at_a] * len(own.b) + id_b[at_b]
+        self.digests = self._digests(id_a, id_b, at_a, at_b, first_a + first_b, own)
 
     @staticmethod
-    def _digests(a: pa.Table, b: pa.Table, at_a: np.ndarray, at_b: np.ndarray, first: np.ndarray, own: Vocabularies) -> list[str]:
+    def _digests(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, first: np.ndarray, own: Vocabularies) -> list[str]:
         """Digest of each document's groups, written out as decimal ids with separators.
 
         The written form of all documents is one string array in reading order, so its bytes are already joined.
@@ -141,8 +170,8 @@ class Aligned:
         place_a = np.arange(len(a)) + np.concatenate([[0], at_b + 1])[groups_a]  # after B's tokens of earlier groups
         place_b = np.arange(len(b)) + (at_a + 1)[groups_b]  # after A's tokens of its own group
         written = np.empty(len(a) + len(b), dtype=np.int64)
-        written[place_a] = np.asarray(a["id"]) * 3 + last_a
-        written[place_b] = np.asarray(b["id"]) * 3 + 2 * last_b
+        written[place_a] = a * 3 + last_a
+        written[place_b] = b * 3 + 2 * last_b
         text = own.numbers.take(pa.array(written))
         at = np.frombuffer(text.buffers()[1], dtype=np.int64, count=len(text) + 1)[first].tolist()
         data = memoryview(text.buffers()[2] or b"")
@@ -152,7 +181,7 @@ class Aligned:
 def _align_texts(texts: list[str], own: Vocabularies) -> tuple[Aligned, pa.LargeListArray]:
     """The alignment of a run of texts and each one's pairs; texts that are not spelled by both have no tokens."""
     wanted = [b" " + t.encode() for t in texts]
-    ids_a = own.encode_a([" " + t if t else "" for t in texts])
+    ids_a = own.encode_a(texts)
     ids_b = own.encode_b(texts)
     whole = _spells(_lists(ids_a), own.a, wanted) & _spells(_lists(ids_b), own.b, wanted)
     if not whole.all():
