@@ -5,142 +5,204 @@ its age is at most the limit; a reuse does not extend the limit; the first row p
 decision depends on the one before, so a key cannot be cut at arbitrary points, and gaps between rows
 (sessions, ``lag``) give wrong answers.
 
-One key may hold a third of the table, so the chain is not folded over a whole key. Each key's timeline is
-cut into slices of many limits. A slice acts on the chain as a small step function: from the last scored time
-before the slice to the last scored time in it. Those functions are computed for all slices in parallel,
-composed per key (one short list per slice instead of its rows), and then every slice is replayed in parallel
-from its known start.
+One key may hold a third of the table, so neither the chain nor its summary is folded over a key. Distinct times are
+dealt into sorted ranges of equal row count. Inside a range, chains are followed by pointer doubling in arrays. A key's
+run in a range acts on its chain as a step function: from the last scored time before the run to the last scored time
+in it. The steps of runs that are continued from range to range are rows; each points at the step that comes after it
+(an as-of join), the pointers are doubled in joins, and the steps on the chain mark where every range starts from.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.functions import arrow_udf
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from hazardflow import dims
 from hazardflow.functions.times import MICROS, micros
+from hazardflow.operators import ranges
+from hazardflow.operators.ranges import PART
 
-STEP_TYPE = "array<struct<upto:bigint,at:int>>"
 
+def followers(times: np.ndarray, begins: np.ndarray, ttl: int) -> np.ndarray:
+    """For every time, the position of the first later one of its run that is past the limit; the length if none.
 
-def slice_steps(
-    times: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ttl: int, slice_us: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Step functions of many slices at once, over their sorted distinct times laid end to end.
-
-    For a limit that expires at ``x``, the chain enters a slice at the first time after ``x`` and leaves at the
-    last scored row reached from there. Entries with one outcome are merged: ``upto`` is the last entry time of
-    a step, ``at`` the position in the slice it leaves from. An ``x`` at or after every time skips the slice.
-    Returns ``upto``, ``at`` and the offsets of each slice's steps.
+    ``begins`` are the first positions of the runs. Gaps are cut to just above the limit, which leaves every comparison
+    as it is, so that one search serves all runs without leaving 64 bits.
+    """
+    n = len(times)
+    first = np.zeros(n, dtype=bool)
+    first[begins] = True
+    gaps = np.minimum(np.diff(times, prepend=times[:1]), ttl + 1)
+    line = np.cumsum(np.where(first, ttl + 1, gaps))
+    after = np.searchsorted(line, line + ttl, side="right")
+    ends = np.repeat(np.append(begins[1:], n), np.diff(np.append(begins, n)))
+    return np.where(after < ends, after, n)
+
+
+def chain(start: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Marks of all positions reached from ``start`` along ``after``, in as many rounds as the logarithm of the chain."""
+    marks = np.zeros(len(after) + 1, dtype=bool)
+    marks[start] = True
+    jump = np.append(after, len(after))
+    while (jump != len(after)).any():
+        marks[jump[np.flatnonzero(marks)]] = True
+        jump = jump[jump]
+    return marks[:-1]
+
+
+def run_steps(times: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step function of one run of sorted distinct times: ``upto`` and the position left from.
+
+    A limit that expires at ``x`` enters at the first time after ``x``, in the first step whose ``upto`` is after ``x``. A
+    row before the run can only hand over a time up to one limit into the run, so those times and the next one enter.
     """
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    into = times - starts[owner]
-    # Slices apart by more than any reach, so that one search serves them all.
-    line = into + owner * np.int64(slice_us + 2 * ttl)
-    reach = np.searchsorted(line, line + ttl, side="right")
-    end = offsets[1:][owner]
-    last = np.arange(len(times))
-    alive = np.nonzero(reach < end)[0]
+    n = len(times)
+    after = followers(times, np.array([0]), ttl)
+    last, jump = np.arange(n), np.append(after, n)
+    alive = np.flatnonzero(after < n)
     while len(alive):
-        last[alive] = last[reach[alive]]
-        reach[alive] = reach[reach[alive]]
-        alive = alive[reach[alive] < end[alive]]
-    # An earlier row can only hand over a time up to one limit into the slice, so those times and the next enter.
-    previous = np.concatenate(([-1], into[:-1]))
-    first = np.zeros(len(times), dtype=bool)
-    first[offsets[:-1][sizes > 0]] = True
-    entry = first | (previous <= ttl)
-    next_entry = np.append(entry[1:] & ~first[1:], False)
-    same = np.append(last[1:] == last[:-1], False)
-    ends = np.nonzero(entry & ~(next_entry & same))[0]
-    counts = np.bincount(owner[ends], minlength=len(sizes))
-    return times[ends], last[ends] - offsets[:-1][owner[ends]], np.concatenate(([0], np.cumsum(counts)))
-
-
-def _steps_udf(ttl: int, slice_us: int):
-    limit = max(1, (2**62) // (slice_us + 2 * ttl))  # slices whose line fits 64 bits
-
-    @arrow_udf(STEP_TYPE)
-    def steps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lists, starts in batches:
-            parts = []
-            for low in range(0, len(lists), limit):
-                part = lists.slice(low, limit)
-                sizes = np.asarray(part.value_lengths().fill_null(0), dtype=np.int64)
-                times = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes)))
-                begin = starts.slice(low, limit).to_numpy(zero_copy_only=False).astype(np.int64)
-                upto, at, bounds = slice_steps(times, offsets, begin, ttl, slice_us)
-                fields = [pa.array(upto, pa.int64()), pa.array(at.astype(np.int32), pa.int32())]
-                rows = pa.StructArray.from_arrays(fields, names=["upto", "at"])
-                parts.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rows))
-            yield pa.concat_arrays(parts)
-
-    return steps
-
-
-def _compose(slices: Column, ttl: int) -> Column:
-    """Fold a key's slices in order into ``(slice, row scored last before it)``."""
-
-    def advance(state: Column, piece: Column) -> Column:
-        step = F.filter(
-            piece["steps"],
-            lambda s: state["put"].isNull() | (s["upto"] > state["put"]["us"] + F.lit(ttl)),
-        )
-        leaves = F.when(F.size(step) > 0, F.element_at(step, 1)["leaves"]).otherwise(state["put"])
-        entry = F.struct(piece["slice"].alias("slice"), state["put"].alias("start"))
-        return F.struct(leaves.alias("put"), F.concat(state["seen"], F.array(entry)).alias("seen"))
-
-    # The empty state takes its types from the first piece.
-    nobody = F.when(F.lit(False), F.element_at(slices, 1)["steps"][0]["leaves"])
-    nothing = F.slice(
-        F.array(F.struct(F.element_at(slices, 1)["slice"].alias("slice"), nobody.alias("start"))), 1, 0
-    )
-    initial = F.struct(nobody.alias("put"), nothing.alias("seen"))
-    return F.aggregate(slices, initial, advance, lambda state: state["seen"])
-
-
-def _replay(rows: Column, start: Column, ttl: int) -> Column:
-    """Scored rows of a slice, led by the one carried in; at most one per limit."""
-
-    def advance(puts: Column, row: Column) -> Column:
-        fresh = (F.size(puts) == 0) | (row["us"] > F.element_at(puts, -1)["us"] + F.lit(ttl))
-        return F.when(fresh, F.concat(puts, F.array(row))).otherwise(puts)
-
-    return F.aggregate(rows, F.array_compact(F.array(start)), advance)
-
-
-def scored_rows(rows: DataFrame, keys: list[str], ttl_us: int, slice_us: int) -> DataFrame:
-    """Per key and slice, the scored rows ``(us, id)`` that rows of the slice may refer to.
-
-    ``rows`` holds the keys, ``_slice``, ``_us`` and ``_id``. Equal times of a key are merged to the smallest
-    id before anything is collected, and a slice spans a fixed number of limits.
+        last[alive] = last[jump[alive]]
+        jump[alive] = jump[jump[alive]]
+        alive = alive[jump[alive] < n]
+    entries = int(np.searchsorted(times, times[0] + ttl, side="left")) + 1 if n else 0
+    left = last[:entries]
+    ends = np.flatnonzero(np.append(left[1:] != left[:-1], True)) if entries else np.array([], dtype=int)
+    ends = np.minimum(ends, n - 1)
+    return times[ends], left[ends]
+
+
+def _changes(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Positions at which one of the columns differs from the row before; the first position is always one."""
+    changed = np.zeros(batch.num_rows, dtype=bool)
+    changed[0] = True
+    for name in columns:
+        column = batch.column(name)
+        changed[1:] |= pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(changed)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, bool]]:
+    """Batches with the positions at which runs begin, and whether the first row goes on with the run before."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            names = [PART, *keys]
+            begins = _changes(batch, names)
+            first = [batch.column(c)[0].as_py() for c in names]
+            yield batch, begins, first == last
+            last = [batch.column(c)[batch.num_rows - 1].as_py() for c in names]
+
+
+def _step_rows(keys: list[str], ttl: int):
+    """Runs of a key in a range to the steps of their function."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def steps() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                upto, left = run_steps(rows["us"].to_numpy(), ttl)
+                out = rows.take(pa.array(left))
+                columns = [*[out[c] for c in (*keys, PART)], pa.array(upto), out["us"], out["id"]]
+                yield from pa.table(columns, names=[*keys, PART, "upto", "left_us", "left_id"]).to_batches()
+
+        for batch, begins, goes_on in _runs(batches, keys):
+            bounds = [*begins.tolist(), batch.num_rows]
+            for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+                if i or not goes_on:
+                    yield from steps()
+                    held.clear()
+                held.append(batch.slice(low, high - low))
+        yield from steps()
+
+    return run
+
+
+def _replay(keys: list[str], ttl: int, starts: dict[int, tuple[int, Any]]):
+    """Rows of sorted ranges to the id whose prediction each takes; ``starts`` has the scored row a range begins with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_part, put = None, None
+        for batch, begins, goes_on in _runs(batches, keys):
+            times, part = batch.column("us").to_numpy(), batch.column(PART).to_numpy()
+            n = len(times)
+            ends = np.append(begins[1:], n)
+            carried: dict[int, tuple[int, Any]] = {}  # by run: the scored row it begins with
+            for i, low in enumerate(begins.tolist()):
+                new_part = part[low] != last_part
+                last_part = int(part[low])
+                if i == 0 and goes_on:
+                    carried[i] = put
+                elif new_part and last_part in starts:
+                    carried[i] = starts[last_part]
+            enter = begins.copy()
+            for i, (us, _) in carried.items():
+                enter[i] = begins[i] + np.searchsorted(times[begins[i] : ends[i]], us + ttl, side="right")
+            marks = chain(enter[enter < ends], followers(times, begins, ttl))
+            owner = np.maximum.accumulate(np.where(marks, np.arange(n), -1))
+            ids = batch.column("id")
+            given = list(carried)
+            for place, i in enumerate(given):
+                own = owner[begins[i] : ends[i]]
+                own[own < begins[i]] = n + place
+            if given:
+                ids = pa.concat_arrays([ids, pa.array([carried[i][1] for i in given], ids.type)])
+            at = int(owner[-1])
+            put = (int(times[at]), ids[at].as_py()) if at < n else carried[given[at - n]]
+            columns = [*[batch.column(c) for c in keys], batch.column("us"), ids.take(pa.array(owner))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "us", "source_id"])
+
+    return run
+
+
+def _starts(times: DataFrame, continued: DataFrame, keys: list[str], ttl: int, parts: int | None) -> DataFrame:
+    """The scored row that stands when a continued range begins: (_part, us, id), at most one for each range."""
+    long = times.join(F.broadcast(continued.select(*keys).distinct()), keys, "left_semi")
+    fields = [times.schema[c] for c in (*keys, PART)]
+    us, row_id = times.schema["us"].dataType, times.schema["id"].dataType
+    schema = StructType([*fields, StructField("upto", us), StructField("left_us", us), StructField("left_id", row_id)])
+    steps = ranges.stored(ranges.in_order(long, [*keys, "us"]).mapInArrow(_step_rows(keys, ttl), schema), "reuse-steps")
+    asked = steps.select(*keys, "upto", (F.col("left_us") + F.lit(ttl)).alias("at"))
+    pointers = ranges.next_above(asked, steps.select(*keys, F.col("upto").alias("value")), keys, parts)
+    pointers = ranges.stored(pointers.where("found is not null").select(*keys, "upto", "found"), "reuse-pointers")
+    runs = ranges.stored(long.groupBy(*keys, PART).agg(F.min("us").alias("first")), "reuse-runs")
+    # A key's chain begins with the first step of its first run.
+    marked = steps.groupBy(*keys).agg(F.min("upto").alias("upto"))
+    most = runs.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+    for _ in range((most - 1).bit_length()):
+        onward = marked.join(pointers, [*keys, "upto"]).select(*keys, F.col("found").alias("upto"))
+        marked = ranges.stored(marked.unionByName(onward), "reuse-chain")
+        behind = pointers.select(*keys, F.col("upto").alias("found"), F.col("found").alias("farther"))
+        pointers = pointers.join(behind, [*keys, "found"]).select(*keys, "upto", F.col("farther").alias("found"))
+        pointers = ranges.stored(pointers, "reuse-pointers")
+    left = steps.join(marked, [*keys, "upto"]).select(*keys, PART, F.struct("left_us", "left_id").alias("left"))
+    before = W.partitionBy(*keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    standing = F.last("left", ignorenulls=True).over(before)
+    starts = runs.join(left, [*keys, PART], "left").withColumn("put", standing).where("put is not null")
+    return starts.select(PART, F.col("put.left_us").alias("us"), F.col("put.left_id").alias("id"))
+
+
+def scored_sources(rows: DataFrame, keys: list[str], ttl_us: int, parts: int | None = None) -> DataFrame:
+    """For every distinct time of a key the id of the scored row that serves it: (keys, us, source_id).
+
+    ``rows`` holds the keys, ``us`` and ``id``; at equal times of a key the smallest id counts.
     """
-    times = rows.groupBy(*keys, "_slice", "_us").agg(F.min("_id").alias("_id"))
-    point = F.struct(F.col("_us").alias("us"), F.col("_id").alias("id"))
-    slices = times.groupBy(*keys, "_slice").agg(F.sort_array(F.collect_list(point)).alias("_rows"))
-    steps = _steps_udf(ttl_us, slice_us)(F.col("_rows.us"), F.col("_slice") * F.lit(slice_us))
-    piece = F.struct(
-        F.col("_slice").alias("slice"),
-        F.transform(
-            "_steps", lambda s: F.struct(s["upto"].alias("upto"), F.get("_rows", s["at"]).alias("leaves"))
-        ).alias("steps"),
-    )
-    starts = (
-        slices.withColumn("_steps", steps)
-        .select(*keys, piece.alias("_piece"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
-        .select(*keys, F.explode(_compose(F.col("_pieces"), ttl_us)).alias("_s"))
-        .select(*keys, F.col("_s.slice").alias("_slice"), F.col("_s.start").alias("_start"))
-    )
-    scored = _replay(F.col("_rows"), F.col("_start"), ttl_us)
-    return slices.join(starts, [*keys, "_slice"]).select(*keys, "_slice", scored.alias("_puts"))
+    distinct = rows.groupBy(*keys, "us").agg(F.min("id").alias("id"))
+    times = ranges.dealt(distinct, [*keys, "us"], "reuse-times", parts)
+    continued = ranges.stored(ranges.continued(times, keys), "reuse-continued")
+    starts: dict[int, tuple[int, Any]] = {}
+    if not continued.isEmpty():
+        found = _starts(times, continued, keys, ttl_us, parts)
+        starts = {r[PART]: (r["us"], r["id"]) for r in found.collect()}  # one for each range at most
+    schema = StructType([*[times.schema[c] for c in (*keys, "us")], StructField("source_id", times.schema["id"].dataType)])
+    return ranges.in_order(times, [*keys, "us"]).mapInArrow(_replay(keys, ttl_us, starts), schema)
 
 
 def mark_reuse(
@@ -149,22 +211,23 @@ def mark_reuse(
     ts: str = "ts",
     event_id: str = "event_id",
     ttl_seconds: int = dims.REUSE_TTL_SECONDS,
-    slice_limits: int = 4,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add ``reused`` and ``source_id``, the id of the row whose prediction each row takes.
 
     A limit of 0 means the default. At equal times of one key, the smallest id is scored. A row's own id,
-    position and routing stay its own; only the prediction is shared. Keys must not be null.
+    position and routing stay its own; only the prediction is shared. Keys must not be null. ``parts`` sets the number
+    of ranges; without it the session's shuffle settings do.
     """
     ttl_us = (ttl_seconds or dims.REUSE_TTL_SECONDS) * MICROS
-    slice_us = ttl_us * slice_limits
     rows = requests.withColumn("_us", micros(F.col(ts)))
-    rows = rows.withColumn("_slice", F.floor(F.col("_us") / F.lit(slice_us)).cast("bigint"))
-    puts = scored_rows(rows.select(*keys, "_slice", "_us", F.col(event_id).alias("_id")), keys, ttl_us, slice_us)
-    # A row refers to the last scored row at or before it.
-    owner = F.element_at(F.filter("_puts", lambda p: p["us"] <= F.col("_us")), -1)["id"]
-    marked = rows.join(puts, [*keys, "_slice"], "left").withColumn("source_id", owner)
-    return marked.withColumn("reused", F.col(event_id) != F.col("source_id")).drop("_us", "_slice", "_puts")
+    names = [f"_k{i}" for i in range(len(keys))]
+    narrow = rows.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_us").alias("us"), F.col(event_id).alias("id")
+    )
+    sources = scored_sources(narrow, names, ttl_us, parts).toDF(*keys, "_us", "source_id")
+    marked = rows.join(sources, [*keys, "_us"], "left").drop("_us")
+    return marked.withColumn("reused", F.col(event_id) != F.col("source_id"))
 
 
 def reuse_stats(marked: DataFrame, keys: list[str], ttl_seconds: int = dims.REUSE_TTL_SECONDS) -> DataFrame:
