@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ["rows", "history", "monitoring", "streams", "modeling"]
+MODULES = ["rows", "requests", "history", "monitoring", "streams", "modeling"]
 
 
 def load() -> ModuleType:

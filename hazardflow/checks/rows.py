@@ -631,69 +631,6 @@ def sequence_validity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "triage_response",
-    with_views(
-        f"""{GEO} SELECT event_id, observed_severity AS severity, {sql_round('1 - 1 / (1 + value / 50)')}
-        AS escalation_probability_3h, 1 - 1 / (1 + value / 50) >= 0.65::DOUBLE AS escalation_likely,
-        {CHANNEL_SQL.format(s='observed_severity')} AS channels,
-        estimated_affected_population AS affected_population_estimate, composite_risk_score AS risk_score,
-        {sql_round('least(m / 200, 1)')} AS confidence FROM geo""",
-        "hazard_events",
-    ),
-)
-def triage_response(spark: SparkSession, sf: str) -> DataFrame:
-    """Responses with the rule label and stand-in scores in place of models."""
-    scored = enrich.geo_risk(hazard_events(spark, sf)).withColumns(
-        {
-            "severity": F.col("observed_severity"),
-            "confidence": F.least(F.coalesce("magnitude", F.lit(0.0)) / 200, F.lit(1.0)),
-        }
-    )
-    answers = triage.responses(scored, F.expr(_P["p3h"]))
-    return answers.select(
-        "event_id",
-        "severity",
-        r6("escalation_probability_3h").alias("escalation_probability_3h"),
-        "escalation_likely",
-        F.array_join("recommended_channels", ",").alias("channels"),
-        "affected_population_estimate",
-        "risk_score",
-        r6("confidence").alias("confidence"),
-    )
-
-
-FLAGSHIP_SQL = with_views(
-    f"""{GEO}, daily AS (SELECT strftime(ts, '%Y-%m-%d') AS day, observed_severity AS severity,
-      COUNT(*) AS notifications, AVG(composite_risk_score) AS r, SUM(estimated_affected_population) AS p,
-      COUNT(*) FILTER (WHERE magnitude IS NULL) AS w FROM geo GROUP BY 1, 2)
-    SELECT day, severity, unnest(string_split({CHANNEL_SQL.format(s='severity')}, ',')) AS channel, notifications,
-      {sql_round('r')} AS mean_risk, CAST(p AS BIGINT) AS affected_population, w AS with_warnings FROM daily""",
-    "hazard_events",
-)
-
-
-@query("routing_load", FLAGSHIP_SQL)
-def routing_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: events through geography, features and quality to daily load per severity and channel.
-
-    The raw magnitude is passed on unfilled here, so that missing ones show as quality warnings.
-    """
-    located = enrich.feature_vector(enrich.geo_risk(hazard_events(spark, sf)), prefix="f_")
-    values = {**enrich.raw_inputs(), "magnitude_or_wind_speed": F.col("magnitude")}
-    valid, _ = enrich.quality_checked(located, values, enrich.given_inputs())
-    load = triage.routing_load(valid, "observed_severity")
-    return load.select(
-        F.date_format("day", "yyyy-MM-dd").alias("day"),
-        "severity",
-        "channel",
-        "notifications",
-        r6("mean_risk").alias("mean_risk"),
-        "affected_population",
-        "with_warnings",
-    )
-
-
 # --- requests and messages -----------------------------------------------------------------------------
 
 _BAD_LAT = "CASE WHEN seq % 20 = 0 THEN latitude * 100 ELSE latitude END"

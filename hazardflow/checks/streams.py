@@ -10,9 +10,7 @@ from hazardflow.checks import monitoring
 from hazardflow.checks.fixtures import HAZARD_EVENTS, table, with_views
 from hazardflow.checks.history import _REUSE, TWO_DAYS, _drift_sql, _UNIFORM
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
-from hazardflow.checks.rows import GEO
-from hazardflow.plans.triage import responses
-from hazardflow.operators.enrich import geo_risk
+from hazardflow.checks.requests import answer_rows, answers_sql, as_requests, fixed_escalation, fixed_severity
 from hazardflow.sources.sinks import keyed_messages
 from hazardflow.streaming import jobs, state
 
@@ -98,22 +96,17 @@ def stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.withColumn("drift_magnitude", r6("drift_magnitude"))
 
 
-@query(
-    "stream_triage",
-    with_views(
-        f"""{GEO} SELECT event_id, observed_severity AS severity, composite_risk_score AS risk_score,
-        estimated_affected_population AS affected_population_estimate FROM geo""",
-        "hazard_events",
-    ),
-)
+@query("stream_triage", answers_sql(TWO_DAYS, clears=True))
 def stream_triage(spark: SparkSession, sf: str) -> DataFrame:
-    """Events to keyed JSON messages with the rule label in place of a model, then read back."""
-    scored = geo_risk(event_stream(spark, sf)).withColumns(
-        {"severity": F.col("observed_severity"), "confidence": F.lit(1.0)}
+    """Requests through the whole job to keyed JSON messages, with held answers and rows that empty them; read back."""
+    state.use_rocksdb(spark)
+    requests = as_requests(event_stream(spark, sf))
+    answers = jobs.triage_stream(
+        requests, fixed_severity(), fixed_escalation(), TWO_DAYS, clear="is_clear", prior="prior_24h_event_count"
     )
-    written = _finished(spark, keyed_messages(responses(scored)), "triage")
-    schema = "event_id string, severity string, risk_score double, affected_population_estimate bigint"
-    return written.select(F.from_json("value", schema).alias("v")).select("v.*")
+    written = _finished(spark, keyed_messages(answers), "triage", empty_batches=False)
+    schema = StructType([f for f in answers.schema.fields])
+    return answer_rows(written.select(F.from_json("value", schema).alias("v")).select("v.*"))
 
 
 @query("stream_feeds", monitoring._NORMALIZED)

@@ -1,14 +1,10 @@
-"""Severity and escalation models on Spark ML, and user models applied in Arrow batches."""
+"""Severity and escalation models, and user models applied in Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -20,8 +16,9 @@ from hazardflow.functions.decisions import (
     escalation_likely,
     untrained_prediction,
 )
-from hazardflow.operators.evaluation import log_loss
-from hazardflow.session import ensure_checkpoint_dir
+from hazardflow.operators import boosting, sequence_training, workers
+from hazardflow.operators.boosting import Trees
+from hazardflow.operators.sequence_training import SequenceModel
 
 # Training settings of the severity model.
 TREES = 200
@@ -31,6 +28,8 @@ SUBSAMPLE = 0.8
 SEED = 42
 
 HORIZONS = (1, 3, 6)
+# Steps and features of a sensor sequence.
+SEQUENCE_VALUES = 24 * 15
 CLASSES = sorted(dims.SEVERITIES)  # probability order
 
 
@@ -48,63 +47,40 @@ def train_severity(
     depth: int = DEPTH,
     subsample: float = SUBSAMPLE,
     seed: int = SEED,
-) -> PipelineModel:
-    """Standard scaling and gradient-boosted trees, one binary model per class.
+    row_id: str | None = None,
+    n_workers: int | None = None,
+) -> Trees:
+    """Multiclass gradient boosting: ``trees`` rounds, one tree of ``depth`` for each class and round.
 
-
-    Spark's boosting is binary, so the classes compete one against the rest: the task and the settings are
-    those of a multiclass booster, the fitted numbers are not. Rows with an unknown label are left out.
+    Rows with an unknown label are left out. Trees compare values only, so features need no scaling. ``row_id`` names
+    what decides the rounds a row takes part in; without it, rows of equal values take part together.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    labeled = rows.withColumn("label", label_index(F.col(label))).where(F.col("label") >= 0)
-    training = labeled.select(*features, "label")
-    booster = GBTClassifier(
-        maxIter=trees,
-        stepSize=step_size,
-        maxDepth=depth,
-        subsamplingRate=subsample,
-        seed=seed,
-        cacheNodeIds=False,
-        checkpointInterval=10,
-    )
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=features, outputCol="raw_features"),
-            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
-            OneVsRest(classifier=booster, parallelism=len(CLASSES)),
-        ]
-    ).fit(training)
+    labeled = rows.withColumn("_label", label_index(F.col(label))).where(F.col("_label") >= 0)
+    drawn = F.xxhash64(row_id) if row_id else F.xxhash64(*features, "_label")
+    return boosting.train(labeled, features, "_label", drawn, CLASSES, trees, step_size, depth, subsample, seed, n_workers)
 
 
-def score_severity(
-    rows: DataFrame, model: PipelineModel | None, features: list[str] = dims.MODEL_FEATURES
-) -> DataFrame:
-    """Add ``severity``, ``confidence``, ``probabilities`` and ``channels``.
+def score_severity(rows: DataFrame, model: Trees | None, features: list[str] = dims.MODEL_FEATURES) -> DataFrame:
+    """Add ``severity``, ``confidence``, ``probabilities``, ``feature_importance`` and ``channels``.
 
-    Missing features read 0. A class's probability is the logistic of twice its boosting margin, normalized
-    over the classes. Without a model every row is MODERATE with confidence 0.
+    Missing features read 0. The importance map is that of the whole model. Without a model every row is MODERATE with
+    confidence 0 and an empty map.
     """
     if model is None:
         fallback = untrained_prediction()
         plain = rows.withColumns({"severity": fallback["severity"], "confidence": fallback["confidence"]})
-        return plain.withColumn("channels", channels(F.col("severity")))
-    present = {n: F.coalesce(F.col(n), F.lit(0.0)) if n in rows.columns else F.lit(0.0) for n in features}
-    filled = rows.withColumns(present)
-    margins = vector_to_array("rawPrediction")
-    scored = model.transform(filled).withColumn(
-        "_odds", F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m)))
-    )
-    total = F.aggregate("_odds", F.lit(0.0), lambda acc, p: acc + p)
-    scored = scored.withColumn("probabilities", F.transform("_odds", lambda p: p / total))
-    scored = scored.withColumn("severity", argmax_label(F.col("probabilities"), CLASSES))
-    return scored.withColumns(
-        {"confidence": F.array_max("probabilities"), "channels": channels(F.col("severity"))}
-    ).drop("raw_features", "features", "rawPrediction", "prediction", "_odds")
+        empty = F.create_map().cast("map<string,double>")
+        return plain.withColumns({"feature_importance": empty, "channels": channels(F.col("severity"))})
+    present = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in rows.columns else F.lit(0.0) for n in features]
+    scored = rows.withColumn("probabilities", model.probabilities(F.array(*[F.nanvl(c, F.lit(0.0)) for c in present])))
+    weights = F.create_map(*[F.lit(v) for pair in zip(model.features, model.importance) for v in pair])
+    scored = scored.withColumns({"severity": argmax_label(F.col("probabilities"), CLASSES), "feature_importance": weights})
+    return scored.withColumns({"confidence": F.array_max("probabilities"), "channels": channels(F.col("severity"))})
 
 
 def score_distinct(
     rows: DataFrame,
-    model: PipelineModel | None,
+    model: Trees | None,
     features: list[str] = dims.MODEL_FEATURES,
 ) -> DataFrame:
     """Score each distinct feature vector once and share the result.
@@ -116,87 +92,62 @@ def score_distinct(
     return filled.join(scored, features, "left")
 
 
-def feature_importances(
-    spark: SparkSession, model: PipelineModel, features: list[str] = dims.MODEL_FEATURES, top: int | None = None
-) -> DataFrame:
-    """Mean importance per feature over the binary models, largest first."""
-    binary = model.stages[-1].models
-    rows = [
-        (name, float(sum(m.featureImportances[i] for m in binary) / len(binary))) for i, name in enumerate(features)
-    ]
-    table = spark.createDataFrame(rows, "feature string, importance double")
+def feature_importances(spark: SparkSession, model: Trees, top: int | None = None) -> DataFrame:
+    """Mean share of the gain per feature over all trees, largest first."""
+    table = spark.createDataFrame(list(zip(model.features, model.importance)), "feature string, importance double")
     ordered = table.orderBy(F.col("importance").desc(), "feature")
     return ordered if top is None else ordered.limit(top)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: Trees | SequenceModel, path: str) -> None:
+    workers.save(SparkSession.active(), model.dump(), path)
 
 
-def load_model(path: str) -> PipelineModel | None:
-    """The saved model, or None when the folder is not there (callers then use the untrained answers).
+def load_model(path: str) -> Trees | None:
+    """The saved severity model, or None when the folder is not there (callers then use the untrained answers).
 
     A folder that is there but cannot be read as a model is an error.
     """
-    spark = SparkSession.active()
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-        return None
-    return PipelineModel.load(path)
+    text = workers.load(SparkSession.active(), path)
+    return None if text is None else Trees.read(text)
 
 
-def flatten_sequence(sequence: Column) -> Column:
-    return array_to_vector(F.flatten(sequence))
+def load_escalation(path: str) -> SequenceModel | None:
+    """The saved escalation model, or None when the folder is not there."""
+    text = workers.load(SparkSession.active(), path)
+    return None if text is None else SequenceModel.read(text)
 
 
 def train_escalation(
     sequences: DataFrame,
     validation: DataFrame,
     horizons: tuple[int, ...] = HORIZONS,
-    strengths: tuple[float, ...] = (0.0, 0.01, 0.1),
-    iterations: int = 20,
-) -> dict[int, tuple[PipelineModel, float]]:
-    """One logistic model per horizon on the flattened sequence; keeps the candidate with the least loss.
-
-    ``sequences`` and ``validation`` carry ``sequence`` and ``y{h}h``. Returns model and validation loss. The
-    vectors are checkpointed once, so that no candidate goes back to the events they were binned from, and the
-    scaler is fitted once for all of them.
+    epochs: int = sequence_training.EPOCHS,
+    seed: int = sequence_training.SEED,
+    n_workers: int | None = None,
+) -> SequenceModel:
+    """One logistic unit per horizon on the flattened sequence; the epoch with the least validation loss is kept.
+
+    ``sequences`` and ``validation`` carry ``sequence`` and ``y{h}h``.
     """
-    ensure_checkpoint_dir(sequences.sparkSession)
-    columns = [flatten_sequence(F.col("sequence")).alias("raw_features"), *[f"y{h}h" for h in horizons]]
-    train, held = sequences.select(*columns).checkpoint(), validation.select(*columns).checkpoint()
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True).fit(train)
-    scaled_train, scaled_held = scaler.transform(train), scaler.transform(held)
-    best: dict[int, tuple[PipelineModel, float]] = {}
-    for h in horizons:
-        for strength in strengths:
-            fit = LogisticRegression(labelCol=f"y{h}h", maxIter=iterations, regParam=strength).fit(scaled_train)
-            scored = fit.transform(scaled_held).withColumn("p", vector_to_array("probability")[1])
-            loss = log_loss(scored, "p", f"y{h}h").first()["log_loss"]
-            if h not in best or (loss is not None and loss < best[h][1]):
-                best[h] = (PipelineModel(stages=[scaler, fit]), float("inf") if loss is None else loss)
-    return best
+    return sequence_training.train(sequences, validation, horizons, SEQUENCE_VALUES, epochs, seed, n_workers)
 
 
 def score_escalation(
     sequences: DataFrame,
-    models: dict[int, PipelineModel] | None,
+    model: SequenceModel | None,
     threshold: float = dims.ESCALATION_THRESHOLD,
     horizons: tuple[int, ...] = HORIZONS,
 ) -> DataFrame:
     """Add ``p{h}h`` per horizon, ``escalation_likely`` and ``escalation_confidence``.
 
-    Without models the probabilities are null and escalation is not likely.
+    Without a model the probabilities are null and escalation is not likely.
     """
-    scored = sequences
-    if not models:
-        scored = scored.withColumns({f"p{h}h": F.lit(None).cast("double") for h in horizons})
+    if model is None:
+        scored = sequences.withColumns({f"p{h}h": F.lit(None).cast("double") for h in horizons})
     else:
-        scored = scored.withColumn("raw_features", flatten_sequence(F.col("sequence")))
-        for h in horizons:
-            scored = models[h].transform(scored).withColumn(f"p{h}h", vector_to_array("probability")[1])
-            scored = scored.drop("features", "rawPrediction", "probability", "prediction")
-        scored = scored.drop("raw_features")
+        found = sequences.withColumn("_p", model.probabilities(F.col("sequence")))
+        scored = found.withColumns({f"p{h}h": F.col("_p")[i] for i, h in enumerate(model.horizons)}).drop("_p")
     probabilities = [F.col(f"p{h}h") for h in horizons]
     return scored.withColumns(
         {

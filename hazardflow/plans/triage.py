@@ -1,13 +1,23 @@
-"""The triage job: events in, routed responses out, as one projection without a shuffle."""
+"""The triage job: events in, routed responses out.
+
+Without reuse it is one projection without a shuffle. With reuse, events of equal processed inputs share an answer within a
+time limit, and only those that nothing answers yet reach the models.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardflow.functions.decisions import channels, escalation_likely, sequence_or_zeros
+from hazardflow import dims
+from hazardflow.functions.decisions import channels, escalation_likely, feature_key, sequence_or_zeros
+from hazardflow.operators import ranges
+from hazardflow.operators.boosting import Trees
 from hazardflow.operators.enrich import feature_vector, geo_risk, given_inputs, quality_checked, raw_inputs
 from hazardflow.operators.models import score_escalation, score_severity
+from hazardflow.operators.reuse import mark_reuse
+from hazardflow.operators.sequence_training import SequenceModel
+
+KEY = "_key"
 
 
 def enriched(
@@ -18,6 +28,20 @@ def enriched(
     return quality_checked(featured, raw_inputs(extra=extra), given_inputs(extra=extra))
 
 
+def keyed(good: DataFrame) -> DataFrame:
+    """Add the key under which answers are shared: a digest of the processed inputs."""
+    return good.withColumn(KEY, feature_key([f"in_{n}" for n in dims.INPUT_NAMES]))
+
+
+def predicted(good: DataFrame, model: Trees | None, escalation: SequenceModel | None, sequence: str | None) -> DataFrame:
+    """Add ``severity``, ``confidence`` and ``p3h``; a missing or wrongly shaped sequence is scored as one of zeros."""
+    scored = score_severity(good, model)
+    if escalation is None:
+        return scored.withColumn("p3h", F.lit(None).cast("double"))
+    given = F.lit(None).cast("array<array<double>>") if sequence is None else F.col(sequence)
+    return score_escalation(scored.withColumn("sequence", sequence_or_zeros(given)), escalation)
+
+
 def responses(scored: DataFrame, p3h: Column | None = None) -> DataFrame:
     """The response fields of scored rows.
 
@@ -36,26 +60,45 @@ def responses(scored: DataFrame, p3h: Column | None = None) -> DataFrame:
     )
 
 
+def answered_once(
+    good: DataFrame, model: Trees | None, escalation: SequenceModel | None, sequence: str | None, seconds: int,
+    ts: str = "ts", epoch: str | None = None, parts: int | None = None,
+) -> DataFrame:
+    """``predicted`` with answers shared within ``seconds``, and ``source_id``, the event whose answer each row takes.
+
+    Rows of different values of ``epoch`` share nothing: a new epoch empties all that is held.
+    """
+    own = ["event_id", ts, "estimated_affected_population", "composite_risk_score", *dims.MODEL_FEATURES]
+    own += [c for c in (sequence, epoch) if c]
+    keys = [KEY, *([epoch] if epoch else [])]
+    marked = ranges.stored(mark_reuse(keyed(good).select(KEY, *own), keys, ts, "event_id", seconds, parts), "triage-marked")
+    fresh = predicted(marked.where("not reused"), model, escalation, sequence)
+    answers = fresh.select(F.col("event_id").alias("source_id"), "severity", "confidence", "p3h")
+    return marked.join(answers, "source_id")
+
+
 def triage(
     events: DataFrame,
-    model: PipelineModel | None,
-    escalation: dict[int, PipelineModel] | None = None,
+    model: Trees | None,
+    escalation: SequenceModel | None = None,
     local_ts: str = "ts",
     prior: str = "prior_24h_event_count",
     extra: str | None = None,
     sequence: str | None = None,
+    reuse_seconds: int | None = None,
+    ts: str = "ts",
 ) -> tuple[DataFrame, DataFrame]:
     """Responses of valid events, and the quarantined events with reasons.
 
-    With escalation models, a missing or wrongly shaped sensor sequence is scored as one of zeros.
+    With ``reuse_seconds`` (0: the default limit), events of equal processed inputs share an answer; event ids must then
+    be unique.
     """
     good, bad = enriched(events, local_ts, prior, extra)
-    scored = score_severity(good, model)
-    if escalation:
-        given = F.lit(None).cast("array<array<double>>") if sequence is None else F.col(sequence)
-        scored = score_escalation(scored.withColumn("sequence", sequence_or_zeros(given)), escalation)
-        return responses(scored, F.col("p3h")), bad
-    return responses(scored), bad
+    if reuse_seconds is None:
+        scored = predicted(good, model, escalation, sequence)
+    else:
+        scored = answered_once(good, model, escalation, sequence, reuse_seconds, ts)
+    return responses(scored, F.col("p3h")), bad
 
 
 def routing_load(rows: DataFrame, severity: str = "severity", ts: str = "ts") -> DataFrame:

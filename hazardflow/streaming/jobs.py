@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from hazardflow import dims
-from hazardflow.plans.triage import triage
+from hazardflow.functions.decisions import sequence_or_zeros
+from hazardflow.operators.boosting import Trees
+from hazardflow.operators.sequence_training import SequenceModel
+from hazardflow.plans.triage import KEY, enriched, keyed, responses, triage
 from hazardflow.sources.feeds import normalize, read_cap_feed, read_seismic, read_warnings
 from hazardflow.sources.sinks import keyed_messages
+from hazardflow.streaming.state import answer_stream
 
 POLL = "60 seconds"  # fixed value: how often landed feed files are looked for
 LATENESS = "10 minutes"
@@ -67,7 +70,7 @@ def unplaced(events: DataFrame) -> DataFrame:
 
 
 def triage_rows(
-    requests: DataFrame, model: PipelineModel | None, escalation: dict[int, PipelineModel] | None = None
+    requests: DataFrame, model: Trees | None, escalation: SequenceModel | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Responses of valid requests and the rejected rest; stateless, so it runs alike on tables and streams."""
     extra = "additional_features"
@@ -77,13 +80,46 @@ def triage_rows(
 
 
 def triage_messages(
-    requests: DataFrame, model: PipelineModel | None, escalation: dict[int, PipelineModel] | None = None
+    requests: DataFrame, model: Trees | None, escalation: SequenceModel | None = None
 ) -> DataFrame:
     """Keyed JSON results, ready for a topic."""
     answers, _ = triage_rows(requests, model, escalation)
     return keyed_messages(answers)
 
 
+def triage_stream(
+    requests: DataFrame,
+    model: Trees | None,
+    escalation: SequenceModel | None = None,
+    seconds: int = dims.REUSE_TTL_SECONDS,
+    clear: str | None = None,
+    extra: str | None = "additional_features",
+    prior: str | None = None,
+) -> DataFrame:
+    """Responses of valid requests whose answers are held and shared within ``seconds``: the whole job as one stream.
+
+    A row with ``clear`` true is no request: it empties all that is held, from its time on. ``prior`` names the count of
+    events before, which else comes from the request's own map.
+    """
+    given = F.lit(False) if clear is None else F.coalesce(F.col(clear), F.lit(False))
+    count = F.try_element_at(F.col(extra), F.lit("prior_24h_event_count")) if prior is None else F.col(prior)
+    good, _ = enriched(requests.withColumns({"_prior": count, "_clear": given}).where("not _clear"), "_local_ts", "_prior", extra)
+    good = keyed(good)
+    none = F.lit(None).cast("array<double>")
+    has_sequence = escalation is not None and "sensor_sequence" in requests.columns
+    flat = F.flatten(sequence_or_zeros(F.col("sensor_sequence"))) if has_sequence else none
+    rows = good.select(
+        KEY, "event_id", "ts", F.array(*dims.MODEL_FEATURES).alias("features"), flat.alias("sequence"),
+        "estimated_affected_population", "composite_risk_score", F.lit(False).alias("clear"),
+    )
+    if clear is not None:
+        # Read from the same stream, so that an emptying row keeps its place among the requests.
+        tombs = requests.where(F.coalesce(F.col(clear), F.lit(False)))
+        rows = rows.unionByName(tombs.select("event_id", "ts", F.lit(True).alias("clear")), allowMissingColumns=True)
+    answers = answer_stream(rows, KEY, model, escalation, seconds)
+    return responses(answers, F.col("p3h"))
+
+
 def rate_stream(
     events: DataFrame,
     ts: str = "ts",

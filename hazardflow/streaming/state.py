@@ -12,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hazardflow import dims, session
 from hazardflow.functions.times import MICROS, micros
+from hazardflow.operators.boosting import Trees
+from hazardflow.operators.models import CLASSES, SEQUENCE_VALUES
+from hazardflow.operators.sequence_training import SequenceModel
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -111,6 +114,119 @@ def reuse_stream(
     )
 
 
+# Groups of keys that share a state; an emptying row goes to each of them.
+GROUPS = 256
+ANSWERED = (
+    "event_id string, source_id string, severity string, confidence double, p3h double, "
+    "estimated_affected_population long, composite_risk_score double"
+)
+_HELD = "put_us long, epoch long, source_id string, severity string, confidence double, p3h double"
+
+
+class AnswersWithinLimit(StatefulProcessor):
+    """Per key, the last scored row with its answer; only rows that no held answer serves reach the models.
+
+    Keys are held in groups. An emptying row (``clear``) reaches every group and opens a new epoch there, named by its
+    time: answers of an earlier epoch serve no row of a later one. Rows are handled in time order inside a
+    micro-batch; a row older than what is held for its key is scored by itself and leaves the state alone.
+    """
+
+    def __init__(self, model: Trees | None, escalation: SequenceModel | None, ttl_us: int, keep_ms: int) -> None:
+        self._model, self._escalation, self._ttl_us, self._keep_ms = model, escalation, ttl_us, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._epoch = handle.getValueState("epoch", "us long")
+        self._held = handle.getMapState("held", "key string", _HELD, ttlDurationMs=self._keep_ms)
+
+    def _answers(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Answers of the models, all rows of the group at once."""
+        out = pd.DataFrame({"source_id": rows["event_id"], "severity": "MODERATE", "confidence": 0.0, "p3h": np.nan})
+        if len(rows) and self._model is not None:
+            shares = self._model.shares(np.stack(rows["features"].to_list()).astype(float))
+            out["severity"] = np.array(CLASSES, dtype=object)[shares.argmax(axis=1)]
+            out["confidence"] = shares.max(axis=1)
+        if len(rows) and self._escalation is not None:
+            flat = [np.zeros(SEQUENCE_VALUES) if s is None else s for s in rows["sequence"]]
+            at = self._escalation.horizons.index(3)
+            out["p3h"] = self._escalation.shares(np.stack(flat).astype(float))[:, at]
+        return out
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        part = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+        clears = part.loc[part["clear"], "us"].to_numpy()
+        known = self._epoch.get()
+        epochs = np.unique(np.append(clears, -(2**62) if known is None else known[0]))
+        if len(clears):
+            self._epoch.update((int(epochs[-1]),))
+        part = part.loc[~part["clear"]].reset_index(drop=True)
+        if not len(part):
+            return
+        # Rows older than every known epoch belong to the first one.
+        epoch = epochs[np.maximum(np.searchsorted(epochs, part["us"].to_numpy(), side="right") - 1, 0)]
+        times, sources = part["us"].to_numpy(), np.arange(len(part))
+        held: dict[int, tuple] = {}  # by number: answers that were held before, as negative sources
+        ends: list[tuple[str, int, int, int]] = []  # key, time put, epoch, source
+        for name, places in part.groupby("key", sort=False).indices.items():
+            before = self._held.getValue((name,)) if self._held.containsKey((name,)) else None
+            put, own_epoch, source = (None, None, None) if before is None else (before[0], before[1], -1 - len(held))
+            if before is not None:
+                held[source] = before
+            for e in np.unique(epoch[places]).tolist():
+                own = places[epoch[places] == e]
+                if own_epoch is not None and e < own_epoch:
+                    continue  # late: each is scored by itself
+                if e != own_epoch:
+                    put, source = None, None
+                found, put, source = reuse_sources(own, times[own], np.zeros(len(own), dtype=bool), self._ttl_us, put, source)
+                sources[own], own_epoch = found, e
+            if source is not None and source >= 0:
+                ends.append((name, put, own_epoch, source))
+        fresh = np.flatnonzero(sources == np.arange(len(part)))
+        made = self._answers(part.iloc[fresh].reset_index(drop=True))
+        earlier = [held[n][2:] for n in range(-1, -1 - len(held), -1)]
+        table = pd.concat([made, pd.DataFrame(earlier, columns=made.columns).astype(made.dtypes)], ignore_index=True)
+        place = np.empty(len(part), dtype=int)
+        place[fresh] = np.arange(len(fresh))
+        at = np.where(sources >= 0, place[np.maximum(sources, 0)], len(fresh) - 1 - sources)
+        for name, put, own_epoch, source in ends:
+            answer = made.iloc[place[source]]
+            p3h = None if np.isnan(answer["p3h"]) else float(answer["p3h"])
+            self._held.updateValue((name,), (int(put), int(own_epoch), answer["source_id"], answer["severity"], float(answer["confidence"]), p3h))
+        out = table.iloc[at].reset_index(drop=True)
+        out.insert(0, "event_id", part["event_id"])
+        for c in ("estimated_affected_population", "composite_risk_score"):
+            out[c] = part[c]
+        out["p3h"] = out["p3h"].astype(object).where(out["p3h"].notna(), None)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def answer_stream(
+    rows: DataFrame, key: str, model: Trees | None, escalation: SequenceModel | None, seconds: int, keep_hours: int = 24
+) -> DataFrame:
+    """Requests with answers that are shared within ``seconds``; see ``AnswersWithinLimit``.
+
+    ``rows`` has the key, event_id, ts, features, sequence (flat), two columns that are passed on, and ``clear``.
+    """
+    # The emptying rows have no key: one of them becomes a row for every group, a fixed number.
+    group = F.when(F.col("clear"), F.sequence(F.lit(0), F.lit(GROUPS - 1))).otherwise(
+        F.array(F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int"))
+    )
+    chosen = rows.select(
+        F.explode(group).alias("group"), F.col(key).alias("key"), "event_id", micros(F.col("ts")).alias("us"), "clear",
+        "features", "sequence", "estimated_affected_population", "composite_risk_score",
+    )
+    limit = seconds or dims.REUSE_TTL_SECONDS
+    return chosen.groupBy("group").transformWithStateInPandas(
+        statefulProcessor=AnswersWithinLimit(model, escalation, limit * MICROS, max(limit, keep_hours * 3600) * 1000),
+        outputStructType=ANSWERED,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+
+
 def window_drifts(codes: np.ndarray, shares: np.ndarray, window: int) -> np.ndarray:
     """For every full window of ``window`` labels, how far each class's share is from its baseline.
 
