@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardflow import dims
 from hazardflow.functions import features, geo, quality
-from hazardflow.operators.ranks import exact_quantiles
+from hazardflow.operators.ranks import column_quantiles
 
 
 def geo_risk(events: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
@@ -157,7 +157,8 @@ def quality_checked(
 def fit_scaling(df: DataFrame, names: list[str], scaling: quality.Scaling) -> DataFrame:
     """Scale columns by statistics of the whole table instead of the fixed limits.
 
-    Only the fitted numbers come to the driver; medians are found by ranks, not in one task.
+    Only the fitted numbers come to the driver; medians are found by ranks, all columns in one pass. A column without
+    values stays as it is.
     """
     centres: dict[str, tuple[float, float]] = {}
     if scaling is quality.Scaling.Z_SCORE:
@@ -166,9 +167,9 @@ def fit_scaling(df: DataFrame, names: list[str], scaling: quality.Scaling) -> Da
         ).first()
         centres = {n: (row[f"c_{n}"], row[f"s_{n}"]) for n in names}
     elif scaling is quality.Scaling.ROBUST:
-        for n in names:
-            row = exact_quantiles(df, [], n, (0.25, 0.5, 0.75)).first()
-            centres[n] = (row["p50"], row["p75"] - row["p25"])
+        for row in column_quantiles(df, names, (0.25, 0.5, 0.75)).collect():
+            centres[row["name"]] = (row["p50"], row["p75"] - row["p25"])
+    centres = {n: (c, s) for n, (c, s) in centres.items() if c is not None}
     return df.withColumns(
         {n: (F.col(n) - F.lit(c)) / F.lit(s) if s else F.col(n) - F.lit(c) for n, (c, s) in centres.items()}
     )

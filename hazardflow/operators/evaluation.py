@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardflow import dims
 from hazardflow.functions.times import chunk, micros
-from hazardflow.operators.ranks import running_totals
+from hazardflow.operators.ranks import RANGE_ROWS, running_totals
 
 CLIP = 1e-7
 
@@ -98,7 +98,7 @@ def threshold_metrics(
 
 
 def auc(
-    rows: DataFrame, score: str, label: str, keys: list[str] | None = None, width: float = 1.0 / 65536
+    rows: DataFrame, score: str, label: str, keys: list[str] | None = None, range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """Area under the ROC curve: the share of (positive, negative) pairs in order, ties counting half.
 
@@ -109,7 +109,7 @@ def auc(
     counted = rows.groupBy(*keys, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    ranked = running_totals(counted, keys, score, ["neg"], width)
+    ranked = running_totals(counted, keys, score, ["neg"], range_rows)
     below = (F.col("cum_neg") - F.col("neg")).cast("double") + F.col("neg") / F.lit(2.0)
     totals = ranked.groupBy(*keys).agg(
         F.sum(F.col("pos").cast("double") * below).alias("_ordered"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardflow import dims
-from hazardflow.operators.ranks import exact_quantiles
+from hazardflow.operators.ranks import interpolated, quantile_aggregates, running_totals
 
 SLOTS = 10_000
 
@@ -134,11 +134,24 @@ def version_listing(versions: DataFrame, served: DataFrame) -> DataFrame:
 def compare_outcomes(
     served: DataFrame, severity: str = "severity", confidence: str = "confidence", latency: str = "latency_ms"
 ) -> DataFrame:
-    """Requests, severity mix, mean confidence and the exact 95th latency percentile per version."""
-    counts = served.groupBy("served_version").agg(
-        F.count(F.lit(1)).alias("requests"),
+    """Requests, severity mix, mean confidence and the exact 95th latency percentile per version.
+
+    The rows are read once: everything is counted by version and latency first.
+    """
+    classes = [c.lower() for c in dims.SEVERITIES]
+    counted = served.groupBy("served_version", latency).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count(latency).alias("_timed"),
         *[F.count_if(F.col(severity) == c).alias(c.lower()) for c in dims.SEVERITIES],
-        F.avg(confidence).alias("mean_confidence"),
+        F.sum(confidence).alias("_confidence"),
+        F.count(confidence).alias("_confident"),
+    )
+    ranked = running_totals(counted, ["served_version"], latency, ["_timed"])
+    found = ranked.groupBy("served_version").agg(
+        F.sum("_n").alias("requests"),
+        *[F.sum(c).alias(c) for c in classes],
+        (F.sum("_confidence") / F.sum("_confident")).alias("mean_confidence"),
+        *quantile_aggregates(latency, "_timed", (0.95,)),
     )
-    tail = exact_quantiles(served, ["served_version"], latency, (0.95,))
-    return counts.join(tail.withColumnRenamed("p95", "p95_latency_ms"), "served_version", "left")
+    tail = interpolated((0.95,))[0].alias("p95_latency_ms")
+    return found.select("served_version", "requests", *classes, "mean_confidence", tail)

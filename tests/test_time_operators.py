@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hazardflow.operators import drift, evaluation, history, ranks, registry, reuse
+from hazardflow.functions import quality
+from hazardflow.functions.search import edges_below
+from hazardflow.operators import drift, enrich, evaluation, history, ranges, ranks, registry, reuse
 
 
 def event_rows(n=1500, span=40 * 3600, seed=3):
@@ -60,17 +63,72 @@ def test_escalation_labels(events, width):
             assert found[i][f"escalated_{h}h"] == int(higher)
 
 
-@pytest.mark.parametrize(("ttl", "limits"), [(300, 1), (300, 4), (17, 3), (5, 64), (7200, 2)])
-def test_reuse_matches_a_loop(events, ttl, limits):
-    rows, frame = events
-    marked = reuse.mark_reuse(frame, ["k"], event_id="id", ttl_seconds=ttl, slice_limits=limits)
-    found = {r.id: (r.source_id, r.reused) for r in marked.collect()}
-    held: dict = {}
-    for key, i, s, _ in sorted(rows, key=lambda r: (r[2], r[1])):
+def plain_reuse(rows, ttl):
+    """(source, reused) by id of rows (key, id, time) in a loop."""
+    held, found = {}, {}
+    for key, i, s in sorted(rows, key=lambda r: (r[2], r[1])):
         if key not in held or s - held[key][0] > ttl:
             held[key] = (s, i)
-        assert found[i] == (held[key][1], held[key][1] != i)
-    assert len(found) == len(rows)
+        found[i] = (held[key][1], held[key][1] != i)
+    return found
+
+
+@pytest.mark.parametrize(("ttl", "parts"), [(300, None), (300, 7), (17, 3), (5, 12), (7200, 5), (40000, 9)])
+def test_reuse_matches_a_loop(events, ttl, parts):
+    rows, frame = events
+    marked = reuse.mark_reuse(frame, ["k"], event_id="id", ttl_seconds=ttl, parts=parts)
+    found = {r.id: (r.source_id, r.reused) for r in marked.collect()}
+    assert found == plain_reuse([r[:3] for r in rows], ttl)
+
+
+def test_reuse_of_a_burst(spark):
+    """Half of one key's rows in one second, in ranges that lie inside one limit; small Arrow batches."""
+    rng = random.Random(11)
+    rows = [("k", i, 10**9 + rng.randrange(10**6) if i % 2 else rng.randrange(4 * 10**9)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "k string, id long, us long").withColumn("ts", F.timestamp_micros("us"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        for ttl, parts in ((1, 11), (60, 8), (900, 4)):
+            marked = reuse.mark_reuse(frame, ["k"], event_id="id", ttl_seconds=ttl, parts=parts)
+            found = {r.id: (r.source_id, r.reused) for r in marked.collect()}
+            assert found == plain_reuse(rows, ttl * 10**6)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_reuse_across_several_columns_and_types(spark):
+    """Keys of any type and names that the operator uses itself."""
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b"]), rng.randrange(2) * 0.5, f"{i:04}", rng.randrange(3000)) for i in range(400)]
+    frame = spark.createDataFrame(rows, "us string, upto double, id string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    marked = reuse.mark_reuse(frame, ["us", "upto"], event_id="id", ttl_seconds=50, parts=5)
+    found = {r.id: (r.source_id, r.reused) for r in marked.collect()}
+    assert found == plain_reuse([((a, b), i, s) for a, b, i, s in rows], 50)
+
+
+def test_reuse_stays_linear(spark):
+    """Four times the scored rows of one key cost at most twice as much a row."""
+    import time
+
+    seconds = {}
+    for n in (8_000, 8_000, 32_000):
+        frame = spark.range(n).withColumn("k", F.lit("k")).withColumn("ts", F.timestamp_seconds(F.col("id") * 301))
+        start = time.perf_counter()
+        assert reuse.mark_reuse(frame, ["k"], event_id="id", parts=8).where("reused").count() == 0
+        seconds[n] = time.perf_counter() - start
+    assert seconds[32_000] / 32_000 <= 2 * seconds[8_000] / 8_000
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_next_above(spark, parts):
+    rng = random.Random(4)
+    asked = [(rng.choice("ab"), rng.randrange(60), i) for i in range(200)]
+    given = {(rng.choice("ab"), rng.randrange(60)) for _ in range(25)}
+    queries = spark.createDataFrame(asked, "k string, at long, row long")
+    targets = spark.createDataFrame(list(given), "k string, value long")
+    found = {r.row: r.found for r in ranges.next_above(queries, targets, ["k"], parts).collect()}
+    assert found == {i: min((v for key, v in given if key == k and v > at), default=None) for k, at, i in asked}
 
 
 def test_reuse_limit_is_not_extended(spark):
@@ -82,9 +140,9 @@ def test_reuse_limit_is_not_extended(spark):
 
 
 def test_reuse_periodic_key(spark):
-    """Chains from different entries never meet, so every step of every slice counts."""
+    """Chains from different entries never meet, so every step of every range counts."""
     rows = spark.range(2000).withColumn("k", F.lit("k")).withColumn("ts", F.timestamp_seconds(F.col("id") * 7))
-    marked = reuse.mark_reuse(rows, ["k"], event_id="id", ttl_seconds=100, slice_limits=2)
+    marked = reuse.mark_reuse(rows, ["k"], event_id="id", ttl_seconds=100, parts=6)
     fresh = sorted(r.id for r in marked.where(~F.col("reused")).collect())
     assert fresh == list(range(0, 2000, 15))
 
@@ -156,10 +214,64 @@ def test_zero_baseline_gives_no_shares(spark):
 
 def test_ranks_without_keys(spark):
     rows = spark.range(101).withColumn("v", F.col("id").cast("double"))
-    found = ranks.exact_quantiles(rows, [], "v", (0.5, 0.95), width=7.0).first()
+    found = ranks.exact_quantiles(rows, [], "v", (0.5, 0.95), range_rows=10).first()
     assert (found.p50, found.p95) == (50.0, 95.0)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e12, 1e-9])
+def test_ranges_hold_equal_shares(spark, scale):
+    """No range holds over twice its share, for any size of values, with half of the rows close together."""
+    rows = spark.range(4000).withColumn("v", F.when(F.col("id") % 2 == 0, F.rand(3)).otherwise(F.rand(4) * 1e-6) * scale)
+    edges = ranks.range_edges(rows, ["v"], 40)["v"]
+    counts = rows.groupBy(edges_below(F.col("v"), edges).alias("r")).count().collect()
+    assert len(counts) == 40 and max(r["count"] for r in counts) <= 2 * 4000 / 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5, 16, 37])
+def test_edges_below(spark, n):
+    rng = random.Random(n)
+    edges = sorted(rng.sample(range(100), n))
+    values = [*range(-1, 101), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v int")
+    found = rows.select("v", edges_below(F.col("v"), edges).alias("n"), edges_below(F.col("v"), edges, True).alias("m")).collect()
+    for r in found:
+        assert r.n == (None if r.v is None else sum(e < r.v for e in edges))
+        assert r.m == (None if r.v is None else sum(e <= r.v for e in edges))
+
+
+def test_quantiles_of_columns_at_once(spark):
+    rng = random.Random(6)
+    data = [(rng.random(), rng.choice([None, 1e12 * rng.random()]), rng.randrange(3), None) for _ in range(500)]
+    rows = spark.createDataFrame(data, "a double, b double, c int, d double")
+    found = {r.name: (r.p25, r.p50) for r in ranks.column_quantiles(rows, ["a", "b", "c", "d"], (0.25, 0.5), range_rows=40).collect()}
+    assert set(found) == {"a", "b", "c"}
+    for i, name in enumerate("abc"):
+        values = [float(r[i]) for r in data if r[i] is not None]
+        assert found[name] == pytest.approx(tuple(np.quantile(values, [0.25, 0.5])))
+    scaled = enrich.fit_scaling(rows, ["a", "d"], quality.Scaling.ROBUST)
+    assert scaled.where("d is not null").count() == 0 and scaled.count() == 500
+
+
+def test_auc_in_many_ranges(spark):
+    rng = random.Random(9)
+    data = [(round(rng.random(), 2) * 1e-3, int(rng.random() < 0.4)) for _ in range(400)]
+    rows = spark.createDataFrame(data, "score double, label int")
+    pos, neg = [s for s, y in data if y], [s for s, y in data if not y]
+    wanted = sum((p > q) + 0.5 * (p == q) for p in pos for q in neg) / (len(pos) * len(neg))
+    assert evaluation.auc(rows, "score", "label", range_rows=7).first().auc == pytest.approx(wanted)
+
+
+def test_outcomes_count_rows_without_latency(spark):
+    rows = spark.createDataFrame(
+        [("v1", "MINOR", 0.5, 10.0), ("v1", "MINOR", 0.7, None), ("v1", "SEVERE", None, 20.0), ("v2", "EXTREME", 1.0, None)],
+        "served_version string, severity string, confidence double, latency_ms double",
+    )
+    found = {r.served_version: r for r in registry.compare_outcomes(rows).collect()}
+    assert (found["v1"].requests, found["v1"].minor, found["v1"].severe) == (3, 2, 1)
+    assert found["v1"].mean_confidence == pytest.approx(0.6) and found["v1"].p95_latency_ms == pytest.approx(19.5)
+    assert found["v2"].requests == 1 and found["v2"].p95_latency_ms is None
+
+
 def test_auc_edges(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.9, 1), (0.9, 0), (0.5, 1)], "score double, label int")
     assert evaluation.auc(rows, "score", "label").first().auc == pytest.approx((1 + 0.5 + 1 + 0) / 4)
