@@ -93,15 +93,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return session.prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, stored: str | None = None) -> DataFrame:
+    """A domain view as a DataFrame, of the base table's rows that meet ``stored``, a condition on its own columns."""
     source = _BASE.get(name) or _DERIVED[name]
     rows = table(spark, sf_dir, source) if name in _BASE else view(spark, sf_dir, source)
+    rows = rows if stored is None else rows.where(stored)
     return spark.sql(TABLES[name].replace(f"FROM {source}", "FROM {src}"), src=rows)
 
 
-def hazard_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "hazard_events")
+def hazard_events(spark: SparkSession, sf_dir: str, stored: str | None = None) -> DataFrame:
+    return view(spark, sf_dir, "hazard_events", stored)
 
 
 def alert_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:

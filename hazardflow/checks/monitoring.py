@@ -246,8 +246,17 @@ def exact_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("source", *[r6(c).alias(c) for c in ("p50", "p95", "p99")])
 
 
-@query("approximate_quantiles")
+@query(
+    "approximate_quantiles",
+    with_views(
+        "SELECT source, "
+        + ", ".join(f"quantile_disc(latency_ms, {q}) AS p{round(q * 100)}" for q in (0.5, 0.95, 0.99))
+        + " FROM hazard_events GROUP BY source",
+        "hazard_events",
+    ),
+)
 def approximate_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact as long as a source has fewer rows than the sketch's accuracy; beyond that the rank is off by 1e-4 at most."""
     return metrics.approximate_quantiles(triage_log(spark, sf), ["source"])
 
 
@@ -424,7 +433,8 @@ def seismic_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def seismic_features(spark: SparkSession, sf: str) -> DataFrame:
     """Seismic features built from the earthquake events, null magnitudes included."""
-    rows = hazard_events(spark, sf).where("event_type = 'earthquake'")
+    # The stored type beside the derived one, so that the scan skips the others.
+    rows = hazard_events(spark, sf, "event_type = 'view'").where("event_type = 'earthquake'")
     null = F.lit(None)
     return rows.select(
         F.col("event_id").alias("id"),
@@ -663,7 +673,7 @@ def cumulative_weights(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("version", "position", r6("cumulative_weight").alias("cumulative_weight"))
 
 
-_POINT = "(CAST(concat('0x', substr(md5(event_id), 1, 8)) AS BIGINT) % 10000) / 100::DOUBLE"
+_POINT = "CAST(concat('0x', substr(md5(event_id), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496::DOUBLE * 100::DOUBLE"
 _ASSIGN = f"""points AS (SELECT *, {_POINT} AS u FROM hazard_events),
   assigned AS (SELECT p.event_id, p.seq, p.observed_severity, p.latency_ms, p.value, coalesce(
     (SELECT arg_min(version, position) FROM cumulative WHERE u <= c),

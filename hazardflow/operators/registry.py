@@ -1,6 +1,6 @@
 """Model versions: registration, promotion, traffic split and outcome comparison.
 
-The registry is a small dimension table; event tables meet it by an equality join on a traffic slot.
+The registry is a small dimension table; event tables meet its breakpoints as a literal.
 """
 
 from __future__ import annotations
@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardflow import dims
+from hazardflow.functions.search import edges_below
 from hazardflow.operators.ranks import interpolated, quantile_aggregates, running_totals
 
-SLOTS = 10_000
+POINT_DIGITS = 13  # hexadecimal: as many bits as a double holds
 
 
 def register(log: DataFrame) -> DataFrame:
@@ -65,45 +66,31 @@ def cumulative_weights(versions: DataFrame) -> DataFrame:
 
 
 def traffic_point(event_id: Column) -> Column:
-    """A replayable point of an event on the 0-100 traffic line, in hundredths (0 to 9999)."""
-    return F.conv(F.substring(F.md5(event_id.cast("string")), 1, 8), 16, 10).cast("bigint") % F.lit(SLOTS)
+    """A replayable point of an event on the 0-100 traffic line, from 52 bits of a digest of its id."""
+    number = F.conv(F.substring(F.md5(event_id.cast("string")), 1, POINT_DIGITS), 16, 10).cast("double")
+    return number / F.lit(float(16**POINT_DIGITS)) * F.lit(100.0)
 
 
-def traffic_slots(versions: DataFrame) -> DataFrame:
-    """Version per traffic slot; at most ``SLOTS`` rows however many versions exist.
+def version_at(point: Column, versions: DataFrame) -> Column:
+    """The first active version whose running weight reaches a point of the traffic line; null when none is active.
 
-    Slot ``k`` (the point ``k / 100``) goes to the first active version whose running weight reaches it;
-    slots past the end go to the last version, and a single active version takes them all. A version whose weight is too
-    small for a slot of its own fails the job; it would silently get no traffic.
+    Points past the end go to the last version, and a single active version takes them all. The breakpoints, one for each
+    active version of the small registry, become a sorted literal, so that any weight gets its share.
     """
-    order = Window.partitionBy(F.lit(0)).orderBy("position")
-    guess = F.floor(F.col("cumulative_weight") * F.lit(100.0)).cast("bigint")
-
-    def reaches(slot: Column) -> Column:
-        return slot / F.lit(100.0) <= F.col("cumulative_weight")
-
-    # Correct the product's rounding by comparing the slot points themselves.
-    top = F.when(reaches(guess + 1), guess + 1).when(reaches(guess), guess).otherwise(guess - 1)
-    last = F.lead("version").over(order).isNull()
-    ends = cumulative_weights(versions).withColumn(
-        "_hi", F.when(last, F.lit(SLOTS - 1)).otherwise(F.least(top, F.lit(SLOTS - 1)))
-    )
-    # Weights are not negative, so the highest slot taken so far is the running maximum.
-    taken = F.coalesce(F.max("_hi").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    lost = (F.col("traffic_weight") > 0) & (F.col("_hi") <= taken) & (taken < SLOTS - 1)
-    message = F.concat(F.lit("traffic weight below one slot: "), F.col("version"))
-    checked = F.when(lost, F.raise_error(message).cast("bigint")).otherwise(taken + 1)
-    spans = ends.withColumn("_lo", checked).where(F.col("_hi") >= F.col("_lo"))
-    return spans.select("version", F.explode(F.sequence("_lo", "_hi")).alias("slot"))
+    active = cumulative_weights(versions).orderBy("position").select("version", "cumulative_weight").collect()
+    if not active:
+        return F.lit(None).cast("string")
+    # The last version needs no breakpoint of its own.
+    place = edges_below(point, [r["cumulative_weight"] for r in active[:-1]])
+    return F.get(F.lit([r["version"] for r in active]), place)
 
 
 def assign_versions(events: DataFrame, versions: DataFrame, event_id: str = "event_id") -> DataFrame:
     """Add ``assigned_version`` by traffic weight; null when no version is active.
 
-    The assignment is sticky: it is a function of the event id rather than a random draw.
+    The assignment is sticky: it is a function of the event id rather than a random draw. No join is needed.
     """
-    slots = F.broadcast(traffic_slots(versions).withColumnRenamed("version", "assigned_version"))
-    return events.withColumn("slot", traffic_point(F.col(event_id))).join(slots, "slot", "left").drop("slot")
+    return events.withColumn("assigned_version", version_at(traffic_point(F.col(event_id)), versions))
 
 
 def serve_versions(
@@ -115,10 +102,11 @@ def serve_versions(
     """
     assigned = assign_versions(events, versions, event_id)
     chosen = F.col("assigned_version") if force is None else F.coalesce(force, "assigned_version")
-    chosen_rows = assigned.withColumn("served_version", chosen).drop("assigned_version")
-    known = versions.select(F.col("version").alias("served_version"), F.lit(True).alias("_known"))
-    checked = chosen_rows.join(known, "served_version", "left")
-    return checked.where(F.col("_known")).drop("_known"), checked.where(F.col("_known").isNull()).drop("_known")
+    rows = assigned.withColumn("served_version", chosen).drop("assigned_version")
+    names = [r["version"] for r in versions.select("version").collect()]
+    listed = F.array_contains(F.lit(names), F.col("served_version")) if names else F.lit(False)
+    known = F.coalesce(listed, F.lit(False))
+    return rows.where(known), rows.where(~known)
 
 
 def version_listing(versions: DataFrame, served: DataFrame) -> DataFrame:

@@ -67,8 +67,10 @@ def test_feed_events_off_the_globe_are_set_aside(spark):
     }
 
 
-def test_a_weight_without_a_slot_fails(spark):
-    rows = [("a", "m", 50.0, True, 1), ("b", "m", 0.001, True, 2), ("c", "m", 49.0, True, 3)]
+def test_any_weight_gets_its_share(spark):
+    """A weight of a thousandth of a percent is served, versions without weight are not."""
+    rows = [("a", "m", 50.0, True, 1), ("none", "m", 0.0, True, 2), ("b", "m", 0.001, True, 3), ("c", "m", 49.999, True, 4)]
     versions = spark.createDataFrame(rows, "version string, model_type string, traffic_weight double, is_active boolean, position long")
-    with pytest.raises(Exception, match="traffic weight below one slot: b"):
-        registry.traffic_slots(versions).collect()
+    events = spark.range(1_000_000).withColumnRenamed("id", "event_id")
+    found = {r.assigned_version: r["count"] for r in registry.assign_versions(events, versions).groupBy("assigned_version").count().collect()}
+    assert set(found) == {"a", "b", "c"} and 1 <= found["b"] <= 40 and abs(found["a"] - 500_000) < 5_000

@@ -67,3 +67,20 @@ def test_scan_reads_only_needed_columns(spark, small):
 def test_triage_is_one_stage(spark, small):
     plan = plan_of(QUERIES["untrained_severity"](spark, small))
     assert "Exchange" not in plan
+
+
+def test_filters_reach_the_scan(spark, small):
+    """A condition on a stored column is read by the scan of a registered query, beside the derived condition."""
+    plan = plan_of(QUERIES["seismic_filter"](spark, small))
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_type,view\)", plan)
+
+
+def test_traffic_split_needs_no_join(spark, small):
+    assert "Join" not in plan_of(QUERIES["traffic_split"](spark, small))
+    assert "Join" not in plan_of(QUERIES["forced_version"](spark, small))
+
+
+def test_flagship_computes_the_features(spark, small):
+    """The severity model reads all ten features, so none is pruned."""
+    plan = plan_of(QUERIES["routing_load"](spark, small))
+    assert "ArrowEvalPython" in plan and "wildfire" in plan.lower() and "cos(" in plan.lower()

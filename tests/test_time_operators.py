@@ -1,5 +1,6 @@
 """Sliced operators against plain loops, at several slice widths and with one hot key."""
 
+import math
 import random
 
 import numpy as np
@@ -311,19 +312,19 @@ def test_reregistration_loses_the_first_weight(spark):
 @pytest.mark.parametrize(
     "weights", [[60.0, 30.0, 10.0], [100.0, 20.0], [0.0, 50.0], [33.333333, 33.333333], [10.0], [0.07, 0.29, 0.57]]
 )
-def test_slots_follow_the_weights(spark, weights):
+def test_points_follow_the_weights(spark, weights):
     versions = registry.register(registry_log(spark, [(f"v{i}", w, True) for i, w in enumerate(weights)]))
     versions = versions.withColumn("traffic_weight", F.element_at(F.array(*[F.lit(w) for w in weights]), F.col("position").cast("int")))
-    found = {r.slot: r.version for r in registry.traffic_slots(versions).collect()}
-    assert len(found) == registry.SLOTS
-    for slot in range(0, registry.SLOTS, 1):
+    points = [i / 7 for i in range(701)] + [math.fsum(weights[: i + 1]) for i in range(len(weights))]
+    line = spark.createDataFrame([(p,) for p in points], "u double")
+    for r in line.withColumn("version", registry.version_at(F.col("u"), versions)).collect():
         total, chosen = 0.0, f"v{len(weights) - 1}"
         for i, w in enumerate(weights):
             total += w
-            if slot / 100.0 <= total:
+            if r.u <= total:
                 chosen = f"v{i}"
                 break
-        assert found[slot] == chosen
+        assert r.version == chosen
 
 
 def test_no_active_version(spark):
