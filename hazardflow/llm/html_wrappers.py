@@ -20,7 +20,7 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -47,6 +47,15 @@ HINTS = frozenset(
     "replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 COMMENT_HINTS = frozenset("comment comments replies respond".split())
+# Words that may stand beside a hint in one name without changing what it says.
+GENERIC = frozenset(
+    "area bar block bottom box button buttons container content form group header holder icon icons inline inner item items left link "
+    "links list main outer panel post posts right row section side site slot space text title top unit wrap wrapper zone".split()
+)
+# Inside an article these words say furniture only of what is links for the larger part.
+WEAK_HINTS = frozenset("recommended related share sharing social widget".split())
+# Headings and labels of an article may be the same on all pages of a host.
+LABELS = frozenset("h1 h2 h3 h4 h5 h6 th td dt dd li caption figcaption summary".split())
 MAIN_HINTS = frozenset("article content entry main post story".split())
 # Levels of a wrapper. Deeper elements have no slots; tags and class words alone decide on them.
 MAX_DEPTH = 64
@@ -56,29 +65,37 @@ HELD_HOSTS = 2_000
 SAME_TEXT_PAGES = 3
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?",
+    r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 
 
 class Element:
-    __slots__ = ("tag", "names", "children")
+    __slots__ = ("tag", "names", "hints", "weak", "children")
 
-    def __init__(self, tag: str, names: tuple[str, ...] = ()):
-        self.tag, self.names, self.children = tag, names, []
+    def __init__(self, tag: str, attributes: str = ""):
+        self.tag, self.children = tag, []
+        self.names, self.hints, self.weak = _names(attributes)
 
     @property
     def label(self) -> str:
         return " ".join([self.tag, *self.names])
 
 
-def _names(attributes: str) -> tuple[str, ...]:
-    """Words of class, id and role, without numbers, in order and once each."""
+def _names(attributes: str) -> tuple[tuple[str, ...], frozenset[str], bool]:
+    """Words of class, id and role, without numbers, in order and once each; those that hint at furniture; and whether all
+    of these are weak.
+
+    A name hints by all its words: ``share-box`` does, ``share-theory`` does not, and ``share`` alone is weak.
+    """
     if "=" not in attributes:
-        return ()
-    found = [w for m in _ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", html.unescape(m[2] or m[3] or m[4] or "").lower())]
-    return tuple(dict.fromkeys(w for w in found if w))
+        return (), frozenset(), False
+    names = [n for m in _ATTRIBUTE.finditer(attributes) for n in html.unescape(m[2] or m[3] or m[4] or "").lower().split()]
+    words = [[w for w in re.split(r"[^a-z]+", n) if w] for n in names]
+    hinting = [own for own in words if all(w in HINTS or w in GENERIC for w in own) and not HINTS.isdisjoint(own)]
+    weak = all(len(own) == 1 and own[0] in WEAK_HINTS for own in hinting)
+    return tuple(dict.fromkeys(w for own in words for w in own)), frozenset(w for own in hinting for w in own if w in HINTS), weak
 
 
 def parse(page: str) -> Element:
@@ -117,7 +134,7 @@ def parse(page: str) -> Element:
             close(*CLOSES[tag])
         if tag in BLOCKS and tag != "br":
             close({"p"}, SCOPES)
-        element = Element(tag, _names(found[3] or found[6] or ""))
+        element = Element(tag, found[3] or found[6] or "")
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*[^>]*>?", re.IGNORECASE).search(page, at)
@@ -311,13 +328,38 @@ def expression(node: list, many: bool = False) -> str:
     return (f"({inner}){sign}" if label.startswith("(") else f"<{label}>{inner}</>" if not sign else f"(<{label}>{inner}</>){sign}")
 
 
-def _furniture(tag: str, names: tuple[str, ...], inside: bool) -> bool:
+def _furniture(tag: str, hints: Iterable[str], inside: bool) -> bool:
     if tag in ("html", "body", "main"):
         return False
-    hinted = not (COMMENT_HINTS if tag == "article" else HINTS).isdisjoint(names)
+    hinted = not (COMMENT_HINTS if tag == "article" else HINTS).isdisjoint(hints)
     return tag in FURNITURE or tag in RAW or hinted or (tag == "header" and not inside)
 
 
+def _mostly_links(element: Element) -> bool:
+    """Whether at least half of the element's letters stand in links or buttons, or it has a word or two only."""
+    linked = total = words = 0
+    todo = [(element, False)]
+    while todo:
+        item, link = todo.pop()
+        for c in item.children:
+            if isinstance(c, str):
+                size = sum(map(len, c.split()))
+                words += len(c.split())
+                total += size
+                linked += size if link else 0
+            elif c.tag not in RAW:
+                todo.append((c, link or c.tag in ("a", "button")))
+    return 2 * linked >= total or words <= 2
+
+
+def _left_out(element: Element, inside: bool) -> bool:
+    """Whether an element is furniture; a weak hint inside an article counts only with the second sign."""
+    if not _furniture(element.tag, element.hints, inside):
+        return False
+    weak = inside and element.weak and not _furniture(element.tag, (), inside)
+    return not weak or _mostly_links(element)
+
+
 def _landmark(tag: str, names: tuple[str, ...], level: int) -> bool:
     if level == 0:
         return tag == "article"
@@ -364,11 +406,11 @@ def plan(wrapper: str) -> tuple[int, list[Slot]]:
 class Place:
     """An element that is being read, and where its wrapper stands."""
 
-    __slots__ = ("items", "slots", "at", "inside", "needed", "block")
+    __slots__ = ("items", "slots", "at", "inside", "needed", "block", "label")
 
-    def __init__(self, element: Element, slots: list[Slot], inside: bool, needed: bool, block: bool):
+    def __init__(self, element: Element, slots: list[Slot], inside: bool, needed: bool, block: bool, label: bool):
         self.items, self.slots, self.at = tokens(element), slots, 0
-        self.inside, self.needed, self.block = inside, needed, block
+        self.inside, self.needed, self.block, self.label = inside, needed, block, label
 
     def slot(self, label: str) -> Slot | None:
         for k in (*range(self.at, len(self.slots)), *range(self.at)):
@@ -383,7 +425,7 @@ def landmarks(tree: Element) -> set[int]:
     found, todo = set(), [tree]
     while todo:
         for c in todo.pop().children:
-            if not isinstance(c, str) and not _furniture(c.tag, c.names, False):
+            if not isinstance(c, str) and not _furniture(c.tag, c.hints, False):
                 found.update(kind for kind in range(3) if _landmark(c.tag, c.names, kind))
                 todo.append(c)
     return found
@@ -392,7 +434,8 @@ def landmarks(tree: Element) -> set[int]:
 def main_text(page: str, wrapper: str) -> str:
     """Text of the article slots: blocks in page order, white space inside a block as one space, joined by one space.
 
-    A page without its wrapper's landmark is read by the next weaker kind that it has.
+    A page without its wrapper's landmark is read by the next weaker kind that it has. Inside landmarks, headings, list items and
+    the labels of tables, lists and figures are never furniture for being the same on all pages.
     """
     tree = parse(page)
     level, slots = plan(wrapper)
@@ -400,7 +443,7 @@ def main_text(page: str, wrapper: str) -> str:
     while level < 3 and level not in kinds:
         level += 1
     blocks: list[list[str]] = [[]]
-    places = [Place(tree, slots, level == 3, True, False)]
+    places = [Place(tree, slots, level == 3, True, False, False)]
     while places:
         here = places[-1]
         item = next(here.items, None)
@@ -410,11 +453,11 @@ def main_text(page: str, wrapper: str) -> str:
             continue
         if not isinstance(item, Element):
             own = None if item[0].isspace() else here.slot(TEXT)
-            judged = own is not None and own.fixed and (level == 3 or (here.needed and own.needed))
+            judged = own is not None and own.fixed and (level == 3 or (here.needed and own.needed and not here.label))
             if here.inside and not (judged and _digest(*item) in own.fixed):
                 blocks[-1].append(item[0])
             continue
-        if _furniture(item.tag, item.names, here.inside and level < 3):
+        if _left_out(item, here.inside and level < 3):
             if item.tag in BLOCKS or item.names:
                 blocks.append([])
             continue
@@ -424,7 +467,7 @@ def main_text(page: str, wrapper: str) -> str:
         own = here.slot(item.label)
         needed = not here.inside or (here.needed and own is not None and own.needed)
         inside = here.inside or _landmark(item.tag, item.names, level)
-        places.append(Place(item, own.slots if own else [], inside, needed, block))
+        places.append(Place(item, own.slots if own else [], inside, needed, block, here.label or item.tag in LABELS))
     texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return " ".join(t for t in texts if t)
 

@@ -454,9 +454,64 @@ def test_text_after_deep_elements(spark, tag):
     assert found[0].text == "first deep last" and found[1].text == "in body"
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_labels_that_stand_on_all_pages_stay(spark, n):
+    """Equal headings, table headers, terms and captions of different articles are text, however many pages there are."""
+    article = (
+        "<article><h1>t{0}</h1><h2>Summary</h2><p>body {0}</p><h2>Method</h2><p>more {0}</p>"
+        "<table><tr><th>Price</th><th>Size</th></tr><tr><td>{0}</td><td>1</td></tr></table>"
+        "<dl><dt>Author</dt><dd>a{0}</dd></dl><figure><figcaption>Figure</figcaption></figure></article>"
+    )
+    found = extracted(spark, [(f"http://q.org/{i}", page(article.format(i))) for i in range(n)])
+    for i in range(n):
+        assert found[i].text == f"t{i} Summary body {i} Method more {i} Price Size {i} 1 Author a{i} Figure"
+
+
+@pytest.mark.parametrize(("name", "text", "stays"), [
+    ("notice-theory", "about notices", True), ("social-history", "of a town", True), ("share", "of the market was large", True),
+    ("related", "work of others", True), ("ad-slot", "buy now", False), ("notice", "we use cookies", False),
+    ("share-buttons", "<a>mail</a> <a>print</a>", False), ("related-posts", "<h3>More</h3><a>one other post</a>", False),
+    ("comment-list", "first!", False),
+])
+def test_names_inside_an_article(spark, name, text, stays):
+    found = extracted(spark, [("http://r.org", page(f"<article><p>one</p><section class='{name}'>{text}</section><p>two</p></article>"))])
+    assert found[0].text == (f"one {text} two" if stays else "one two")
+
+
+def test_open_tags_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for text in ("<" + "a" * 10**6, "<a " + "b" * 10**6, "<a '" + "b" * 10**6, "<!--" + "-" * 10**6):
+        html_wrappers.parse("<p>x</p>" + text)
+    assert time.perf_counter() - start < 4
+
+
 # Pipeline
 
 
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, empty and repeated rows, clashing names, and no rows at all."""
+    words = "the quick brown fox jumps over a lazy dog and runs along some river bank until night falls on all the hills".split()
+    text = " ".join(words)
+    other = " ".join(reversed(words))
+    rows = [(1, text), (1, text), (2, text), (3, None), (4, ""), (None, other), (5, other), (6, "short")]
+    docs = spark.createDataFrame([(i, t, "en", None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = docs.withColumns({"_n": F.lit(77), "_kept": F.lit(88), "kept": F.lit("k"), "component_id": F.lit(1)})
+    kept = corpus_pipeline.near_duplicates(spark, odd, "")
+    assert kept.columns == odd.columns
+    assert {(r._n, r._kept) for r in kept.collect()} == {(77, 88)}
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5, 6]
+    ruled = corpus_pipeline.rules(spark, odd, "")
+    assert ruled.columns == odd.columns
+    packed = corpus_pipeline.pack(spark, docs, "").collect()
+    assert sum(r.piece == 0 for r in packed) == len(rows)
+    for name in ("documents", "labels"):
+        table = docs.limit(0) if name == "documents" else spark.createDataFrame([], "doc_id long, quality int, toxic int")
+        table.write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_against_plain_code(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     labels = spark.read.parquet(f"{small}/labels.parquet")
@@ -473,7 +528,7 @@ def test_pipeline_stages_against_plain_code(spark, small):
     from test_near_dup import brute_components
 
     third = stored(corpus_pipeline.near_duplicates(spark, second, small), "t")
-    groups = brute_components([(r.doc_id, r.text) for r in second.collect()])
+    groups = brute_components([(r.doc_id, r.text) for r in second.collect()], corpus_pipeline.SIMILAR)
     assert sorted(r.doc_id for r in third.collect()) == sorted(i for i, (_, c) in groups.items() if i == c)
     assert first.columns == second.columns == third.columns == docs.columns
 
