@@ -342,8 +342,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of rows that share an id one stays; rows without an id all stay.
     """
-    kept = near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"))
-    first = W.partitionBy("_kept").orderBy(F.xxhash64(text_col))
-    once = chosen.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(docs.columns)
+    # Names of its own that no column of the documents has.
+    longest = "_" * (1 + max(map(len, docs.columns)))
+    kept_id, number = f"{longest}kept", f"{longest}n"
+    kept = near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(kept_id)).distinct()
+    chosen = docs.join(kept, F.col(id_col).cast("long") == F.col(kept_id))
+    first = W.partitionBy(kept_id).orderBy(F.xxhash64(text_col))
+    once = chosen.withColumn(number, F.row_number().over(first)).where(F.col(number) == 1).select(docs.columns)
     return once.unionByName(docs.where(F.col(id_col).isNull()))
