@@ -12,6 +12,7 @@ from hazardflow.functions.decisions import sequence_or_zeros
 from hazardflow.operators.boosting import Trees
 from hazardflow.operators.sequence_training import SequenceModel
 from hazardflow.plans.triage import KEY, enriched, keyed, responses, triage
+from hazardflow.sources.committed import CommittedTable, upsert_batches
 from hazardflow.sources.feeds import normalize, read_cap_feed, read_seismic, read_warnings
 from hazardflow.sources.sinks import keyed_messages
 from hazardflow.streaming.state import answer_stream
@@ -160,24 +161,21 @@ def distinct_within(events: DataFrame, keys: list[str], ts: str = "ts", ttl: str
     return timed.dropDuplicatesWithinWatermark(keys)
 
 
+STATUS = "source string, item_count bigint, polled_at timestamp"
+
+
 def upsert_status(path: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that folds a micro-batch of polls into the small status table.
+    """A ``foreachBatch`` function that folds a micro-batch of polls into the small status table (``status_table``)."""
+
+    def timed(current: DataFrame, polls: DataFrame) -> DataFrame:
+        return merge(current, polls.withColumn("polled_at", F.col("polled_at").cast("timestamp")))
+
+    return upsert_batches(path, STATUS, timed)
 
-    Each batch writes a new version folder, so a failed or repeated batch never harms the one it reads. The
-    table has one row per source, hence the single output file.
-    """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "source string, item_count bigint, polled_at timestamp"
-        if batch_id == 0:
-            current = spark.createDataFrame([], schema)
-        else:
-            current = spark.read.schema(schema).parquet(f"{path}/version={batch_id - 1}")
-        merged = merge(current, batch.withColumn("polled_at", F.col("polled_at").cast("timestamp")))
-        merged.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-
-    return write
+def status_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest committed status table."""
+    return CommittedTable(spark, path, STATUS, replaces=True).read()
 
 
 def poll(writer: DataStreamWriter) -> StreamingQuery:

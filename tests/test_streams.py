@@ -11,6 +11,7 @@ from hazardflow.operators import drift, feeds, reuse
 from hazardflow.operators.enrich import geo_risk
 from hazardflow.plans.triage import responses
 from hazardflow.sources import sinks
+from hazardflow.sources import committed
 from hazardflow.streaming import jobs, state
 from test_feeds import BOX, ENTRY, cap_file, seismic_file, warning_file
 
@@ -201,13 +202,43 @@ def test_status_upsert(spark, parts, tmp_path):
         .foreachBatch(jobs.upsert_status(str(tmp_path / "status"), feeds.merge_status))
     )
     jobs.run_available(spark, writer)
-    versions = sorted((tmp_path / "status").glob("version=*"))
-    last = spark.read.parquet(str(versions[-1]))
+    assert len(list((tmp_path / "status" / "data").iterdir())) == 2
+    last = jobs.status_table(spark, str(tmp_path / "status"))
     events = spark.read.parquet(f"{parts}/part=*")
     assert last.count() == 3
     assert last.agg(F.max("polled_at").cast("string")).first()[0] == events.agg(F.max("ts").cast("string")).first()[0]
 
 
+def test_a_batch_run_twice_gives_no_second_row(spark, tmp_path):
+    """Messages and status: replays, failed attempts and many versions."""
+    path = str(tmp_path / "messages")
+    rows = spark.createDataFrame([("a", "{}"), ("b", "{}")], "key string, value string")
+    write = committed.append_batches(path)
+    for batch in (0, 1, 1, 0):
+        write(rows, batch)
+    table = committed.CommittedTable(spark, path, rows.schema)
+    assert table.read().count() == 4 and not table.write(rows, 1) and list(table.commits()) == [0, 1]
+    rows.write.parquet(f"{path}/data/{2:015}-lost")  # an attempt that ended before its commit
+    assert table.read().count() == 4 and table.write(rows, 2) and table.read().count() == 6
+
+
+def test_status_versions_stay_bounded(spark, tmp_path):
+    path = str(tmp_path / "status")
+    write = jobs.upsert_status(path, feeds.merge_status)
+    assert jobs.status_table(spark, path).count() == 0
+    for batch in range(6):
+        polls = spark.createDataFrame([("noaa", batch + 1, batch, batch)], "source string, item_count long, t long, seq long")
+        polls = polls.withColumn("polled_at", F.timestamp_seconds("t"))
+        write(polls, batch)
+        if batch == 3:
+            polls.drop("t", "seq").write.parquet(f"{path}/data/{4:015}-lost")
+        for again in (batch, 0):
+            write(polls.withColumn("item_count", F.lit(99).cast("long")), again)
+        assert [r.item_count for r in jobs.status_table(spark, path).collect()] == [batch + 1]
+        assert len(list((tmp_path / "status" / "data").iterdir())) <= 3
+    assert len(list((tmp_path / "status" / "data").iterdir())) == 2
+
+
 def test_feed_health(spark, parts, tmp_path):
     polls = split_stream(spark, parts).select("source", F.col("ts").alias("polled_at"))
     kept = []
