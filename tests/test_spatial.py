@@ -75,3 +75,36 @@ def test_shuffle_join_gives_the_same(spark, shapes):
         assert {tuple(r) for r in pairs.collect()} == expected
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_heavy_cells_are_split(shapes, most):
+    """Split cells give the same pairs, each once, and leave no heavy cell above the finest level."""
+    events, polygons, expected = shapes
+    found = [tuple(r) for r in spatial.containment_pairs(events, polygons, most_pairs=most).select("event_id", "alert_id").collect()]
+    assert len(found) == len(set(found)) and set(found) == expected
+    before = spatial.polygon_cells(polygons, "polygon", 2.0)
+    after = spatial.split_cells(before, events, "latitude", "longitude", 2.0, most)
+    sizes = spatial._sizes(2.0)
+    at = {}
+    for r in after.collect():
+        at.setdefault((r._level, r._cy, r._cx), set()).add(r.alert_id)
+    points = [(r.latitude, r.longitude) for r in events.collect()]
+    for (level, cy, cx), held in at.items():
+        n = sum(y // sizes[level] == cy and x // sizes[level] == cx for y, x in points)
+        assert level == 0 or len(held) == 1 or n * len(held) <= most
+    assert most == 40 or after.count() > before.count()
+
+
+def test_events_look_up_used_levels_only(shapes):
+    """One polygon lies on one level, so no event is multiplied."""
+    events, polygons, _ = shapes
+    plan = spatial.containment_pairs(events, polygons.where("alert_id = 80"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("named_struct(level") <= 1
+
+
+def test_mark_alerts(shapes):
+    events, polygons, expected = shapes
+    found = {r.event_id: r.under_alert for r in spatial.mark_alerts(events, polygons).collect()}
+    assert found == {r.event_id: r.event_id in {p for p, _ in expected} for r in events.collect()}
+    assert not any(r.under_alert for r in spatial.mark_alerts(events, polygons.limit(0)).collect())
