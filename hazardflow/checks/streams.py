@@ -7,10 +7,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from hazardflow import dims, session
 from hazardflow.checks import monitoring
-from hazardflow.checks.fixtures import HAZARD_EVENTS, table, with_views
+from hazardflow.checks.fixtures import HAZARD_EVENTS, hazard_events, table, with_views
 from hazardflow.checks.history import _REUSE, TWO_DAYS, _drift_sql, _UNIFORM
 from hazardflow.checks.registry import query, r6, sql_round, sql_stamp, stamp
 from hazardflow.checks.requests import answer_rows, answers_sql, as_requests, fixed_escalation, fixed_severity
+from hazardflow.operators import metrics
 from hazardflow.sources.sinks import keyed_messages
 from hazardflow.streaming import jobs, state
 
@@ -71,6 +72,59 @@ def stream_rates(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("source", stamp("window_start").alias("window_start"), "n", total.alias("total_ms"), "le_250")
 
 
+# Bucket counts of the five panes of each window.
+_SLID = f"""p AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS b, COUNT(*) AS n, {monitoring._LE} FROM hazard_events GROUP BY 1),
+  w AS (SELECT b - k * INTERVAL 1 MINUTE AS b, SUM(n) AS n, {', '.join(f'SUM(le{i}) AS le{i}' for i in range(len(dims.LATENCY_BOUNDS)))}
+    FROM p, unnest([0, 1, 2, 3, 4]) AS u(k) GROUP BY 1)"""
+_SLID_ROWS = f"""SELECT {sql_stamp('b')} AS window_start, n::BIGINT AS observations, {monitoring._sql_quantile(0.5)} AS p50,
+  {monitoring._sql_quantile(0.95)} AS p95, {monitoring._sql_quantile(0.99)} AS p99 FROM w"""
+
+
+def _slid(found: DataFrame) -> DataFrame:
+    return found.select(stamp("window_start").alias("window_start"), "observations", *[r6(c).alias(c) for c in ("p50", "p95", "p99")])
+
+
+@query("sliding_quantiles", with_views(f"{_SLID} {_SLID_ROWS}", "hazard_events"))
+def sliding_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Five-minute windows that begin every minute, from shared one-minute panes."""
+    return _slid(metrics.sliding_quantiles(monitoring.triage_log(spark, sf)))
+
+
+@query(
+    "stream_quantiles",
+    with_views(
+        f"""{_SLID} {_SLID_ROWS} WHERE epoch_ms(b) + 300000 <= (SELECT MAX(epoch_ms(ts)) FROM hazard_events) - 600000""",
+        "hazard_events",
+    ),
+)
+def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows from the stream, those that the watermark has closed."""
+    return _slid(_finished(spark, jobs.quantile_stream(event_stream(spark, sf)), "quantiles"))
+
+
+@query(
+    "stream_bounded_batches",
+    with_views("SELECT seq % 4 AS part, COUNT(*) AS n, 1::BIGINT AS parts_in_batch FROM hazard_events GROUP BY 1", "hazard_events"),
+)
+def stream_bounded_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Events landed as four files and read one file a micro-batch: rows per file, and files per batch."""
+    folder = session.shared_dir(spark, "bounded")
+    landed = hazard_events(spark, sf).select("seq", (F.col("seq") % 4).alias("part"))
+    landed.repartition("part").sortWithinPartitions("part").write.partitionBy("part").parquet(f"{folder}/in")
+    schema = "seq bigint, part bigint"
+    stream = jobs.bounded_batches(spark.readStream.schema(schema), files=1).parquet(f"{folder}/in")
+    counts = stream.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    writer = (
+        counts.writeStream.outputMode("update")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .foreachBatch(lambda batch, number: batch.withColumn("batch", F.lit(number)).write.parquet(f"{folder}/out/{number}"))
+    )
+    jobs.run_available(spark, writer)
+    done = spark.read.schema("part bigint, n bigint, batch bigint").parquet(f"{folder}/out/*")
+    per_batch = done.groupBy("batch").agg(F.count(F.lit(1)).alias("parts_in_batch"))
+    return done.join(per_batch, "batch").select("part", "n", "parts_in_batch")
+
+
 @query(
     "stream_reuse",
     with_views(

@@ -164,6 +164,28 @@ def snapshot(log: DataFrame, polls: DataFrame, errors: DataFrame, gauges: DataFr
     return reduce(DataFrame.unionByName, parts).withColumn("as_of", as_of)
 
 
+def bucket_counts(latency: str) -> list[Column]:
+    """Observations and their cumulative counts per bucket bound."""
+    bounds = [F.count_if(F.col(latency) <= b).alias(f"_le{i}") for i, b in enumerate(dims.LATENCY_BOUNDS)]
+    return [F.count(F.lit(1)).alias("observations"), *bounds]
+
+
+def bucket_quantile(q: float) -> Column:
+    """A quantile of ``bucket_counts``, interpolated inside its bucket.
+
+    The lowest bucket starts at 0 and mass in the open bucket gives the largest finite bound.
+    """
+    rank = F.lit(q) * F.col("observations")
+    value = F.lit(dims.LATENCY_BOUNDS[-1])
+    for i in reversed(range(len(dims.LATENCY_BOUNDS))):
+        low = dims.LATENCY_BOUNDS[i - 1] if i else 0.0
+        below = F.col(f"_le{i - 1}") if i else F.lit(0)
+        width = F.lit(dims.LATENCY_BOUNDS[i] - low)
+        inside = F.lit(low) + width * F.try_divide(rank - below, F.col(f"_le{i}") - below)
+        value = F.when(F.col(f"_le{i}") >= rank, inside).otherwise(value)
+    return value
+
+
 def histogram_quantiles(
     log: DataFrame,
     ts: str = "ts",
@@ -173,29 +195,36 @@ def histogram_quantiles(
 ) -> DataFrame:
     """Quantiles per time window, interpolated inside histogram buckets.
 
-    The lowest bucket starts at 0 and mass in the open bucket gives the largest finite bound. Windows
-    without observations do not appear. Only the counts per window and bucket are ordered.
+    Windows without observations do not appear. Only the counts per window and bucket are ordered.
     """
-    windowed = log.where(F.col(latency).isNotNull()).groupBy(F.window(ts, every).alias("w")).agg(
-        F.count(F.lit(1)).alias("observations"),
-        *[F.count_if(F.col(latency) <= b).alias(f"_le{i}") for i, b in enumerate(dims.LATENCY_BOUNDS)],
-    )
-
-    def quantile(q: float) -> Column:
-        rank = F.lit(q) * F.col("observations")
-        value = F.lit(dims.LATENCY_BOUNDS[-1])
-        for i in reversed(range(len(dims.LATENCY_BOUNDS))):
-            low = dims.LATENCY_BOUNDS[i - 1] if i else 0.0
-            below = F.col(f"_le{i - 1}") if i else F.lit(0)
-            width = F.lit(dims.LATENCY_BOUNDS[i] - low)
-            inside = F.lit(low) + width * F.try_divide(rank - below, F.col(f"_le{i}") - below)
-            value = F.when(F.col(f"_le{i}") >= rank, inside).otherwise(value)
-        return value
-
+    windowed = log.where(F.col(latency).isNotNull()).groupBy(F.window(ts, every).alias("w")).agg(*bucket_counts(latency))
     return windowed.select(
         F.col("w.start").alias("window_start"),
         "observations",
-        *[quantile(q).alias(f"p{round(q * 100)}") for q in quantiles],
+        *[bucket_quantile(q).alias(f"p{round(q * 100)}") for q in quantiles],
+    )
+
+
+def sliding_quantiles(
+    log: DataFrame,
+    ts: str = "ts",
+    latency: str = "latency_ms",
+    quantiles: tuple[float, ...] = (0.5, 0.95, 0.99),
+    window: str = "5 minutes",
+    slide: str = "1 minute",
+) -> DataFrame:
+    """Quantiles of windows that overlap: rows are counted once into panes as long as the slide, and panes are added up.
+
+    So an event is one row of one pane, however many windows it lies in. Works on tables and, behind a watermark, on streams.
+    """
+    panes = log.where(F.col(latency).isNotNull()).groupBy(F.window(ts, slide).alias("w")).agg(*bucket_counts(latency))
+    names = ["observations", *[f"_le{i}" for i in range(len(dims.LATENCY_BOUNDS))]]
+    windows = panes.groupBy(F.window("w", window, slide).alias("v")).agg(*[F.sum(n).alias(n) for n in names])
+    return windows.select(
+        F.col("v.start").alias("window_start"),
+        F.col("v.end").alias("window_end"),
+        "observations",
+        *[bucket_quantile(q).alias(f"p{round(q * 100)}") for q in quantiles],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQ
 from hazardflow import dims
 from hazardflow.functions.decisions import sequence_or_zeros
 from hazardflow.operators.boosting import Trees
+from hazardflow.operators.metrics import sliding_quantiles
 from hazardflow.operators.sequence_training import SequenceModel
 from hazardflow.plans.triage import KEY, enriched, keyed, responses, triage
 from hazardflow.sources.committed import CommittedTable, upsert_batches
@@ -148,6 +149,18 @@ def rate_stream(
     )
 
 
+def quantile_stream(
+    events: DataFrame, ts: str = "ts", window: str = "5 minutes", slide: str = "1 minute", lateness: str = LATENESS
+) -> DataFrame:
+    """Latency quantiles of sliding windows, each once, when the watermark has passed its end.
+
+    State is one row of bucket counts for each open pane and window. Rows later than ``lateness`` are dropped and counted
+    (``late_rows``).
+    """
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    return sliding_quantiles(timed, ts, window=window, slide=slide)
+
+
 def late_rows(progress: list[dict]) -> int:
     """Rows dropped as late, from the progress reports of a query."""
     return sum(
