@@ -32,7 +32,7 @@ A_VOCABULARY = "byte_bpe_50k.json"
 B_VOCABULARY = "piece_bpe_32k.model"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"
 SCORED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
-RUN_CHARS = 1_000_000
+RUN_CHARS = 400_000
 # A document-end key has the document of the run above these bits, the end in bytes below.
 END_BITS = 40
 # Links that are joined or counted at a time, whatever the size of the Arrow batches.
