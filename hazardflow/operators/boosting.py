@@ -2,25 +2,36 @@
 
 Feature values are cut into bins once, at quantiles of all training rows. Trees grow level by level: every task adds
 up its residuals by node and bin, the sums of all tasks decide the splits, and each task moves its rows down. Residuals are
-rounded to integers before they are added, so that the model does not depend on how rows are dealt to tasks.
+rounded to integers before they are added, so that the model does not depend on how rows are dealt to tasks. A barrier
+stage would wait a second for every exchange of sums, of which a fit needs a thousand; a job over kept rows does not.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from hazardflow import session
 from hazardflow.operators import workers
 
 BINS = 64
 DEEPEST = 6  # leaves of a tree are bits of one number
 UNIT = float(2**24)
 SCORE_ROWS = 1024
+BLOCK_ROWS = 8192
+COUNTED = 2.0**39  # above any sum of a block's residuals, and with all counts below 2**53
+ALONE_ROWS = 100_000  # up to so many rows, a job for each level costs more than it saves
+TASK_ROWS = 25_000
+MOST_SUMS = 64  # above so many tasks, their sums are added in the cluster first
+CHECKPOINT_ROUNDS = 25
 
 
 @dataclass
@@ -140,57 +151,140 @@ def _best_splits(sums: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tup
     return feature, bin_of, gain
 
 
-def _grow(bins: np.ndarray, first: np.ndarray, residual: np.ndarray, drawn: np.ndarray, depth: int, exchange: workers.Exchange):
-    """One tree for each class: splits by node, gains, and the leaf of every row and class."""
-    n_classes, total = residual.shape[1], int(first[-1])
-    node = np.zeros(residual.shape, dtype=np.int64)
-    feature = np.full((n_classes, 2**depth - 1), -1)
-    bin_of = np.zeros((n_classes, 2**depth - 1), dtype=int)
-    gains = np.zeros((n_classes, 2**depth - 1))
-    own, weights = bins[drawn].astype(np.int64) + first[:-1], residual[drawn]
-    for level in range(depth):
-        width = 2**level
-        hist = np.zeros((2, n_classes, width * total))
-        for k in range(n_classes):
-            at = (node[drawn, k, None] * total + own).reshape(-1)
-            hist[0, k] = np.bincount(at, np.repeat(weights[:, k], own.shape[1]), width * total)
-            hist[1, k] = np.bincount(at, minlength=width * total)
-        sums, counts = exchange.sum(hist).reshape(2, n_classes * width, total)
-        found = _best_splits(sums, counts, first)
-        here = slice(width - 1, 2 * width - 1)
-        feature[:, here], bin_of[:, here], gains[:, here] = (x.reshape(n_classes, width) for x in found)
+class _Block:
+    """Some rows of a fit at the start of a round: margins, the rows drawn, and what these add to the sums.
+
+    A residual and the count of its row are one number, so that one pass adds up both; ``BLOCK_ROWS`` keeps their sums exact.
+    """
+
+    def __init__(self, bins: np.ndarray, label: np.ndarray, ids: np.ndarray, margins: np.ndarray, number: int, share: float, seed: int):
+        self.bins, self.label, self.ids, self.margins = bins, label, ids, margins
+        self.drawn = np.flatnonzero(_drawn(ids, number, share, seed))
+        p = _softmax(margins)
+        self.weight = (np.rint((np.eye(p.shape[1])[label] - p) * UNIT) + COUNTED)[self.drawn]
+        self.spread = np.rint(p * (1 - p) * UNIT)[self.drawn].astype(np.int32)
+
+    def sums(self, fit: _Fit, level: int) -> np.ndarray:
+        """Residuals and rows by node and bin, of left nodes only; at the last level also the spread, of all nodes."""
+        bins, total, n_features = self.bins[self.drawn], int(fit.first[-1]), self.bins.shape[1]
+        node = fit.nodes(bins, level)
+        own = bins + fit.first[:-1]
+        width, n_classes = max(2**level // 2, 1), len(node)
+        hist = np.empty((2, n_classes, width * total))
+        spread = np.empty((n_classes, 2**level * total if level == fit.depth - 1 else 0))
         for k in range(n_classes):
-            f = feature[k, here][node[:, k]]
-            right = (f >= 0) & (bins[np.arange(len(bins)), f] > bin_of[k, here][node[:, k]])
-            node[:, k] = 2 * node[:, k] + right
-    return feature, bin_of, gains, node
-
-
-def _train(table: pa.Table, exchange: workers.Exchange, blank: str, trees: int, step: float, share: float, seed: int) -> str:
-    """The fit of one task's rows together with all others'."""
-    model = Trees.read(blank)
-    n_classes, leaves = len(model.classes), 2**model.depth
-    values = [table[f].to_numpy() for f in model.features]
-    bins = model.binned(np.stack(values, axis=1) if len(table) else np.empty((0, len(values))))
-    label, ids = table["label"].to_numpy().astype(int), table["id"].to_numpy().astype(np.int64)
-    first = np.concatenate([[0], np.cumsum([len(e) + 1 for e in model.edges])])
-    seen = exchange.sum(np.bincount(label, minlength=n_classes).astype(np.int64))
-    model.rows = int(seen.sum())
-    model.prior = np.log(np.maximum(seen / max(model.rows, 1), 1e-7)).tolist()
-    margins = np.tile(model.prior, (len(label), 1))
-    right = np.eye(n_classes)[label]
-    importance = np.zeros(len(model.features))
+            rows = np.flatnonzero(node[k] % 2 == 0) if level else slice(None)
+            at = ((node[k, rows] // 2 * total)[:, None] + own[rows]).reshape(-1)
+            both = np.bincount(at, np.repeat(self.weight[rows, k], n_features), width * total)
+            hist[1, k] = np.rint(both / COUNTED)
+            hist[0, k] = both - hist[1, k] * COUNTED
+            if spread.size:
+                at = ((node[k] * total)[:, None] + own).reshape(-1)
+                spread[k] = np.bincount(at, np.repeat(self.spread[:, k], n_features), spread.shape[1])
+        return np.concatenate([hist.reshape(-1), spread.reshape(-1)])
+
+    def moved(self, fit: _Fit, value: np.ndarray) -> _Block:
+        """The block after a round with the given leaf values, at the start of the next one."""
+        margins = self.margins + np.take_along_axis(value, fit.nodes(self.bins, fit.depth), axis=1).T
+        return _Block(self.bins, self.label, self.ids, margins, fit.round + 1, fit.share, fit.seed)
+
+
+@dataclass
+class _Fit:
+    """One round: its number, what is drawn, and the splits of its trees as far as they are grown."""
+
+    round: int
+    depth: int
+    first: np.ndarray
+    share: float
+    seed: int
+    feature: np.ndarray
+    bin: np.ndarray
+
+    def none(self, level: int) -> np.ndarray:
+        """The sums over no rows."""
+        nodes = 2 * max(2**level // 2, 1) + (2**level if level == self.depth - 1 else 0)
+        return np.zeros(nodes * len(self.feature) * int(self.first[-1]))
+
+    def nodes(self, bins: np.ndarray, level: int) -> np.ndarray:
+        """The node at a level of every class and row."""
+        node = np.zeros((len(self.feature), len(bins)), dtype=np.int64)
+        flat, begin = bins.reshape(-1), np.arange(len(bins)) * bins.shape[1]
+        for done in range(level):
+            here = slice(2**done - 1, 2 ** (done + 1) - 1)
+            for k, (f, b) in enumerate(zip(self.feature[:, here], self.bin[:, here])):
+                # A node without a split sends every row to its left.
+                cut = np.where(f >= 0, b, 255)
+                node[k] = 2 * node[k] + (flat[begin + np.maximum(f, 0)[node[k]]] > cut[node[k]])
+        return node
+
+
+class _Alone:
+    """All blocks in one task, for small tables."""
+
+    def __init__(self, blocks: list[_Block]):
+        self.blocks = blocks
+
+    def sums(self, fit: _Fit, level: int) -> np.ndarray:
+        return sum((b.sums(fit, level) for b in self.blocks), fit.none(level))
+
+    def move(self, fit: _Fit, value: np.ndarray) -> None:
+        self.blocks = [b.moved(fit, value) for b in self.blocks]
+
+
+class _Spread:
+    """Blocks dealt over tasks: one job for each level of a round, which brings back its sums."""
+
+    def __init__(self, blocks: RDD):
+        self.blocks, self.before = blocks.persist(StorageLevel.MEMORY_AND_DISK), []
+
+    def sums(self, fit: _Fit, level: int) -> np.ndarray:
+        found = self.blocks.mapPartitions(lambda own: [sum((b.sums(fit, level) for b in own), fit.none(level))])
+        made = found.treeReduce(np.add) if found.getNumPartitions() > MOST_SUMS else sum(found.collect())
+        self.drop(self.before)
+        self.before = []
+        return made
+
+    def move(self, fit: _Fit, value: np.ndarray) -> None:
+        self.before = [self.blocks]
+        self.blocks = self.blocks.map(lambda b: b.moved(fit, value)).persist(StorageLevel.MEMORY_AND_DISK)
+        if (fit.round + 1) % CHECKPOINT_ROUNDS == 0:
+            self.blocks.checkpoint()
+
+    @staticmethod
+    def drop(held: list[RDD]) -> None:
+        for blocks in held:
+            blocks.unpersist()
+
+
+def _leaf_sums(by_bin: np.ndarray, first: np.ndarray, feature: np.ndarray, bin_of: np.ndarray) -> np.ndarray:
+    """Sums of the two leaves below each node, from its sums by bin of all features."""
+    whole = by_bin[:, first[0] : first[1]].sum(axis=1)
+    left = [row[first[f] : first[f] + b + 1].sum() if f >= 0 else w for row, f, b, w in zip(by_bin, feature, bin_of, whole)]
+    return np.stack([left, whole - left], axis=1)
+
+
+def _train(model: Trees, rows: _Alone | _Spread, trees: int, step: float, share: float, seed: int) -> Trees:
+    """The rounds of a fit. Sums are of integers, so a right node is exactly what its parent has besides the left one."""
+    n_classes, depth, first = len(model.classes), model.depth, _first(model)
+    total, importance = int(first[-1]), np.zeros(len(model.features))
     for number in range(trees):
-        p = _softmax(margins) if len(margins) else margins
-        residual = np.rint((right - p) * UNIT)
-        drawn = np.flatnonzero(_drawn(ids, number, share, seed))
-        feature, bin_of, gains, leaf = _grow(bins, first, residual, drawn, model.depth, exchange)
-        spread = np.rint(p * (1 - p) * UNIT)
-        tops = np.stack([np.bincount(leaf[drawn, k], residual[drawn, k], leaves) for k in range(n_classes)])
-        unders = np.stack([np.bincount(leaf[drawn, k], spread[drawn, k], leaves) for k in range(n_classes)])
-        top, under = exchange.sum(np.stack([tops, unders]).astype(float))
+        feature, bin_of = np.full((n_classes, 2**depth - 1), -1), np.zeros((n_classes, 2**depth - 1), dtype=int)
+        gains = np.zeros((n_classes, 2**depth - 1))
+        fit = _Fit(number, depth, first, share, seed, feature, bin_of)
+        for level in range(depth):
+            width = 2**level
+            found = rows.sums(fit, level)
+            cut = 2 * n_classes * max(width // 2, 1) * total
+            left = found[:cut].reshape(2, n_classes, -1, total)
+            # Children of a node lie beside each other.
+            nodes = np.stack([left, nodes - left], axis=3).reshape(2, n_classes, width, total) if level else left
+            here = slice(width - 1, 2 * width - 1)
+            best = _best_splits(*nodes.reshape(2, n_classes * width, total), first)
+            feature[:, here], bin_of[:, here], gains[:, here] = (x.reshape(n_classes, width) for x in best)
+        top, under = (_leaf_sums(x.reshape(-1, total), first, *best[:2]).reshape(n_classes, -1) for x in (nodes[0], found[cut:]))
         value = step * (n_classes - 1) / n_classes * np.divide(top, under, out=np.zeros_like(top), where=under > 0)
-        margins += np.take_along_axis(value.T, leaf, axis=0)
+        rows.move(fit, value)
         for k in range(n_classes):
             used = feature[k] >= 0
             by_feature = np.bincount(feature[k][used], gains[k][used], len(importance))
@@ -199,7 +293,45 @@ def _train(table: pa.Table, exchange: workers.Exchange, blank: str, trees: int,
         model.bin += bin_of.tolist()
         model.value += value.tolist()
     model.importance = (importance / importance.sum() if importance.sum() > 0 else importance).tolist()
-    return model.dump()
+    return model
+
+
+def _first(model: Trees) -> np.ndarray:
+    """Where each feature's bins begin among those of all, and their number."""
+    return np.concatenate([[0], np.cumsum([len(e) + 1 for e in model.edges])])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], model: Trees, share: float, seed: int) -> Iterator[_Block]:
+    """Rows as blocks at the start of the first round."""
+    for table in _tables(batches):
+        bins = model.binned(np.stack([table[f].to_numpy() for f in model.features], axis=1))
+        label, ids = table["label"].to_numpy().astype(np.uint8), table["id"].to_numpy().astype(np.int64)
+        yield _Block(bins, label, ids, np.tile(model.prior, (len(label), 1)), 0, share, seed)
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut and put together to tables of BLOCK_ROWS rows; the last may be shorter."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        while n + batch.num_rows >= BLOCK_ROWS:
+            yield pa.Table.from_batches([*held, batch.slice(0, BLOCK_ROWS - n)])
+            batch, held, n = batch.slice(BLOCK_ROWS - n), [], 0
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(chosen: DataFrame, n: int, model: Trees, share: float, seed: int) -> RDD:
+    """The rows as blocks in ``n`` tasks."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, model, share, seed):
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
+
+    return chosen.repartition(n).mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row["block"]))
 
 
 def train(
@@ -208,8 +340,8 @@ def train(
 ) -> Trees:
     """Fit boosted trees to rows whose ``label`` is the position of their class.
 
-    Missing and NaN values read 0. Rows are kept as arrays over all tasks (about a hundred bytes each), none is
-    left out. ``row_id`` decides which rounds a row takes part in. A table without rows gives equal probabilities.
+    Missing and NaN values read 0. Rows are kept as blocks of arrays over all tasks (about sixty bytes each), none is
+    left out. A small table is fitted by one task; else every level of a round is a job over the kept blocks. ``row_id`` decides which rounds a row takes part in. A table without rows gives equal probabilities.
     """
     if not 1 <= depth <= DEEPEST:
         raise ValueError(f"depth must be 1 to {DEEPEST}")
@@ -218,8 +350,25 @@ def train(
     # All cut points in one pass: a mergeable quantile summary for each column.
     shares = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     cuts = [F.percentile_approx(f, shares, 10 * BINS).alias(f) for f in features]
-    summary = chosen.agg(F.count("*").alias("_n"), *cuts, *[F.max(f).alias(f"_max{i}") for i, f in enumerate(features)]).first()
+    most = [F.max(f).alias(f"_max{i}") for i, f in enumerate(features)]
+    by_class = [F.count_if(F.col("label") == k).alias(f"_class{k}") for k in range(len(classes))]
+    summary = chosen.agg(F.count("*").alias("_n"), *cuts, *most, *by_class).first()
     edges = [sorted({v for v in summary[f] or [] if v < summary[f"_max{i}"]}) for i, f in enumerate(features)]
-    blank = Trees(list(features), list(classes), edges, [0.0] * len(classes), depth).dump()
-    n = n_workers or workers.count(rows.sparkSession, summary["_n"])
-    return Trees.read(workers.fit(chosen, n, lambda table, exchange: _train(table, exchange, blank, trees, step, share, seed)))
+    model = Trees(list(features), list(classes), edges, [0.0] * len(classes), depth, rows=summary["_n"])
+    seen = np.array([summary[f"_class{k}"] for k in range(len(classes))], dtype=np.int64)
+    model.prior = np.log(np.maximum(seen / max(model.rows, 1), 1e-7)).tolist()
+    spark = rows.sparkSession
+    n = n_workers or workers.count(spark, model.rows, ALONE_ROWS, TASK_ROWS)
+    if n == 1:
+
+        def alone(table: pa.Table, _: workers.Exchange) -> str:
+            blocks = list(_blocks(iter(table.to_batches()), model, share, seed))
+            return _train(model, _Alone(blocks), trees, step, share, seed).dump()
+
+        return Trees.read(workers.fit(chosen, 1, alone))
+    session.ensure_checkpoint_dir(spark)
+    spread = _Spread(_dealt(chosen, n, model, share, seed))
+    try:
+        return _train(model, spread, trees, step, share, seed)
+    finally:
+        spread.drop([spread.blocks, *spread.before])

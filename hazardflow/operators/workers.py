@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_WORKER = 250_000
 
 
-def count(spark: SparkSession, rows: int) -> int:
-    """Tasks for so many rows, never more than can run at once."""
+def count(spark: SparkSession, rows: int, alone: int = ROWS_PER_WORKER, each: int = ROWS_PER_WORKER) -> int:
+    """Tasks for so many rows, never more than can run at once: one up to ``alone`` rows, else one for ``each`` rows."""
     cpus = int(spark.conf.get("spark.task.cpus", "1"))
-    return max(1, min(spark.sparkContext.defaultParallelism // cpus, -(-rows // ROWS_PER_WORKER)))
+    return 1 if rows <= alone else max(1, min(spark.sparkContext.defaultParallelism // cpus, -(-rows // each)))
 
 
 class Exchange:

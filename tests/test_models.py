@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,25 @@ def test_rows_may_be_dealt_to_any_number_of_tasks(spark, small, fitted):
     assert again.dump() == alone.dump() != other.dump()
 
 
+def test_larger_fits_wait_for_no_barrier(spark, small, monkeypatch):
+    """Above a small table the fit is jobs over kept blocks, and the model is the one that a single task makes."""
+    rows = featured(spark, small)
+    alone = models.train_severity(rows, label="label_severity", trees=2, depth=3, row_id="event_id")
+    monkeypatch.setattr(boosting, "ALONE_ROWS", 100)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 300)
+    monkeypatch.setattr(boosting, "CHECKPOINT_ROUNDS", 1)
+    monkeypatch.setattr(boosting.workers, "fit", None)
+    many = models.train_severity(rows, label="label_severity", trees=2, depth=3, row_id="event_id")
+    assert many.dump() == alone.dump()
+
+
+def test_rows_are_cut_into_blocks_of_one_size():
+    batches = [pa.RecordBatch.from_pydict({"n": list(range(a, b))}) for a, b in ((0, 5), (5, 5), (5, 20000), (20000, 24580))]
+    tables = list(boosting._tables(iter(batches)))
+    assert [len(t) for t in tables] == [8192, 8192, 8192, 4]
+    assert [n for t in tables for n in t["n"].to_pylist()] == list(range(24580))
+
+
 def test_odd_training_rows(spark):
     """Nulls and NaN read 0, unknown labels are left out, one class or no rows still give a model."""
     schema = "a double, b double, severity string"
