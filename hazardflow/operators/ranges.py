@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from hazardflow import session
 
 PART = "_part"
+TASK_ROWS = 250_000
+SHARES = 16  # a combination of keys that holds most rows is summed up in so many parts first
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
@@ -21,6 +23,19 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def least(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The least ``value`` for each combination of the keys, which may be null and may hold most rows.
+
+    Spark sorts for the least of strings, and a scan's tasks hold as many rows as their files pack. So rows are dealt first, in
+    proportion to their number: a task sorts about TASK_ROWS rows however large the table is.
+    """
+    tasks = max(1, -(-rows.count() // TASK_ROWS))
+    share = F.pmod(F.xxhash64(value), F.lit(SHARES)).alias("_share")
+    parts = rows.select(*keys, value, share).repartition(tasks, *keys, "_share")
+    parts = parts.groupBy(*keys, "_share").agg(F.min(value).alias(value))
+    return parts.repartition(tasks, *keys).groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def dealt(df: DataFrame, order: list[Column | str], purpose: str, parts: int | None = None) -> DataFrame:
     """The rows with the number of their range (``_part``); ranges follow the order. Stored.
 

@@ -194,7 +194,7 @@ def scored_sources(rows: DataFrame, keys: list[str], ttl_us: int, parts: int | N
 
     ``rows`` holds the keys, ``us`` and ``id``; at equal times of a key the smallest id counts.
     """
-    distinct = rows.groupBy(*keys, "us").agg(F.min("id").alias("id"))
+    distinct = ranges.least(rows, [*keys, "us"], "id")
     times = ranges.dealt(distinct, [*keys, "us"], "reuse-times", parts)
     continued = ranges.stored(ranges.continued(times, keys), "reuse-continued")
     starts: dict[int, tuple[int, Any]] = {}

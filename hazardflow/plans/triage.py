@@ -18,6 +18,7 @@ from hazardflow.operators.reuse import mark_reuse
 from hazardflow.operators.sequence_training import SequenceModel
 
 KEY = "_key"
+BROADCAST_ROWS = 50_000  # names of so many scored rows are sent to every task; more are looked up in a shuffled hash table
 
 
 def enriched(
@@ -68,11 +69,14 @@ def answered_once(
 
     Rows of different values of ``epoch`` share nothing: a new epoch empties all that is held.
     """
-    own = ["event_id", ts, "estimated_affected_population", "composite_risk_score", *dims.MODEL_FEATURES]
-    own += [c for c in (sequence, epoch) if c]
-    keys = [KEY, *([epoch] if epoch else [])]
-    marked = ranges.stored(mark_reuse(keyed(good).select(KEY, *own), keys, ts, "event_id", seconds, parts), "triage-marked")
-    fresh = predicted(marked.where("not reused"), model, escalation, sequence)
+    keys, rest = [KEY, *([epoch] if epoch else [])], ["estimated_affected_population", "composite_risk_score"]
+    all_rows, own = keyed(good), [*keys, "event_id", ts]
+    marked = ranges.stored(mark_reuse(all_rows.select(*own, *rest), keys, ts, "event_id", seconds, parts), "triage-marked")
+    # Features and sequences are no part of what is sorted and stored: only rows that are scored take them along.
+    scored = ranges.stored(marked.where("not reused").select(*own), "triage-scored")
+    scored = scored.hint("broadcast" if scored.count() <= BROADCAST_ROWS else "shuffle_hash")
+    wide = all_rows.select(*own, *dims.MODEL_FEATURES, *([sequence] if sequence else []))
+    fresh = predicted(wide.join(scored, own, "left_semi"), model, escalation, sequence)
     answers = fresh.select(F.col("event_id").alias("source_id"), "severity", "confidence", "p3h")
     return marked.join(answers, "source_id")
 
