@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -114,6 +116,8 @@ def reuse_stream(
     )
 
 
+SPOOLED = 8 * 2**20  # bytes of a group's model inputs that stay in memory
+OUT_ROWS = 10_000
 # Groups of keys that share a state; an emptying row goes to each of them.
 GROUPS = 256
 ANSWERED = (
@@ -123,12 +127,61 @@ ANSWERED = (
 _HELD = "put_us long, epoch long, source_id string, severity string, confidence double, p3h double"
 
 
+class _Inputs:
+    """What the models read of a group's rows, by place of arrival: in memory while small, else in an unnamed temporary file."""
+
+    _schema = pa.schema([("event_id", pa.string()), ("features", pa.list_(pa.float64())), ("sequence", pa.list_(pa.float64()))])
+
+    def __enter__(self) -> _Inputs:
+        self._file = tempfile.SpooledTemporaryFile(max_size=SPOOLED)
+        return self
+
+    def __exit__(self, *_: Any) -> None:
+        self._file.close()
+
+    def kept(self, rows: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, list[str]]:
+        """The other columns in time order with the place of every row, times of emptying rows, and keys by number."""
+        parts, clears, numbers, n = [], [np.empty(0, dtype=np.int64)], {}, 0
+        with pa.ipc.new_stream(self._file, self._schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            for part in rows:
+                given = part["clear"].to_numpy(bool)
+                clears.append(part["us"].to_numpy()[given])
+                part = part.loc[~given]
+                if not len(part):
+                    continue
+                out.write_batch(pa.RecordBatch.from_pandas(part[self._schema.names], self._schema, preserve_index=False))
+                narrow = part[["us", "estimated_affected_population", "composite_risk_score"]].copy()
+                narrow["event_id"] = part["event_id"].astype("string[pyarrow]")
+                narrow["key"] = np.array([numbers.setdefault(k, len(numbers)) for k in part["key"]], dtype=np.int32)
+                narrow["place"] = np.arange(n, n + len(part))
+                n += len(part)
+                parts.append(narrow)
+        if not parts:
+            return pd.DataFrame(), np.concatenate(clears), []
+        ordered = pd.concat(parts, ignore_index=True).sort_values(["us", "event_id"], kind="stable", ignore_index=True)
+        return ordered, np.concatenate(clears), list(numbers)
+
+    def rows(self, places: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The rows at ascending places, batch by batch; an empty table first."""
+        yield self._schema.empty_table().to_pandas()
+        self._file.seek(0)
+        low = 0
+        for batch in pa.ipc.open_stream(self._file):
+            here = places[np.searchsorted(places, low) : np.searchsorted(places, low + batch.num_rows)] - low
+            low += batch.num_rows
+            if len(here):
+                yield batch.take(pa.array(here)).to_pandas()
+
+
 class AnswersWithinLimit(StatefulProcessor):
     """Per key, the last scored row with its answer; only rows that no held answer serves reach the models.
 
     Keys are held in groups. An emptying row (``clear``) reaches every group and opens a new epoch there, named by its
     time: answers of an earlier epoch serve no row of a later one. Rows are handled in time order inside a
     micro-batch; a row older than what is held for its key is scored by itself and leaves the state alone.
+
+    What the models read waits in a temporary file until it is known which rows are scored, so that memory holds a group's
+    times and ids only, and one batch of features.
     """
 
     def __init__(self, model: Trees | None, escalation: SequenceModel | None, ttl_us: int, keep_ms: int) -> None:
@@ -152,13 +205,14 @@ class AnswersWithinLimit(StatefulProcessor):
         return out
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        part = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
-        clears = part.loc[part["clear"], "us"].to_numpy()
+        with _Inputs() as inputs:
+            yield from self._answered(*inputs.kept(rows), inputs)
+
+    def _answered(self, part: pd.DataFrame, clears: np.ndarray, names: list[str], inputs: _Inputs) -> Iterator[pd.DataFrame]:
         known = self._epoch.get()
         epochs = np.unique(np.append(clears, -(2**62) if known is None else known[0]))
         if len(clears):
             self._epoch.update((int(epochs[-1]),))
-        part = part.loc[~part["clear"]].reset_index(drop=True)
         if not len(part):
             return
         # Rows older than every known epoch belong to the first one.
@@ -166,7 +220,8 @@ class AnswersWithinLimit(StatefulProcessor):
         times, sources = part["us"].to_numpy(), np.arange(len(part))
         held: dict[int, tuple] = {}  # by number: answers that were held before, as negative sources
         ends: list[tuple[str, int, int, int]] = []  # key, time put, epoch, source
-        for name, places in part.groupby("key", sort=False).indices.items():
+        for number, places in part.groupby("key", sort=False).indices.items():
+            name = names[number]
             before = self._held.getValue((name,)) if self._held.containsKey((name,)) else None
             put, own_epoch, source = (None, None, None) if before is None else (before[0], before[1], -1 - len(held))
             if before is not None:
@@ -182,22 +237,25 @@ class AnswersWithinLimit(StatefulProcessor):
             if source is not None and source >= 0:
                 ends.append((name, put, own_epoch, source))
         fresh = np.flatnonzero(sources == np.arange(len(part)))
-        made = self._answers(part.iloc[fresh].reset_index(drop=True))
+        wanted = part["place"].to_numpy()[fresh]
+        made = pd.concat([self._answers(rows) for rows in inputs.rows(np.sort(wanted))], ignore_index=True)
         earlier = [held[n][2:] for n in range(-1, -1 - len(held), -1)]
         table = pd.concat([made, pd.DataFrame(earlier, columns=made.columns).astype(made.dtypes)], ignore_index=True)
         place = np.empty(len(part), dtype=int)
-        place[fresh] = np.arange(len(fresh))
+        place[fresh[np.argsort(wanted)]] = np.arange(len(fresh))
         at = np.where(sources >= 0, place[np.maximum(sources, 0)], len(fresh) - 1 - sources)
         for name, put, own_epoch, source in ends:
             answer = made.iloc[place[source]]
             p3h = None if np.isnan(answer["p3h"]) else float(answer["p3h"])
             self._held.updateValue((name,), (int(put), int(own_epoch), answer["source_id"], answer["severity"], float(answer["confidence"]), p3h))
-        out = table.iloc[at].reset_index(drop=True)
-        out.insert(0, "event_id", part["event_id"])
-        for c in ("estimated_affected_population", "composite_risk_score"):
-            out[c] = part[c]
-        out["p3h"] = out["p3h"].astype(object).where(out["p3h"].notna(), None)
-        yield out
+        for low in range(0, len(part), OUT_ROWS):
+            own = part.iloc[low : low + OUT_ROWS]
+            out = table.iloc[at[low : low + OUT_ROWS]].reset_index(drop=True)
+            out.insert(0, "event_id", own["event_id"].to_numpy(object, na_value=None))
+            for c in ("estimated_affected_population", "composite_risk_score"):
+                out[c] = own[c].to_numpy()
+            out["p3h"] = out["p3h"].astype(object).where(out["p3h"].notna(), None)
+            yield out
 
     def close(self) -> None:
         pass
