@@ -1,17 +1,26 @@
 """Multiclass gradient boosting: per round one regression tree for each class on the shared softmax residuals.
 
 Feature values are cut into bins once, at quantiles of all training rows. Trees grow level by level: every task adds
-up its residuals by node and bin, the sums of all tasks decide the splits, and each task moves its rows down. Residuals are
-rounded to integers before they are added, so that the model does not depend on how rows are dealt to tasks. A barrier
-stage would wait a second for every exchange of sums, of which a fit needs a thousand; a job over kept rows does not.
+up its residuals by node and bin, the sums of all tasks decide the splits. Residuals are rounded to integers before they
+are added, so that the model does not depend on how rows are dealt to tasks. A barrier stage would wait a second for every
+exchange of sums, of which a fit needs a thousand; a job over kept rows does not. Kept rows are mapped files of the
+executor, since passing all rows to Python in every job would take longer than adding them up.
 """
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
+import os
 import pickle
-from collections.abc import Iterator
+import random
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +28,6 @@ from pyspark import RDD, StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from hazardflow import session
 from hazardflow.operators import workers
 
 BINS = 64
@@ -27,11 +35,15 @@ DEEPEST = 6  # leaves of a tree are bits of one number
 UNIT = float(2**24)
 SCORE_ROWS = 1024
 BLOCK_ROWS = 8192
-COUNTED = 2.0**39  # above any sum of a block's residuals, and with all counts below 2**53
+GROUP_BINS = 4096
+CHUNK_ROWS = 2**16
+CHUNKS = 3
+COUNTED = 2**43  # above twice any sum of the residuals of so many chunks, and with all their counts below 2**63
+TRIES = 4
 ALONE_ROWS = 100_000  # up to so many rows, a job for each level costs more than it saves
 TASK_ROWS = 25_000
 MOST_SUMS = 64  # above so many tasks, their sums are added in the cluster first
-CHECKPOINT_ROUNDS = 25
+CHECKPOINT_ROUNDS = 25  # no longer read: lost rows are made again from the trees
 
 
 @dataclass
@@ -92,7 +104,7 @@ class Trees:
     def shares(self, values: np.ndarray) -> np.ndarray:
         """Class probabilities of rows of feature values; equal rows are scored once."""
         own, back = np.unique(self.binned(values), axis=0, return_inverse=True)
-        return _softmax(self.margins(own))[back.reshape(-1)]
+        return _softmax(self.margins(own).T).T[back.reshape(-1)]
 
     def probabilities(self, values: Column) -> Column:
         """Class probabilities of an array column of feature values."""
@@ -109,8 +121,10 @@ class Trees:
 
 
 def _softmax(margins: np.ndarray) -> np.ndarray:
-    powers = np.exp(margins - margins.max(axis=1, keepdims=True))
-    return powers / powers.sum(axis=1, keepdims=True)
+    """Shares from margins, one row for each class."""
+    powers = np.exp(margins - margins.max(axis=0))
+    powers /= powers.sum(axis=0)
+    return powers
 
 
 def _binned(values: np.ndarray, edges: list[list[float]]) -> np.ndarray:
@@ -151,110 +165,398 @@ def _best_splits(sums: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tup
     return feature, bin_of, gain
 
 
-class _Block:
-    """Some rows of a fit at the start of a round: margins, the rows drawn, and what these add to the sums.
+@dataclass
+class _Layout:
+    """Features whose bins are counted together: the numbers of their bins, multiplied, are at most ``GROUP_BINS``.
 
-    A residual and the count of its row are one number, so that one pass adds up both; ``BLOCK_ROWS`` keeps their sums exact.
+    A code is the joint bin of a group. A feature of one bin decides nothing and is in no group, unless all are so.
     """
 
-    def __init__(self, bins: np.ndarray, label: np.ndarray, ids: np.ndarray, margins: np.ndarray, number: int, share: float, seed: int):
-        self.bins, self.label, self.ids, self.margins = bins, label, ids, margins
-        self.drawn = np.flatnonzero(_drawn(ids, number, share, seed))
-        p = _softmax(margins)
-        self.weight = (np.rint((np.eye(p.shape[1])[label] - p) * UNIT) + COUNTED)[self.drawn]
-        self.spread = np.rint(p * (1 - p) * UNIT)[self.drawn].astype(np.int32)
-
-    def sums(self, fit: _Fit, level: int) -> np.ndarray:
-        """Residuals and rows by node and bin, of left nodes only; at the last level also the spread, of all nodes."""
-        bins, total, n_features = self.bins[self.drawn], int(fit.first[-1]), self.bins.shape[1]
-        node = fit.nodes(bins, level)
-        own = bins + fit.first[:-1]
-        width, n_classes = max(2**level // 2, 1), len(node)
-        hist = np.empty((2, n_classes, width * total))
-        spread = np.empty((n_classes, 2**level * total if level == fit.depth - 1 else 0))
-        for k in range(n_classes):
-            rows = np.flatnonzero(node[k] % 2 == 0) if level else slice(None)
-            at = ((node[k, rows] // 2 * total)[:, None] + own[rows]).reshape(-1)
-            both = np.bincount(at, np.repeat(self.weight[rows, k], n_features), width * total)
-            hist[1, k] = np.rint(both / COUNTED)
-            hist[0, k] = both - hist[1, k] * COUNTED
-            if spread.size:
-                at = ((node[k] * total)[:, None] + own).reshape(-1)
-                spread[k] = np.bincount(at, np.repeat(self.spread[:, k], n_features), spread.shape[1])
-        return np.concatenate([hist.reshape(-1), spread.reshape(-1)])
-
-    def moved(self, fit: _Fit, value: np.ndarray) -> _Block:
-        """The block after a round with the given leaf values, at the start of the next one."""
-        margins = self.margins + np.take_along_axis(value, fit.nodes(self.bins, fit.depth), axis=1).T
-        return _Block(self.bins, self.label, self.ids, margins, fit.round + 1, fit.share, fit.seed)
+    bins: list[int]  # by feature
+    groups: list[list[int]]
+
+    @staticmethod
+    def of(bins: list[int]) -> _Layout:
+        groups: list[list[int]] = []
+        for f in sorted((f for f, n in enumerate(bins) if n > 1), key=lambda f: -bins[f]) or [0]:
+            room = [g for g in groups if bins[f] * int(np.prod([bins[x] for x in g])) <= GROUP_BINS]
+            if room:
+                room[0].append(f)
+            else:
+                groups.append([f])
+        return _Layout(bins, groups)
+
+    def shape(self, group: list[int]) -> tuple[int, ...]:
+        return tuple(self.bins[f] for f in group)
+
+    def sizes(self) -> list[int]:
+        return [int(np.prod(self.shape(g))) for g in self.groups]
+
+    def codes(self, bins: np.ndarray) -> list[np.ndarray]:
+        """For each group the code of every row."""
+        found = []
+        for group in self.groups:
+            code = np.zeros(len(bins), dtype=np.uint16)
+            for f in group:
+                code = code * np.uint16(self.bins[f]) + bins[:, f]
+            found.append(code)
+        return found
+
+    def by_feature(self, joint: list[np.ndarray]) -> np.ndarray:
+        """Sums by bin of all features from those by code, one array for each group; the last axis is replaced."""
+        first = np.concatenate([[0], np.cumsum(self.bins)])
+        found = np.empty((*joint[0].shape[:-1], first[-1]), dtype=joint[0].dtype)
+        found[..., [first[f] for f, n in enumerate(self.bins) if n == 1]] = joint[0].sum(axis=-1, keepdims=True)
+        for group, sums in zip(self.groups, joint):
+            whole = sums.reshape(*sums.shape[:-1], *self.shape(group))
+            before = sums.ndim - 1
+            for i, f in enumerate(group):
+                others = tuple(before + j for j in range(len(group)) if j != i)
+                found[..., first[f] : first[f + 1]] = whole.sum(axis=others)
+        return found
 
 
 @dataclass
 class _Fit:
-    """One round: its number, what is drawn, and the splits of its trees as far as they are grown."""
+    """One round: its number and the splits of its trees as far as they are grown, one row for each class."""
 
     round: int
     depth: int
-    first: np.ndarray
-    share: float
-    seed: int
     feature: np.ndarray
     bin: np.ndarray
 
-    def none(self, level: int) -> np.ndarray:
-        """The sums over no rows."""
-        nodes = 2 * max(2**level // 2, 1) + (2**level if level == self.depth - 1 else 0)
-        return np.zeros(nodes * len(self.feature) * int(self.first[-1]))
+    def words(self, layout: _Layout, level: int, wanted: np.ndarray | None = None) -> list[tuple[list[int], int, list[np.ndarray]]]:
+        """Tables that say which node of a level a code may lead to, one bit for each node and class.
 
-    def nodes(self, bins: np.ndarray, level: int) -> np.ndarray:
-        """The node at a level of every class and row."""
-        node = np.zeros((len(self.feature), len(bins)), dtype=np.int64)
-        flat, begin = bins.reshape(-1), np.arange(len(bins)) * bins.shape[1]
-        for done in range(level):
-            here = slice(2**done - 1, 2 ** (done + 1) - 1)
-            for k, (f, b) in enumerate(zip(self.feature[:, here], self.bin[:, here])):
-                # A node without a split sends every row to its left.
-                cut = np.where(f >= 0, b, 255)
-                node[k] = 2 * node[k] + (flat[begin + np.maximum(f, 0)[node[k]]] > cut[node[k]])
-        return node
+        What all groups of a row leave is the bit of its node, or none if that node is not ``wanted``. Several classes
+        share a number: their places in it, the bits of each, and a table for each group.
+        """
+        n_classes, nodes = len(self.feature), 2**level
+        bits = max(8, nodes)
+        share = 64 // bits
+        every = (1 << nodes) - 1
+        found = []
+        for low in range(0, n_classes, share):
+            classes = list(range(low, min(low + share, n_classes)))
+            tables = [np.zeros(size, dtype="<u8") for size in layout.sizes()]
+            for i, k in enumerate(classes):
+                kept = every if wanted is None else sum(1 << n for n in np.flatnonzero(wanted[k]).tolist())
+                own = [np.full(size, kept, dtype="<u8") for size in layout.sizes()]
+                for node in range(nodes - 1):
+                    depth = (node + 1).bit_length() - 1
+                    width = nodes >> (depth + 1)
+                    left = ((1 << width) - 1) << ((node + 1 - (1 << depth)) * 2 * width)
+                    f = int(self.feature[k, node])
+                    if f < 0:  # a node without a split sends every row to its left
+                        own[0] &= np.uint64(every & ~(left << width))
+                        continue
+                    g = next(g for g, group in enumerate(layout.groups) if f in group)
+                    shape, axis = layout.shape(layout.groups[g]), layout.groups[g].index(f)
+                    sides = np.where(np.arange(shape[axis]) > self.bin[k, node], np.uint64(every & ~left), np.uint64(every & ~(left << width)))
+                    view = own[g].reshape(shape)
+                    view &= sides.reshape([-1 if j == axis else 1 for j in range(len(shape))])
+                for table, mine in zip(tables, own):
+                    table |= mine << np.uint64(i * bits)
+            found.append((classes, bits, tables))
+        return found
+
+
+def _nodes(codes: list[np.ndarray], words: list[tuple[list[int], int, list[np.ndarray]]]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each class the bit of every row's node."""
+    for classes, bits, tables in words:
+        word = tables[0][codes[0]]
+        for table, own in zip(tables[1:], codes[1:]):
+            word &= table[own]
+        split = word.view(f"<u{bits // 8}").reshape(len(word), -1)
+        yield from ((k, split[:, i]) for i, k in enumerate(classes))
+
+
+def _place(bit: np.ndarray) -> np.ndarray:
+    """The position of the only bit that is set."""
+    found = bit.astype(np.float64).view(np.int64)
+    found >>= 52
+    found -= 1023
+    return found
+
+
+class _Sums:
+    """Residuals and rows by class, node and bin, added up as numbers that hold both."""
+
+    def __init__(self, layout: _Layout, n_classes: int, width: int):
+        self.layout, self.sizes, self.shape, self.chunks = layout, layout.sizes(), (n_classes, width, -1), 0
+        self.held = [np.zeros((n_classes, width * size), dtype=np.int64) for size in self.sizes]
+        self.total = self._split()
+
+    def _split(self) -> np.ndarray:
+        both = self.layout.by_feature([h.reshape(self.shape) for h in self.held])
+        counts = (both + COUNTED // 2) // COUNTED
+        return np.stack([both - counts * COUNTED, counts])
+
+    def add(self, k: int, codes: list[np.ndarray], residual: np.ndarray, node: np.ndarray | None = None) -> None:
+        """With ``node``, the codes are changed in place."""
+        weight = residual.astype(np.int64)
+        weight += COUNTED
+        for held, code, size in zip(self.held, codes, self.sizes):
+            if node is not None:
+                code += node * size
+            np.add.at(held[k], code, weight)
+
+    def next(self) -> None:
+        """A chunk is added."""
+        self.chunks += 1
+        if self.chunks == CHUNKS:
+            self.done()
+
+    def done(self) -> np.ndarray:
+        self.total += self._split()
+        for held in self.held:
+            held[:] = 0
+        self.chunks = 0
+        return self.total
+
+
+class _Shard:
+    """The rows of one task in columns. ``make`` gives an array for a name, a type and a shape.
+
+    Margins are kept twice, of a round and of the one before it, so that a round can be started again. The rows that take
+    part in a round, ``drawn`` of them, are copied side by side with their residuals and spreads.
+    """
 
+    def __init__(self, layout: _Layout, n_classes: int, n: int, drawn: int, make: Callable[[str, str, tuple[int, ...]], np.ndarray]):
+        self.layout, self.n_classes, self.n, self.drawn = layout, n_classes, n, drawn
+        self.codes, self.own = ([make(f"{x}{g}", "u2", (n,)) for g in range(len(layout.groups))] for x in ("codes", "drawn"))
+        self.label, self.ids = make("label", "u1", (n,)), make("id", "i8", (n,))
+        self.margins = [make(f"margins{i}", "f8", (n_classes, n)) for i in range(2)]
+        self.residual, self.spread = (make(x, "i4", (n_classes, n)) for x in ("residual", "spread"))
 
-class _Alone:
-    """All blocks in one task, for small tables."""
+    @staticmethod
+    def _parts(columns: list[np.ndarray], n: int) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        for low in range(0, n, CHUNK_ROWS):
+            part = slice(low, min(low + CHUNK_ROWS, n))
+            yield part, [c[part].astype(np.int64) for c in columns]
+
+    def _moved(self, prior: list[float], number: int, before: tuple[_Fit, np.ndarray] | None) -> Iterator[tuple[slice, list[np.ndarray]]]:
+        """Chunks of all rows, with their margins at the start of a round, from those of the round before and its trees."""
+        old, new = self.margins[(number + 1) % 2], self.margins[number % 2]
+        words = before and before[0].words(self.layout, before[0].depth)
+        for part, codes in self._parts(self.codes, self.n):
+            if before is None:
+                new[:, part] = np.array(prior)[:, None]
+            else:
+                for k, bit in _nodes(codes, words):
+                    new[k, part] = old[k, part] + before[1][k][_place(bit)]
+            yield part, codes
+
+    def move(self, prior: list[float], number: int, before: tuple[_Fit, np.ndarray] | None) -> None:
+        """Go through a round that is known."""
+        for _ in self._moved(prior, number, before):
+            pass
+
+    def start(self, prior: list[float], number: int, before: tuple[_Fit, np.ndarray] | None, share: float, seed: int) -> np.ndarray:
+        """Start a round; residuals and rows of its roots."""
+        sums, self.drawn = _Sums(self.layout, self.n_classes, 1), 0
+        for part, codes in self._moved(prior, number, before):
+            rows = np.flatnonzero(_drawn(np.asarray(self.ids[part]), number, share, seed))
+            to = slice(self.drawn, self.drawn + len(rows))
+            codes = [c[rows] for c in codes]
+            for own, code in zip(self.own, codes):
+                own[to] = code
+            label = self.label[part][rows]
+            p = _softmax(np.stack([m[rows] for m in self.margins[number % 2][:, part]]))
+            for k in range(self.n_classes):
+                residual = (label == k) - p[k]
+                residual *= UNIT
+                np.rint(residual, out=residual)
+                self.residual[k, to] = residual
+                sums.add(k, codes, residual)
+                spread = 1 - p[k]
+                spread *= p[k]
+                spread *= UNIT
+                self.spread[k, to] = np.rint(spread, out=spread)
+            sums.next()
+            self.drawn += len(rows)
+        return sums.done()
+
+    def sums(self, fit: _Fit, level: int, wanted: np.ndarray) -> np.ndarray:
+        """Residuals and rows by class, parent and bin of a level's nodes that are ``wanted``, one for each parent."""
+        sums, words = _Sums(self.layout, self.n_classes, 2**level // 2), fit.words(self.layout, level, wanted)
+        for part, codes in self._parts(self.own, self.drawn):
+            for k, bit in _nodes(codes, words):
+                rows = np.flatnonzero(bit != 0)
+                sums.add(k, [c[rows] for c in codes], self.residual[k, part][rows], _place(bit[rows]) >> 1)
+            sums.next()
+        return sums.done()
+
+    def spreads(self, fit: _Fit) -> np.ndarray:
+        """Spread by class and leaf."""
+        words, leaves = fit.words(self.layout, fit.depth), 2**fit.depth
+        total = np.zeros((self.n_classes, leaves))
+        for part, codes in self._parts(self.own, self.drawn):
+            for k, bit in _nodes(codes, words):
+                total[k] += np.bincount(_place(bit), self.spread[k, part], leaves)
+        return total
 
-    def __init__(self, blocks: list[_Block]):
-        self.blocks = blocks
 
-    def sums(self, fit: _Fit, level: int) -> np.ndarray:
-        return sum((b.sums(fit, level) for b in self.blocks), fit.none(level))
+class _Alone:
+    """All rows in one task, for small tables."""
 
-    def move(self, fit: _Fit, value: np.ndarray) -> None:
-        self.blocks = [b.moved(fit, value) for b in self.blocks]
+    def __init__(self, shard: _Shard, model: Trees, share: float, seed: int):
+        self.shard, self.prior, self.share, self.seed = shard, model.prior, share, seed
 
+    def start(self, number: int, before: tuple[_Fit, np.ndarray] | None) -> np.ndarray:
+        return self.shard.start(self.prior, number, before, self.share, self.seed)
 
-class _Spread:
-    """Blocks dealt over tasks: one job for each level of a round, which brings back its sums."""
+    def sums(self, fit: _Fit, level: int, wanted: np.ndarray) -> np.ndarray:
+        return self.shard.sums(fit, level, wanted)
+
+    def spreads(self, fit: _Fit) -> np.ndarray:
+        return self.shard.spreads(fit)
 
-    def __init__(self, blocks: RDD):
-        self.blocks, self.before = blocks.persist(StorageLevel.MEMORY_AND_DISK), []
 
-    def sums(self, fit: _Fit, level: int) -> np.ndarray:
-        found = self.blocks.mapPartitions(lambda own: [sum((b.sums(fit, level) for b in own), fit.none(level))])
-        made = found.treeReduce(np.add) if found.getNumPartitions() > MOST_SUMS else sum(found.collect())
-        self.drop(self.before)
-        self.before = []
-        return made
+class _Spread:
+    """Rows dealt over tasks that keep them in files of their executor: one job for each step brings back its sums.
 
-    def move(self, fit: _Fit, value: np.ndarray) -> None:
-        self.before = [self.blocks]
-        self.blocks = self.blocks.map(lambda b: b.moved(fit, value)).persist(StorageLevel.MEMORY_AND_DISK)
-        if (fit.round + 1) % CHECKPOINT_ROUNDS == 0:
-            self.blocks.checkpoint()
+    The files lie in Spark's local folders, as its own intermediate files do, and what says where they are is a stored
+    table, by which Spark sends a task to the executor that has its files. Where files are missing, they are made again
+    from the dealt rows and the trees so far.
+    """
 
-    @staticmethod
-    def drop(held: list[RDD]) -> None:
-        for blocks in held:
-            blocks.unpersist()
+    def __init__(self, dealt: RDD, layout: _Layout, model: Trees, share: float, seed: int):
+        self.dealt, self.layout, self.model, self.share, self.seed = dealt, layout, model, share, seed
+        self.name, self.folders, self.written = f"fit-{uuid.uuid4().hex}", None, False
+        self._place(-1)
+
+    def _place(self, done: int) -> None:
+        """Have the rows written by tasks, as they are when the given round is started; -1 before the first."""
+        if self.folders is not None:
+            self.folders.unpersist()
+        layout, name, share, seed = self.layout, self.name, self.share, self.seed
+        prior, past = self.model.prior, [None, *(_past(self.model, number) for number in range(done))]
+
+        def stored(blocks: Iterator[bytes]) -> Iterator[str]:
+            folder = _write(blocks, name, layout)
+            shard = _opened(folder, layout, len(prior), 0)
+            for number in range(done):
+                shard.move(prior, number, past[number])
+            if done >= 0:
+                shard.start(prior, done, past[done], share, seed)
+                _mark(folder, done, shard.drawn)
+            yield folder
+
+        self.folders = self.dealt.mapPartitions(stored).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def _added(self, step: Callable[[_Shard], np.ndarray], needs: int, done: int | None = None) -> np.ndarray:
+        """The sum of what ``step`` gives for each task's rows, which must have come to round ``needs``.
+
+        With ``done``, the step brings them to that round, and may be taken again.
+        """
+        layout, n_classes = self.layout, len(self.model.prior)
+
+        def run(own: Iterator[str]) -> Iterator[np.ndarray | None]:
+            _settle()
+            for folder in own:
+                number, drawn = _marked(folder)
+                if number is None or number not in (needs, done):
+                    yield None
+                    continue
+                shard = _opened(folder, layout, n_classes, drawn)
+                made = step(shard)
+                if done is not None:
+                    _mark(folder, done, shard.drawn)
+                yield made
+
+        for _ in range(TRIES):
+            found = self.folders.mapPartitions(run)
+            if found.getNumPartitions() > MOST_SUMS:
+                made = found.treeReduce(_both)
+            else:
+                sums = found.collect()
+                # On a busy cluster a task may have been sent to an executor without its files.
+                missing = [i for i, own in enumerate(sums) if own is None]
+                for i in missing:
+                    sums[i] = found.context.runJob(found, list, [i])[0]
+                made = reduce(_both, sums)
+            if made is not None:
+                self.written = True
+                return made
+            self._place(needs)
+        raise RuntimeError("rows of a fit were lost again and again")
+
+    def start(self, number: int, before: tuple[_Fit, np.ndarray] | None) -> np.ndarray:
+        prior, share, seed = self.model.prior, self.share, self.seed
+        return self._added(lambda shard: shard.start(prior, number, before, share, seed), number - 1, number)
+
+    def sums(self, fit: _Fit, level: int, wanted: np.ndarray) -> np.ndarray:
+        return self._added(lambda shard: shard.sums(fit, level, wanted), fit.round)
+
+    def spreads(self, fit: _Fit) -> np.ndarray:
+        return self._added(lambda shard: shard.spreads(fit), fit.round)
+
+    def drop(self) -> None:
+        """Remove the files; those of a lost executor go with Spark's local folders."""
+        with contextlib.suppress(Exception):
+            if self.written:
+                self.folders.foreach(lambda folder: shutil.rmtree(os.path.dirname(folder), ignore_errors=True))
+            self.folders.unpersist()
+
+
+@cache
+def _settle() -> None:
+    """Spare a worker's modules the search for garbage that follows each of its tasks."""
+    gc.freeze()
+
+
+def _both(a: np.ndarray | None, b: np.ndarray | None) -> np.ndarray | None:
+    return None if a is None or b is None else a + b
+
+
+def _past(model: Trees, number: int) -> tuple[_Fit, np.ndarray]:
+    """A round that is done: its trees and leaf values."""
+    own = slice(number * len(model.classes), (number + 1) * len(model.classes))
+    return _Fit(number, model.depth, np.array(model.feature[own]), np.array(model.bin[own])), np.array(model.value[own])
+
+
+def _write(blocks: Iterator[bytes], name: str, layout: _Layout) -> str:
+    """Write a task's rows to files of the executor; their folder, which no other attempt writes to."""
+    local = os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+    folder = os.path.join(random.choice(local.split(",")), "python", name, uuid.uuid4().hex)
+    os.makedirs(folder)
+    columns = [f"codes{g}" for g in range(len(layout.groups))] + ["label", "id"]
+    with contextlib.ExitStack() as files:
+        to = {c: files.enter_context(open(os.path.join(folder, c), "wb")) for c in columns}
+        for block in blocks:
+            for column, values in pickle.loads(block).items():
+                to[column].write(values.tobytes())
+    _mark(folder, -1, 0)
+    return folder
+
+
+def _opened(folder: str, layout: _Layout, n_classes: int, drawn: int) -> _Shard:
+    def mapped(name: str, kind: str, shape: tuple[int, ...]) -> np.ndarray:
+        path = os.path.join(folder, name)
+        if not n:
+            return np.empty(shape, dtype=kind)
+        return np.memmap(path, dtype=kind, mode="r+" if os.path.exists(path) else "w+", shape=shape)
+
+    n = os.path.getsize(os.path.join(folder, "label"))
+    return _Shard(layout, n_classes, n, drawn, mapped)
+
+
+def _mark(folder: str, number: int, drawn: int) -> None:
+    """Note the round that the files have come to, -1 before the first, and how many rows take part in it."""
+    path = os.path.join(folder, f"round-{uuid.uuid4().hex}")
+    with open(path, "w") as f:
+        f.write(f"{number} {drawn}")
+    os.replace(path, os.path.join(folder, "round"))
+
+
+def _marked(folder: str) -> tuple[int | None, int]:
+    try:
+        with open(os.path.join(folder, "round")) as f:
+            number, drawn = f.read().split()
+    except OSError:
+        return None, 0
+    return int(number), int(drawn)
 
 
 def _leaf_sums(by_bin: np.ndarray, first: np.ndarray, feature: np.ndarray, bin_of: np.ndarray) -> np.ndarray:
@@ -264,27 +566,37 @@ def _leaf_sums(by_bin: np.ndarray, first: np.ndarray, feature: np.ndarray, bin_o
     return np.stack([left, whole - left], axis=1)
 
 
-def _train(model: Trees, rows: _Alone | _Spread, trees: int, step: float, share: float, seed: int) -> Trees:
-    """The rounds of a fit. Sums are of integers, so a right node is exactly what its parent has besides the left one."""
+def _train(model: Trees, rows: _Alone | _Spread, trees: int, step: float) -> Trees:
+    """The rounds of a fit. Sums are of integers, so a node is exactly what its parent has besides the other child.
+
+    Only the child with fewer rows is added up.
+    """
     n_classes, depth, first = len(model.classes), model.depth, _first(model)
     total, importance = int(first[-1]), np.zeros(len(model.features))
+    before = None
     for number in range(trees):
         feature, bin_of = np.full((n_classes, 2**depth - 1), -1), np.zeros((n_classes, 2**depth - 1), dtype=int)
         gains = np.zeros((n_classes, 2**depth - 1))
-        fit = _Fit(number, depth, first, share, seed, feature, bin_of)
+        fit = _Fit(number, depth, feature, bin_of)
+        nodes = rows.start(number, before).astype(float)
         for level in range(depth):
             width = 2**level
-            found = rows.sums(fit, level)
-            cut = 2 * n_classes * max(width // 2, 1) * total
-            left = found[:cut].reshape(2, n_classes, -1, total)
-            # Children of a node lie beside each other.
-            nodes = np.stack([left, nodes - left], axis=3).reshape(2, n_classes, width, total) if level else left
+            if level:
+                on_left = _leaf_sums(nodes[1].reshape(-1, total), first, *best[:2])
+                small = on_left.argmin(axis=1) if len(on_left) else on_left
+                wanted = np.eye(2, dtype=bool)[small].reshape(n_classes, width)
+                found = rows.sums(fit, level, wanted).astype(float)
+                is_left = (small == 0).reshape(1, n_classes, width // 2, 1)
+                left = np.where(is_left, found, nodes - found)
+                # Children of a node lie beside each other.
+                nodes = np.stack([left, nodes - left], axis=3).reshape(2, n_classes, width, total)
             here = slice(width - 1, 2 * width - 1)
             best = _best_splits(*nodes.reshape(2, n_classes * width, total), first)
             feature[:, here], bin_of[:, here], gains[:, here] = (x.reshape(n_classes, width) for x in best)
-        top, under = (_leaf_sums(x.reshape(-1, total), first, *best[:2]).reshape(n_classes, -1) for x in (nodes[0], found[cut:]))
+        top = _leaf_sums(nodes[0].reshape(-1, total), first, *best[:2]).reshape(n_classes, -1)
+        under = rows.spreads(fit)
         value = step * (n_classes - 1) / n_classes * np.divide(top, under, out=np.zeros_like(top), where=under > 0)
-        rows.move(fit, value)
+        before = fit, value
         for k in range(n_classes):
             used = feature[k] >= 0
             by_feature = np.bincount(feature[k][used], gains[k][used], len(importance))
@@ -301,12 +613,12 @@ def _first(model: Trees) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(e) + 1 for e in model.edges])])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], model: Trees, share: float, seed: int) -> Iterator[_Block]:
-    """Rows as blocks at the start of the first round."""
+def _blocks(batches: Iterator[pa.RecordBatch], model: Trees, layout: _Layout) -> Iterator[dict[str, np.ndarray]]:
+    """Rows as columns of codes, labels and ids."""
     for table in _tables(batches):
         bins = model.binned(np.stack([table[f].to_numpy() for f in model.features], axis=1))
-        label, ids = table["label"].to_numpy().astype(np.uint8), table["id"].to_numpy().astype(np.int64)
-        yield _Block(bins, label, ids, np.tile(model.prior, (len(label), 1)), 0, share, seed)
+        label, ids = table["label"].to_numpy().astype("u1"), table["id"].to_numpy().astype("i8")
+        yield {f"codes{g}": c for g, c in enumerate(layout.codes(bins))} | {"label": label, "id": ids}
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -324,14 +636,25 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _dealt(chosen: DataFrame, n: int, model: Trees, share: float, seed: int) -> RDD:
+def _dealt(chosen: DataFrame, n: int, model: Trees, layout: _Layout) -> RDD:
     """The rows as blocks in ``n`` tasks."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, model, share, seed):
+        for block in _blocks(batches, model, layout):
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block)], pa.binary())], ["block"])
 
-    return chosen.repartition(n).mapInArrow(packed, "block binary").rdd.map(lambda row: pickle.loads(row["block"]))
+    return chosen.repartition(n).mapInArrow(packed, "block binary").rdd.map(lambda row: row["block"])
+
+
+def _kept(blocks: Iterator[dict[str, np.ndarray]], layout: _Layout, n_classes: int) -> _Shard:
+    """Rows in memory."""
+    held = list(blocks)
+    n = sum(len(b["label"]) for b in held)
+
+    def make(name: str, kind: str, shape: tuple[int, ...]) -> np.ndarray:
+        return np.concatenate([b[name] for b in held]) if held and name in held[0] else np.empty(shape, dtype=kind)
+
+    return _Shard(layout, n_classes, n, 0, make)
 
 
 def train(
@@ -340,8 +663,9 @@ def train(
 ) -> Trees:
     """Fit boosted trees to rows whose ``label`` is the position of their class.
 
-    Missing and NaN values read 0. Rows are kept as blocks of arrays over all tasks (about sixty bytes each), none is
-    left out. A small table is fitted by one task; else every level of a round is a job over the kept blocks. ``row_id`` decides which rounds a row takes part in. A table without rows gives equal probabilities.
+    Missing and NaN values read 0. Rows are kept in files of all executors (about 120 bytes each), none is left out. A small
+    table is fitted by one task; else every step of a round is a job over these files. ``row_id`` decides which rounds a
+    row takes part in. A table without rows gives equal probabilities.
     """
     if not 1 <= depth <= DEEPEST:
         raise ValueError(f"depth must be 1 to {DEEPEST}")
@@ -357,18 +681,17 @@ def train(
     model = Trees(list(features), list(classes), edges, [0.0] * len(classes), depth, rows=summary["_n"])
     seen = np.array([summary[f"_class{k}"] for k in range(len(classes))], dtype=np.int64)
     model.prior = np.log(np.maximum(seen / max(model.rows, 1), 1e-7)).tolist()
-    spark = rows.sparkSession
+    layout, spark = _Layout.of([len(e) + 1 for e in edges]), rows.sparkSession
     n = n_workers or workers.count(spark, model.rows, ALONE_ROWS, TASK_ROWS)
     if n == 1:
 
         def alone(table: pa.Table, _: workers.Exchange) -> str:
-            blocks = list(_blocks(iter(table.to_batches()), model, share, seed))
-            return _train(model, _Alone(blocks), trees, step, share, seed).dump()
+            shard = _kept(_blocks(iter(table.to_batches()), model, layout), layout, len(classes))
+            return _train(model, _Alone(shard, model, share, seed), trees, step).dump()
 
         return Trees.read(workers.fit(chosen, 1, alone))
-    session.ensure_checkpoint_dir(spark)
-    spread = _Spread(_dealt(chosen, n, model, share, seed))
+    spread = _Spread(_dealt(chosen, n, model, layout), layout, model, share, seed)
     try:
-        return _train(model, spread, trees, step, share, seed)
+        return _train(model, spread, trees, step)
     finally:
-        spread.drop([spread.blocks, *spread.before])
+        spread.drop()

@@ -1,7 +1,10 @@
 """Training, saving, loading and scoring on the small tables."""
 
+import glob
 import math
+import os
 import random
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -9,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hazardflow import dims
+from hazardflow import dims, session
 from hazardflow.checks.modeling import _sequence_sets, featured
 from hazardflow.operators import boosting, models, sequence_training
 from hazardflow.streaming import jobs
@@ -146,6 +149,86 @@ def test_rows_are_cut_into_blocks_of_one_size():
     assert [n for t in tables for n in t["n"].to_pylist()] == list(range(24580))
 
 
+@pytest.mark.parametrize("most", [64, 1])
+def test_larger_fits_keep_rows_in_local_files(spark, small, monkeypatch, most):
+    """Jobs get the names of folders instead of rows, nothing goes to the shared folder, and lost files are made again."""
+    rows = featured(spark, small)
+    alone = models.train_severity(rows, label="label_severity", trees=3, depth=3, row_id="event_id")
+    monkeypatch.setattr(boosting, "CHECKPOINT_ROUNDS", 1)
+    monkeypatch.setattr(boosting, "MOST_SUMS", most)
+    before = set(glob.glob(f"{session_folder(spark)}/**", recursive=True))
+    seen, lost = [], iter([[], [0], [0, 1]])
+    plain = boosting._Spread.spreads
+
+    def spreads(self, fit):
+        own = self.folders.collect()
+        assert all(isinstance(folder, str) and "blockmgr" in folder for folder in own)
+        seen.extend(own)
+        for i in next(lost):
+            shutil.rmtree(own[i])
+        return plain(self, fit)
+
+    monkeypatch.setattr(boosting._Spread, "spreads", spreads)
+    many = models.train_severity(rows, label="label_severity", trees=3, depth=3, row_id="event_id", n_workers=2)
+    assert many.dump() == alone.dump()
+    assert len(set(seen)) == 4 and not any(os.path.exists(os.path.dirname(folder)) for folder in seen)
+    assert set(glob.glob(f"{session_folder(spark)}/**", recursive=True)) == before
+
+
+def session_folder(spark) -> str:
+    session.ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+
+def test_sums_of_a_level_against_plain_code():
+    """Features of one and many bins, classes that share a number, nodes without a split; only the wanted children count."""
+    rng = np.random.default_rng(4)
+    bins_of, n_classes, n = [1, 64, 3, 64, 64], 5, 3000
+    bins = np.stack([rng.integers(0, b, n) for b in bins_of], axis=1).astype(np.uint8)
+    layout = boosting._Layout.of(bins_of)
+    assert sorted(f for g in layout.groups for f in g) == [1, 2, 3, 4] and max(layout.sizes()) <= boosting.GROUP_BINS
+    held = {f"codes{g}": c for g, c in enumerate(layout.codes(bins))}
+    label, ids = rng.integers(0, n_classes, n).astype("u1"), rng.integers(-(2**62), 2**62, n)
+    shard = boosting._kept(iter([held | {"label": label, "id": ids}]), layout, n_classes)
+    for depth in (1, 4, 6):
+        feature = rng.integers(1, 5, (n_classes, 2**depth - 1))
+        feature[rng.random(feature.shape) < 0.1] = -1
+        bin_of = np.where(feature >= 0, rng.integers(0, 64, feature.shape) % (np.array(bins_of)[feature] - 1), 0)
+        fit = boosting._Fit(1, depth, feature, bin_of)
+        first = np.concatenate([[0], np.cumsum(bins_of)])
+        shard.margins[0][:] = rng.normal(size=(n_classes, n))
+        margins = shard.margins[0].copy()
+        value = rng.normal(size=(n_classes, 2**depth))
+        root = shard.start([0.0] * n_classes, 1, (fit, value), 0.8, 7)
+        drawn = boosting._drawn(ids, 1, 0.8, 7)
+        for k in range(n_classes):
+            node = np.zeros(n, dtype=int)
+            for level in range(depth):
+                f, b = (x[k][2**level - 1 + node] for x in (feature, bin_of))
+                node = 2 * node + ((f >= 0) & (bins[np.arange(n), f] > b))
+            margins[k] += value[k][node]
+        p = np.exp(margins) / np.exp(margins).sum(axis=0)
+        assert shard.margins[1] == pytest.approx(margins)
+        spreads = shard.spreads(fit)
+        wanted = rng.random((n_classes, 2 ** (depth - 1))) < 0.5
+        sums = shard.sums(fit, depth - 1, wanted) if depth > 1 else root
+        for k in range(n_classes):
+            node = np.zeros(n, dtype=int)
+            for level in range(depth):
+                own = drawn & (wanted[k][node] if depth > 1 else True)
+                if level == depth - 1:
+                    for f, (low, high) in enumerate(zip(first, first[1:])):
+                        for parent in range(sums.shape[2]):
+                            of = own & (node // 2 == parent)
+                            assert (sums[1, k, parent, low:high] == np.bincount(bins[of, f], minlength=high - low)).all()
+                            weight = np.bincount(bins[of, f], ((label == k) - p[k])[of], high - low)
+                            assert sums[0, k, parent, low:high] / boosting.UNIT == pytest.approx(weight, abs=1e-3)
+                f, b = (x[k][2**level - 1 + node] for x in (feature, bin_of))
+                node = 2 * node + ((f >= 0) & (bins[np.arange(n), f] > b))
+            under = np.bincount(node[drawn], (p[k] * (1 - p[k]))[drawn], 2**depth)
+            assert spreads[k] / boosting.UNIT == pytest.approx(under, abs=1e-3)
+
+
 def test_odd_training_rows(spark):
     """Nulls and NaN read 0, unknown labels are left out, one class or no rows still give a model."""
     schema = "a double, b double, severity string"
