@@ -20,7 +20,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
-from functools import cache, reduce
+from functools import cache, cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from hazardflow.operators import workers
 BINS = 64
 DEEPEST = 6  # leaves of a tree are bits of one number
 UNIT = float(2**24)
-SCORE_ROWS = 1024
+SCORE_ROWS = 128
 BLOCK_ROWS = 8192
 GROUP_BINS = 4096
 CHUNK_ROWS = 2**16
@@ -77,9 +77,27 @@ class Trees:
         Each tree test that a bin fails rules out the leaves on its left. What a feature's bin rules out is looked up for
         all trees at once, and the lowest leaf that is left is the one the row falls into.
         """
+        allowed, value = self._tables
+        kind = allowed[0].dtype.type
+        first = np.arange(len(self.feature)) * 2**self.depth
+        out = np.empty((len(bins), len(self.classes)))
+        for low in range(0, len(bins), SCORE_ROWS):
+            part = bins[low : low + SCORE_ROWS]
+            left = allowed[0][part[:, 0]]
+            for f in range(1, part.shape[1]):
+                left &= allowed[f][part[:, f]]
+            lowest = left & (~left + kind(1))
+            leaf = _place(lowest)
+            leaf += first
+            gains = np.einsum("ijk->ik", value[leaf].reshape(len(part), -1, len(self.classes)))
+            out[low : low + SCORE_ROWS] = gains + self.prior
+        return out
+
+    @cached_property
+    def _tables(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each feature the leaves that a bin leaves to every tree, as bits; values of all trees' leaves."""
         n_trees, leaves = len(self.feature), 2**self.depth
         kind = np.uint32 if leaves <= 32 else np.uint64
-        value = np.array(self.value).reshape(n_trees, leaves)
         allowed = [np.full((len(e) + 1, n_trees), kind(2**leaves - 1 if leaves < 64 else 2**64 - 1)) for e in self.edges]
         for t, (tests, bins_of) in enumerate(zip(self.feature, self.bin)):
             for node, f in enumerate(tests):
@@ -88,23 +106,20 @@ class Trees:
                     width = leaves >> (level + 1)
                     low = (node + 1 - (1 << level)) * 2 * width
                     allowed[f][bins_of[node] + 1 :, t] &= kind(~(((1 << width) - 1) << low) & (2**leaves - 1))
-        out = np.empty((len(bins), len(self.classes)))
-        place = np.arange(n_trees)
-        for low in range(0, len(bins), SCORE_ROWS):
-            part = bins[low : low + SCORE_ROWS]
-            left = allowed[0][part[:, 0]]
-            for f in range(1, part.shape[1]):
-                left &= allowed[f][part[:, f]]
-            lowest = left & (~left + kind(1))
-            leaf = np.frexp(lowest.astype(np.float64))[1] - 1
-            gains = value[place, leaf].reshape(len(part), -1, len(self.classes)).sum(axis=1)
-            out[low : low + SCORE_ROWS] = gains + self.prior
-        return out
+        return allowed, np.array(self.value).reshape(-1)
 
     def shares(self, values: np.ndarray) -> np.ndarray:
         """Class probabilities of rows of feature values; equal rows are scored once."""
-        own, back = np.unique(self.binned(values), axis=0, return_inverse=True)
-        return _softmax(self.margins(own).T).T[back.reshape(-1)]
+        bins = self.binned(values)
+        if np.prod([float(len(e) + 1) for e in self.edges]) < 2.0**62:
+            key = np.zeros(len(bins), dtype=np.int64)
+            for f, own in enumerate(self.edges):
+                key = key * (len(own) + 1) + bins[:, f]
+            _, at, back = np.unique(key, return_index=True, return_inverse=True)
+            bins = bins[at]
+        else:
+            bins, back = np.unique(bins, axis=0, return_inverse=True)
+        return _softmax(self.margins(bins).T).T[back.reshape(-1)]
 
     def probabilities(self, values: Column) -> Column:
         """Class probabilities of an array column of feature values."""

@@ -229,6 +229,17 @@ def test_sums_of_a_level_against_plain_code():
             assert spreads[k] / boosting.UNIT == pytest.approx(under, abs=1e-3)
 
 
+def test_scoring_tables_are_made_once(fitted, monkeypatch):
+    """Batches of rows share the tables of a model, and equal rows get what each would get alone."""
+    rng = np.random.default_rng(2)
+    values = rng.random((300, len(fitted.features))).round(1)
+    first = fitted.shares(values)
+    monkeypatch.setattr(boosting.np, "full", None)
+    assert (fitted.shares(values[::-1])[::-1] == first).all()
+    assert all((fitted.shares(values[i : i + 1])[0] == first[i]).all() for i in range(20))
+    assert boosting.Trees.read(fitted.dump()) == fitted
+
+
 def test_odd_training_rows(spark):
     """Nulls and NaN read 0, unknown labels are left out, one class or no rows still give a model."""
     schema = "a double, b double, severity string"
