@@ -40,7 +40,7 @@ CHUNK_ROWS = 2**16
 CHUNKS = 3
 COUNTED = 2**43  # above twice any sum of the residuals of so many chunks, and with all their counts below 2**63
 TRIES = 4
-ALONE_ROWS = 100_000  # up to so many rows, a job for each level costs more than it saves
+ALONE_ROWS = 1_000_000  # up to so many rows, a job for each step costs more than it saves
 TASK_ROWS = 25_000
 MOST_SUMS = 64  # above so many tasks, their sums are added in the cluster first
 CHECKPOINT_ROUNDS = 25  # no longer read: lost rows are made again from the trees
